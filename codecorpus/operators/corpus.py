@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecorpus import dims
-from codecorpus.functions.patterns import (combined_ignore_regex, fnmatch_regex,
-                                           gitwildmatch_regex, glob_regex, py_regex)
+from codecorpus.functions.patterns import combined_ignore_regex, fnmatch_regex, py_regex
 from codecorpus.functions.text import basename, split_lines, suffix_lower
 
 BUILTIN_IGNORE_RE = combined_ignore_regex(dims.BUILTIN_IGNORE)
@@ -102,15 +101,8 @@ def gitignore_rules(rules: DataFrame) -> DataFrame:
     """Translate ``(repo_id, rule_no, rule)`` gitignore lines to regexes.
 
     One tiny Python call per *rule* (rules, not files, grow here)."""
-    from pyspark.sql.functions import pandas_udf
-    import pandas as pd
-
-    @pandas_udf("struct<regex:string, negate:boolean>")
-    def translate(s: pd.Series) -> pd.DataFrame:
-        out = [gitwildmatch_regex(x) if x is not None else None for x in s]
-        return pd.DataFrame({"regex": [o[0] if o else None for o in out],
-                             "negate": [o[1] if o else None for o in out]})
-    return (rules.withColumn("_t", translate("rule"))
+    from codecorpus.functions.udfs import gitignore_to_regex
+    return (rules.withColumn("_t", gitignore_to_regex("rule"))
             .select("repo_id", "rule_no", "rule", F.col("_t.regex").alias("regex"),
                     F.col("_t.negate").alias("negate"))
             .filter(F.col("regex").isNotNull()))
@@ -141,14 +133,8 @@ def glob_add(requests: DataFrame, files: DataFrame) -> DataFrame:
     Output: (conv_id, pattern, path, status) with status 'added' or
     'not_found' (path NULL).
     """
-    from pyspark.sql.functions import pandas_udf
-    import pandas as pd
-
-    @pandas_udf("string")
-    def to_regex(s: pd.Series) -> pd.Series:
-        return s.map(lambda p: glob_regex(p) if p is not None else None)
-
-    req = requests.withColumn("_rx", to_regex("pattern"))
+    from codecorpus.functions.udfs import glob_to_regex
+    req = requests.withColumn("_rx", glob_to_regex("pattern"))
     f = files.select("repo_id", "path")
     hits = (req.alias("q").join(f.alias("f"), (F.col("q.repo_id") == F.col("f.repo_id"))
                                 & F.expr("f.path RLIKE q._rx"))

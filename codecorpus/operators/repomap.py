@@ -37,21 +37,22 @@ def type_weight(t: Column) -> Column:
 
 
 def rank_tags(tags: DataFrame, chat_stems: DataFrame | None = None) -> DataFrame:
-    """K1: add the sort key (not name_match, -type weight, path, line).
+    """K1: add ``weight`` and ``name_match`` -- the sort key is
+    (not name_match, -weight, path, line).
 
-    ``chat_stems`` (stem) lower-cased stems of the chat files; without it no
-    tag is a name match (the map of a repo with no chat files)."""
+    ``chat_stems(repo_id, stem)``: stems of the chat files of each repo. A
+    tag matches when its name, or its file's stem, equals one of them
+    (lower-cased). Both tests are equi-joins on (repo_id, stem) against the
+    distinct stems, so they never fan out."""
     t = tags.withColumn("weight", type_weight(F.col("type")))
     if chat_stems is None:
         return t.withColumn("name_match", F.lit(False))
-    st = chat_stems.select(F.lower("stem").alias("_s")).distinct()
-    hit_name = t.join(st, F.lower(t["name"]) == st["_s"], "left_semi").select("repo_id", "path", "line") \
-        .withColumn("_nm1", F.lit(True))
-    t = t.join(hit_name, ["repo_id", "path", "line"], "left")
-    fs = st.withColumnRenamed("_s", "_fs")
-    t = t.join(fs, F.lower(stem(F.col("path"))) == fs["_fs"], "left")
-    return (t.withColumn("name_match", F.coalesce("_nm1", F.lit(False)) | F.col("_fs").isNotNull())
-             .drop("_nm1", "_fs"))
+    st = chat_stems.select("repo_id", F.lower("stem").alias("_s")).distinct()
+    t = (t.withColumn("_n", F.lower("name")).withColumn("_fs", F.lower(stem(F.col("path"))))
+         .join(st.withColumn("_m1", F.lit(True)).withColumnRenamed("_s", "_n"), ["repo_id", "_n"], "left")
+         .join(st.withColumn("_m2", F.lit(True)).withColumnRenamed("_s", "_fs"), ["repo_id", "_fs"], "left"))
+    return (t.withColumn("name_match", F.coalesce("_m1", F.lit(False)) | F.coalesce("_m2", F.lit(False)))
+             .drop("_n", "_fs", "_m1", "_m2"))
 
 
 def file_blocks(ranked: DataFrame) -> DataFrame:
@@ -104,17 +105,23 @@ def render_map(kept: DataFrame, max_map_tokens: int = dims.REPO_MAP_TOKENS,
     return agg.select(*part, "n_files", text.alias("repo_map"))
 
 
-def repo_map(files: DataFrame, max_map_tokens: int = dims.REPO_MAP_TOKENS) -> DataFrame:
+def repo_map(files: DataFrame, max_map_tokens: int = dims.REPO_MAP_TOKENS,
+             chat_files: DataFrame | None = None) -> DataFrame:
     """K2 (flagship): scan -> S1 -> F7 -> K1 -> A4 -> W3 -> text, per repo.
 
     Repos whose files yield no tags get an empty string, as does a repo
     with no files at all (it simply has no row in ``files``)."""
     from codecorpus.operators.corpus import extract_symbols, scan_repo_files
     scanned = scan_repo_files(files)
+    repos = scanned.select("repo_id").distinct()
+    stems = None
+    if chat_files is not None:
+        from codecorpus.operators.corpus import exclude_chat_files
+        scanned = exclude_chat_files(scanned, chat_files)
+        stems = chat_files.select("repo_id", stem(F.col("path")).alias("stem"))
     tags = extract_symbols(scanned)
-    kept = map_budget(file_blocks(rank_tags(tags)), max_map_tokens)
+    kept = map_budget(file_blocks(rank_tags(tags, stems)), max_map_tokens)
     maps = render_map(kept, max_map_tokens)
-    repos = scanned.select("repo_id").distinct()
     return (repos.join(maps, "repo_id", "left")
             .select("repo_id", F.coalesce("n_files", F.lit(0)).alias("n_files"),
                     F.coalesce("repo_map", F.lit("")).alias("repo_map")))

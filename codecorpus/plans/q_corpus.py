@@ -1 +1,319 @@
-"""Queries (filled in below)."""
+"""Corpus scan, filters, symbols and the repo map (2.1, 2.2, S1, F7, J-1, J-3, K1, K2, A4, W3)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codecorpus import dims
+from codecorpus.functions.patterns import (LINE_BREAK, fnmatch_regex, gitwildmatch_regex,
+                                           py_regex)
+from codecorpus.functions.text import basename, split_lines, stem, suffix_lower
+from codecorpus.operators import corpus, repomap
+from codecorpus.plans.registry import query
+from codecorpus.sources.tables import _GITIGNORE_RULES
+
+# ---------------------------------------------------------------- DuckDB helpers
+def d_name(p: str) -> str:
+    return f"string_split({p}, '/')[-1]"
+
+
+def d_sfx(p: str) -> str:
+    return f"lower(regexp_extract({d_name(p)}, '^.+(\\.[^.]+)$', 1))"
+
+
+def d_stem(p: str) -> str:
+    n = d_name(p)
+    return (f"(CASE WHEN regexp_extract({n}, '^.+(\\.[^.]+)$', 1) = '' THEN {n} "
+            f"ELSE substring({n}, 1, length({n}) - length(regexp_extract({n}, '^.+(\\.[^.]+)$', 1))) END)")
+
+
+def d_list(xs) -> str:
+    return "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+
+
+def d_lines(c: str) -> str:
+    """splitlines() as a DuckDB list (drop the trailing empty element)."""
+    sp = f"string_split_regex({c}, '{LINE_BREAK}')"
+    return f"{sp}[1:len({sp}) - CASE WHEN {sp}[-1] = '' THEN 1 ELSE 0 END]"
+
+
+def d_symbol_case(ext: str, line: str, what: str) -> str:
+    parts = []
+    for e, rules in dims.SYMBOL_RULES.items():
+        exts = [e] + [a for a, b in dims.RULE_ALIASES.items() if b == e]
+        for typ, rx in rules:
+            r = py_regex(rx)
+            val = f"'{typ}'" if what == "type" else f"regexp_extract({line}, '{r}', 1)"
+            parts.append(f"WHEN {ext} IN {d_list(exts)} AND regexp_matches({line}, '{r}') THEN {val}")
+    return "(CASE " + " ".join(parts) + " END)"
+
+
+def d_weight(t: str) -> str:
+    return "(CASE " + " ".join(f"WHEN {t} = '{n}' THEN {w}" for n, w in dims.TYPE_WEIGHTS) + " ELSE 0 END)"
+
+
+IGN = corpus.BUILTIN_IGNORE_RE
+TEXT_EXT = d_list(dims.text_extensions())
+SCANNED = f"(SELECT * FROM v_tree WHERE NOT regexp_matches(path, '{IGN}') AND {d_sfx('path')} IN {TEXT_EXT})"
+
+
+def tags_sql(src: str, public_only: bool = True) -> str:
+    return f"""(SELECT repo_id, path, CAST(ln AS INTEGER) AS line, type, name FROM (
+  SELECT repo_id, path, ln, {d_symbol_case('ext', 'line', 'type')} AS type, {d_symbol_case('ext', 'line', 'name')} AS name
+  FROM (SELECT repo_id, path, ext, unnest(lst) AS line, unnest(generate_series(1, len(lst))) AS ln
+        FROM (SELECT repo_id, path, {d_sfx('path')} AS ext, {d_lines('content')} AS lst FROM {src} s0
+              WHERE {d_sfx('path')} IN {d_list(dims.symbol_extensions())}) s1) s2) s3
+  WHERE type IS NOT NULL {"AND NOT starts_with(name, '_')" if public_only else ''})"""
+
+
+def ranked_sql(src: str, chat: str | None) -> str:
+    if chat is None:
+        return f"(SELECT *, false AS name_match, {d_weight('type')} AS weight FROM {tags_sql(src)} t)"
+    st = f"(SELECT DISTINCT repo_id, lower({d_stem('path')}) AS s FROM {chat} c)"
+    return f"""(SELECT t.*, (EXISTS (SELECT 1 FROM {st} x WHERE x.repo_id = t.repo_id AND x.s = lower(t.name))
+     OR EXISTS (SELECT 1 FROM {st} y WHERE y.repo_id = t.repo_id AND y.s = lower({d_stem('t.path')}))) AS name_match,
+   {d_weight('t.type')} AS weight FROM {tags_sql(src)} t)"""
+
+
+def blocks_sql(src: str, chat: str | None) -> str:
+    return f"""(SELECT repo_id, path, min(CASE WHEN name_match THEN 0 ELSE 1 END) AS k1,
+   min(CASE WHEN name_match THEN 0 ELSE 1 END * 100 - weight) AS k12,
+   length(path) + sum(length(type) + length(name) + 4) AS chars,
+   path || chr(10) || string_agg('  ' || type || ' ' || name || ':', chr(10)
+       ORDER BY CASE WHEN name_match THEN 0 ELSE 1 END, -weight, line) AS block
+ FROM {ranked_sql(src, chat)} r GROUP BY repo_id, path)"""
+
+
+def budget_sql(src: str, chat: str | None, tokens: int = dims.REPO_MAP_TOKENS) -> str:
+    b = tokens * dims.CHARS_PER_MAP_TOKEN
+    return f"""(SELECT * FROM (SELECT *, sum(chars) OVER (PARTITION BY repo_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum_chars,
+     coalesce(sum(chars) OVER (PARTITION BY repo_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+   FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY k12, path) AS pos FROM {blocks_sql(src, chat)} b) r) x
+ WHERE before <= {b})"""
+
+
+def map_sql(src: str, chat: str | None, tokens: int = dims.REPO_MAP_TOKENS) -> str:
+    b = tokens * dims.CHARS_PER_MAP_TOKEN
+    return f"""SELECT r.repo_id, CAST(coalesce(m.n_files, 0) AS BIGINT) AS n_files, coalesce(m.repo_map, '') AS repo_map
+FROM (SELECT DISTINCT repo_id FROM {src} s) r LEFT JOIN (
+  SELECT repo_id, count(*) AS n_files, '```' || chr(10) || 'Repo map:' || chr(10) || string_agg(block, chr(10) ORDER BY pos)
+    || CASE WHEN max(cum_chars) > {b} THEN chr(10) || '  ... (truncated)' ELSE '' END || chr(10) || '```' AS repo_map
+  FROM {budget_sql(src if chat is None else f"(SELECT * FROM {src} q WHERE NOT EXISTS (SELECT 1 FROM {chat} c WHERE c.repo_id = q.repo_id AND c.path = q.path))", chat, tokens)} k
+  GROUP BY repo_id) m ON m.repo_id = r.repo_id"""
+
+
+# ---------------------------------------------------------------- scans and filters
+@query("scan_repo_files", ["v_tree"], sql=f"SELECT repo_id, path FROM {SCANNED} s")
+def q_scan(spark):
+    """scan_repo_files: tree minus built-in ignores, text extensions only."""
+    return corpus.scan_repo_files(spark.table("v_tree")).select("repo_id", "path")
+
+
+@query("filter_builtin_ignore", ["v_tree"], sql=f"""
+SELECT repo_id, path, regexp_matches(path, '{IGN}') AS ignored FROM v_tree""")
+def q_builtin_ignore(spark):
+    """which tree paths the 24 built-in ignore patterns drop."""
+    t = spark.table("v_tree")
+    return t.select("repo_id", "path", corpus.builtin_ignored(F.col("path")).alias("ignored"))
+
+
+@query("filter_text_ext", ["v_tree"], sql=f"""
+SELECT repo_id, path, {d_sfx('path')} AS ext, {d_sfx('path')} IN {TEXT_EXT} AS is_text_ext FROM v_tree""")
+def q_text_ext(spark):
+    """F3 + S4: lower-cased suffix and the text-extension test."""
+    t = spark.table("v_tree")
+    return t.select("repo_id", "path", suffix_lower(F.col("path")).alias("ext"),
+                    corpus.is_text_ext(F.col("path")).alias("is_text_ext"))
+
+
+def _lang_sql(p: str, special: bool) -> str:
+    whens = " ".join(f"WHEN {d_sfx(p)} = '{e}' THEN '{lang}'" for e, lang in dims.EXT_TO_LANG)
+    sp = " ".join(f"WHEN lower({d_name(p)}) = '{n}' THEN '{lang}'" for n, lang in dims.SPECIAL_NAMES) if special else ""
+    return f"(CASE {sp} {whens} ELSE '' END)"
+
+
+@query("detect_language", ["v_tree"], sql=f"""
+SELECT repo_id, path, {_lang_sql('path', True)} AS language, {_lang_sql('path', False)} AS ext_language FROM v_tree""")
+def q_detect_language(spark):
+    """J-3: language by special basename then extension; and the extension-only helper."""
+    t = spark.table("v_tree")
+    return t.select("repo_id", "path", corpus.detect_language(F.col("path")).alias("language"),
+                    corpus.file_language(F.col("path")).alias("ext_language"))
+
+
+@query("path_parts", ["v_tree"], sql=f"""
+SELECT repo_id, path, {d_name('path')} AS name, {d_stem('path')} AS stem, {d_sfx('path')} AS suffix FROM v_tree""")
+def q_path_parts(spark):
+    """Basename, stem and lower-cased suffix of every tree path."""
+    t = spark.table("v_tree")
+    return t.select("repo_id", "path", basename(F.col("path")).alias("name"), stem(F.col("path")).alias("stem"),
+                    suffix_lower(F.col("path")).alias("suffix"))
+
+
+def _raw(spark):
+    """Tree rows as raw bytes: some files carry a NUL (binary marker) at the end."""
+    t = spark.table("v_tree")
+    b = F.encode("content", "UTF-8")
+    return t.select("repo_id", "path", "doc_id",
+                    F.when(F.col("doc_id") % 5 == 0, F.concat(b, F.lit(bytearray(b"\x00")))).otherwise(b)
+                    .alias("bytes"))
+
+
+_RAW_SQL = """(SELECT repo_id, path, doc_id, CASE WHEN doc_id % 5 = 0 THEN encode(content) || '\\x00'::BLOB
+  ELSE encode(content) END AS bytes FROM v_tree)"""
+
+
+@query("is_text", ["v_tree"], sql=f"""
+SELECT repo_id, path, {d_sfx('path')} NOT IN {d_list(dims.BINARY_EXTENSIONS)}
+  AND NOT list_contains(regexp_extract_all(substring(hex(bytes), 1, 16384), '..'), '00') AS is_text FROM {_RAW_SQL} r""")
+def q_is_text(spark):
+    """binary extension or a NUL in the first 8192 bytes means not text."""
+    r = _raw(spark)
+    return r.select("repo_id", "path", corpus.is_text(F.col("path"), F.col("bytes")).alias("is_text"))
+
+
+_FIND_INC = ["*.py", "*.go", "*.PY"]
+_FIND_IGN = ["*/doc_1*", "node_modules"]
+
+
+def _fn_sql(p: str, pats, col: str) -> str:
+    return " OR ".join(f"regexp_matches({col}, '{fnmatch_regex(x)}')" for x in pats) if pats else "false"
+
+
+@query("find_files", ["v_tree"], sql=f"""
+SELECT repo_id, path FROM (SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS rn
+  FROM v_tree WHERE NOT ({_fn_sql('', _FIND_IGN, 'path')}) AND NOT ({_fn_sql('', _FIND_IGN, d_name('path'))})
+    AND ({_fn_sql('', _FIND_INC, d_name('path'))})) x WHERE rn <= 1000""")
+def q_find_files(spark):
+    """find_files: include globs on the basename, ignore globs on path or basename, 1000 per repo."""
+    return corpus.find_files(spark.table("v_tree"), _FIND_INC, _FIND_IGN).select("repo_id", "path")
+
+
+@query("find_text_files_top10", ["v_tree"], sql=f"""
+SELECT repo_id, path FROM (SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS rn
+  FROM {_RAW_SQL} r WHERE NOT ({_fn_sql('', ['*.min.js'], 'path')}) AND NOT ({_fn_sql('', ['*.min.js'], d_name('path'))})
+    AND {d_sfx('path')} NOT IN {d_list(dims.BINARY_EXTENSIONS)} AND NOT list_contains(regexp_extract_all(substring(hex(bytes), 1, 16384), '..'), '00')) x
+WHERE rn <= 10""")
+def q_find_text_files(spark):
+    """find_files without include globs: text files only, first 10 per repo by path."""
+    r = _raw(spark).withColumnRenamed("bytes", "content")
+    return corpus.find_files(r, None, ["*.min.js"], max_files=10).select("repo_id", "path")
+
+
+def _gitignore_regex_values() -> str:
+    rows = []
+    for i, r in enumerate(_GITIGNORE_RULES):
+        t = gitwildmatch_regex(r)
+        if t:
+            rows.append(f"({i + 1}, '{t[0]}', {str(t[1]).lower()})")
+    return "(VALUES " + ", ".join(rows) + ") t(rule_no, regex, negate)"
+
+
+@query("filter_repo_ignore", ["v_files", "v_gitignore"], sql=f"""
+WITH rx AS (SELECT g.repo_id, g.rule_no, t.regex, t.negate FROM v_gitignore g JOIN {_gitignore_regex_values()}
+            ON t.rule_no = g.rule_no),
+     ex AS (SELECT f.repo_id, f.path, arg_max(rx.negate, rx.rule_no) AS neg FROM v_files f
+            JOIN rx ON rx.repo_id = f.repo_id AND regexp_matches(f.path, rx.regex) GROUP BY f.repo_id, f.path)
+SELECT f.repo_id, f.path FROM v_files f
+WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.repo_id = f.repo_id AND ex.path = f.path AND NOT ex.neg)""")
+def q_repo_ignore(spark):
+    """each repo's root .gitignore, last matching rule wins ('!' re-includes)."""
+    return corpus.filter_repo_ignore(spark.table("v_files").select("repo_id", "path"),
+                                     spark.table("v_gitignore")).select("repo_id", "path")
+
+
+def _glob_rx_sql(p: str) -> str:
+    """DuckDB spelling of glob -> regex for the fixture's patterns (no brackets,
+    no dot-files in the fixture, so no hidden-file guard is needed)."""
+    e = f"replace(replace({p}, '.', '\\.'), '?', '[^/]')"
+    e = f"replace(replace({e}, '**/', chr(1)), '*', '[^/]*')"
+    return f"'^' || replace({e}, chr(1), '(?:[^/]+/)*') || '$'"
+
+
+@query("glob_add", ["v_add_requests", "v_files"], sql=f"""
+WITH q AS (SELECT conv_id, repo_id, pattern, {_glob_rx_sql('pattern')} AS rx FROM v_add_requests),
+hits AS (SELECT q.conv_id, q.pattern, f.path FROM q JOIN v_files f ON f.repo_id = q.repo_id AND regexp_matches(f.path, q.rx)),
+missed AS (SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.conv_id = q.conv_id AND h.pattern = q.pattern))
+SELECT conv_id, pattern, path, 'added' AS status FROM hits
+UNION ALL
+SELECT m.conv_id, m.pattern, f.path, CASE WHEN f.path IS NULL THEN 'not_found' ELSE 'added' END
+FROM missed m LEFT JOIN v_files f ON f.repo_id = m.repo_id AND f.path = m.pattern""")
+def q_glob_add(spark):
+    """/add globs per session (recursive '**'), literal fallback, misses reported."""
+    return corpus.glob_add(spark.table("v_add_requests"), spark.table("v_files")).select(
+        "conv_id", "pattern", "path", "status")
+
+
+# ---------------------------------------------------------------- symbols
+@query("extract_symbols", ["v_files"], sql=f"SELECT * FROM {tags_sql('v_files', public_only=False)} t")
+def q_extract_symbols(spark):
+    """Every first-match symbol line of every code file (private ones included)."""
+    return corpus.extract_symbols(spark.table("v_files"), public_only=False)
+
+
+@query("public_symbols", ["v_files"], sql=f"SELECT * FROM {tags_sql('v_files')} t")
+def q_public_symbols(spark):
+    """symbols after dropping names that start with '_' (a private hit still consumes its line)."""
+    return corpus.extract_symbols(spark.table("v_files"))
+
+
+@query("split_lines", ["v_files"], sql=f"""
+SELECT path, CAST(len({d_lines('content')}) AS INTEGER) AS n_lines, {d_lines('content')}[1] AS first_line FROM v_files""")
+def q_split_lines(spark):
+    """Line kernel: Python splitlines() parity (count and first line)."""
+    f = spark.table("v_files").withColumn("_l", split_lines(F.col("content")))
+    return f.select("path", F.size("_l").alias("n_lines"), F.element_at("_l", 1).alias("first_line"))
+
+
+@query("exclude_chat_files", ["v_files", "v_chat_files"], sql="""
+SELECT repo_id, path FROM v_files f WHERE NOT EXISTS (
+  SELECT 1 FROM v_chat_files c WHERE c.repo_id = f.repo_id AND c.path = f.path)""")
+def q_exclude_chat(spark):
+    """J-1: repo files not attached to any chat (left anti on repo_id, path)."""
+    return corpus.exclude_chat_files(spark.table("v_files"), spark.table("v_chat_files")).select("repo_id", "path")
+
+
+@query("rank_tags", ["v_files", "v_chat_files"], sql=f"""
+SELECT repo_id, path, line, type, name, weight, name_match FROM {ranked_sql('v_files', 'v_chat_files')} r""")
+def q_rank_tags(spark):
+    """K1: tag sort key against the chat-file stems of the same repo."""
+    tags = corpus.extract_symbols(spark.table("v_files"))
+    cf = spark.table("v_chat_files")
+    stems = cf.select("repo_id", stem(F.col("path")).alias("stem"))
+    return repomap.rank_tags(tags, stems).select("repo_id", "path", "line", "type", "name", "weight", "name_match")
+
+
+@query("tags_by_file", ["v_files"], sql=f"SELECT repo_id, path, chars, block FROM {blocks_sql('v_files', None)} b")
+def q_tags_by_file(spark):
+    """A4: per-file rendered tag block and its character count."""
+    tags = corpus.extract_symbols(spark.table("v_files"))
+    return repomap.file_blocks(repomap.rank_tags(tags)).select("repo_id", "path", "chars", "block")
+
+
+@query("map_budget", ["v_files"], sql=f"""
+SELECT repo_id, path, CAST(pos AS INTEGER) AS pos, cum_chars FROM {budget_sql('v_files', None)} k""")
+def q_map_budget(spark):
+    """Files kept by the 2048-token (x3 chars) budget, overflowing file included."""
+    tags = corpus.extract_symbols(spark.table("v_files"))
+    kept = repomap.map_budget(repomap.file_blocks(repomap.rank_tags(tags)))
+    return kept.select("repo_id", "path", "pos", "cum_chars")
+
+
+@query("repo_map", ["v_tree"], sql=map_sql(SCANNED, None))
+def q_repo_map(spark):
+    """K2 (flagship): ranked, budgeted repo map of every repo in the tree."""
+    return repomap.repo_map(spark.table("v_tree"))
+
+
+@query("repo_map_small_budget", ["v_tree"], sql=map_sql(SCANNED, None, 64))
+def q_repo_map_small(spark):
+    """K2 with a 64-token budget, so truncation is exercised on every repo."""
+    return repomap.repo_map(spark.table("v_tree"), 64)
+
+
+@query("repo_map_with_chat", ["v_files", "v_chat_files"], sql=map_sql(
+    f"(SELECT * FROM v_files WHERE NOT regexp_matches(path, '{IGN}') AND {d_sfx('path')} IN {TEXT_EXT})",
+    "v_chat_files"))
+def q_repo_map_chat(spark):
+    """K2 with chat context: chat files excluded, names matching chat stems ranked first."""
+    return repomap.repo_map(spark.table("v_files"), chat_files=spark.table("v_chat_files"))

@@ -1 +1,168 @@
-"""Queries (filled in below)."""
+"""Edit extraction and application queries (E-1..E-9, S5-S7, create_only)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codecorpus.functions.patterns import LINE_BREAK, LINE_TERM_CLASS, SPACE_BODY, py_regex
+from codecorpus.functions.text import lines_keepends, looks_like_path, normalise_ws, replace_first
+from codecorpus.operators import edits
+from codecorpus.plans.registry import query
+
+_LT = LINE_TERM_CLASS[1:-1]
+_KEEP = "[^" + _LT + "]*" + LINE_BREAK + "|[^" + _LT + "]+"
+_PATH_RX = py_regex(r"^[\w./\\-]+\.\w{1,10}$")
+
+
+def d_path_candidate(line: str) -> str:
+    """DuckDB spelling of the editblock filename test on one line."""
+    t = (f"regexp_replace(rtrim(regexp_replace({line}, '^[{SPACE_BODY}]+|[{SPACE_BODY}]+$', '', 'g'), ':'), "
+         f"'^[`''\"]+|[`''\"]+$', '', 'g')")
+    return (f"(CASE WHEN {t} <> '' AND NOT contains({t}, ' ') AND contains({t}, '.') "
+            f"AND regexp_matches({t}, '{_PATH_RX}') THEN {t} END)")
+
+
+# well-formed SEARCH/REPLACE parse in SQL: explode lines, carry the last
+# filename line forward, and cut each block at the next divider / end marker
+_EB_SQL = f"""
+WITH r AS (SELECT response_id, format, response FROM v_responses WHERE format = 'editblock'),
+l AS (SELECT response_id, format, unnest(regexp_extract_all(response, '{_KEEP}')) AS line,
+             unnest(generate_series(1, len(regexp_extract_all(response, '{_KEEP}')))) AS ln FROM r),
+k AS (SELECT *, contains(line, '<<<<<<< SEARCH') AS is_s, contains(line, '=======') AS is_d,
+             contains(line, '>>>>>>> REPLACE') AS is_r, {d_path_candidate('line')} AS fname FROM l),
+s AS (SELECT k.response_id, k.format, k.ln AS s_ln,
+        (SELECT max_by(x.fname, x.ln) FROM k x WHERE x.response_id = k.response_id AND x.ln < k.ln
+           AND x.fname IS NOT NULL AND NOT x.is_s) AS path,
+        coalesce((SELECT min(x.ln) FROM k x WHERE x.response_id = k.response_id AND x.ln > k.ln AND x.is_d), 1000000000) AS d_ln
+      FROM k WHERE k.is_s),
+b AS (SELECT s.*, coalesce((SELECT min(x.ln) FROM k x WHERE x.response_id = s.response_id AND x.ln > s.d_ln AND x.is_r),
+        1000000000) AS r_ln FROM s)
+SELECT b.response_id, CAST(row_number() OVER (PARTITION BY b.response_id ORDER BY b.s_ln) - 1 AS INTEGER) AS block_no,
+  b.format, b.path,
+  coalesce((SELECT string_agg(x.line, '' ORDER BY x.ln) FROM k x WHERE x.response_id = b.response_id
+            AND x.ln > b.s_ln AND x.ln < b.d_ln), '') AS original,
+  coalesce((SELECT string_agg(x.line, '' ORDER BY x.ln) FROM k x WHERE x.response_id = b.response_id
+            AND x.ln > b.d_ln AND x.ln < b.r_ln), '') AS updated
+FROM b WHERE b.path IS NOT NULL"""
+
+
+@query("parse_editblocks", ["v_responses"], sql=f"""
+SELECT response_id, block_no, format, path, original, updated,
+  regexp_replace(original, '^[{SPACE_BODY}]+|[{SPACE_BODY}]+$', '', 'g') = '' AS is_new_file
+FROM ({_EB_SQL}) e""")
+def q_parse_editblocks(spark):
+    """E-1: SEARCH/REPLACE blocks of every editblock reply."""
+    r = spark.table("v_responses").filter(F.col("format") == "editblock")
+    return edits.parse_editblocks(r)
+
+
+@query("parse_whole", ["v_responses"])
+def q_parse_whole(spark):
+    """E-2: whole-file blocks of every 'whole' reply (Python parse; rows-only check)."""
+    return edits.parse_whole(spark.table("v_responses").filter(F.col("format") == "whole"))
+
+
+_DUCK_DIFF_HEADER = "(?m)" + py_regex(r"^--- (?:a/)?(.+?)\s*\n\+\+\+ (?:b/)?(.+?)\s*$")
+
+
+@query("parse_udiffs", ["v_responses"], sql=f"""
+WITH d AS (SELECT response_id, format, unnest(regexp_extract_all(response, '(?s)```diff\\n(.*?)```', 1)) AS diff,
+                  unnest(generate_series(1, len(regexp_extract_all(response, '(?s)```diff\\n(.*?)```', 1)))) AS n
+           FROM v_responses WHERE format = 'udiff')
+SELECT response_id, CAST(row_number() OVER (PARTITION BY response_id ORDER BY n) - 1 AS INTEGER) AS block_no, format,
+  regexp_replace(regexp_extract(diff, '{_DUCK_DIFF_HEADER}', 2), '^[{SPACE_BODY}]+|[{SPACE_BODY}]+$', '', 'g') AS path,
+  diff AS original, '' AS updated, false AS is_new_file
+FROM d WHERE regexp_matches(diff, '{_DUCK_DIFF_HEADER}')""")
+def q_parse_udiffs(spark):
+    """E-3: diff fences of every udiff reply; the '+++' header names the file."""
+    return edits.parse_udiffs(spark.table("v_responses").filter(F.col("format") == "udiff"))
+
+
+@query("dispatch_format", ["v_responses"])
+def q_dispatch(spark):
+    """E-8: every reply routed to its format's parser (architect -> editblock)."""
+    return edits.dispatch_format(spark.table("v_responses"))
+
+
+def _outcomes(spark):
+    parsed = edits.dispatch_format(spark.table("v_responses"))
+    return edits.apply_edits(spark.table("v_files"), parsed)
+
+
+@query("apply_edits", ["v_responses", "v_files"])
+def q_apply_edits(spark):
+    """E-4/E-5/E-6: ordered per-file fold of all parsed edits (status per edit, final content hash)."""
+    o = _outcomes(spark)
+    return o.select("path", "response_id", "block_no", "format", "status", "changed",
+                    F.when(F.col("final"), F.md5("content")).alias("final_md5"))
+
+
+@query("edit_outcomes", ["v_responses", "v_files"])
+def q_edit_outcomes(spark):
+    """E-9: edit counts per format and status, distinct paths touched."""
+    return edits.edit_outcomes(_outcomes(spark))
+
+
+_WHOLE_SQL = f"""(SELECT response_id, 0 AS block_no,
+   regexp_extract(response, '^```[\\p{{L}}\\p{{N}}_]*[{SPACE_BODY}]*\\n#[{SPACE_BODY}]*([^\\n]+?\\.[\\p{{L}}\\p{{N}}_]+)[{SPACE_BODY}]*\\n', 1) AS path,
+   regexp_extract(response, '(?s)^```[^\\n]*\\n#[^\\n]*\\n(.*?)```', 1) AS updated
+ FROM v_responses WHERE format = 'whole')"""
+
+
+@query("apply_whole", ["v_responses", "v_files"], sql=f"""
+WITH w AS {_WHOLE_SQL},
+last AS (SELECT path, arg_max(updated, response_id * 1000 + block_no) AS new_content FROM w GROUP BY path)
+SELECT coalesce(f.path, last.path) AS path, md5(coalesce(last.new_content, f.content)) AS content_md5,
+  CASE WHEN last.new_content IS NULL THEN 'kept' WHEN f.content IS NULL THEN 'created' ELSE 'updated' END AS status
+FROM v_files f FULL OUTER JOIN last ON last.path = f.path""")
+def q_apply_whole(spark):
+    """E-7: the file table after whole-file writes (last write per path wins)."""
+    w = edits.parse_whole(spark.table("v_responses").filter(F.col("format") == "whole"))
+    out = edits.apply_whole(spark.table("v_files"), w)
+    return out.select("path", F.md5("content").alias("content_md5"), "status")
+
+
+@query("create_only", ["v_responses", "v_files"], sql=f"""
+WITH w AS {_WHOLE_SQL}
+SELECT response_id, path, CASE WHEN EXISTS (SELECT 1 FROM v_files f WHERE f.path = w.path) THEN 'exists'
+  ELSE 'created' END AS status FROM w""")
+def q_create_only(spark):
+    """create_only: whole-file writes treated as creates; existing paths are rejected."""
+    w = edits.parse_whole(spark.table("v_responses").filter(F.col("format") == "whole"))
+    return edits.create_only(spark.table("v_files"), w.select("response_id", "path")).select(
+        "response_id", "path", "status")
+
+
+@query("replace_first", [], sql="""
+SELECT doc_id, CASE WHEN position(' the ' IN text) > 0 THEN
+  substring(text, 1, position(' the ' IN text) - 1) || ' THE ' || substring(text, position(' the ' IN text) + 5)
+  END AS replaced FROM documents""")
+def q_replace_first(spark):
+    """Literal first-occurrence replace over every document (NULL when absent)."""
+    d = spark.table("documents")
+    return d.select("doc_id", replace_first(F.col("text"), F.lit(" the "), F.lit(" THE ")).alias("replaced"))
+
+
+@query("normalise_ws", [], sql=f"""
+SELECT doc_id, regexp_replace(regexp_replace(text, '^[{SPACE_BODY}]+|[{SPACE_BODY}]+$', '', 'g'), '[ \\t]+', ' ', 'g')
+  AS normalised FROM documents""")
+def q_normalise_ws(spark):
+    """Python strip + collapse of space/tab runs, over every document."""
+    d = spark.table("documents")
+    return d.select("doc_id", normalise_ws(F.col("text")).alias("normalised"))
+
+
+@query("looks_like_path", ["v_responses"], sql=f"""
+SELECT response_id, ln, fname FROM (
+  SELECT response_id, unnest(regexp_extract_all(response, '{_KEEP}')) AS line,
+         unnest(generate_series(1, len(regexp_extract_all(response, '{_KEEP}')))) AS ln FROM v_responses) l,
+  LATERAL (SELECT {d_path_candidate('l.line')} AS fname) c
+WHERE fname IS NOT NULL""")
+def q_looks_like_path(spark):
+    """Reply lines that name a file (cleaned path), over every reply line."""
+    r = spark.table("v_responses")
+    lines = r.select("response_id", F.posexplode(lines_keepends(F.col("response"))).alias("_p", "line"))
+    from codecorpus.functions.text import strip_py
+    cand = looks_like_path(F.regexp_replace(strip_py(F.col("line")), ":+$", ""))
+    return (lines.select("response_id", (F.col("_p") + 1).cast("long").alias("ln"), cand.alias("fname"))
+            .filter(F.col("fname").isNotNull()))

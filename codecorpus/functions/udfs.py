@@ -21,3 +21,33 @@ def gitignore_to_regex(s: pd.Series) -> pd.DataFrame:
 @pandas_udf("string")
 def glob_to_regex(s: pd.Series) -> pd.Series:
     return s.map(lambda p: glob_regex(p) if p is not None else None)
+
+
+_PLAN_TYPE = "array<struct<agent:string, has_agent:boolean, task:string, has_task:boolean>>"
+
+
+@pandas_udf(_PLAN_TYPE)
+def strict_plan_json(s: pd.Series) -> pd.Series:
+    """Planner output -> steps. Strict JSON (the first '[' .. last ']');
+    a parse failure or no brackets gives an empty list."""
+    import json
+
+    def one(text):
+        if text is None:
+            return []
+        a, b = text.find("["), text.rfind("]") + 1
+        if a == -1 or b <= a:
+            return []
+        try:
+            val = json.loads(text[a:b])
+        except ValueError:
+            return []
+        out = []
+        for el in val if isinstance(val, list) else []:
+            if not isinstance(el, dict):
+                continue
+            ag, tk = el.get("agent"), el.get("task")
+            out.append({"agent": None if ag is None else str(ag), "has_agent": "agent" in el,
+                        "task": None if tk is None else str(tk), "has_task": "task" in el})
+        return out
+    return s.map(one)

@@ -7,11 +7,13 @@ Plan (two levels, content never shuffled):
    character count and the file's rendered block. One shuffle of narrow
    tag rows with partial aggregation.
 3. Per repo, files in rank order with a running character sum. Only the
-   first ``budget // 5 + 1`` files of a repo can ever be printed (each
-   printed file costs at least 5 characters), so a ``row_number`` group
-   limit -- applied by Spark on the map side before the shuffle -- bounds
-   the per-repo window exactly, even for a monorepo that holds a third of
-   all files.
+   first ``budget // 8 + 1`` files of a repo can ever be printed (each
+   printed file costs at least 8 characters: a path of >= 1 plus one tag
+   line ``type name`` + 4 with the shortest type "fn"), so a
+   ``row_number`` group limit -- applied by Spark on the map side before
+   the shuffle (``WindowGroupLimit``, default threshold 1000) -- bounds the
+   per-repo window exactly, even for a monorepo that holds a third of all
+   files.
 4. ``groupBy(repo_id)`` over at most that many files to build the text.
 """
 
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from codecorpus import dims
 from codecorpus.functions.text import stem
 
-MIN_FILE_CHARS = 5   # len(path) >= 1 plus one tag line: len(type)+len(name)+4 >= 4
+# len(path) >= 1 plus one tag line: len(type) + len(name) + 4 >= 2 + 1 + 4
+MIN_FILE_CHARS = 1 + min(len(t) for rules in dims.SYMBOL_RULES.values() for t, _ in rules) + 1 + 4
 HEADER = "```\nRepo map:"
 FOOTER = "```"
 TRUNCATED = "  ... (truncated)"

@@ -173,8 +173,7 @@ def context_limit_flag(messages: DataFrame, sessions: DataFrame, files: DataFram
     ``history`` earlier messages + tokens(current message). The running
     history sum is a bounded ROWS frame, no self-join.
     """
-    sys_tok = (files_section(files, chat_files)
-               .select("conv_id", count_tokens("files_section").alias("system_tokens")))
+    sys_tok = files_section_tokens(files, chat_files)
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-history, -1)
     m = (messages.withColumn("tok", count_tokens("content"))
          .withColumn("history_tokens", F.coalesce(F.sum("tok").over(w), F.lit(0)))
@@ -188,6 +187,23 @@ def context_limit_flag(messages: DataFrame, sessions: DataFrame, files: DataFram
             .withColumn("over_limit", F.col("estimated_tokens") > F.col("context_window") * dims.CONTEXT_WARN_RATIO))
 
 
+def files_section_tokens(files: DataFrame, chat_files: DataFrame) -> DataFrame:
+    """Tokens of the A6 files section without building it: its length is
+    sum(len(part)) + 2 * (n - 1), and each part's length is computed from
+    the file's content length map-side, so no content is shuffled."""
+    from codecorpus.operators.corpus import detect_language
+    cf = dedupe_files(chat_files).select("conv_id", "repo_id", "path", "read_only")
+    f = files.select("repo_id", "path", F.length("content").alias("_clen"))
+    part_len = (F.lit(len("### ")) + F.length("path")
+                + F.when(F.col("read_only"), F.lit(len(" (read-only)"))).otherwise(F.lit(0))
+                + F.lit(len("\n```")) + F.length(detect_language(F.col("path"))) + F.lit(1)
+                + F.col("_clen") + F.lit(len("\n```")))
+    per = (cf.join(f, ["repo_id", "path"]).groupBy("conv_id")
+           .agg(F.sum(part_len).alias("_len"), F.count(F.lit(1)).alias("_n")))
+    total = F.col("_len") + 2 * (F.col("_n") - 1)
+    return per.select("conv_id", F.greatest(F.lit(1), F.floor(total / 4)).cast("long").alias("system_tokens"))
+
+
 def _placeholder_tokens() -> int:
     return max(1, len(_FILES_PLACEHOLDER) // 4)
 

@@ -151,19 +151,27 @@ def glob_add(requests: DataFrame, files: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Symbol extraction
 # ---------------------------------------------------------------------------
-def _symbol_case(ext: Column, line: Column) -> Column:
-    """Ordered first-match rules as one CASE; each branch yields (type, name)."""
-    out = None
+def _rule_table():
+    """Flattened rules: 1-based rule number -> (extensions, type, Java regex)."""
+    out = []
     for e in dims.SYMBOL_RULES:
         exts = [e] + [a for a, b in dims.RULE_ALIASES.items() if b == e]
         for typ, rx in dims.SYMBOL_RULES[e]:
-            jr = py_regex(rx)
-            cond = ext.isin(exts) & line.rlike(jr)
-            val = F.struct(F.lit(typ).alias("type"), F.regexp_extract(line, jr, 1).alias("name"))
-            out = F.when(cond, val) if out is None else out.when(cond, val)
+            out.append((exts, typ, py_regex(rx)))
     return out
 
 
+def _rule_number(ext: Column, line: Column) -> Column:
+    """Ordered first-match rules as one CASE yielding the 1-based rule number
+    (0 = no rule). Branches stay small, so the generated code stays well under
+    the JVM's 64 KB method limit and whole-stage codegen is kept."""
+    out = None
+    for i, (exts, _, jr) in enumerate(_rule_table(), start=1):
+        cond = ext.isin(exts) & line.rlike(jr)
+        out = F.when(cond, F.lit(i)) if out is None else out.when(cond, F.lit(i))
+    return F.coalesce(out, F.lit(0))
+
+
 def extract_symbols(files: DataFrame, public_only: bool = True) -> DataFrame:
     """S1 (+F7): one row per symbol line ``(repo_id, path, line, type, name)``.
 
@@ -177,10 +185,16 @@ def extract_symbols(files: DataFrame, public_only: bool = True) -> DataFrame:
          .filter(F.col("_ext").isin(dims.symbol_extensions())))
     lines = f.select("repo_id", "path", "_ext",
                      F.posexplode(split_lines(F.col("content"))).alias("_pos", "_line"))
-    tags = (lines.withColumn("_tag", _symbol_case(F.col("_ext"), F.col("_line")))
-            .filter(F.col("_tag").isNotNull())
+    rules = _rule_table()
+    types = F.array(*[F.lit(t) for _, t, _ in rules])
+    regexes = F.array(*[F.lit(r) for _, _, r in rules])
+    # the name is extracted once, with the winning rule's pattern, on matching lines only
+    tags = (lines.withColumn("_rule", _rule_number(F.col("_ext"), F.col("_line")))
+            .filter(F.col("_rule") > 0)
             .select("repo_id", "path", (F.col("_pos") + 1).cast("int").alias("line"),
-                    F.col("_tag.type").alias("type"), F.col("_tag.name").alias("name")))
+                    F.element_at(types, F.col("_rule")).alias("type"),
+                    F.call_function("regexp_extract", F.col("_line"), F.element_at(regexes, F.col("_rule")),
+                                    F.lit(1)).alias("name")))
     if public_only:
         tags = tags.filter(~F.col("name").startswith("_"))
     return tags

@@ -245,3 +245,28 @@ def message_json(messages: DataFrame) -> DataFrame:
     has = F.coalesce(F.size("images"), F.lit(0)) > 0
     return messages.select("conv_id", "turn", F.size(imgs).alias("n_images"),
                            F.when(has, with_img).otherwise(plain).alias("message_json"))
+
+
+def drop_files(chat_files: DataFrame, drops: DataFrame) -> DataFrame:
+    """J-4: a drop request removes only the first file (add order) of its
+    session whose path equals the request or whose basename equals the
+    request's basename.
+
+    The OR predicate is planned as two equi-joins (on path, on basename)
+    unioned -- never a nested-loop join -- then the first candidate per
+    request wins and is removed with a left anti join.
+    """
+    from codecorpus.functions.text import basename
+    cf = chat_files.select("conv_id", "repo_id", "path", "seq",
+                           basename(F.col("path")).alias("_name")).alias("c")
+    d = drops.select("conv_id", "drop_id", "drop_path", basename(F.col("drop_path")).alias("_dname")).alias("d")
+    cols = [F.col("d.conv_id"), F.col("d.drop_id"), F.col("c.repo_id"), F.col("c.path"), F.col("c.seq")]
+    by_path = d.join(cf, (F.col("d.conv_id") == F.col("c.conv_id"))
+                     & (F.col("d.drop_path") == F.col("c.path"))).select(*cols)
+    by_name = d.join(cf, (F.col("d.conv_id") == F.col("c.conv_id"))
+                     & (F.col("d._dname") == F.col("c._name"))).select(*cols)
+    w = Window.partitionBy("conv_id", "drop_id").orderBy("seq", "repo_id", "path")
+    first = (by_path.unionByName(by_name).distinct()
+             .withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+             .select("conv_id", "repo_id", "path"))
+    return chat_files.join(first, ["conv_id", "repo_id", "path"], "left_anti")

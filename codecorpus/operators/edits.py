@@ -181,3 +181,27 @@ def create_only(files: DataFrame, requests: DataFrame) -> DataFrame:
     ok = requests.join(files.select("path"), "path", "left_anti").withColumn("status", F.lit("created"))
     rej = requests.join(files.select("path"), "path", "left_semi").withColumn("status", F.lit("exists"))
     return ok.unionByName(rej)
+
+
+def edits_to_files(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """J-5: route each edit by its target: new file -> create, no file ->
+    missing (rejected), otherwise apply."""
+    f = files.select("path").distinct().withColumn("_exists", F.lit(True))
+    return (edits.join(f, "path", "left")
+            .withColumn("route", F.when(F.col("is_new_file"), "create")
+                        .when(F.col("_exists").isNull(), "missing").otherwise("apply"))
+            .drop("_exists"))
+
+
+def carry_filename(responses: DataFrame) -> DataFrame:
+    """For every reply line, the last filename line seen before it
+    (native form of the editblock parser's filename tracking)."""
+    from pyspark.sql import Window
+
+    from codecorpus.functions.text import lines_keepends, looks_like_path, strip_py
+    lines = responses.select("response_id", F.posexplode(lines_keepends(F.col("response"))).alias("_p", "line"))
+    fname = F.when(~F.col("line").contains("<<<<<<< SEARCH"),
+                   looks_like_path(F.regexp_replace(strip_py(F.col("line")), ":+$", "")))
+    w = Window.partitionBy("response_id").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
+    return (lines.select("response_id", (F.col("_p") + 1).cast("long").alias("ln"), fname.alias("fname"))
+            .withColumn("current_file", F.last("fname", ignorenulls=True).over(w)))

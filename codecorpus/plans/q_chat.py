@@ -302,3 +302,42 @@ def q_assemble_chunks(spark):
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))),
                                           lambda x: x["delta"]), "").alias("text"),
                  F.count("delta").alias("n_chunks")))
+
+
+@query("drop_files", ["v_chat_files", "v_drops"], sql=f"""
+WITH cf AS {_DEDUP_SQL},
+cand AS (SELECT DISTINCT d.conv_id, d.drop_id, c.repo_id, c.path, c.seq FROM v_drops d JOIN cf c ON c.conv_id = d.conv_id
+         AND (c.path = d.drop_path OR string_split(c.path, '/')[-1] = string_split(d.drop_path, '/')[-1])),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, drop_id ORDER BY seq, repo_id, path) AS rn
+                         FROM cand) x WHERE rn = 1)
+SELECT conv_id, repo_id, path, seq FROM cf c
+WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.conv_id = c.conv_id AND f.repo_id = c.repo_id AND f.path = c.path)""")
+def q_drop_files(spark):
+    """J-4: session files left after each /drop (first match by path or basename removed)."""
+    cf = chat.dedupe_files(spark.table("v_chat_files"))
+    return chat.drop_files(cf, spark.table("v_drops")).select("conv_id", "repo_id", "path", "seq")
+
+
+_SYSTEM_HEAD = "You are an expert software engineer working in a repository.\n\n"
+
+
+@query("render_prompt", ["v_chat_files", "v_files", "conversations"])
+def q_render_prompt(spark):
+    """Per session, system prompt (repo map of its first file's repo + files
+    section + edit-format note) and the message count sent (system + last 20 + current)."""
+    from codecorpus.operators import repomap
+    cf = chat.dedupe_files(spark.table("v_chat_files"))
+    w = __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("conv_id").orderBy("seq")
+    primary = cf.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("conv_id", "repo_id")
+    maps = repomap.repo_map(spark.table("v_files"))
+    fs = chat.files_section(spark.table("v_files"), spark.table("v_chat_files"))
+    hist = chat.last_n_messages(_messages(spark), dims.HISTORY_MESSAGES).groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_history"))
+    prompt = F.concat(F.lit(_SYSTEM_HEAD),
+                      F.when(F.coalesce(F.col("repo_map"), F.lit("")) == "", F.lit("(no repo map available)"))
+                       .otherwise(F.concat(F.lit("\n"), F.col("repo_map"), F.lit("\n"))),
+                      F.lit("\n\n## Files in chat\n\n"), F.coalesce(F.col("files_section"), F.lit(chat._FILES_PLACEHOLDER)),
+                      F.lit("\n\nReply with SEARCH/REPLACE blocks."))
+    return (hist.join(primary, "conv_id", "left").join(maps, "repo_id", "left").join(fs, "conv_id", "left")
+            .select("conv_id", (F.col("n_history") + 2).alias("n_messages"),
+                    F.length(prompt).alias("prompt_chars"), count_tokens(prompt).alias("prompt_tokens")))

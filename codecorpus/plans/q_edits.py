@@ -166,3 +166,37 @@ def q_looks_like_path(spark):
     cand = looks_like_path(F.regexp_replace(strip_py(F.col("line")), ":+$", ""))
     return (lines.select("response_id", (F.col("_p") + 1).cast("long").alias("ln"), cand.alias("fname"))
             .filter(F.col("fname").isNotNull()))
+
+
+@query("edits_to_files", ["v_responses", "v_files"], sql=f"""
+SELECT e.response_id, e.block_no, e.path,
+  CASE WHEN regexp_replace(e.original, '^[{SPACE_BODY}]+|[{SPACE_BODY}]+$', '', 'g') = '' THEN 'create'
+       WHEN NOT EXISTS (SELECT 1 FROM v_files f WHERE f.path = e.path) THEN 'missing' ELSE 'apply' END AS route
+FROM ({_EB_SQL}) e""")
+def q_edits_to_files(spark):
+    """J-5: each parsed edit routed to create / missing / apply by its target file."""
+    e = edits.parse_editblocks(spark.table("v_responses").filter(F.col("format") == "editblock"))
+    return edits.edits_to_files(spark.table("v_files"), e).select("response_id", "block_no", "path", "route")
+
+
+@query("carry_filename", ["v_responses"], sql=f"""
+SELECT response_id, ln, fname, last_value(fname IGNORE NULLS) OVER (PARTITION BY response_id ORDER BY ln
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS current_file
+FROM (SELECT response_id, ln, CASE WHEN contains(line, '<<<<<<< SEARCH') THEN NULL ELSE {d_path_candidate('line')} END AS fname
+      FROM (SELECT response_id, unnest(regexp_extract_all(response, '{_KEEP}')) AS line,
+                   unnest(generate_series(1, len(regexp_extract_all(response, '{_KEEP}')))) AS ln FROM v_responses) l) x""")
+def q_carry_filename(spark):
+    """The filename in force at every reply line (last filename line before it)."""
+    return edits.carry_filename(spark.table("v_responses")).select("response_id", "ln", "fname", "current_file")
+
+
+@query("write_files", ["v_snapshot_b"], sql="SELECT repo_id, path, md5(content) AS content_md5 FROM v_snapshot_b")
+def q_write_files(spark):
+    """write_files: a snapshot written as a versioned table (partitioned by repo) and read back."""
+    import uuid
+
+    from codecorpus.session import checkpoint_path
+    from codecorpus.sources.files import read_version, write_files
+    base = checkpoint_path(spark, f"files-{uuid.uuid4().hex}")
+    write_files(spark.table("v_snapshot_b"), base, 2)
+    return read_version(spark, base, 2).select("repo_id", "path", F.md5("content").alias("content_md5"))

@@ -209,6 +209,16 @@ FROM conversations
 """)
 
 
+# v_drops: one /drop request per session: its last-added file by full path,
+# by basename under another folder, or a name that matches nothing
+_view("v_drops", """
+SELECT conv_id, 1 AS drop_id, CASE conv_id % 3 WHEN 0 THEN path WHEN 1 THEN 'elsewhere/' || split_part(path, '/', 2)
+    ELSE 'nope.py' END AS drop_path
+FROM (SELECT conv_id, path, row_number() OVER (PARTITION BY conv_id ORDER BY seq DESC) AS rn FROM v_chat_files) c
+WHERE rn = 1
+""", ["v_chat_files"])
+
+
 def _order(names: list[str]) -> list[str]:
     seen: list[str] = []
 

@@ -141,18 +141,35 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     """E-4/E-5/E-6 (+E-9 statuses): fold every path's edits in
     (response_id, block_no) order over its current content.
 
-    Only files that some edit targets are joined in (left-semi first), so the
-    shuffle carries touched files only. Output: one row per edit with its
+    Fast path: a path whose only edit is an editblock whose search text
+    occurs exactly is applied natively (``replace_first`` in the JVM). Every
+    other touched path -- several edits, fuzzy matches, creates, missing
+    files, diffs, whole writes -- is folded in Python, one group per path;
+    only touched files are shipped. Output: one row per edit with its
     status; the last row of each path carries the final content.
     """
-    e = edits.select("path", "response_id", "block_no", "format", "original", "updated")
-    touched = files.select("path", "content").join(e.select("path").distinct(), "path", "left_semi")
+    from codecorpus.functions.text import replace_first, strip_py
+    e = edits.select("path", "response_id", "block_no", "format", "original", "updated",
+                     (F.coalesce(strip_py(F.col("original")), F.lit("")) == "").alias("is_new_file"))
+    per_path = e.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
+    fc = files.select("path", "content")
+    single = (e.join(per_path.filter("_n = 1"), "path", "left_semi")
+              .filter(F.col("format").isin("editblock", "architect") & ~F.col("is_new_file"))
+              .join(fc, "path")
+              .withColumn("_new", replace_first(F.col("content"), F.col("original"), F.col("updated")))
+              .filter(F.col("_new").isNotNull()))
+    native = single.select("path", "response_id", "block_no", "format", F.lit("edited").alias("status"),
+                           (F.col("_new") != F.col("content")).alias("changed"), F.lit(True).alias("final"),
+                           F.col("_new").alias("content"))
+    rest = e.join(native.select("path"), "path", "left_anti").drop("is_new_file")
+    touched = fc.join(rest.select("path").distinct(), "path", "left_semi")
     base = touched.select("path", F.lit(None).cast("long").alias("response_id"),
                           F.lit(None).cast("int").alias("block_no"), F.lit(None).cast("string").alias("format"),
                           F.lit(None).cast("string").alias("original"), F.lit(None).cast("string").alias("updated"),
                           "content")
-    rows = e.withColumn("content", F.lit(None).cast("string")).unionByName(base)
-    return rows.groupBy("path").applyInPandas(_fold_group, OUTCOME_SCHEMA)
+    rows = rest.withColumn("content", F.lit(None).cast("string")).unionByName(base)
+    folded = rows.groupBy("path").applyInPandas(_fold_group, OUTCOME_SCHEMA)
+    return native.unionByName(folded)
 
 
 def apply_whole(files: DataFrame, edits: DataFrame) -> DataFrame:

@@ -4,16 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codecorpus.llm import rule_ensemble, toxicity_pu
+import public_tokenizers
+
+from codecorpus.llm import harmonic, line_windows, rule_ensemble, simhash_vptree, toxicity_pu
 from codecorpus.llm.common import table
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document (vantage-point trees)."""
+    return simhash_vptree.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents (non-negative PU learning)."""
     docs = table(spark, sf_dir, "documents")
     return toxicity_pu.score(docs, toxicity_pu.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 ids (harmonic classes)."""
+    return harmonic.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated three-line windows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_windows.dedup_lines(docs, counts=True)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents (sparse rule ensemble)."""
     docs = table(spark, sf_dir, "documents")
@@ -21,8 +39,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_toxicity": op2_toxicity,
+    "op7_packing": op7_packing,
+    "op8_line_dedup": op8_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": line_windows.ORACLE_SQL,
+}

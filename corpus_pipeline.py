@@ -7,9 +7,10 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codecorpus.llm import rule_ensemble, toxicity_pu
+from codecorpus.llm import harmonic, line_windows, rule_ensemble, simhash_vptree, toxicity_pu
 from codecorpus.llm.common import stored, table
 
 
@@ -23,7 +24,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity_pu.drop_toxic(docs, toxicity_pu.fit(docs, table(spark, sf_dir, "labels")))
 
 
-STAGES = [("quality", quality), ("toxicity", toxicity)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines of repeated three-line windows."""
+    return line_windows.dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group (3-word shingles, 2 bits)."""
+    return simhash_vptree.keep_one(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 ids."""
+    return harmonic.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
+          ("packing", packing)]
 
 #: Learned stages cannot be written in SQL.
 ORACLE_SQL = None

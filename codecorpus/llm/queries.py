@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from codecorpus.llm import harmonic, line_windows, rule_ensemble, simhash_vptree, toxicity_pu
+from codecorpus.llm import (harmonic, katz, line_windows, quality_gbt, rule_ensemble, simhash_vptree, suffix_pieces,
+                            toxicity_pu, wavelet)
 from codecorpus.llm.common import table
 
 
@@ -21,6 +22,24 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_pu.score(docs, toxicity_pu.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written as wavelet matrices and read back."""
+    return wavelet.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all documents by suffix-array matching, and whether decoding gives the text back."""
+    return suffix_pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, base rules and the boosted trees' verdict on all documents."""
+    docs = table(spark, sf_dir, "documents")
+    judged = quality_gbt.judge(docs, quality_gbt.fit(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "score", "kept")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids (harmonic classes)."""
     return harmonic.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -32,6 +51,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_windows.dedup_lines(docs, counts=True)
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents (Katz backoff bigrams)."""
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents (sparse rule ensemble)."""
     docs = table(spark, sf_dir, "documents")
@@ -41,8 +65,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_toxicity": op2_toxicity,
+    "op4_token_output": op4_token_output,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_quality_trees": op6_quality_trees,
     "op7_packing": op7_packing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_katz": op9_katz,
     "op10_quality_rules": op10_quality_rules,
 }
 

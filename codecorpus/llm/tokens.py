@@ -49,8 +49,6 @@ class UnitEncoder:
 
     def _learn(self, missing: set[str]) -> None:
         """Encode the units; a tail of punctuation after a Latin letter is encoded apart."""
-        if len(self.memo) + len(missing) > self.limit:
-            self.memo = {}
         split, plain = {}, set()
         for u in missing:
             head = u.rstrip(TAIL)
@@ -69,18 +67,11 @@ class UnitEncoder:
         out = []
         for at in range(0, len(texts), 256):
             cut = [self.units(t) if t else [] for t in texts[at:at + 256]]
+            if len(self.memo) > self.limit:
+                self.memo = {}
             missing = set().union(*cut).difference(self.memo)
             if missing:
                 self._learn(missing)
-                for units in cut:  # a memo that started afresh has lost units met before
-                    lost = set(units).difference(self.memo)
-                    if lost:
-                        self._learn_more(lost)
             memo = self.memo
             out += [b"".join([memo[u] for u in units]) for units in cut]
         return out
-
-    def _learn_more(self, units: set[str]) -> None:
-        limit, self.limit = self.limit, 1 << 62
-        self._learn(units)
-        self.limit = limit

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from codecorpus.llm import (harmonic, katz, line_windows, quality_gbt, rule_ensemble, simhash_vptree, suffix_pieces,
-                            toxicity_pu, wavelet)
+from codecorpus.llm import (harmonic, katz, line_windows, nn_descent, quality_gbt, rule_ensemble, simhash_vptree,
+                            suffix_pieces, toxicity_pu, wavelet)
 from codecorpus.llm.common import table
 
 
@@ -22,6 +22,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_pu.score(docs, toxicity_pu.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every 50th vector (NN-descent graph, greedy search)."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nn_descent.search(nn_descent.build(vectors), vectors.where("vec_id % 50 = 0"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written as wavelet matrices and read back."""
     return wavelet.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -65,6 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_token_output": op4_token_output,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality_trees": op6_quality_trees,

@@ -23,31 +23,23 @@ def glob_to_regex(s: pd.Series) -> pd.Series:
     return s.map(lambda p: glob_regex(p) if p is not None else None)
 
 
-_PLAN_TYPE = "array<struct<agent:string, has_agent:boolean, task:string, has_task:boolean>>"
+_STEPS = "array<struct<agent:string, has_agent:boolean, task:string, has_task:boolean>>"
 
 
-@pandas_udf(_PLAN_TYPE)
-def strict_plan_json(s: pd.Series) -> pd.Series:
-    """Planner output -> steps. Strict JSON (the first '[' .. last ']');
-    a parse failure or no brackets gives an empty list."""
+@pandas_udf(_STEPS)
+def json_steps(s: pd.Series) -> pd.Series:
+    """Objects of a strict JSON array; anything else has none (Spark's JSON parser is lenient)."""
     import json
 
-    def one(text):
-        if text is None:
-            return []
-        a, b = text.find("["), text.rfind("]") + 1
-        if a == -1 or b <= a:
-            return []
+    def parsed(text):
         try:
-            val = json.loads(text[a:b])
+            value = json.loads(text) if text is not None else None
         except ValueError:
-            return []
-        out = []
-        for el in val if isinstance(val, list) else []:
-            if not isinstance(el, dict):
-                continue
-            ag, tk = el.get("agent"), el.get("task")
-            out.append({"agent": None if ag is None else str(ag), "has_agent": "agent" in el,
-                        "task": None if tk is None else str(tk), "has_task": "task" in el})
-        return out
-    return s.map(one)
+            value = None
+        return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
+
+    def fields(x):
+        return {f: v for name in ("agent", "task")
+                for f, v in ((name, None if x.get(name) is None else str(x[name])), (f"has_{name}", name in x))}
+
+    return s.map(lambda text: [fields(x) for x in parsed(text)])

@@ -20,8 +20,10 @@ REPORT_FOOTER = "\n---\n*Generated by the codecorpus multi-agent report*"
 def parse_plan(plan_output: Column) -> Column:
     """Text from the first '[' to the last ']' parsed as strict JSON;
     anything else -> empty list. Element keys may be missing (NULL + flag)."""
-    from codecorpus.functions.udfs import strict_plan_json
-    return strict_plan_json(plan_output)
+    from codecorpus.functions.udfs import json_steps
+    first, last = F.instr(plan_output, "["), F.length(plan_output) - F.instr(F.reverse(plan_output), "]") + 1
+    found = (first > 0) & plan_output.contains("]") & (last >= first)
+    return json_steps(F.when(found, F.substring(plan_output, first, last - first + 1)))
 
 
 def plan_steps(plans: DataFrame, max_agents: int = dims.MAX_AGENT_STEPS) -> DataFrame:

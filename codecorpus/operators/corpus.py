@@ -24,15 +24,9 @@ def _lit_map(pairs) -> Column:
     return F.create_map(*[F.lit(x) for x in itertools.chain.from_iterable(pairs)])
 
 
-_LANG_MAP = None
-
-
 def file_language(path: Column) -> Column:
     """Language by extension only ('' when unknown)."""
-    global _LANG_MAP
-    if _LANG_MAP is None:
-        _LANG_MAP = dims.EXT_TO_LANG
-    return F.coalesce(F.element_at(_lit_map(_LANG_MAP), suffix_lower(path)), F.lit(""))
+    return F.coalesce(F.element_at(_lit_map(dims.EXT_TO_LANG), suffix_lower(path)), F.lit(""))
 
 
 def detect_language(path: Column) -> Column:
@@ -151,13 +145,20 @@ def glob_add(requests: DataFrame, files: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Symbol extraction
 # ---------------------------------------------------------------------------
+def _java_rule(rx: str) -> str:
+    """A rule for Java's matcher. It enters a group once a repetition, on the
+    stack, so a line of thousands of words would overflow it; words divided by
+    white space are the same as one class of both that ends in white space."""
+    return py_regex(rx.replace(r"(?:\w+\s+)+(\w+)", r"\w[\w\s]*\s(\w+)"))
+
+
 def _rule_table():
     """Flattened rules: 1-based rule number -> (extensions, type, Java regex)."""
     out = []
     for e in dims.SYMBOL_RULES:
         exts = [e] + [a for a, b in dims.RULE_ALIASES.items() if b == e]
         for typ, rx in dims.SYMBOL_RULES[e]:
-            out.append((exts, typ, py_regex(rx)))
+            out.append((exts, typ, _java_rule(rx)))
     return out
 
 

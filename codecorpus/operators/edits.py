@@ -1,210 +1,130 @@
 """Edit extraction from replies and application to versioned file tables (E-1..E-9).
 
-* Parsing is per reply and embarrassingly parallel: ``mapInPandas`` over
-  the replies table (no shuffle). Unified diffs are parsed natively with
-  ``regexp_extract_all`` + ``posexplode``.
-* Application is an ordered fold per file: edits are joined to the file
-  they target, shuffled by ``path`` and folded with ``applyInPandas``.
-  Only touched files travel to Python; untouched files never leave the JVM.
-  A hot file is a sequential chain by definition, so its group is one task
-  -- skew is per path, never per repo.
-* Whole-file writes need no fold: the last write per path wins
-  (``max_by``).
+* Parsing is per reply, in one pass over the replies and without a shuffle:
+  each format's blocks are an array expression (``functions/editexpr.py``).
+* Edits and files meet on (repo_id, path). All edits of a file are one sorted
+  array, folded over the file's content in (response_id, block_no) order by an
+  expression; files that no edit touches are not joined.
+* Whole-file writes need no fold: the last write per file wins (``max_by``).
+
+Frames without a ``repo_id`` column are taken as one unnamed repo.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from codecorpus.functions.patterns import py_regex
-
-EDIT_SCHEMA = T.StructType([
-    T.StructField("response_id", T.LongType()),
-    T.StructField("block_no", T.IntegerType()),
-    T.StructField("format", T.StringType()),
-    T.StructField("path", T.StringType()),
-    T.StructField("original", T.StringType()),
-    T.StructField("updated", T.StringType()),
-    T.StructField("is_new_file", T.BooleanType()),
-])
-
-
-def _parse_batches(it, kind):
-    import pandas as pd
-
-    from codecorpus.functions import editlib
-    for pdf in it:
-        rows = []
-        for rid, fmt, text in zip(pdf["response_id"], pdf["format"], pdf["response"]):
-            if text is None:
-                continue
-            if kind == "editblock":
-                found = [(p, o, u) for p, o, u in editlib.parse_editblocks(text)]
-            else:
-                found = [(p, "", u) for p, u in editlib.parse_whole(text)]
-            for n, (p, o, u) in enumerate(found):
-                rows.append((rid, n, fmt, p, o, u, not o.strip()))
-        cols = [f.name for f in EDIT_SCHEMA.fields]
-        out = pd.DataFrame(rows, columns=cols)
-        yield out.astype({"response_id": "int64", "block_no": "int32", "is_new_file": "bool"})
 
+from codecorpus.functions import editexpr
+from codecorpus.functions.text import strip_py
 
-def parse_editblocks(responses: DataFrame) -> DataFrame:
-    """E-1: SEARCH/REPLACE blocks of each reply (Python state machine per reply)."""
-    r = responses.select("response_id", "format", "response")
-    return r.mapInPandas(lambda it: _parse_batches(it, "editblock"), EDIT_SCHEMA)
+KEY = ["repo_id", "path"]
 
 
-def parse_whole(responses: DataFrame) -> DataFrame:
-    """E-2: whole-file fenced blocks (needs match offsets, so Python per reply)."""
-    r = responses.select("response_id", "format", "response")
-    return r.mapInPandas(lambda it: _parse_batches(it, "whole"), EDIT_SCHEMA)
+def _with_repo(df: DataFrame) -> DataFrame:
+    return df if "repo_id" in df.columns else df.withColumn("repo_id", F.lit(""))
+
+
+def _edits(responses: DataFrame, blocks: Column) -> DataFrame:
+    """One row a block; numbered within its reply."""
+    return (_with_repo(responses)
+            .select("response_id", "repo_id", "format", F.posexplode(blocks).alias("block_no", "_b"))
+            .select(F.col("response_id").cast("long").alias("response_id"), F.col("block_no").cast("int").alias("block_no"),
+                    "format", "repo_id", "_b.path", "_b.original", "_b.updated",
+                    ((strip_py(F.col("_b.original")) == "") & (F.col("format") != "udiff")).alias("is_new_file")))
+
+
+def parse_editblocks(responses: DataFrame) -> DataFrame:
+    """E-1: SEARCH/REPLACE blocks of each reply."""
+    return _edits(responses, editexpr.editblocks(F.col("response")))
 
 
-_DIFF_FENCE = r"(?s)```diff\n(.*?)```"
-_DIFF_HEADER = "(?md)" + py_regex(r"^--- (?:a/)?(.+?)\s*\n\+\+\+ (?:b/)?(.+?)\s*$")
+def parse_whole(responses: DataFrame) -> DataFrame:
+    """E-2: whole-file fenced blocks of each reply."""
+    return _edits(responses, editexpr.whole_blocks(F.col("response")))
 
 
 def parse_udiffs(responses: DataFrame) -> DataFrame:
-    """E-3: each ```diff fence; the first ---/+++ pair names the file (from
-    '+++'); the raw diff is kept as ``original``. Native: no Python."""
-    from codecorpus.functions.text import strip_py
-    r = responses.select("response_id", "format",
-                         F.posexplode(F.regexp_extract_all("response", F.lit(_DIFF_FENCE), 1))
-                         .alias("_n", "diff"))
-    name = F.regexp_extract("diff", _DIFF_HEADER, 2)
-    has = F.col("diff").rlike(_DIFF_HEADER)
-    from pyspark.sql import Window
-    w = Window.partitionBy("response_id").orderBy("_n")
-    return (r.filter(has)
-            .select("response_id", "_n", "format", strip_py(name).alias("path"), F.col("diff").alias("original"))
-            .withColumn("block_no", (F.row_number().over(w) - 1).cast("int"))
-            .select("response_id", "block_no", "format", "path", "original",
-                    F.lit("").alias("updated"), F.lit(False).alias("is_new_file")))
+    """E-3: each ```diff fence with a file header; the raw diff is kept as ``original``."""
+    return _edits(responses, editexpr.udiff_blocks(F.col("response")))
 
 
 def dispatch_format(responses: DataFrame) -> DataFrame:
-    """E-8: route each reply to its parser; 'architect' replies are parsed as
+    """E-8: each reply goes to its format's parser; 'architect' replies are parsed as
     editblock (the editor pass). Unknown formats produce no edits."""
-    eb = responses.filter(F.col("format").isin("editblock", "architect"))
-    wh = responses.filter(F.col("format") == "whole")
-    ud = responses.filter(F.col("format") == "udiff")
-    return (parse_editblocks(eb).unionByName(parse_whole(wh)).unionByName(parse_udiffs(ud)))
+    fmt, text = F.col("format"), F.col("response")
+    return _edits(responses, F.when(fmt.isin("editblock", "architect"), editexpr.editblocks(text))
+                  .when(fmt == "whole", editexpr.whole_blocks(text))
+                  .when(fmt == "udiff", editexpr.udiff_blocks(text)))
 
 
 # ---------------------------------------------------------------------------
 # application
 # ---------------------------------------------------------------------------
-OUTCOME_SCHEMA = T.StructType([
-    T.StructField("path", T.StringType()),
-    T.StructField("response_id", T.LongType()),
-    T.StructField("block_no", T.IntegerType()),
-    T.StructField("format", T.StringType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("changed", T.BooleanType()),
-    T.StructField("final", T.BooleanType()),
-    T.StructField("content", T.StringType()),
-])
-
-
-def _fold_group(pdf):
-    """One path: the current file row (response_id NULL) + its ordered edits."""
-    import pandas as pd
-
-    from codecorpus.functions import editlib
-    base = pdf[pdf["response_id"].isna()]
-    edits = pdf[pdf["response_id"].notna()].sort_values(["response_id", "block_no"])
-    exists = len(base) > 0 and base["content"].iloc[0] is not None
-    content = base["content"].iloc[0] if exists else ""
-    out = []
-    for rid, bno, fmt, path, orig, upd in zip(edits["response_id"], edits["block_no"], edits["format"],
-                                              edits["path"], edits["original"], edits["updated"]):
-        before = content
-        if fmt == "udiff":
-            content = editlib.apply_udiff(content if exists else "", orig)
-            exists, status = True, "edited"
-        elif fmt == "whole":
-            # a whole-file block has no search text, so it always counts as created
-            status, content, exists = "created", upd, True
-        else:
-            status, content, exists = editlib.apply_editblock(content, exists, orig, upd)
-        out.append([path, int(rid), int(bno), fmt, status, content != before or status == "created", False, None])
-    if out:
-        out[-1][6] = True
-        out[-1][7] = content if exists else None
-    return pd.DataFrame(out, columns=[f.name for f in OUTCOME_SCHEMA.fields])
-
-
 def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """E-4/E-5/E-6 (+E-9 statuses): fold every path's edits in
+    """E-4/E-5/E-6 (+E-9 statuses): fold every file's edits in
     (response_id, block_no) order over its current content.
 
-    Fast path: a path whose only edit is an editblock whose search text
-    occurs exactly is applied natively (``replace_first`` in the JVM). Every
-    other touched path -- several edits, fuzzy matches, creates, missing
-    files, diffs, whole writes -- is folded in Python, one group per path;
-    only touched files are shipped. Output: one row per edit with its
-    status; the last row of each path carries the final content.
+    Output: one row per edit with its status; the last row of each file
+    carries the final content (NULL where no file came to be).
     """
-    from codecorpus.functions.text import replace_first, strip_py
-    e = edits.select("path", "response_id", "block_no", "format", "original", "updated",
-                     (F.coalesce(strip_py(F.col("original")), F.lit("")) == "").alias("is_new_file"))
-    per_path = e.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
-    fc = files.select("path", "content")
-    single = (e.join(per_path.filter("_n = 1"), "path", "left_semi")
-              .filter(F.col("format").isin("editblock", "architect") & ~F.col("is_new_file"))
-              .join(fc, "path")
-              .withColumn("_new", replace_first(F.col("content"), F.col("original"), F.col("updated")))
-              .filter(F.col("_new").isNotNull()))
-    native = single.select("path", "response_id", "block_no", "format", F.lit("edited").alias("status"),
-                           (F.col("_new") != F.col("content")).alias("changed"), F.lit(True).alias("final"),
-                           F.col("_new").alias("content"))
-    rest = e.join(native.select("path"), "path", "left_anti").drop("is_new_file")
-    touched = fc.join(rest.select("path").distinct(), "path", "left_semi")
-    base = touched.select("path", F.lit(None).cast("long").alias("response_id"),
-                          F.lit(None).cast("int").alias("block_no"), F.lit(None).cast("string").alias("format"),
-                          F.lit(None).cast("string").alias("original"), F.lit(None).cast("string").alias("updated"),
-                          "content")
-    rows = rest.withColumn("content", F.lit(None).cast("string")).unionByName(base)
-    folded = rows.groupBy("path").applyInPandas(_fold_group, OUTCOME_SCHEMA)
-    return native.unionByName(folded)
+    one = F.struct("response_id", "block_no", "format", "original", "updated")
+    per_file = _with_repo(edits).groupBy(*KEY).agg(F.sort_array(F.collect_list(one)).alias("_edits"))
+    current = _with_repo(files).select(*KEY, F.col("content").alias("_content"))
+    joined = per_file.join(current, KEY, "left")
+    out_type = "array<struct<response_id:bigint,block_no:int,format:string,status:string,changed:boolean>>"
+    start = F.struct(F.coalesce("_content", F.lit("")).alias("content"), F.col("_content").isNotNull().alias("exists"),
+                     F.array().cast(out_type).alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        return editexpr.let(editexpr.apply_edit(acc["content"], acc["exists"], e), lambda new: F.struct(
+            new["content"].alias("content"), new["exists"].alias("exists"),
+            F.concat(acc["out"], F.array(F.struct(
+                e["response_id"].alias("response_id"), e["block_no"].alias("block_no"), e["format"].alias("format"),
+                new["status"].alias("status"),
+                ((new["content"] != acc["content"]) | (new["status"] == "created")).alias("changed")))).alias("out")))
+
+    folded = joined.select(*KEY, F.aggregate("_edits", start, step).alias("_end"))
+    rows = folded.select(*KEY, "_end", F.posexplode("_end.out").alias("_i", "_e"))
+    final = F.col("_i") == F.size("_end.out") - 1
+    return rows.select(*KEY, "_e.*", final.alias("final"),
+                       F.when(final & F.col("_end.exists"), F.col("_end.content")).alias("content"))
 
 
 def apply_whole(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """E-7: whole-file writes; the last write per path wins, always overwriting.
+    """E-7: whole-file writes; the last write per file wins, always overwriting.
 
-    Returns the new file table: untouched files plus the written ones."""
-    last = (edits.groupBy("path")
-            .agg(F.max_by("updated", F.struct("response_id", "block_no")).alias("new_content"),
-                 F.count(F.lit(1)).alias("writes")))
-    return (files.select("path", "content").join(last, "path", "full_outer")
-            .select("path", F.coalesce("new_content", "content").alias("content"),
-                    F.when(F.col("new_content").isNull(), "kept")
-                     .when(F.col("content").isNull(), "created").otherwise("updated").alias("status")))
+    Returns the new file table. Only the keys of existing files are shuffled
+    to meet the writes; the contents of untouched files stay where they are
+    unless the writes are too many to broadcast."""
+    f = _with_repo(files).select(*KEY, "content")
+    last = (_with_repo(edits).groupBy(*KEY)
+            .agg(F.max_by("updated", F.struct("response_id", "block_no")).alias("content")))
+    kept = f.join(last.select(*KEY), KEY, "left_anti").withColumn("status", F.lit("kept"))
+    there = f.select(*KEY, F.lit("updated").alias("_there"))
+    written = (last.join(there, KEY, "left")
+               .select(*KEY, "content", F.coalesce("_there", F.lit("created")).alias("status")))
+    return kept.unionByName(written)
 
 
 def edit_outcomes(outcomes: DataFrame) -> DataFrame:
     """E-9: counts per status and format, and the number of distinct paths edited."""
     return (outcomes.groupBy("format", "status")
-            .agg(F.count(F.lit(1)).alias("n_edits"), F.countDistinct("path").alias("n_paths")))
+            .agg(F.count(F.lit(1)).alias("n_edits"), F.countDistinct("repo_id", "path").alias("n_paths")))
 
 
 def create_only(files: DataFrame, requests: DataFrame) -> DataFrame:
-    """``create_only``: a create fails for a path that already exists.
-
-    ``left_anti`` rows are created, ``left_semi`` rows are rejected."""
-    ok = requests.join(files.select("path"), "path", "left_anti").withColumn("status", F.lit("created"))
-    rej = requests.join(files.select("path"), "path", "left_semi").withColumn("status", F.lit("exists"))
-    return ok.unionByName(rej)
+    """``create_only``: a create fails for a path that its repo already has."""
+    there = _with_repo(files).select(*KEY).distinct().withColumn("_there", F.lit(True))
+    return (_with_repo(requests).join(there, KEY, "left")
+            .withColumn("status", F.when(F.col("_there"), "exists").otherwise("created")).drop("_there"))
 
 
 def edits_to_files(files: DataFrame, edits: DataFrame) -> DataFrame:
     """J-5: route each edit by its target: new file -> create, no file ->
     missing (rejected), otherwise apply."""
-    f = files.select("path").distinct().withColumn("_exists", F.lit(True))
-    return (edits.join(f, "path", "left")
+    f = _with_repo(files).select(*KEY).distinct().withColumn("_exists", F.lit(True))
+    return (_with_repo(edits).join(f, KEY, "left")
             .withColumn("route", F.when(F.col("is_new_file"), "create")
                         .when(F.col("_exists").isNull(), "missing").otherwise("apply"))
             .drop("_exists"))
@@ -215,7 +135,7 @@ def carry_filename(responses: DataFrame) -> DataFrame:
     (native form of the editblock parser's filename tracking)."""
     from pyspark.sql import Window
 
-    from codecorpus.functions.text import lines_keepends, looks_like_path, strip_py
+    from codecorpus.functions.text import lines_keepends, looks_like_path
     lines = responses.select("response_id", F.posexplode(lines_keepends(F.col("response"))).alias("_p", "line"))
     fname = F.when(~F.col("line").contains("<<<<<<< SEARCH"),
                    looks_like_path(F.regexp_replace(strip_py(F.col("line")), ":+$", "")))

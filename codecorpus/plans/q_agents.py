@@ -60,13 +60,14 @@ def q_route_messages(spark):
 
 @query("previous_results", ["v_agent_results"], sql="""
 SELECT run_id, step, agent_name, CAST(count(*) OVER w AS INTEGER) AS n_previous,
-  coalesce(string_agg(agent_name, ',') OVER w, '') AS previous_agents
+  md5(coalesce(string_agg(CAST(step AS VARCHAR) || ':' || agent_name || ':' || output, chr(10)) OVER w, '')) AS previous_md5
 FROM v_agent_results WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def q_previous_results(spark):
     """What each step sees of the earlier steps of its run."""
     p = agents.previous_results(spark.table("v_agent_results"))
     return p.select("run_id", "step", "agent_name", F.size("previous").alias("n_previous"),
-                    F.array_join(F.transform("previous", lambda x: x["agent_name"]), ",").alias("previous_agents"))
+                    F.md5(F.array_join(F.transform("previous", lambda x: F.concat_ws(
+                        ":", x["step"].cast("string"), x["agent_name"], x["output"])), "\n")).alias("previous_md5"))
 
 
 @query("run_report", ["v_agent_results", "v_plans"], sql=f"""

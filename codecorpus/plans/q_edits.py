@@ -25,12 +25,12 @@ def d_path_candidate(line: str) -> str:
 # well-formed SEARCH/REPLACE parse in SQL: explode lines, carry the last
 # filename line forward, and cut each block at the next divider / end marker
 _EB_SQL = f"""
-WITH r AS (SELECT response_id, format, response FROM v_responses WHERE format = 'editblock'),
-l AS (SELECT response_id, format, unnest(regexp_extract_all(response, '{_KEEP}')) AS line,
+WITH r AS (SELECT response_id, repo_id, format, response FROM v_responses WHERE format = 'editblock'),
+l AS (SELECT response_id, repo_id, format, unnest(regexp_extract_all(response, '{_KEEP}')) AS line,
              unnest(generate_series(1, len(regexp_extract_all(response, '{_KEEP}')))) AS ln FROM r),
 k AS (SELECT *, contains(line, '<<<<<<< SEARCH') AS is_s, contains(line, '=======') AS is_d,
              contains(line, '>>>>>>> REPLACE') AS is_r, {d_path_candidate('line')} AS fname FROM l),
-s AS (SELECT k.response_id, k.format, k.ln AS s_ln,
+s AS (SELECT k.response_id, k.repo_id, k.format, k.ln AS s_ln,
         (SELECT max_by(x.fname, x.ln) FROM k x WHERE x.response_id = k.response_id AND x.ln < k.ln
            AND x.fname IS NOT NULL AND NOT x.is_s) AS path,
         coalesce((SELECT min(x.ln) FROM k x WHERE x.response_id = k.response_id AND x.ln > k.ln AND x.is_d), 1000000000) AS d_ln
@@ -38,7 +38,7 @@ s AS (SELECT k.response_id, k.format, k.ln AS s_ln,
 b AS (SELECT s.*, coalesce((SELECT min(x.ln) FROM k x WHERE x.response_id = s.response_id AND x.ln > s.d_ln AND x.is_r),
         1000000000) AS r_ln FROM s)
 SELECT b.response_id, CAST(row_number() OVER (PARTITION BY b.response_id ORDER BY b.s_ln) - 1 AS INTEGER) AS block_no,
-  b.format, b.path,
+  b.format, b.repo_id, b.path,
   coalesce((SELECT string_agg(x.line, '' ORDER BY x.ln) FROM k x WHERE x.response_id = b.response_id
             AND x.ln > b.s_ln AND x.ln < b.d_ln), '') AS original,
   coalesce((SELECT string_agg(x.line, '' ORDER BY x.ln) FROM k x WHERE x.response_id = b.response_id
@@ -53,35 +53,49 @@ FROM ({_EB_SQL}) e""")
 def q_parse_editblocks(spark):
     """E-1: SEARCH/REPLACE blocks of every editblock reply."""
     r = spark.table("v_responses").filter(F.col("format") == "editblock")
-    return edits.parse_editblocks(r)
+    return edits.parse_editblocks(r).drop("repo_id")
 
 
-@query("parse_whole", ["v_responses"])
+_WHOLE_SQL = f"""(SELECT response_id, repo_id, format, 0 AS block_no,
+   regexp_extract(response, '^```[\\p{{L}}\\p{{N}}_]*[{SPACE_BODY}]*\\n#[{SPACE_BODY}]*([^\\n]+?\\.[\\p{{L}}\\p{{N}}_]+)[{SPACE_BODY}]*\\n', 1) AS path,
+   regexp_extract(response, '(?s)^```[^\\n]*\\n#[^\\n]*\\n(.*?)```', 1) AS updated
+ FROM v_responses WHERE format = 'whole')"""
+
+
+@query("parse_whole", ["v_responses"], sql=f"""
+SELECT response_id, block_no, format, path, '' AS original, updated, true AS is_new_file FROM {_WHOLE_SQL} w""")
 def q_parse_whole(spark):
-    """E-2: whole-file blocks of every 'whole' reply (Python parse; rows-only check)."""
-    return edits.parse_whole(spark.table("v_responses").filter(F.col("format") == "whole"))
+    """E-2: whole-file blocks of every 'whole' reply."""
+    return edits.parse_whole(spark.table("v_responses").filter(F.col("format") == "whole")).drop("repo_id")
 
 
 _DUCK_DIFF_HEADER = "(?m)" + py_regex(r"^--- (?:a/)?(.+?)\s*\n\+\+\+ (?:b/)?(.+?)\s*$")
 
 
-@query("parse_udiffs", ["v_responses"], sql=f"""
+_UDIFF_SQL = f"""
 WITH d AS (SELECT response_id, format, unnest(regexp_extract_all(response, '(?s)```diff\\n(.*?)```', 1)) AS diff,
                   unnest(generate_series(1, len(regexp_extract_all(response, '(?s)```diff\\n(.*?)```', 1)))) AS n
            FROM v_responses WHERE format = 'udiff')
 SELECT response_id, CAST(row_number() OVER (PARTITION BY response_id ORDER BY n) - 1 AS INTEGER) AS block_no, format,
   regexp_replace(regexp_extract(diff, '{_DUCK_DIFF_HEADER}', 2), '^[{SPACE_BODY}]+|[{SPACE_BODY}]+$', '', 'g') AS path,
   diff AS original, '' AS updated, false AS is_new_file
-FROM d WHERE regexp_matches(diff, '{_DUCK_DIFF_HEADER}')""")
+FROM d WHERE regexp_matches(diff, '{_DUCK_DIFF_HEADER}')"""
+
+
+@query("parse_udiffs", ["v_responses"], sql=_UDIFF_SQL)
 def q_parse_udiffs(spark):
     """E-3: diff fences of every udiff reply; the '+++' header names the file."""
-    return edits.parse_udiffs(spark.table("v_responses").filter(F.col("format") == "udiff"))
+    return edits.parse_udiffs(spark.table("v_responses").filter(F.col("format") == "udiff")).drop("repo_id")
 
 
-@query("dispatch_format", ["v_responses"])
+@query("dispatch_format", ["v_responses"], sql=f"""
+SELECT response_id, block_no, format, path, original, updated,
+  regexp_replace(original, '^[{SPACE_BODY}]+|[{SPACE_BODY}]+$', '', 'g') = '' AS is_new_file FROM ({_EB_SQL}) e
+UNION ALL SELECT response_id, block_no, format, path, '', updated, true FROM {_WHOLE_SQL} w
+UNION ALL SELECT response_id, block_no, format, path, original, updated, is_new_file FROM ({_UDIFF_SQL}) u""")
 def q_dispatch(spark):
-    """E-8: every reply routed to its format's parser (architect -> editblock)."""
-    return edits.dispatch_format(spark.table("v_responses"))
+    """E-8: every reply routed to its format's parser (architect -> editblock), in one pass."""
+    return edits.dispatch_format(spark.table("v_responses")).drop("repo_id")
 
 
 def _outcomes(spark):
@@ -93,7 +107,7 @@ def _outcomes(spark):
 def q_apply_edits(spark):
     """E-4/E-5/E-6: ordered per-file fold of all parsed edits (status per edit, final content hash)."""
     o = _outcomes(spark)
-    return o.select("path", "response_id", "block_no", "format", "status", "changed",
+    return o.select("repo_id", "path", "response_id", "block_no", "format", "status", "changed",
                     F.when(F.col("final"), F.md5("content")).alias("final_md5"))
 
 
@@ -103,33 +117,28 @@ def q_edit_outcomes(spark):
     return edits.edit_outcomes(_outcomes(spark))
 
 
-_WHOLE_SQL = f"""(SELECT response_id, 0 AS block_no,
-   regexp_extract(response, '^```[\\p{{L}}\\p{{N}}_]*[{SPACE_BODY}]*\\n#[{SPACE_BODY}]*([^\\n]+?\\.[\\p{{L}}\\p{{N}}_]+)[{SPACE_BODY}]*\\n', 1) AS path,
-   regexp_extract(response, '(?s)^```[^\\n]*\\n#[^\\n]*\\n(.*?)```', 1) AS updated
- FROM v_responses WHERE format = 'whole')"""
-
-
 @query("apply_whole", ["v_responses", "v_files"], sql=f"""
 WITH w AS {_WHOLE_SQL},
-last AS (SELECT path, arg_max(updated, response_id * 1000 + block_no) AS new_content FROM w GROUP BY path)
-SELECT coalesce(f.path, last.path) AS path, md5(coalesce(last.new_content, f.content)) AS content_md5,
+last AS (SELECT repo_id, path, arg_max(updated, response_id * 1000 + block_no) AS new_content FROM w GROUP BY repo_id, path)
+SELECT coalesce(f.repo_id, last.repo_id) AS repo_id, coalesce(f.path, last.path) AS path,
+  md5(coalesce(last.new_content, f.content)) AS content_md5,
   CASE WHEN last.new_content IS NULL THEN 'kept' WHEN f.content IS NULL THEN 'created' ELSE 'updated' END AS status
-FROM v_files f FULL OUTER JOIN last ON last.path = f.path""")
+FROM v_files f FULL OUTER JOIN last ON last.repo_id = f.repo_id AND last.path = f.path""")
 def q_apply_whole(spark):
-    """E-7: the file table after whole-file writes (last write per path wins)."""
+    """E-7: the file table after whole-file writes (last write per file wins)."""
     w = edits.parse_whole(spark.table("v_responses").filter(F.col("format") == "whole"))
     out = edits.apply_whole(spark.table("v_files"), w)
-    return out.select("path", F.md5("content").alias("content_md5"), "status")
+    return out.select("repo_id", "path", F.md5("content").alias("content_md5"), "status")
 
 
 @query("create_only", ["v_responses", "v_files"], sql=f"""
 WITH w AS {_WHOLE_SQL}
-SELECT response_id, path, CASE WHEN EXISTS (SELECT 1 FROM v_files f WHERE f.path = w.path) THEN 'exists'
-  ELSE 'created' END AS status FROM w""")
+SELECT response_id, path, CASE WHEN EXISTS (SELECT 1 FROM v_files f WHERE f.repo_id = w.repo_id AND f.path = w.path)
+  THEN 'exists' ELSE 'created' END AS status FROM w""")
 def q_create_only(spark):
     """create_only: whole-file writes treated as creates; existing paths are rejected."""
     w = edits.parse_whole(spark.table("v_responses").filter(F.col("format") == "whole"))
-    return edits.create_only(spark.table("v_files"), w.select("response_id", "path")).select(
+    return edits.create_only(spark.table("v_files"), w.select("response_id", "repo_id", "path")).select(
         "response_id", "path", "status")
 
 
@@ -171,7 +180,7 @@ def q_looks_like_path(spark):
 @query("edits_to_files", ["v_responses", "v_files"], sql=f"""
 SELECT e.response_id, e.block_no, e.path,
   CASE WHEN regexp_replace(e.original, '^[{SPACE_BODY}]+|[{SPACE_BODY}]+$', '', 'g') = '' THEN 'create'
-       WHEN NOT EXISTS (SELECT 1 FROM v_files f WHERE f.path = e.path) THEN 'missing' ELSE 'apply' END AS route
+       WHEN NOT EXISTS (SELECT 1 FROM v_files f WHERE f.repo_id = e.repo_id AND f.path = e.path) THEN 'missing' ELSE 'apply' END AS route
 FROM ({_EB_SQL}) e""")
 def q_edits_to_files(spark):
     """J-5: each parsed edit routed to create / missing / apply by its target file."""

@@ -30,14 +30,16 @@ def _view(name: str, sql: str, deps: list[str], duck: str | None = None) -> None
         VIEWS_DUCK[name] = duck
 
 
-# v_files: repo = document source, 8 extensions, a code header + prose body
+# v_files: repo = document source, 16 extensions, a code header + prose body
 _view("v_files", """
 SELECT source AS repo_id, lang || '/doc_' || CAST(doc_id AS STRING) || ext AS path, ext, doc_id,
        header || chr(10) || text AS content
 FROM (SELECT doc_id, source, lang, text,
-        CASE doc_id % 8 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.ts' WHEN 3 THEN '.go'
-             WHEN 4 THEN '.rs' WHEN 5 THEN '.java' WHEN 6 THEN '.rb' ELSE '.md' END AS ext,
-        CASE doc_id % 8
+        CASE doc_id % 16 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.ts' WHEN 3 THEN '.go'
+             WHEN 4 THEN '.rs' WHEN 5 THEN '.java' WHEN 6 THEN '.rb' WHEN 7 THEN '.md' WHEN 8 THEN '.cpp'
+             WHEN 9 THEN '.c' WHEN 10 THEN '.php' WHEN 11 THEN '.swift' WHEN 12 THEN '.kt' WHEN 13 THEN '.cs'
+             WHEN 14 THEN '.tsx' ELSE '.jsx' END AS ext,
+        CASE doc_id % 16
           WHEN 0 THEN 'class Doc' || CAST(doc_id AS STRING) || ':' || chr(10) || '    def run_a(self):' || chr(10)
                       || 'def _hidden():' || chr(10) || 'async def poll_b():'
           WHEN 1 THEN 'export function load' || CAST(doc_id AS STRING) || '(x) {' || chr(10) || 'const pick = (x) => x;'
@@ -46,6 +48,14 @@ FROM (SELECT doc_id, source, lang, text,
           WHEN 4 THEN 'pub async fn step' || CAST(doc_id AS STRING) || '() {' || chr(10) || 'impl<T> Node {'
           WHEN 5 THEN 'public class Box' || CAST(doc_id AS STRING) || ' {' || chr(10) || '    public static int size(int x) {'
           WHEN 6 THEN 'module Mod' || CAST(doc_id AS STRING) || chr(10) || '  def call_it'
+          WHEN 8 THEN 'struct Node' || CAST(doc_id AS STRING) || ' {' || chr(10) || 'static inline int area(int x) {'
+          WHEN 9 THEN 'typedef struct Pair' || CAST(doc_id AS STRING) || chr(10) || 'int main(int argc) {'
+          WHEN 10 THEN 'class Page' || CAST(doc_id AS STRING) || ' {' || chr(10) || 'public function render($x) {'
+          WHEN 11 THEN 'protocol Shape' || CAST(doc_id AS STRING) || ' {' || chr(10) || '    public func draw(x: Int) {'
+          WHEN 12 THEN 'data class Row' || CAST(doc_id AS STRING) || chr(10) || 'fun load(x: Int) {' || chr(10) || 'object Reg {'
+          WHEN 13 THEN 'public interface IBox' || CAST(doc_id AS STRING) || chr(10) || '    private static long Sum(int x) {'
+          WHEN 14 THEN 'export class View' || CAST(doc_id AS STRING) || ' {' || chr(10) || 'export type Props = {'
+          WHEN 15 THEN 'export async function fetch' || CAST(doc_id AS STRING) || '() {' || chr(10) || 'let go = async (x) => x;'
           ELSE '# Title ' || CAST(doc_id AS STRING) END AS header
       FROM documents) d
 """, ["documents"])
@@ -67,13 +77,13 @@ JOIN v_files f ON f.doc_id = c.doc_ref
 
 # v_responses: all three edit formats, plus no-match and missing-file cases
 _view("v_responses", f"""
-SELECT response_id, conv_id, turn, fmt AS format, CASE fmt
+SELECT response_id, conv_id, turn, repo_id, fmt AS format, CASE fmt
     WHEN 'editblock' THEN 'Change:' || chr(10) || path || chr(10) || '<<<<<<< SEARCH' || chr(10) || needle || chr(10)
        || '=======' || chr(10) || '# edited' || chr(10) || '>>>>>>> REPLACE' || chr(10)
     WHEN 'whole' THEN '```text' || chr(10) || '# ' || path || chr(10) || 'x = 1' || chr(10) || '```' || chr(10)
     ELSE '```diff' || chr(10) || '--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || '@@ -1,1 +1,1 @@' || chr(10)
        || '-' || needle || chr(10) || '+edited' || chr(10) || '```' || chr(10) END AS response
-FROM (SELECT c.conv_id * 100 + c.turn AS response_id, c.conv_id, c.turn,
+FROM (SELECT c.conv_id * 100 + c.turn AS response_id, c.conv_id, c.turn, f.repo_id,
         CASE (c.conv_id + c.turn) % 3 WHEN 0 THEN 'editblock' WHEN 1 THEN 'whole' ELSE 'udiff' END AS fmt,
         CASE WHEN c.conv_id % 7 = 0 THEN 'missing/x.py' ELSE f.path END AS path,
         CASE WHEN c.conv_id % 5 = 0 THEN 'absent text' ELSE split_part(f.content, chr(10), 1) END AS needle
@@ -92,14 +102,14 @@ SELECT conv_id AS run_id, 'task ' || CAST(conv_id AS STRING) AS task, CASE conv_
 FROM (SELECT DISTINCT conv_id FROM conversations) c
 """, ["conversations"])
 
-# v_agent_results: three steps per run, some failing
+# v_agent_results: one step per turn of a run, some failing
 _view("v_agent_results", """
 SELECT conv_id AS run_id, CAST(turn + 1 AS INT) AS step,
-  CASE turn WHEN 0 THEN 'coder' WHEN 1 THEN 'tester' ELSE 'reviewer' END AS agent_name,
+  CASE turn % 3 WHEN 0 THEN 'coder' WHEN 1 THEN 'tester' ELSE 'reviewer' END AS agent_name,
   (conv_id + turn) % 5 <> 0 AS success,
-  CASE WHEN (conv_id + turn) % 5 <> 0 THEN substring(text, 1, 40) ELSE '' END AS output,
+  CASE WHEN (conv_id + turn) % 5 <> 0 THEN text ELSE '' END AS output,
   CASE WHEN (conv_id + turn) % 5 <> 0 THEN '' ELSE 'timeout' END AS error
-FROM conversations WHERE turn < 3
+FROM conversations
 """, ["conversations"])
 
 # v_file_events: watcher-like events, including deletes and non-code files
@@ -243,20 +253,10 @@ def with_views(body: str, views: list[str]) -> str:
     return f"WITH {ctes}\n{body}"
 
 
-_BASE_CACHE: dict[tuple[int, str, str], DataFrame] = {}
-
-
-def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    key = (id(spark), sf_dir, name)
-    if key not in _BASE_CACHE:
-        _BASE_CACHE[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return _BASE_CACHE[key]
-
-
 def register(spark: SparkSession, sf_dir: str, views: list[str] | None = None) -> None:
-    """Register the base tables of ``sf_dir`` and derived views as temp views."""
+    """Register base tables of ``sf_dir`` and derived views as temp views."""
     for t in BASE_TABLES:
-        base(spark, sf_dir, t).createOrReplaceTempView(t)
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     for v in _order(views if views is not None else list(VIEWS)):
         if v in VIEWS:
             spark.sql(VIEWS[v]).createOrReplaceTempView(v)

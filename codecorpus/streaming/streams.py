@@ -33,7 +33,7 @@ from codecorpus.sources import tables
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table read as a file stream (new files = new micro-batches)."""
-    schema = tables.base(spark, sf_dir, name).schema
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
             .option("maxFilesPerTrigger", 1000).parquet(sf_dir))
 

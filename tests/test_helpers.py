@@ -1,7 +1,11 @@
-"""Hand-derived goldens for the Python helpers (pages, edits, diffs)."""
+"""Hand-derived goldens for the page helpers and the edit expressions."""
 import difflib
 
-from codecorpus.functions import editlib, htmltree
+import pytest
+from pyspark.sql import functions as F
+
+from codecorpus.functions import editexpr, htmltree
+from codecorpus.operators import corpus, edits
 
 
 def test_unclosed_p_nests_and_text_glues():
@@ -25,28 +29,80 @@ def test_scheme_check_and_plain_passthrough():
     assert htmltree.page_markdown("HTTPS://x/readme.md", "# raw *md*") == "# raw *md*"
 
 
-def test_editblock_edge_cases():
+@pytest.fixture(scope="module")
+def value(spark):
+    """Evaluate an expression over string arguments."""
+    def run(fn, *args):
+        df = spark.createDataFrame([tuple(args)], ", ".join(f"a{i} string" for i in range(len(args))))
+        return df.select(fn(*[F.col(f"a{i}") for i in range(len(args))]).alias("r")).first()["r"]
+    return run
+
+
+def test_editblock_edge_cases(value):
     # no end marker: block runs to the end; blocks before any filename are dropped
     t = "<<<<<<< SEARCH\na\n=======\nb\n>>>>>>> REPLACE\nf.py\n<<<<<<< SEARCH\nx\n=======\ny\n"
-    assert editlib.parse_editblocks(t) == [("f.py", "x\n", "y\n")]
+    assert [tuple(b) for b in value(editexpr.editblocks, t)] == [("f.py", "x\n", "y\n")]
+    # neither divider nor end; a name inside a block is no file name; the end line may open the next block
+    t = "a.py\n<<<<<<< SEARCH\nb.py\n"
+    assert [tuple(b) for b in value(editexpr.editblocks, t)] == [("a.py", "b.py\n", "")]
+    t = "`a.py`:\n<<<<<<< SEARCH\n=======\n1\n>>>>>>> REPLACE <<<<<<< SEARCH\nz\n=======\n>>>>>>> REPLACE"
+    assert [tuple(b) for b in value(editexpr.editblocks, t)] == [("a.py", "", "1\n"), ("a.py", "z\n", "")]
+    assert value(editexpr.editblocks, "") == [] and value(editexpr.editblocks, None) is None
+
+
+def test_whole_blocks(value):
+    one = "```python\n# src/a.py\nx = 1\n```\nthen `b.js`\n```js\nlet y\n```\n```\nno name\n```"
+    assert [tuple(b) for b in value(editexpr.whole_blocks, one)] == [("src/a.py", "", "x = 1\n"), ("b.js", "", "let y\n")]
+    # a name comment further down names the file but stays; equal fences keep their own names
+    two = "f.txt\n```\nq\n```\ng.txt\n```\nq\n```\n```\ntop\n# h.c \nz\n```"
+    assert [tuple(b) for b in value(editexpr.whole_blocks, two)] == [
+        ("f.txt", "", "q\n"), ("g.txt", "", "q\n"), ("h.c", "", "top\n# h.c \nz\n")]
 
 
-def test_fuzzy_noop_and_window():
+def test_fuzzy_noop_and_window(value):
     # normalised containment, but the stripped search text does not occur literally
-    assert editlib.fuzzy_replace("a  b\n", "a b", "c") == "a  b\n"
-    assert editlib.fuzzy_replace("p\n  q  \nr\n", "q\nr", "Z") == "p\nZ\n"
-    assert editlib.fuzzy_replace("abc", "zzz", "y") is None
+    assert value(editexpr.fuzzy_replace, "a  b\n", "a b", "c") == "a  b\n"
+    assert value(editexpr.fuzzy_replace, "p\n  q  \nr\n", "q\nr", "Z") == "p\nZ\n"
+    assert value(editexpr.fuzzy_replace, "abc", "zzz", "y") is None
+    assert value(editexpr.fuzzy_replace, "abc", "z\nz\nz", "y") is None
 
 
-def test_udiff_round_trip_and_skip():
+def test_udiff_round_trip_and_skip(value):
     old = "a\nb\nc\nd\n"
     new = "a\nB\nc\nD\n"
     diff = "\n".join(x.rstrip("\n") for x in difflib.unified_diff(old.splitlines(True), new.splitlines(True), n=1))
-    assert editlib.apply_udiff(old, diff) == new
+    assert value(editexpr.apply_udiff, old, diff) == new
+    # several hunks, each moved by the lines gained before it
+    long = "".join(f"l{i}\n" for i in range(40))
+    far = long.replace("l3\n", "l3\nx\ny\n").replace("l20\n", "").replace("l35\n", "Q\n")
+    diff = "\n".join(x.rstrip("\n") for x in difflib.unified_diff(long.splitlines(True), far.splitlines(True), n=2))
+    assert diff.count("@@ -") == 3 and value(editexpr.apply_udiff, long, diff) == far
     # positional quirk kept on purpose: a zero-context insertion "@@ -4,0" lands before line 4
     ins = "\n".join(x.rstrip("\n") for x in difflib.unified_diff(old.splitlines(True), (old + "e\n").splitlines(True), n=0))
-    assert editlib.apply_udiff(old, ins) == "a\nb\nc\ne\nd\n"
+    assert value(editexpr.apply_udiff, old, ins) == "a\nb\nc\ne\nd\n"
     # a hunk past the end is skipped silently
-    assert editlib.apply_udiff("a\n", "@@ -5,1 +5,1 @@\n-x\n+y") == "a\n"
+    assert value(editexpr.apply_udiff, "a\n", "@@ -5,1 +5,1 @@\n-x\n+y") == "a\n"
     # @@ -0,0 inserts before the last line of a non-empty file
-    assert editlib.apply_udiff("a\nb\n", "@@ -0,0 +1,1 @@\n+z") == "a\nz\nb\n"
+    assert value(editexpr.apply_udiff, "a\nb\n", "@@ -0,0 +1,1 @@\n+z") == "a\nz\nb\n"
+
+
+def test_edits_stay_in_their_repo(spark):
+    files = spark.createDataFrame([("r1", "a.py", "x = 1\n"), ("r2", "a.py", "y = 1\n")], "repo_id string, path string, content string")
+    ed = spark.createDataFrame([
+        ("r1", 1, 0, "editblock", "a.py", "x = 1\n", "x = 2\n"), ("r2", 2, 0, "editblock", "a.py", "x = 1\n", "x = 9\n"),
+        ("r1", 3, 0, "editblock", "a.py", "x = 2\n", "x = 3\n"), ("r2", 4, 0, "whole", "b.py", "", "new\n")],
+        "repo_id string, response_id long, block_no int, format string, path string, original string, updated string")
+    out = {(r["repo_id"], r["response_id"]): r for r in edits.apply_edits(files, ed).collect()}
+    assert {k: r["status"] for k, r in out.items()} == {("r1", 1): "edited", ("r2", 2): "no_match", ("r1", 3): "edited", ("r2", 4): "created"}
+    assert out["r1", 3]["content"] == "x = 3\n" and out["r1", 1]["content"] is None and out["r2", 2]["content"] == "y = 1\n"
+    whole = {(r["repo_id"], r["path"]): r["status"] for r in edits.apply_whole(files, ed.where("format = 'whole'")).collect()}
+    assert whole == {("r1", "a.py"): "kept", ("r2", "a.py"): "kept", ("r2", "b.py"): "created"}
+
+
+def test_symbols_of_a_very_long_line(spark):
+    """Thousands of words on a line neither overflow the matcher's stack nor hide the symbol."""
+    words = "word " * 20_000
+    files = spark.createDataFrame([("r", "a.c", words + "\nint main(int x) {"), ("r", "b.java", "    public " + words + "run ("),
+                                   ("r", "c.cpp", words + "area(int x) {")], "repo_id string, path string, content string")
+    got = {(r["path"], r["line"], r["type"], r["name"]) for r in corpus.extract_symbols(files).collect()}
+    assert got == {("a.c", 2, "function", "main"), ("b.java", 1, "method", "run"), ("c.cpp", 1, "function", "area")}

@@ -121,6 +121,7 @@ def test_apply_goldens(spark):
         (1, 3, "editblock", "g.py", "x = 1\n", "x = 2\n"),       # fuzzy: no final newline in file
         (1, 4, "editblock", "e.py", "absent", "zzz")],
         "response_id long, block_no int, format string, path string, original string, updated string")
+    ed = ed.withColumn("repo_id", F.lit("r"))
     out = {(r.path, r.block_no): r for r in edits.apply_edits(files, ed).collect()}
     assert out[("e.py", 0)].status == "edited"
     assert out[("n.py", 1)].status == "created"

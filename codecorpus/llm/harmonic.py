@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
-from codecorpus.llm.tokens import UnitEncoder, word_units
+from codecorpus.llm.tokens import UnitEncoder, shared, word_units
 
 #: Ends of documents below this share of the capacity are not cut any more.
 SHORT = 32
@@ -110,7 +110,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int =
         return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(tokenizer, word_units)
+        encoder = shared(UnitEncoder, tokenizer, word_units)
         packer = Packer(capacity, TaskContext.get().partitionId() << 36)
         kind = None
         for b in batches:

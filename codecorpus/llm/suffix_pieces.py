@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codecorpus.llm.tokens import UnitEncoder
+from codecorpus.llm.tokens import UnitEncoder, shared
 
 MARK = "▁"
 RUNS = re.compile(rf"(?<=[^{MARK}])(?={MARK})")
@@ -176,7 +176,7 @@ def segment(units: list[str], v: Vocabulary) -> list[bytes]:
 class PieceEncoder(UnitEncoder):
     """Whole texts to ids; each distinct unit is matched once while it stays in the memo."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 800_000):
         self.vocabulary, self.limit = Vocabulary(path), memo
         self.memo: dict[str, bytes] = {}
 
@@ -217,7 +217,7 @@ def encode(docs: DataFrame, model: str, *, with_ids: bool = False) -> DataFrame:
         schema = schema.add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(model)
+        encoder = shared(PieceEncoder, model)
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)

@@ -7,20 +7,49 @@ it stays in the worker's memo. The ids are those of encoding the whole text.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import string
+from array import array
 from collections.abc import Callable
 
+#: Byte-level models write bytes as signs: printable Latin-1 as it is, the others from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_SIGNS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 #: Before a single space between two characters that are no white space.
 SPACE_BEFORE_WORD = re.compile(r"(?<=\S)(?= \S)")
+#: Where a text holds none of these, its words are divided by single spaces and line ends inside words only.
+UNUSUAL = ["  ", " \n", "\n ", "\0", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31))]
+WIDE_SPACES = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: Marks a unit that does not follow a space.
+BARE = "\0"
 #: Punctuation that ends a unit is a run of its own after a letter; apostrophes may begin contractions.
 TAIL = "".join(c for c in string.punctuation if c not in "'<>|")
 
 
 def byte_units(text: str) -> list[str]:
-    """Units of a byte-level tokenizer: each but the first begins with its space."""
-    return SPACE_BEFORE_WORD.split(text)
+    """Units of a byte-level tokenizer: words that follow a space, without it; others are marked BARE."""
+    plain = text[0] != " " and text[-1] != " " and not any(x in text for x in UNUSUAL)
+    if plain and (text.isascii() or not any(x in text for x in WIDE_SPACES)):
+        # a line end alone between two words is a token of its own
+        alone = "\n\n" not in text and text[0] != "\n" and text[-1] != "\n"
+        units: list[str] = []
+        for line in text.split("\n") if alone else [text]:
+            if units:
+                units.append(BARE + "\n")
+            words = line.split(" ")
+            words[0] = BARE + words[0]
+            units += words
+        return units
+    if BARE in text:
+        return [BARE + text]
+    return [u[1:] if u[0] == " " and len(u) > 1 and not u[1].isspace() else BARE + u for u in SPACE_BEFORE_WORD.split(text)]
+
+
+def byte_text(unit: str) -> str:
+    """The text that a unit of ``byte_units`` stands for."""
+    return unit[1:] if unit[0] == BARE else " " + unit
 
 
 def word_units(text: str) -> list[str]:
@@ -34,17 +63,25 @@ def word_units(text: str) -> list[str]:
 _SPACES = {c: " " for c in (9, 10, 11, 12, 13)}
 
 
+@functools.cache
+def shared(kind: type, *args):
+    """One encoder for all tasks that a Python worker runs, so that its memo serves them all."""
+    return kind(*args)
+
+
 class UnitEncoder:
     """Encodes batches of texts to little-endian uint32 bytes.
 
     ``memo`` bounds the units remembered; when it is full, it starts afresh.
     """
 
-    def __init__(self, path: str, units: Callable[[str], list[str]], memo: int = 500_000):
+    def __init__(self, path: str, units: Callable[[str], list[str]], memo: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.units, self.limit = Tokenizer.from_file(path), units, memo
+        spaced = units is byte_units
+        self.text_of, self.bare, self.fold = (byte_text, BARE, str) if spaced else (str, "", str.lower)
         self.memo: dict[str, bytes] = {}
 
     def _learn(self, missing: set[str]) -> None:
@@ -53,25 +90,44 @@ class UnitEncoder:
         for u in missing:
             head = u.rstrip(TAIL)
             if len(head) < len(u) and head and "<" not in u and ord(head[-1]) < 0x250 and head[-1].isalpha() and head[-1] != "\u0130":
-                split[u] = (head, u[len(head):])
+                split[u] = (head, self.bare + u[len(head):])
                 plain.update(split[u])
             else:
                 plain.add(u)
-        todo = [u for u in plain if u not in self.memo]
-        for u, e in zip(todo, self.tokenizer.encode_batch(todo, add_special_tokens=False), strict=True):
-            self.memo[u] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+        memo, rest, tokenize = self.memo, [], self.tokenizer.model.tokenize
+        for u in plain:
+            if u in memo:
+                continue
+            text = self.text_of(u)
+            letters = text[1:] if text[:1] == " " else text
+            if letters.isalpha() and max(letters) < "\u0250" and "\u0130" not in letters:
+                # one word of Latin letters: the BPE model alone, without the steps around it
+                mapped = self.fold(text).encode().decode("latin-1").translate(BYTE_SIGNS)
+                memo[u] = array("I", [t.id for t in tokenize(mapped)]).tobytes()
+            else:
+                rest.append(u)
+        encoded = self.tokenizer.encode_batch([self.text_of(u) for u in rest], add_special_tokens=False)
+        for u, e in zip(rest, encoded, strict=True):
+            memo[u] = array("I", e.ids).tobytes()
         for u, (head, tail) in split.items():
             self.memo[u] = self.memo[head] + self.memo[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for at in range(0, len(texts), 256):
-            cut = [self.units(t) if t else [] for t in texts[at:at + 256]]
             if len(self.memo) > self.limit:
                 self.memo = {}
-            missing = set().union(*cut).difference(self.memo)
+            memo, missing, chunk = self.memo, set(), []
+            for t in texts[at:at + 256]:
+                units = self.units(t) if t else []
+                ids = list(map(memo.get, units))
+                gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+                missing.update([units[i] for i in gaps])
+                chunk.append((units, ids, gaps))
             if missing:
                 self._learn(missing)
-            memo = self.memo
-            out += [b"".join([memo[u] for u in units]) for units in cut]
+            for units, ids, gaps in chunk:
+                for i in gaps:
+                    ids[i] = memo[units[i]]
+                out.append(b"".join(ids))
         return out

@@ -28,16 +28,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codecorpus.llm.common import scratch, stored
-from codecorpus.llm.tokens import UnitEncoder, byte_units
+from codecorpus.llm.tokens import UnitEncoder, byte_units, shared
 
 MAGIC = b"WVM1"
 
 
 class WaveletMatrix:
-    """Bit-planes, most significant first; a plane is stably parted, zeros before ones, for the next."""
+    """Bit-planes of symbol numbers, most significant first; a plane is stably
+    parted, zeros before ones, for the next. ``symbols`` are the distinct ids."""
 
-    def __init__(self, planes: list[np.ndarray], n: int):
-        self.planes, self.n, self.bits = planes, n, len(planes)
+    def __init__(self, planes: list[np.ndarray], n: int, symbols: np.ndarray):
+        self.planes, self.n, self.bits, self.symbols = planes, n, len(planes), symbols
         ones = [np.concatenate([[0], np.cumsum(np.bitwise_count(p), dtype=np.int64)]) for p in planes]
         self.ones_before = ones
         self.zeros = [n - int(o[-1]) for o in ones]
@@ -45,15 +46,22 @@ class WaveletMatrix:
     @staticmethod
     def build(ids: np.ndarray) -> WaveletMatrix:
         n = len(ids)
-        bits = max(1, int(ids.max()).bit_length()) if n else 1
-        cur = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        symbols = np.flatnonzero(np.bincount(ids)) if n and ids.max() < 1 << 22 else np.unique(ids)
+        bits = max(1, (len(symbols) - 1).bit_length()) if n else 1
+        if n and symbols[-1] < 1 << 22:
+            number = np.zeros(int(symbols[-1]) + 1, dtype=np.uint32)
+            number[symbols] = np.arange(len(symbols))
+            cur = number[ids]
+        else:
+            cur = np.searchsorted(symbols, ids)
+        cur = cur.astype(np.uint16 if bits <= 16 else np.uint32)
         planes = []
         for level in range(bits - 1, -1, -1):
             bit = ((cur >> cur.dtype.type(level)) & 1).astype(bool)
             packed = np.packbits(bit, bitorder="little")
             planes.append(np.frombuffer(packed.tobytes() + bytes(-len(packed) % 8), dtype="<u8"))
             cur = np.concatenate([cur[~bit], cur[bit]])
-        return WaveletMatrix(planes, n)
+        return WaveletMatrix(planes, n, symbols.astype("<u4"))
 
     def _bits(self, level: int) -> np.ndarray:
         return np.unpackbits(self.planes[level].view(np.uint8), count=self.n, bitorder="little").astype(bool)
@@ -87,11 +95,16 @@ class WaveletMatrix:
             ones = self._rank1(level, pos)
             out = out * 2 + one
             pos = np.where(one, self.zeros[level] + ones, pos - ones)
-        return out
+        return self.symbols[out]
+
+    def _number(self, symbol: int) -> int:
+        """The symbol's number, or -1."""
+        at = int(np.searchsorted(self.symbols, symbol))
+        return at if at < len(self.symbols) and self.symbols[at] == symbol else -1
 
     def _range(self, symbol: int, lo: int, hi: int) -> tuple[int, int]:
-        """Where the copies of ``symbol`` among positions [lo, hi) end up below the last plane."""
-        if symbol < 0 or symbol >> self.bits:
+        """Where the copies of a symbol number among positions [lo, hi) end up below the last plane."""
+        if symbol < 0:
             return 0, 0
         for level in range(self.bits):
             a, b = self._rank1(level, np.array([lo, hi]))
@@ -103,11 +116,12 @@ class WaveletMatrix:
 
     def count(self, symbol: int, lo: int = 0, hi: int | None = None) -> int:
         """Occurrences of ``symbol`` among positions [lo, hi)."""
-        a, b = self._range(symbol, lo, self.n if hi is None else hi)
+        a, b = self._range(self._number(symbol), lo, self.n if hi is None else hi)
         return b - a
 
     def occurrences(self, symbol: int, lo: int = 0, hi: int | None = None) -> np.ndarray:
         """Positions of ``symbol`` in [lo, hi), ascending."""
+        symbol = self._number(symbol)
         a, b = self._range(symbol, lo, self.n if hi is None else hi)
         pos = np.arange(a, b, dtype=np.int64)
         for level in range(self.bits - 1, -1, -1):
@@ -127,16 +141,16 @@ class WaveletMatrix:
             prev[~bit] = cur[:self.zeros[level]]
             prev[bit] = cur[self.zeros[level]:]
             cur = prev | (bit.astype(kind) << kind(self.bits - 1 - level))
-        return cur
+        return self.symbols[cur]
 
     def to_bytes(self, doc_ids: pa.Array, lengths: np.ndarray) -> bytes:
-        """The file: magic, n, planes, then length-prefixed sections (documents, planes)."""
+        """The file: magic, n, planes, then length-prefixed sections (documents, symbols, planes)."""
         docs = io.BytesIO()
         t = pa.table({"doc_id": doc_ids, "length": pa.array(lengths, type=pa.int64())})
         with pa.ipc.new_stream(docs, t.schema) as w:
             w.write_table(t)
         z = zstandard.ZstdCompressor(level=1)
-        parts = [z.compress(docs.getvalue()), *[z.compress(p.tobytes()) for p in self.planes]]
+        parts = [z.compress(docs.getvalue()), z.compress(self.symbols.tobytes()), *[z.compress(p.tobytes()) for p in self.planes]]
         return MAGIC + struct.pack("<QI", self.n, self.bits) + b"".join(struct.pack("<Q", len(p)) + p for p in parts)
 
     @staticmethod
@@ -146,13 +160,14 @@ class WaveletMatrix:
             raise ValueError("not a wavelet matrix file")
         n, bits = struct.unpack_from("<QI", data, 4)
         at, parts, z = 16, [], zstandard.ZstdDecompressor()
-        for _ in range(bits + 1):
+        for _ in range(bits + 2):
             (size,) = struct.unpack_from("<Q", data, at)
             parts.append(z.decompress(data[at + 8:at + 8 + size]))
             at += 8 + size
         t = pa.ipc.open_stream(parts[0]).read_all().combine_chunks()
         ids = t["doc_id"].combine_chunks()
-        return ids, t["length"].to_numpy(), WaveletMatrix([np.frombuffer(p, dtype="<u8") for p in parts[1:]], n)
+        return ids, t["length"].to_numpy(), WaveletMatrix(
+            [np.frombuffer(p, dtype="<u8") for p in parts[2:]], n, np.frombuffer(parts[1], dtype="<u4"))
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 0, shards: int | None = None,
@@ -168,7 +183,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(tokenizer, byte_units)
+        encoder = shared(UnitEncoder, tokenizer, byte_units)
         fs, base = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         task = TaskContext.get()

@@ -114,9 +114,11 @@ def edit_outcomes(outcomes: DataFrame) -> DataFrame:
 
 
 def create_only(files: DataFrame, requests: DataFrame) -> DataFrame:
-    """``create_only``: a create fails for a path that its repo already has."""
-    there = _with_repo(files).select(*KEY).distinct().withColumn("_there", F.lit(True))
-    return (_with_repo(requests).join(there, KEY, "left")
+    """``create_only``: a create fails for a path that its repo already has
+    (that any repo has, where the request names none)."""
+    key = KEY if "repo_id" in requests.columns else ["path"]
+    there = _with_repo(files).select(*key).distinct().withColumn("_there", F.lit(True))
+    return (requests.join(there, key, "left")
             .withColumn("status", F.when(F.col("_there"), "exists").otherwise("created")).drop("_there"))
 
 

@@ -7,16 +7,19 @@ it stays in the worker's memo. The ids are those of encoding the whole text.
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import gc
 import os
 import re
 import string
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 #: Byte-level models write bytes as signs: printable Latin-1 as it is, the others from 256 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_SIGNS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+SPACE_SIGN = chr(BYTE_SIGNS[32])
 #: Before a single space between two characters that are no white space.
 SPACE_BEFORE_WORD = re.compile(r"(?<=\S)(?= \S)")
 #: Where a text holds none of these, its words are divided by single spaces and line ends inside words only.
@@ -69,6 +72,25 @@ def shared(kind: type, *args):
     return kind(*args)
 
 
+@contextlib.contextmanager
+def no_cycle_search() -> Iterator[None]:
+    """Pauses the collector of reference cycles: encoding makes many short-lived lists and no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+def byte_signs(word: str) -> str:
+    """A word of letters, with or without a space before it, as a byte-level model writes its bytes."""
+    if word.isascii():
+        return SPACE_SIGN + word[1:] if word[0] == " " else word
+    return word.encode().decode("latin-1").translate(BYTE_SIGNS)
+
+
 class UnitEncoder:
     """Encodes batches of texts to little-endian uint32 bytes.
 
@@ -100,10 +122,9 @@ class UnitEncoder:
                 continue
             text = self.text_of(u)
             letters = text[1:] if text[:1] == " " else text
-            if letters.isalpha() and max(letters) < "\u0250" and "\u0130" not in letters:
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0250" and "\u0130" not in letters):
                 # one word of Latin letters: the BPE model alone, without the steps around it
-                mapped = self.fold(text).encode().decode("latin-1").translate(BYTE_SIGNS)
-                memo[u] = array("I", [t.id for t in tokenize(mapped)]).tobytes()
+                memo[u] = array("I", [t.id for t in tokenize(byte_signs(self.fold(text)))]).tobytes()
             else:
                 rest.append(u)
         encoded = self.tokenizer.encode_batch([self.text_of(u) for u in rest], add_special_tokens=False)
@@ -112,6 +133,7 @@ class UnitEncoder:
         for u, (head, tail) in split.items():
             self.memo[u] = self.memo[head] + self.memo[tail]
 
+    @no_cycle_search()
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for at in range(0, len(texts), 256):

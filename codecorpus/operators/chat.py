@@ -51,17 +51,27 @@ def resolve_model(df: DataFrame, model_col: str = "model") -> DataFrame:
                .drop("_cat_model", "catalog_no"))
 
 
-def list_models(spark: SparkSession, provider: str | None = None) -> DataFrame:
-    """K3: catalog names, optionally for one provider, sorted."""
+def _catalog(spark: SparkSession, column: str, used: DataFrame | None) -> DataFrame:
+    """The catalog, or its rows whose ``column`` occurs in ``used``. Names in
+    ``used`` are free text; only those of the catalog are kept before the join."""
     m = dims.models_df(spark)
+    if used is None:
+        return m
+    known = used.join(F.broadcast(m.select(column).distinct()), column, "left_semi").select(column).distinct()
+    return m.join(known, column, "left_semi")
+
+
+def list_models(spark: SparkSession, provider: str | None = None, used: DataFrame | None = None) -> DataFrame:
+    """K3: catalog names, optionally for one provider or the providers in ``used``, sorted."""
+    m = _catalog(spark, "provider", used)
     if provider:
         m = m.filter(F.col("provider") == provider)
     return m.select("model", "provider").orderBy("model")
 
 
-def model_table(spark: SparkSession) -> DataFrame:
-    """K4: one formatted line per model, sorted by provider, stable on catalog order."""
-    m = dims.models_df(spark)
+def model_table(spark: SparkSession, used: DataFrame | None = None) -> DataFrame:
+    """K4: one formatted line per model (of those in ``used``), sorted by provider, stable on catalog order."""
+    m = _catalog(spark, "model", used)
     line = F.format_string("%-45s %-12s %,8d %,6d %8.4f %6s", "model", "provider", "context_window",
                            "max_output", "cost_per_1k_input",
                            F.when(F.col("supports_vision"), "✓").otherwise(""))
@@ -105,8 +115,9 @@ def context_tokens(files: DataFrame, chat_files: DataFrame, messages: DataFrame)
 
 
 def session_usage(messages: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Per session usage: prompt (system+user) and completion (assistant) tokens, cost."""
+    """Per session usage: prompt (system+user) and completion (assistant) tokens, cost in exact decimals."""
     tok = count_tokens("content")
+    thousandth = F.lit(0.001).cast("decimal(4,3)")
     per = (messages.groupBy("conv_id")
            .agg(F.sum(F.when(F.col("role").isin("system", "user"), tok).otherwise(0)).alias("prompt_tokens"),
                 F.sum(F.when(F.col("role") == "assistant", tok).otherwise(0)).alias("completion_tokens")))
@@ -114,8 +125,10 @@ def session_usage(messages: DataFrame, sessions: DataFrame) -> DataFrame:
                                        "cost_per_1k_input", "cost_per_1k_output")
     return (per.join(s, "conv_id")
             .withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
-            .withColumn("cost_usd", F.col("prompt_tokens") / 1000 * F.col("cost_per_1k_input")
-                        + F.col("completion_tokens") / 1000 * F.col("cost_per_1k_output")))
+            .withColumn("cost", F.col("prompt_tokens").cast("decimal(20,0)")
+                        * F.col("cost_per_1k_input").cast("decimal(12,8)") * thousandth
+                        + F.col("completion_tokens").cast("decimal(20,0)")
+                        * F.col("cost_per_1k_output").cast("decimal(12,8)") * thousandth))
 
 
 def usage_cost(messages: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -126,7 +139,7 @@ def usage_cost(messages: DataFrame, sessions: DataFrame) -> DataFrame:
                  F.sum("prompt_tokens").alias("prompt_tokens"),
                  F.sum("completion_tokens").alias("completion_tokens"),
                  F.sum("total_tokens").alias("total_tokens"),
-                 F.round(F.sum("cost_usd"), 8).alias("cost_usd")))
+                 F.round(F.sum("cost"), 8).cast("double").alias("cost_usd")))
 
 
 def cost_string(prompt: Column, completion: Column, cost: Column) -> Column:
@@ -248,25 +261,18 @@ def message_json(messages: DataFrame) -> DataFrame:
 
 
 def drop_files(chat_files: DataFrame, drops: DataFrame) -> DataFrame:
-    """J-4: a drop request removes only the first file (add order) of its
-    session whose path equals the request or whose basename equals the
-    request's basename.
+    """J-4: every drop request removes the first remaining file (add order) of
+    its session whose path or basename it names.
 
-    The OR predicate is planned as two equi-joins (on path, on basename)
-    unioned -- never a nested-loop join -- then the first candidate per
-    request wins and is removed with a left anti join.
+    A file with the request's path has its basename too, so requests for one
+    basename take that many files of it from the front, whatever their order:
+    requests are counted map-side and met by one equi-join.
     """
     from codecorpus.functions.text import basename
-    cf = chat_files.select("conv_id", "repo_id", "path", "seq",
-                           basename(F.col("path")).alias("_name")).alias("c")
-    d = drops.select("conv_id", "drop_id", "drop_path", basename(F.col("drop_path")).alias("_dname")).alias("d")
-    cols = [F.col("d.conv_id"), F.col("d.drop_id"), F.col("c.repo_id"), F.col("c.path"), F.col("c.seq")]
-    by_path = d.join(cf, (F.col("d.conv_id") == F.col("c.conv_id"))
-                     & (F.col("d.drop_path") == F.col("c.path"))).select(*cols)
-    by_name = d.join(cf, (F.col("d.conv_id") == F.col("c.conv_id"))
-                     & (F.col("d._dname") == F.col("c._name"))).select(*cols)
-    w = Window.partitionBy("conv_id", "drop_id").orderBy("seq", "repo_id", "path")
-    first = (by_path.unionByName(by_name).distinct()
-             .withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-             .select("conv_id", "repo_id", "path"))
-    return chat_files.join(first, ["conv_id", "repo_id", "path"], "left_anti")
+    key = ["conv_id", "_name"]
+    n = (drops.select("conv_id", basename(F.col("drop_path")).alias("_name"))
+         .groupBy(*key).agg(F.count(F.lit(1)).alias("_dropped")))
+    w = Window.partitionBy(*key).orderBy("seq", "repo_id", "path")
+    return (chat_files.withColumn("_name", basename(F.col("path"))).withColumn("_rn", F.row_number().over(w))
+            .join(n, key, "left").filter(F.col("_rn") > F.coalesce("_dropped", F.lit(0)))
+            .select(*chat_files.columns))

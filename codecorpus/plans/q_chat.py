@@ -121,24 +121,6 @@ _USAGE_SQL = f"""u AS (
         FROM conversations GROUP BY conv_id) p JOIN m_resolved r ON r.conv_id = p.conv_id)"""
 
 
-def _session_usage_exact(spark):
-    """Per-session usage with the cost in exact decimal arithmetic."""
-    m = _messages(spark)
-    s = chat.resolve_model(spark.table("v_sessions"))
-    t = count_tokens("content")
-    per = (m.groupBy("conv_id")
-           .agg(F.sum(F.when(F.col("role").isin("system", "user"), t).otherwise(0)).alias("prompt_tokens"),
-                F.sum(F.when(F.col("role") == "assistant", t).otherwise(0)).alias("completion_tokens")))
-    dec = (F.col("prompt_tokens").cast("decimal(20,0)") * F.col("cost_per_1k_input").cast("decimal(12,8)")
-           * F.lit(0.001).cast("decimal(4,3)")
-           + F.col("completion_tokens").cast("decimal(20,0)") * F.col("cost_per_1k_output").cast("decimal(12,8)")
-           * F.lit(0.001).cast("decimal(4,3)"))
-    return (per.join(s.select("conv_id", "resolved", "provider", "cost_per_1k_input", "cost_per_1k_output"),
-                     "conv_id")
-            .withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
-            .withColumn("cost", dec))
-
-
 @query("usage_cost", ["v_sessions"], sql="WITH " + catalog_ctes() + ",\n" + _USAGE_SQL + """
 SELECT provider, resolved AS model, count(*) AS sessions, sum(prompt_tokens) AS prompt_tokens,
   sum(completion_tokens) AS completion_tokens, sum(total_tokens) AS total_tokens,
@@ -146,12 +128,7 @@ SELECT provider, resolved AS model, count(*) AS sessions, sum(prompt_tokens) AS
 FROM u GROUP BY provider, resolved""")
 def q_usage_cost(spark):
     """A3: usage and cost summed per provider and canonical model."""
-    u = _session_usage_exact(spark)
-    return (u.groupBy("provider", F.col("resolved").alias("model"))
-            .agg(F.count(F.lit(1)).alias("sessions"), F.sum("prompt_tokens").alias("prompt_tokens"),
-                 F.sum("completion_tokens").alias("completion_tokens"),
-                 F.sum("total_tokens").alias("total_tokens"),
-                 F.round(F.sum("cost"), 8).cast("double").alias("cost_usd")))
+    return chat.usage_cost(_messages(spark), spark.table("v_sessions"))
 
 
 @query("cost_string", ["v_sessions"], sql="WITH " + catalog_ctes() + ",\n" + _USAGE_SQL + """
@@ -160,7 +137,7 @@ SELECT conv_id, 'Tokens: ' || format('{:,}', total_tokens) || ' (' || format('{:
 FROM u""")
 def q_cost_string(spark):
     """The usage line of every session."""
-    u = _session_usage_exact(spark)
+    u = chat.session_usage(_messages(spark), spark.table("v_sessions"))
     return u.select("conv_id", chat.cost_string(F.col("prompt_tokens"), F.col("completion_tokens"),
                                                 F.round("cost", 4).cast("double")).alias("cost_line"))
 
@@ -170,10 +147,15 @@ def q_cost_string(spark):
 SELECT m.model, m.provider FROM m_models m WHERE m.provider IN (SELECT provider FROM m_resolved)""")
 def q_list_models(spark):
     """K3: sorted catalog names of every provider the sessions use."""
-    used = chat.resolve_model(spark.table("v_sessions")).select("provider").distinct()
-    from codecorpus.dims import models_df
-    return (models_df(spark).join(F.broadcast(used), "provider", "left_semi")
-            .select("model", "provider").orderBy("provider", "model"))
+    return chat.list_models(spark, used=chat.resolve_model(spark.table("v_sessions")))
+
+
+@query("list_provider_models", ["v_sessions"], sql="WITH " + catalog_ctes() + """
+SELECT m.model, m.provider FROM m_models m
+WHERE m.provider = 'openai' AND m.provider IN (SELECT provider FROM m_resolved)""")
+def q_list_provider_models(spark):
+    """K3: the catalog names of one provider, if sessions use it."""
+    return chat.list_models(spark, "openai", chat.resolve_model(spark.table("v_sessions")))
 
 
 @query("model_table", ["v_sessions"], sql="WITH " + catalog_ctes() + """
@@ -184,17 +166,8 @@ SELECT CAST(row_number() OVER (ORDER BY provider, catalog_no) AS INTEGER) AS lin
 FROM m_models WHERE model IN (SELECT resolved FROM m_resolved)""")
 def q_model_table(spark):
     """K4: formatted catalog lines (provider order, stable) for the models in use."""
-    used = chat.resolve_model(spark.table("v_sessions")).select(F.col("resolved").alias("model")).distinct()
-    t = chat.model_table(spark)
-    from codecorpus.dims import models_df
-    keep = models_df(spark).join(F.broadcast(used), "model", "left_semi")
-    from pyspark.sql import Window
-    line = F.format_string("%-45s %-12s %,8d %,6d %8.4f %6s", "model", "provider", "context_window",
-                           "max_output", "cost_per_1k_input",
-                           F.when(F.col("supports_vision"), "✓").otherwise(""))
-    del t
-    return keep.select(F.row_number().over(Window.orderBy("provider", "catalog_no")).alias("line_no"),
-                       "model", line.alias("line"))
+    used = chat.resolve_model(spark.table("v_sessions")).select(F.col("resolved").alias("model"))
+    return chat.model_table(spark, used)
 
 
 # ---------------------------------------------------------------- W1 / W2 / W7
@@ -306,12 +279,12 @@ def q_assemble_chunks(spark):
 
 @query("drop_files", ["v_chat_files", "v_drops"], sql=f"""
 WITH cf AS {_DEDUP_SQL},
-cand AS (SELECT DISTINCT d.conv_id, d.drop_id, c.repo_id, c.path, c.seq FROM v_drops d JOIN cf c ON c.conv_id = d.conv_id
-         AND (c.path = d.drop_path OR string_split(c.path, '/')[-1] = string_split(d.drop_path, '/')[-1])),
-first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, drop_id ORDER BY seq, repo_id, path) AS rn
-                         FROM cand) x WHERE rn = 1)
-SELECT conv_id, repo_id, path, seq FROM cf c
-WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.conv_id = c.conv_id AND f.repo_id = c.repo_id AND f.path = c.path)""")
+nth_file AS (SELECT *, string_split(path, '/')[-1] AS name, row_number() OVER (
+               PARTITION BY conv_id, string_split(path, '/')[-1] ORDER BY seq, repo_id, path) AS n FROM cf),
+nth_drop AS (SELECT *, string_split(drop_path, '/')[-1] AS name, row_number() OVER (
+               PARTITION BY conv_id, string_split(drop_path, '/')[-1] ORDER BY drop_id) AS n FROM v_drops)
+SELECT conv_id, repo_id, path, seq FROM nth_file f
+WHERE NOT EXISTS (SELECT 1 FROM nth_drop d WHERE d.conv_id = f.conv_id AND d.name = f.name AND d.n = f.n)""")
 def q_drop_files(spark):
     """J-4: session files left after each /drop (first match by path or basename removed)."""
     cf = chat.dedupe_files(spark.table("v_chat_files"))

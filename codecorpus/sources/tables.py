@@ -219,13 +219,14 @@ FROM conversations
 """)
 
 
-# v_drops: one /drop request per session: its last-added file by full path,
-# by basename under another folder, or a name that matches nothing
-_view("v_drops", """
-SELECT conv_id, 1 AS drop_id, CASE conv_id % 3 WHEN 0 THEN path WHEN 1 THEN 'elsewhere/' || split_part(path, '/', 2)
-    ELSE 'nope.py' END AS drop_path
-FROM (SELECT conv_id, path, row_number() OVER (PARTITION BY conv_id ORDER BY seq DESC) AS rn FROM v_chat_files) c
-WHERE rn = 1
+# v_drops: a /drop request for every second file of a session and, where seq % 4 = 0, the same once more:
+# by full path, by basename under another folder, or a name that matches nothing
+_DROP_PATH = """CASE (conv_id + seq) % 3 WHEN 0 THEN path WHEN 1 THEN 'elsewhere/' || split_part(path, '/', 2)
+    ELSE 'nope.py' END AS drop_path"""
+_view("v_drops", f"""
+SELECT conv_id, 2 * seq AS drop_id, {_DROP_PATH} FROM v_chat_files WHERE seq % 2 = 0
+UNION ALL
+SELECT conv_id, 2 * seq + 1 AS drop_id, {_DROP_PATH} FROM v_chat_files WHERE seq % 4 = 0
 """, ["v_chat_files"])
 
 

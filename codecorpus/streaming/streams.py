@@ -7,14 +7,15 @@
 * T2 is stateful per ``response_id`` with ``applyInPandasWithState``: deltas
   accumulate in state and the reply is emitted (and its state dropped) when
   its end marker arrives, so state is bounded by the replies still open.
-  With an event-time column, ``EventTimeTimeout`` + a watermark would flush
-  abandoned replies; a processing-time timeout is not used because it makes
+  With an event-time column and a timeout, abandoned replies are flushed by
+  the watermark; a processing-time timeout is not used because it makes
   every trigger schedule another batch (``availableNow`` would never end).
 * T3 runs the symbol extractor on a stream of changed files and appends
   tags with the batch id; the current index is "latest batch per path"
   (append-only, no rewrite of the whole index per batch).
 
-Checkpoints and sinks live under the shared ``spark.checkpoint.dir``.
+Checkpoint and sink live in the folder ``run``, which a later call with the
+same folder resumes; by default a fresh one under the shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -61,9 +62,9 @@ def run_available_now(df: DataFrame, out_dir: str, ckpt: str, fmt: str = "parque
     q.awaitTermination()
 
 
-def stream_file_events(spark: SparkSession, sf_dir: str, callback=None) -> str:
+def stream_file_events(spark: SparkSession, sf_dir: str, callback=None, run: str | None = None) -> str:
     """T1 end to end; returns the event-log folder the callback appended to."""
-    run = checkpoint_path(spark, f"t1-{uuid.uuid4().hex}")
+    run = run or checkpoint_path(spark, f"t1-{uuid.uuid4().hex}")
     ev = watch_filter(_view_on(spark, table_stream(spark, sf_dir, "events"), "v_file_events", "events"))
     out = run + "/events"
 
@@ -102,52 +103,75 @@ def chunk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("seq") == F.col("_n") - 1).alias("is_last"))
 
 
-def _assemble(key, pdfs, state):
+def _reply(response_id: int, parts: dict, complete: bool):
     import pandas as pd
-    if state.hasTimedOut:
-        seqs, deltas, _ = state.get
-        state.remove()
-        order = sorted(range(len(seqs)), key=lambda i: seqs[i])
-        txt = "".join(deltas[i] for i in order if deltas[i])
-        yield pd.DataFrame([(key[0], txt, sum(1 for d in deltas if d is not None), False)],
-                           columns=["response_id", "text", "n_chunks", "complete"])
-        return
-    seqs, deltas, last = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], None)
-    for pdf in pdfs:
-        seqs.extend(int(s) for s in pdf["seq"])
-        deltas.extend(None if d is None or (isinstance(d, float)) else d for d in pdf["delta"])
-        ends = pdf.loc[pdf["is_last"], "seq"]
-        if len(ends):
-            last = int(ends.max())
-    if last is not None and len(set(seqs)) >= last + 1:
-        state.remove()
-        order = sorted(range(len(seqs)), key=lambda i: seqs[i])
-        txt = "".join(deltas[i] for i in order if deltas[i])
-        yield pd.DataFrame([(key[0], txt, sum(1 for d in deltas if d is not None), True)],
-                           columns=["response_id", "text", "n_chunks", "complete"])
-    else:
-        state.update((seqs, deltas, last))
-
-
-def stream_assemble_reply(spark: SparkSession, sf_dir: str) -> str:
-    """T2 end to end; returns the folder of assembled replies."""
+    return pd.DataFrame([(response_id, "".join(parts[q] or "" for q in sorted(parts)),
+                          sum(d is not None for d in parts.values()), complete)],
+                        columns=["response_id", "text", "n_chunks", "complete"])
+
+
+def _assembler(timeout_ms: int | None):
+    """The state function: one delta a seq, so a chunk delivered again changes nothing."""
+
+    def assemble(key, pdfs, state):
+        parts, last = {}, None
+        if state.exists:
+            seqs, deltas, last = state.get
+            parts = dict(zip(seqs, deltas, strict=True))
+        if state.hasTimedOut:
+            state.remove()
+            yield _reply(key[0], parts, False)
+            return
+        newest = 0
+        for pdf in pdfs:
+            for q, d in zip(pdf["seq"], pdf["delta"], strict=True):
+                parts.setdefault(int(q), d if isinstance(d, str) else None)
+            ends = pdf.loc[pdf["is_last"], "seq"]
+            if len(ends):
+                last = int(ends.max())
+            if timeout_ms is not None:
+                newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
+        if last is not None and len(parts) > last:
+            if state.exists:
+                state.remove()
+            yield _reply(key[0], parts, True)
+            return
+        state.update((list(parts), list(parts.values()), last))
+        if timeout_ms is not None:
+            state.setTimeoutTimestamp(max(newest + timeout_ms, state.getCurrentWatermarkMs() + 1))
+
+    return assemble
+
+
+def assemble_replies(chunks: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+    """(response_id, text, n_chunks, complete) of a stream of (response_id,
+    seq, delta, is_last), seq from 0.
+
+    A reply is emitted when all of its chunks have come. With ``timeout_ms``
+    the stream also has an event time ``ts`` with a watermark, and a reply
+    without a new chunk for that long is emitted as it is (``complete`` false)
+    and its state freed. Without it, an abandoned reply stays in the state.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
-    run = checkpoint_path(spark, f"t2-{uuid.uuid4().hex}")
-    c = chunk_stream(spark, sf_dir)
-    out = (c.groupBy("response_id")
-           .applyInPandasWithState(_assemble, CHUNK_OUT, CHUNK_STATE, "append",
-                                   GroupStateTimeout.NoTimeout))
-    run_available_now(out, run + "/out", run + "/ckpt")
+    mode = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.EventTimeTimeout
+    return (chunks.groupBy("response_id")
+            .applyInPandasWithState(_assembler(timeout_ms), CHUNK_OUT, CHUNK_STATE, "append", mode))
+
+
+def stream_assemble_reply(spark: SparkSession, sf_dir: str, run: str | None = None) -> str:
+    """T2 end to end; returns the folder of assembled replies."""
+    run = run or checkpoint_path(spark, f"t2-{uuid.uuid4().hex}")
+    run_available_now(assemble_replies(chunk_stream(spark, sf_dir)), run + "/out", run + "/ckpt")
     return run + "/out"
 
 
 # ---------------------------------------------------------------------------
 # T3
 # ---------------------------------------------------------------------------
-def stream_symbol_index(spark: SparkSession, sf_dir: str) -> str:
+def stream_symbol_index(spark: SparkSession, sf_dir: str, run: str | None = None) -> str:
     """S1 on a stream of changed files; tags appended with their batch id."""
     from codecorpus.operators.corpus import extract_symbols
-    run = checkpoint_path(spark, f"t3-{uuid.uuid4().hex}")
+    run = run or checkpoint_path(spark, f"t3-{uuid.uuid4().hex}")
     files = _view_on(spark, table_stream(spark, sf_dir, "documents"), "v_files", "documents")
     out = run + "/tags"
 

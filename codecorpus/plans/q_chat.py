@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codecorpus import dims
@@ -297,20 +298,21 @@ _SYSTEM_HEAD = "You are an expert software engineer working in a repository.\n\n
 @query("render_prompt", ["v_chat_files", "v_files", "conversations"])
 def q_render_prompt(spark):
     """Per session, system prompt (repo map of its first file's repo + files
-    section + edit-format note) and the message count sent (system + last 20 + current)."""
+    section + edit-format note) as length, tokens and md5, and the message count sent
+    (system, up to 20 before the current one, current)."""
     from codecorpus.operators import repomap
     cf = chat.dedupe_files(spark.table("v_chat_files"))
-    w = __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("conv_id").orderBy("seq")
+    w = Window.partitionBy("conv_id").orderBy("seq")
     primary = cf.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("conv_id", "repo_id")
     maps = repomap.repo_map(spark.table("v_files"))
     fs = chat.files_section(spark.table("v_files"), spark.table("v_chat_files"))
-    hist = chat.last_n_messages(_messages(spark), dims.HISTORY_MESSAGES).groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_history"))
+    sent = _messages(spark).groupBy("conv_id").agg(
+        (F.least(F.count(F.lit(1)) - 1, F.lit(dims.HISTORY_MESSAGES)) + 2).alias("n_messages"))
     prompt = F.concat(F.lit(_SYSTEM_HEAD),
                       F.when(F.coalesce(F.col("repo_map"), F.lit("")) == "", F.lit("(no repo map available)"))
                        .otherwise(F.concat(F.lit("\n"), F.col("repo_map"), F.lit("\n"))),
                       F.lit("\n\n## Files in chat\n\n"), F.coalesce(F.col("files_section"), F.lit(chat._FILES_PLACEHOLDER)),
                       F.lit("\n\nReply with SEARCH/REPLACE blocks."))
-    return (hist.join(primary, "conv_id", "left").join(maps, "repo_id", "left").join(fs, "conv_id", "left")
-            .select("conv_id", (F.col("n_history") + 2).alias("n_messages"),
-                    F.length(prompt).alias("prompt_chars"), count_tokens(prompt).alias("prompt_tokens")))
+    return (sent.join(primary, "conv_id", "left").join(maps, "repo_id", "left").join(fs, "conv_id", "left")
+            .select("conv_id", "n_messages", F.length(prompt).alias("prompt_chars"),
+                    count_tokens(prompt).alias("prompt_tokens"), F.md5(prompt).alias("prompt_md5")))

@@ -40,11 +40,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is. Only when it is unset (local tests) do we pick a fresh
-    scratch folder.
+    used as is. Only a local session without it (tests) gets a fresh scratch
+    folder; elsewhere each machine would write to a folder of its own.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         cur = tempfile.mkdtemp(prefix="codecorpus-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     spark.sparkContext.setCheckpointDir(cur)

@@ -12,7 +12,10 @@ scored again in double precision on the original vectors.
 
 Per node the graph keeps ``k`` links and meets at most ``k`` reverse ones (the
 nearest): the approximation of the method, measured by its recall. Every
-vector is a node. Bounded broadcasts: ``pivots`` vectors.
+vector is a node. Links and entry points grow with the number of nodes, and a
+fixed block of queries is compared with brute force: ``ef`` grows until the
+walk finds ``RECALL`` of their neighbours, and the other queries walk with it.
+Broadcasts: entry points (the root of the number of nodes) and the block.
 
 Edge cases: vectors null, empty, zero, with null or non-finite components, or
 of another length than most, take no part, nor do null ids; of rows with the
@@ -22,6 +25,8 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +39,12 @@ from codecorpus.llm.common import release, stored
 
 #: Cells of the first graph hold about so many nodes.
 CELL = 128
+#: Cells of the first graph at most.
+CELLS = 512
+#: Queries that are compared with brute force, and the share of their neighbours to be found.
+BLOCK, RECALL = 200, 0.93
+#: Queries compared with the entry points at once.
+STARTS = 1024
 
 
 def valid_vectors(vectors: DataFrame, id_col: str = "vec_id") -> DataFrame:
@@ -76,9 +87,12 @@ def _top(df: DataFrame, by: str, n: int, *order) -> DataFrame:
 
 @dataclass
 class Index:
-    """nodes: (node, ids, raw, unit); links: (u, v, sim), at most k for each u; pivots: (node, unit) of a sample."""
+    """vectors: (id, raw, unit); nodes: (node, ids, raw, unit), ``size`` of them; links: (u, v, sim), at most k
+    for each u; pivots: (node, unit) of a sample."""
 
+    vectors: DataFrame
     nodes: DataFrame
+    size: int
     links: DataFrame
     pivots: list[tuple[int, bytes]]
 
@@ -129,24 +143,35 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(cat(sims, np.float32))], names=["u", "v", "sim"])
 
 
-def build(vectors: DataFrame, *, k: int = 32, rounds: int = 12, copies: int = 6, pivots: int = 512) -> Index:
-    """The graph over all valid vectors; each node keeps its ``copies`` smallest ids."""
+def links_for(n: int) -> int:
+    """Links a node: 32, and 8 more whenever the nodes double beyond 32,768."""
+    return 32 + 8 * max(0, math.ceil(math.log2(max(n, 1))) - 15)
+
+
+def build(vectors: DataFrame, *, k: int | None = None, rounds: int | None = None, copies: int = 6,
+          pivots: int | None = None) -> Index:
+    """The graph over all valid vectors; each node keeps its ``copies`` smallest ids.
+
+    ``k`` and ``pivots`` follow the number of nodes unless given; without
+    ``rounds`` the graph is improved until hardly any link changes.
+    """
     spark = vectors.sparkSession
     valid = stored(valid_vectors(vectors), "nn-valid")
     nodes = stored(_top(valid, "raw", copies, "id").groupBy("raw").agg(
         F.min("id").alias("node"), F.sort_array(F.collect_list("id")).alias("ids"), F.min("unit").alias("unit")),
         "nn-nodes")
+    n = nodes.count()
+    k, pivots = k or links_for(n), pivots or max(512, 2 * math.isqrt(n))
     some = [(r["node"], bytes(r["unit"])) for r in
             nodes.select("node", "unit").orderBy(F.xxhash64("node"), "node").limit(2 * pivots).collect()]
     empty = spark.createDataFrame([], "u long, v long, sim float, fresh boolean")
     if len(some) < 2:
-        return Index(nodes, empty, some)
+        return Index(valid, nodes, n, empty, some)
     matrix = np.frombuffer(b"".join(x for _, x in some), dtype="<f2").reshape(len(some), -1).astype(np.float32)
-    n = nodes.count()
-    use = int(np.clip(n // CELL, 1, pivots))
+    use = int(np.clip(n // CELL, 1, min(pivots, CELLS)))
     first = _first_links(nodes, matrix[:use], k).unionByName(_first_links(nodes, matrix[-use:], k))
     links = stored(_top(first.distinct(), "u", k, F.desc("sim"), "v").withColumn("fresh", F.lit(True)), "nn-links")
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         back = _top(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "fresh"), "u", k, F.desc("sim"), "v")
         both = links.unionByName(back).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
         worst = links.groupBy("u").agg(F.when(F.count("*") >= k, F.min("sim")).alias("worst"))
@@ -163,24 +188,78 @@ def build(vectors: DataFrame, *, k: int = 32, rounds: int = 12, copies: int = 6,
         release(spark)
         if links.where("fresh").count() <= 0.002 * n * k:
             break
-    return Index(nodes, links.select("u", "v", "sim"), some)
+    return Index(valid, nodes, n, links.select("u", "v", "sim"), some)
 
 
-def search(index: Index, queries: DataFrame, *, k: int = 5, ef: int = 160, width: int = 16) -> DataFrame:
+def search(index: Index, queries: DataFrame, *, k: int = 5, ef: int | None = None, width: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for every valid
-    row of ``queries`` (vec_id, embedding), but not the row's own id."""
+    row of ``queries`` (vec_id, embedding), but not the row's own id.
+
+    Without ``ef`` it grows until the walk of a block of queries finds
+    ``RECALL`` of what brute force finds.
+    """
     spark = queries.sparkSession
     wanted = stored(valid_vectors(queries).withColumnRenamed("id", "query_id"), "nn-queries")
-    pivots, units = [p for p, _ in index.pivots], b"".join(x for _, x in index.pivots)
-    if not pivots:
+    if not index.pivots:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if ef is not None:
+        return _walk(index, wanted, k, ef, width)
+    ef = max(160, math.isqrt(index.size))
+    if ef >= index.size:
+        return _walk(index, wanted, k, ef, width)
+    block = stored(wanted.orderBy(F.xxhash64("query_id"), "query_id").limit(BLOCK), "nn-block")
+    truth = stored(nearest(index.vectors, block, k), "nn-truth")
+    while True:
+        found = stored(_walk(index, block, k, ef, width), "nn-found")
+        release(spark)
+        if ef >= index.size or recall(found, truth) >= RECALL:
+            break
+        ef *= 2
+    others = stored(wanted.join(F.broadcast(block.select("query_id")), "query_id", "left_anti"), "nn-others")
+    return found.unionByName(_walk(index, others, k, ef, width))
+
+
+def nearest(vectors: DataFrame, block: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest by brute force of a few (query_id, raw), which are collected."""
+    rows = block.select("query_id", "raw").collect()
+    asked, units = np.array([r["query_id"] for r in rows], dtype=np.int64), b"".join(bytes(r["raw"]) for r in rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y = np.frombuffer(units, dtype="<f8").reshape(len(asked), -1)
+        y = y / np.linalg.norm(y, axis=1, keepdims=True)
+        for b in batches:
+            if not b.num_rows or not len(asked):
+                continue
+            ids, x = b["id"].to_numpy(), _matrix(b["raw"], "<f8")
+            s = y @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+            s[asked[:, None] == ids[None, :]] = -np.inf
+            m = min(k, len(ids))
+            best = np.argpartition(-s, m - 1, axis=1)[:, :m]
+            score = np.take_along_axis(s, best, 1).ravel()
+            ok = np.isfinite(score)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, m)[ok]), pa.array(ids[best.ravel()][ok]),
+                                              pa.array(score[ok])], names=["query_id", "vec_id", "score"])
+
+    found = vectors.select("id", "raw").mapInArrow(run, "query_id long, vec_id long, score double")
+    return _top(found, "query_id", k, F.desc("score"), "vec_id")
+
+
+def recall(found: DataFrame, truth: DataFrame) -> float:
+    """The share of the nearest that was found; vectors as near as the last of them count."""
+    worst = truth.groupBy("query_id").agg(F.min("score").alias("worst"))
+    hits = found.join(worst, "query_id").where("score >= worst - 1e-12").count()
+    return hits / max(1, truth.count())
+
+
+def _walk(index: Index, wanted: DataFrame, k: int, ef: int, width: int | None) -> DataFrame:
+    """The answers to ``wanted`` (query_id, raw, unit)."""
+    width = width or max(16, ef // 10)
+    pivots, units = [p for p, _ in index.pivots], b"".join(x for _, x in index.pivots)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = np.frombuffer(units, dtype="<f2").reshape(len(pivots), -1).astype(np.float32)
         ids, m = np.array(pivots, dtype=np.int64), min(ef, len(pivots))
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (b.slice(at, STARTS) for b in batches for at in range(0, b.num_rows, STARTS)):
             s = _matrix(b["unit"]) @ p.T
             best = np.argpartition(-s, m - 1, axis=1)[:, :m]
             yield pa.RecordBatch.from_arrays(

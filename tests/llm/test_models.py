@@ -171,6 +171,21 @@ def test_neighbours_of_few_vectors(spark):
     assert nn_descent.search(nn_descent.build(none), none).count() == 0
 
 
+def test_neighbours_grow_with_the_table(spark, monkeypatch):
+    """The walk widens until a block of queries agrees with brute force."""
+    x = np.random.default_rng(6).normal(size=(3000, 48)).astype(np.float32)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    index = nn_descent.build(v, k=6, rounds=1)  # a poor graph, on which the first ef finds too little
+    queries = v.where("vec_id % 50 = 0")
+    asked = nn_descent.valid_vectors(queries).withColumnRenamed("id", "query_id")
+    truth = nn_descent.nearest(index.vectors, asked, 5).cache()
+    assert nn_descent.recall(nn_descent.search(index, queries, ef=160), truth) < 0.9
+    monkeypatch.setattr(nn_descent, "BLOCK", 30)
+    got = nn_descent.search(index, queries).cache()
+    assert nn_descent.recall(got, truth) >= 0.9 and got.count() == 5 * 60
+    assert [nn_descent.links_for(n) for n in (0, 32768, 51000, 3_000_000)] == [32, 32, 40, 88]
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{ROOT}/documents.parquet")

@@ -1,18 +1,19 @@
 """Approximate nearest neighbours (operator 3): NN-descent graph, greedy search.
 
-Equal vectors are one node with its smallest ids, so a vector that fills a
-third of the table is searched once. The graph starts from brute force in
+Vectors with the same half-precision unit vector are one node, so a vector that
+fills a third of the table is searched once. The graph starts from brute force in
 small cells around random pivots and is improved by joins: each node's
 neighbours and reverse neighbours meet, and pairs that beat the worst link of
 an end are offered to it, until hardly any link changes. Queries walk the
 graph together: each round joins the best unexpanded nodes of every query with
 their links and keeps the best ``ef``; a query is done when all of them are
-expanded. Half-precision unit vectors steer build and walk; the answers are
-scored again in double precision on the original vectors.
+expanded. Half-precision unit vectors steer build and walk; the reached nodes
+that can hold an answer are scored again in double precision, with all their
+members (of equal vectors the ``k + 1`` smallest ids, of which one is the query).
 
 Per node the graph keeps ``k`` links and meets at most ``k`` reverse ones (the
 nearest): the approximation of the method, measured by its recall. Every
-vector is a node. Links and entry points grow with the number of nodes, and a
+vector is in a node. Links and entry points grow with the number of nodes, and a
 fixed block of queries is compared with brute force: ``ef`` grows until the
 walk finds ``RECALL`` of their neighbours, and the other queries walk with it.
 Broadcasts: entry points (the root of the number of nodes) and the block.
@@ -43,6 +44,10 @@ CELL = 128
 CELLS = 512
 #: Queries that are compared with brute force, and the share of their neighbours to be found.
 BLOCK, RECALL = 200, 0.93
+#: Two cosines of half-precision unit vectors are off by under half of this, each.
+SLACK = 0.0025
+#: Nodes of more members are compared with their queries in blocks of so many members and queries.
+CROWD, MEMBERS, ASKING = 64, 8192, 4096
 #: Queries compared with the entry points at once.
 STARTS = 1024
 
@@ -87,7 +92,7 @@ def _top(df: DataFrame, by: str, n: int, *order) -> DataFrame:
 
 @dataclass
 class Index:
-    """vectors: (id, raw, unit); nodes: (node, ids, raw, unit), ``size`` of them; links: (u, v, sim), at most k
+    """vectors: (id, raw, unit); nodes: (node, unit), ``size`` of them; links: (u, v, sim), at most k
     for each u; pivots: (node, unit) of a sample."""
 
     vectors: DataFrame
@@ -148,18 +153,16 @@ def links_for(n: int) -> int:
     return 32 + 8 * max(0, math.ceil(math.log2(max(n, 1))) - 15)
 
 
-def build(vectors: DataFrame, *, k: int | None = None, rounds: int | None = None, copies: int = 6,
+def build(vectors: DataFrame, *, k: int | None = None, rounds: int | None = None,
           pivots: int | None = None) -> Index:
-    """The graph over all valid vectors; each node keeps its ``copies`` smallest ids.
+    """The graph over all valid vectors; a node is named by its smallest id.
 
     ``k`` and ``pivots`` follow the number of nodes unless given; without
     ``rounds`` the graph is improved until hardly any link changes.
     """
     spark = vectors.sparkSession
     valid = stored(valid_vectors(vectors), "nn-valid")
-    nodes = stored(_top(valid, "raw", copies, "id").groupBy("raw").agg(
-        F.min("id").alias("node"), F.sort_array(F.collect_list("id")).alias("ids"), F.min("unit").alias("unit")),
-        "nn-nodes")
+    nodes = stored(valid.groupBy("unit").agg(F.min("id").alias("node")).select("node", "unit"), "nn-nodes")
     n = nodes.count()
     k, pivots = k or links_for(n), pivots or max(512, 2 * math.isqrt(n))
     some = [(r["node"], bytes(r["unit"])) for r in
@@ -275,7 +278,7 @@ def _walk(index: Index, wanted: DataFrame, k: int, ef: int, width: int | None) -
     kind = "query_id long, node long, sim float"
     asked = wanted.select("query_id", F.col("unit").alias("asked"))
     # a query equal to a node starts there too
-    own = (wanted.select("query_id", "raw").join(index.nodes.select("raw", "node"), "raw")
+    own = (wanted.select("query_id", "unit").join(index.nodes, "unit")
            .select("query_id", "node", F.lit(2.0).cast("float").alias("sim")))
     found = (wanted.select("query_id", "unit").mapInArrow(start, kind).unionByName(own)
              .groupBy("query_id", "node").agg(F.max("sim").alias("sim")).withColumn("expanded", F.lit(False)))
@@ -292,17 +295,66 @@ def _walk(index: Index, wanted: DataFrame, k: int, ef: int, width: int | None) -
                .select("query_id", "node", "sim", (F.col("expanded") | F.coalesce("now", F.lit(False))).alias("expanded")))
         state = stored(_top(old.unionByName(new), "query_id", ef, F.desc("sim"), "node"), "nn-walk")
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _exact(index, wanted, state, k)
+
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+
+
+def _exact(index: Index, wanted: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    """The k nearest members of the nodes that the walk has reached, by double precision and id."""
+    kind = "query_id long, vec_id long, score double"
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = _matrix(b["raw"], "<f8"), _matrix(b["asked"], "<f8")
-            s = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-            yield pa.RecordBatch.from_arrays([b["query_id"], b["ids"], pa.array(s)], names=["query_id", "ids", "score"])
-
-    scored = (state.select("query_id", "node").join(index.nodes.select("node", "ids", "raw"), "node")
-              .join(wanted.select("query_id", F.col("raw").alias("asked")), "query_id")
-              .mapInArrow(exact, "query_id long, ids array<long>, score double")
-              .select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id"))
+            yield pa.RecordBatch.from_arrays(
+                [b["query_id"], b["id"], pa.array(_cosines(_matrix(b["raw"], "<f8"), _matrix(b["asked"], "<f8")))],
+                names=["query_id", "vec_id", "score"])
+
+    def block(asking: pa.Table, members: pa.Table) -> pa.Table:
+        """The best k of a block of members for each of a block of queries."""
+        out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+        if asking.num_rows and members.num_rows:
+            ids, x, y = members["id"].to_numpy(), _matrix(members["raw"], "<f8"), _matrix(asking["asked"], "<f8")
+            near = x / np.linalg.norm(x, axis=1, keepdims=True)
+            for q, v in zip(asking["query_id"].to_numpy(), y, strict=True):
+                s = near @ (v / np.linalg.norm(v))
+                s[ids == q] = -np.inf
+                m = min(k, len(s))
+                # the product's last bits depend on the row's place: what is that close is scored like pairs
+                some = np.flatnonzero((s >= np.partition(s, len(s) - m)[len(s) - m] - 1e-13) & np.isfinite(s))
+                exact = _cosines(x[some], np.repeat(v[None], len(some), axis=0))
+                best = np.lexsort((ids[some], -exact))[:k]
+                out.append((np.full(len(best), q, dtype=np.int64), ids[some][best], exact[best]))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    # k + 1 nodes hold k members besides the query; a node further behind than rounding explains has none of the answers
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "node"))
+    last = F.max(F.when(F.col("place") == k + 1, F.col("sim"))).over(Window.partitionBy("query_id"))
+    near = (state.withColumn("place", place).withColumn("last", last).where(f"last IS NULL OR sim >= last - {SLACK}")
+            .select("query_id", "node"))
+    near = stored(near, "nn-near")
+    reached = near.select("node").distinct().join(index.nodes, "node")
+    members = stored(_top(index.vectors, "raw", k + 1, "id").join(reached, "unit").select("node", "id", "raw"), "nn-members")
+    crowds = stored(members.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+                    .join(near.groupBy("node").agg(F.count("*").alias("q")), "node")
+                    .select("node", F.ceil(F.col("n") / MEMBERS).alias("ms"), F.ceil(F.col("q") / ASKING).alias("qs")),
+                    "nn-crowds")
+    asked = wanted.select("query_id", F.col("raw").alias("asked"))
+    scored = (near.join(crowds, "node", "left_anti").join(members, "node").join(asked, "query_id")
+              .select("query_id", "id", "raw", "asked").mapInArrow(pairs, kind))
+    if crowds.head(1):
+        queries = (near.join(crowds, "node").join(asked, "query_id")
+                   .select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ms") - 1)).alias("m"),
+                           F.pmod(F.xxhash64("query_id"), F.col("qs")).alias("q"), "query_id", "asked"))
+        held = (members.join(crowds, "node")
+                .select("node", F.pmod(F.xxhash64("id"), F.col("ms")).alias("m"),
+                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)).alias("q"), "id", "raw"))
+        scored = scored.unionByName(queries.groupBy("node", "m", "q").cogroup(held.groupBy("node", "m", "q"))
+                                    .applyInArrow(block, kind))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return (scored.where("vec_id <> query_id").withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score"))

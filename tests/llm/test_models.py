@@ -186,6 +186,24 @@ def test_neighbours_grow_with_the_table(spark, monkeypatch):
     assert [nn_descent.links_for(n) for n in (0, 32768, 51000, 3_000_000)] == [32, 32, 40, 88]
 
 
+def test_neighbours_in_groups_below_half_precision(spark, monkeypatch):
+    """All members of a node are scored, in more than one block, and k equal ones are found for any k."""
+    monkeypatch.setattr(nn_descent, "MEMBERS", 300)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1100, 16))
+    x[100:900] = np.where(np.arange(16) % 3, 0.25, -0.25) + rng.uniform(-3e-5, 3e-5, (800, 16))
+    x[1000:1020] = x[1000]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    index = nn_descent.build(v)
+    assert index.size == 1100 - 799 - 19
+    got = nn_descent.search(index, v.where("vec_id % 50 = 0"), k=9).toPandas()
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(100, 900, 50):
+        order = np.argsort(-(y @ y[q]))
+        assert got[got["query_id"] == q].sort_values("rank")["vec_id"].tolist() == order[order != q][:9].tolist()
+    assert got[got["query_id"] == 1000].sort_values("rank")["vec_id"].tolist() == list(range(1001, 1010))
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{ROOT}/documents.parquet")

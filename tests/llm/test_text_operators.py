@@ -210,3 +210,18 @@ def test_katz_tables_and_edge_rows(twice, empty, odd_texts):
     model = katz.fit(twice, slices=2, bucket_tokens=500)
     pairs = model.table("pair").agg(F.sum("count")).first()[0]
     assert pairs == model.unigrams.tokens == model.parts.agg(F.sum("count")).first()[0]
+
+
+@pytest.mark.parametrize("kind", ["null", "training", "held out"])
+def test_katz_tables_without_rows_of_a_kind(spark, kind):
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    ids = [i for i in range(400) if kind == "null" or held(i) == (kind == "held out")][:30]
+    texts = {i: None if kind == "null" else f"word and word{i % 3} and end" for i in ids}
+    m = None if kind == "held out" else brute.Katz([t for i, t in texts.items() if not held(i)], katz.discounts)
+    got = by_id(katz.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert set(got) == set(ids)
+    for i, t in texts.items():
+        n = len(brute.words(t)) + 1
+        assert (got[i][0]["n_tokens"], got[i][0]["n_known"], got[i][0]["held_out"]) == (n, 0 if kind == "held out" else n, held(i))
+        # nothing is known without training rows, and the one unknown word has all the mass
+        assert got[i][0]["score"] == pytest.approx(m.score(t) if m else 0.0, rel=1e-9)

@@ -225,3 +225,18 @@ def test_katz_tables_without_rows_of_a_kind(spark, kind):
         assert (got[i][0]["n_tokens"], got[i][0]["n_known"], got[i][0]["held_out"]) == (n, 0 if kind == "held out" else n, held(i))
         # nothing is known without training rows, and the one unknown word has all the mass
         assert got[i][0]["score"] == pytest.approx(m.score(t) if m else 0.0, rel=1e-9)
+
+
+def test_katz_spreads_frequent_pairs(odd, odd_texts, spark):
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    m = brute.Katz([t for i, t in odd_texts if not held(i)], katz.discounts)
+    got = by_id(katz.score(odd, slices=2, bucket_tokens=40))
+    assert all(got[i][0]["score"] == pytest.approx(m.score(t), rel=1e-9) for i, t in odd_texts)
+    # one pair in each of 3000 texts: no bucket holds more than its share of the 9000 triples
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("of the").alias("text"))
+    hot = katz._hot(docs, katz.word_counts(docs), 10, 100)
+    assert (len(hot.w), len(hot.pw)) == (3, 3) and set(hot.pair_counts) == {sum(not held(i) for i in range(3000))}
+    sizes = {}
+    for r in katz._send(docs, 10, 0, 1, 30, hot).collect():
+        sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + len(katz._open(r["payload"])[4])
+    assert sum(sizes.values()) == 9000 and max(sizes.values()) <= 400

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from codecorpus.llm import (collocations, fill_middle, harmonic, katz, line_windows, nn_descent, quality_gbt, rule_ensemble, simhash_vptree,
+from codecorpus.llm import (collocations, fill_middle, harmonic, katz, line_windows, ngram_join, nn_descent, quality_gbt, rule_ensemble, simhash_vptree,
                             suffix_pieces, toxicity_pu, wavelet)
 from codecorpus.llm.common import table
 
@@ -68,6 +68,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score(docs, rule_ensemble.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's set of 5-word shingles and its group at Jaccard 0.8 (rare-first prefix filtering)."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's first 2000 phrases by score (counting quotient filters)."""
     return collocations.mine(table(spark, sf_dir, "documents"))
@@ -89,12 +94,14 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_katz": op9_katz,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ngram_join": op11_ngram_join,
     "op12_collocations": op12_collocations,
     "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": line_windows.ORACLE_SQL,
+    "op11_ngram_join": ngram_join.ORACLE_SQL,
     "op12_collocations": collocations.ORACLE_SQL,
     "op13_fill_middle": fill_middle.ORACLE_SQL,
 }

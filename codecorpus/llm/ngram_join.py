@@ -443,5 +443,5 @@ p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b USING
 l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
 r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(min(r.v), w.doc_id) AS component_id
-FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN r ON r.u = w.doc_id GROUP BY ALL
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN r ON r.u = w.doc_id GROUP BY w.doc_id, n.n
 """

@@ -128,21 +128,22 @@ def vocabulary(cut: DataFrame, least: int) -> DataFrame:
 def encoded(cut: DataFrame, words: DataFrame) -> DataFrame:
     """(ids): every block in the ids of the vocabulary (zstd, 32 bits), 0 for cuts and rarer words."""
     known = (cut.select("block", "lang", F.posexplode("words").alias("at", "word"))
-             .join(words.select("lang", "word", "id"), ["lang", "word"])
-             .groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("id").alias("id")))
+             .join(words.select("lang", "word", "id"), ["lang", "word"], "left")
+             .groupBy("block").agg(F.collect_list(F.struct("at", F.coalesce("id", F.lit(0)).alias("id"))).alias("ids")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, open_ = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for codes, at, ids, n in zip(b["codes"], b["at"], b["id"], b["n"].to_pylist(), strict=True):
-                own = np.zeros(n + 1, dtype=np.uint32)
-                own[at.values.to_numpy() + 1] = ids.values.to_numpy()
+            for codes, pairs in zip(b["codes"], b["ids"], strict=True):
+                at, ids = (pairs.values.field(c).to_numpy() for c in ("at", "id"))
+                own = np.zeros(len(at) + 1, dtype=np.uint32)
+                own[at + 1] = ids
                 out.append(z.compress(own[np.frombuffer(open_.decompress(codes.as_py()), dtype="<u4")].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary())], names=["ids"])
 
-    return (cut.select("block", "codes", F.size("words").alias("n")).join(known, "block").select("codes", "at", "id", "n")
-            .mapInArrow(run, "ids binary"))
+    # a block of cuts alone has no words, and no n-grams
+    return cut.select("block", "codes").join(known, "block").select("codes", "ids").mapInArrow(run, "ids binary")
 
 
 def _bit(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:

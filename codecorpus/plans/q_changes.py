@@ -77,7 +77,7 @@ _OUT = """'On branch main' || chr(10) || CASE WHEN o_orderkey % 9 = 0 THEN 'noth
   || CAST(o_custkey AS STRING) || chr(10) || ' 1 file changed' END"""
 
 
-@query("commit_hash_from_output", [], sql=f"""
+@query("commit_hash_from_output", ["orders"], sql=f"""
 SELECT o_orderkey, CASE WHEN regexp_matches(out, '(?m)^\\[') THEN
   regexp_replace(string_split(regexp_replace(regexp_extract(out, '(?m)^(\\[.*)$', 1), '^\\s+', ''), ' ')[2], '\\]+$', '')
   END AS commit_hash

@@ -71,7 +71,7 @@ def q_normalise_model(spark):
 
 
 # ---------------------------------------------------------------- A1 / A2 / A3
-@query("message_tokens", [], sql=f"""
+@query("message_tokens", ["conversations"], sql=f"""
 SELECT conv_id, sum({tok('text')} + 4) AS message_tokens, count(*) AS n_messages
 FROM conversations GROUP BY conv_id""")
 def q_message_tokens(spark):
@@ -79,7 +79,7 @@ def q_message_tokens(spark):
     return chat.message_tokens(_messages(spark))
 
 
-@query("count_tokens", [], sql=f"""
+@query("count_tokens", ["documents"], sql=f"""
 SELECT doc_id, CAST({tok('text')} AS BIGINT) AS tokens, length(text) AS n_chars FROM documents""")
 def q_count_tokens(spark):
     """Token estimate of every document."""
@@ -172,7 +172,7 @@ def q_model_table(spark):
 
 
 # ---------------------------------------------------------------- W1 / W2 / W7
-@query("last_20_messages", [], sql="""
+@query("last_20_messages", ["conversations"], sql="""
 SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn
   FROM conversations) x WHERE rn <= 20""")
 def q_last_20(spark):
@@ -180,7 +180,7 @@ def q_last_20(spark):
     return chat.last_n_messages(spark.table("conversations"), 20).select("conv_id", "turn", "role")
 
 
-@query("last_3_messages", [], sql="""
+@query("last_3_messages", ["conversations"], sql="""
 SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn
   FROM conversations) x WHERE rn <= 3""")
 def q_last_3(spark):
@@ -192,7 +192,7 @@ _LT = LINE_TERM_CLASS[1:-1]
 _KEEP = "[^" + _LT + "]*" + LINE_BREAK + "|[^" + _LT + "]+"
 
 
-@query("truncate_to_tokens", [], sql=f"""
+@query("truncate_to_tokens", ["documents"], sql=f"""
 WITH l AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '{_KEEP}')) AS line,
                   unnest(generate_series(1, len(regexp_extract_all(text, '{_KEEP}')))) AS ln
            FROM documents WHERE {tok('text')} > 50),

@@ -142,7 +142,7 @@ def q_create_only(spark):
         "response_id", "path", "status")
 
 
-@query("replace_first", [], sql="""
+@query("replace_first", ["documents"], sql="""
 SELECT doc_id, CASE WHEN position(' the ' IN text) > 0 THEN
   substring(text, 1, position(' the ' IN text) - 1) || ' THE ' || substring(text, position(' the ' IN text) + 5)
   END AS replaced FROM documents""")
@@ -152,7 +152,7 @@ def q_replace_first(spark):
     return d.select("doc_id", replace_first(F.col("text"), F.lit(" the "), F.lit(" THE ")).alias("replaced"))
 
 
-@query("normalise_ws", [], sql=f"""
+@query("normalise_ws", ["documents"], sql=f"""
 SELECT doc_id, regexp_replace(regexp_replace(text, '^[{SPACE_BODY}]+|[{SPACE_BODY}]+$', '', 'g'), '[ \\t]+', ' ', 'g')
   AS normalised FROM documents""")
 def q_normalise_ws(spark):

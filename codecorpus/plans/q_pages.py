@@ -10,7 +10,7 @@ from codecorpus.operators import pages
 from codecorpus.plans.registry import query
 
 
-@query("scan_pages", [], sql="""
+@query("scan_pages", ["pages"], sql="""
 SELECT page_id, url, suffix(url, '.md') OR suffix(url, '.txt') OR suffix(url, '.rst') AS is_plain,
   CASE WHEN suffix(url, '.md') OR suffix(url, '.txt') OR suffix(url, '.rst') THEN html END AS plain_text,
   length(html) AS n_chars FROM pages""")
@@ -35,7 +35,7 @@ def _extracted(spark):
     return pages.extract_pages(spark.table("pages"))
 
 
-@query("page_markdown", [])
+@query("page_markdown", ["pages"])
 def q_page_markdown(spark):
     """Markdown of every page (noise removed, main area, blocks)."""
     e = _extracted(spark)
@@ -43,7 +43,7 @@ def q_page_markdown(spark):
                     F.substring("content", 1, 120).alias("head"))
 
 
-@query("page_facts", [])
+@query("page_facts", ["pages"])
 def q_page_facts(spark):
     """Title, description, heading and link lists of every page."""
     e = _extracted(spark)
@@ -52,14 +52,14 @@ def q_page_facts(spark):
                     F.to_json("headings").alias("headings_json"), F.to_json("links").alias("links_json"))
 
 
-@query("page_context_clip", [])
+@query("page_context_clip", ["pages"])
 def q_page_clip(spark):
     """The chat message built from each page (URL header + first 8000 chars)."""
     c = pages.page_context_clip(_extracted(spark))
     return c.select("page_id", F.length("message").alias("n_chars"), F.md5("message").alias("message_md5"))
 
 
-@query("page_toc", [])
+@query("page_toc", ["pages"])
 def q_page_toc(spark):
     """Browse view text: title/Untitled, heading outline, numbered links."""
     return pages.page_toc(_extracted(spark))
@@ -69,7 +69,7 @@ _IMG_EXT = "CASE doc_id % 7 WHEN 0 THEN '.jpg' WHEN 1 THEN '.JPEG' WHEN 2 THEN '
            "WHEN 4 THEN '.webp' WHEN 5 THEN '.bmp' ELSE '.tiff' END"
 
 
-@query("image_data_url", [], sql=f"""
+@query("image_data_url", ["documents"], sql=f"""
 SELECT path, mime, 'data:' || mime || ';base64,' || to_base64(encode(text)) AS data_url FROM (
   SELECT 'img/doc_' || CAST(doc_id AS VARCHAR) || {_IMG_EXT} AS path, text,
     CASE lower(regexp_extract({_IMG_EXT}, '^\\.(.*)$', 1)) {' '.join(f"WHEN '{e}' THEN '{m}'" for e, m in dims.IMAGE_MIME)}
@@ -82,7 +82,7 @@ def q_image_data_url(spark):
     return pages.image_data_url(imgs)
 
 
-@query("read_text", [], sql="""
+@query("read_text", ["documents"], sql="""
 SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || chr(65533) ELSE text END AS text FROM documents""")
 def q_read_text(spark):
     """read_text: UTF-8 decode with U+FFFD for malformed bytes (every 4th file ends in a bad byte)."""
@@ -93,7 +93,7 @@ def q_read_text(spark):
             .select("doc_id", F.expr("make_valid_utf8(cast(raw AS STRING))").alias("text")))
 
 
-@query("valid_role_format", [], sql="""
+@query("valid_role_format", ["conversations"], sql="""
 SELECT conv_id, turn, role, fmt AS format, role IN ('system', 'user', 'assistant') AS role_ok,
   fmt IN ('editblock', 'whole', 'udiff', 'architect') AS format_ok
 FROM (SELECT *, CASE (conv_id + turn) % 6 WHEN 0 THEN 'editblock' WHEN 1 THEN 'whole' WHEN 2 THEN 'udiff'
@@ -116,7 +116,7 @@ def _reply_json_spark():
     return F.when(F.col("turn") % 7 == 3, err).otherwise(ok)
 
 
-@query("reply_text", [], sql="""
+@query("reply_text", ["conversations"], sql="""
 SELECT conv_id, turn, CASE WHEN turn % 7 = 3 THEN '{"error":"rate_limited","conv":' || CAST(conv_id AS VARCHAR) || '}'
   WHEN turn % 5 = 0 THEN '' ELSE text END AS reply_text
 FROM conversations WHERE role = 'assistant'""")

@@ -255,12 +255,13 @@ def with_views(body: str, views: list[str]) -> str:
 
 
 def register(spark: SparkSession, sf_dir: str, views: list[str] | None = None) -> None:
-    """Register base tables of ``sf_dir`` and derived views as temp views."""
-    for t in BASE_TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    for v in _order(views if views is not None else list(VIEWS)):
+    """Register the derived views ``views`` (all, by default) as temp views, and of the
+    base tables of ``sf_dir`` only those that they read or that ``views`` names."""
+    for v in _order(views if views is not None else [*BASE_TABLES, *VIEWS]):
         if v in VIEWS:
             spark.sql(VIEWS[v]).createOrReplaceTempView(v)
+        else:
+            spark.read.parquet(f"{sf_dir}/{v}.parquet").createOrReplaceTempView(v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

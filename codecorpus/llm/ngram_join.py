@@ -12,13 +12,16 @@ Two texts link when their sets of word shingles have a Jaccard similarity of
    number of texts that hold a shingle. A node's shingles are put in order,
    rarest first, and its prefix is as long as any partner must meet it. The
    prefix n-grams that others hold are written with their position and the
-   numbers of later shingles in four hash ranges.
+   numbers of later shingles in four hash ranges; each node keeps the parities
+   of its shingles in 1,024 ranges.
 3. Nodes that share a prefix n-gram are candidates where lengths, positions and
-   suffixes (the ranges' counts bound the overlap that is left) allow a link.
-   At first each node meets one node of its groups; then, in groups that hold
-   more than one component, those that lie in different components meet. A pair
-   within a component adds nothing to it, so a group of near copies costs a
-   row a member and no link between texts is lost. Each pair is verified once,
+   suffixes (the ranges' counts bound the overlap that is left, and parities
+   that differ bound the shingles that are not shared) allow a link. At first
+   each node meets a few leaders of its groups, and the nearest of them are
+   verified; then, in groups that hold more than one component, the nodes
+   outside the group's largest component meet those of other components. A pair
+   within a component adds nothing to it, so a group of near copies costs a few
+   rows a member and no link between texts is lost. Each pair is verified once,
    on the whole sets.
 4. Components by alternating stars.
 
@@ -41,7 +44,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
@@ -50,6 +53,8 @@ from codecorpus.llm.graph import components
 
 #: Shingles of a block, and of a bucket of the exchange.
 BLOCK, BUCKET = 1_500_000, 2_000_000
+#: Ranges of the parities, 64 to a number; leaders of a group by hash, and leaders that a node is verified with.
+LANES, LEADERS, NEAREST = 16, 3, 2
 #: Words whose hashes a task remembers, and bytes of them.
 MEMO_WORDS, MEMO_BYTES = 300_000, 8 << 20
 
@@ -288,7 +293,8 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
 
 
 def prefixes(sets: DataFrame, cut: Cut, percent: int) -> DataFrame:
-    """(node, n, shingles, prefix): sets that can have a partner, with the shared n-grams of their prefixes.
+    """(node, n, alone, parity, shingles, prefix): sets that can have a partner, the number of their shingles that
+    no other set holds, the parities of their numbers of shingles in ranges and the shared n-grams of their prefixes.
 
     An n-gram of a prefix is (gram, pos, rest): the cut shingle, its place in
     the rare-first order, and how many later shingles lie in each of four
@@ -323,7 +329,7 @@ def prefixes(sets: DataFrame, cut: Cut, percent: int) -> DataFrame:
         parts = [_unpack(p.as_py(), 2) for p in answers["payload"]]
         values, _, one = _grouped(np.concatenate([p[0] for p in parts]))
         frequency = np.concatenate([p[1] for p in parts])[one]
-        out = {"node": [], "n": [], "shingles": [], "prefix": []}
+        out = {"node": [], "n": [], "alone": [], "parity": [], "shingles": [], "prefix": []}
         for node, raw in zip(block["node"].to_pylist(), block["shingles"], strict=True):
             s = np.frombuffer(raw.as_py(), dtype="<u8")
             n, grams = len(s), cut(s)
@@ -344,25 +350,42 @@ def prefixes(sets: DataFrame, cut: Cut, percent: int) -> DataFrame:
                 rest = (before[-1] - before[first]).view(np.int64).tolist()
             out["node"].append(node)
             out["n"].append(n)
+            out["alone"].append(alone)
+            odd = np.bincount((s % np.uint64(64 * LANES)).astype(np.int64), minlength=64 * LANES) & 1
+            out["parity"].append(np.packbits(odd).view(np.int64))
             out["shingles"].append(raw.as_py())
             out["prefix"].append([{"gram": int(g), "pos": int(p), "rest": r} for g, p, r in
                                   zip(grams[first].view(np.int64), first + alone, rest, strict=True)])
         gram = pa.struct([("gram", pa.int64()), ("pos", pa.int64()), ("rest", pa.int64())])
         return pa.table({"node": pa.array(out["node"], type=pa.binary()), "n": pa.array(out["n"], type=pa.int64()),
+                         "alone": pa.array(out["alone"], type=pa.int64()),
+                         "parity": pa.array(out["parity"], type=pa.list_(pa.int64())),
                          "shingles": pa.array(out["shingles"], type=pa.binary()),
                          "prefix": pa.array(out["prefix"], type=pa.list_(gram))})
 
     answers = (sets.mapInArrow(send, "bucket int, block long, payload binary").groupBy("bucket")
                .applyInArrow(count, "block long, payload binary"))
     return sets.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        order, "node binary, n long, shingles binary, prefix array<struct<gram:long,pos:long,rest:long>>")
+        order, "node binary, n long, alone long, parity array<long>, shingles binary, prefix array<struct<gram:long,pos:long,rest:long>>")
+
+
+def _needed(percent: int) -> Column:
+    """The least overlap o of linked sets: 100 o >= percent (nx + ny - o)."""
+    return F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
+
+
+def _apart() -> Column:
+    """At least so many shingles lie in one set of x and y only: ranges that hold an odd number in one, an even in the other."""
+    return sum((F.bit_count(F.get("x.parity", F.lit(i)).bitwiseXOR(F.get("y.parity", F.lit(i)))) for i in range(LANES)), F.lit(0))
+
+
+def _near_enough(percent: int) -> Column:
+    return _apart() <= F.col("x.n") + F.col("y.n") - 2 * _needed(percent)
 
 
 def _may_link(percent: int) -> Column:
     """Length, positional and suffix filters on two prefix n-grams (columns of x and y)."""
-    c = F.col
-    # overlap o of sets linked: 100 o >= percent (nx + ny - o)
-    needed = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
+    c, needed = F.col, _needed(percent)
     length = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     after = lambda s: c(f"{s}.n") - c(f"{s}.pos") - 1
     position = F.least(after("x"), after("y")) + 1 >= needed
@@ -389,27 +412,36 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def linked(alive: DataFrame, percent: int) -> DataFrame:
     """(u, v): every node with links and the least node of its component."""
-    grams = stored(alive.select("node", "n", F.explode("prefix").alias("g")).select("node", "n", "g.*"), "join-grams")
-    # at first, each node meets the node that leads most of its groups
-    leader = grams.groupBy("gram").agg(F.min(F.struct("n", "node", "pos", "rest")).alias("y"), F.count("*").alias("m")).where("m > 1")
-    x = F.struct("n", "node", "pos", "rest").alias("x")
-    met = grams.select("gram", x).join(leader, "gram").where((F.col("x.node") != F.col("y.node")) & _may_link(percent))
-    most = (met.groupBy(F.col("x.node").alias("u"), F.col("y.node").alias("v")).count()
-            .groupBy("u").agg(F.max(F.struct("count", "v")).alias("best")))
-    star = stored(verified(most.select(F.least("u", "best.v").alias("u"), F.greatest("u", "best.v").alias("v")), alive, percent),
+    grams = stored(alive.select("node", "n", "alone", F.explode("prefix").alias("g")).select("node", "n", "alone", "g.*"),
+                   "join-grams")
+    x = F.struct("n", "node", "pos", "rest")
+    # at first, each node meets leaders of its groups: the one with the fewest shingles of its own, and some by hash
+    by_hash = [F.min(F.struct(F.xxhash64("node", F.lit(i)), x.alias("x")))["x"] for i in range(LEADERS)]
+    leaders = (grams.groupBy("gram").agg(F.array(F.min(F.struct("alone", x.alias("x")))["x"], *by_hash).alias("y"),
+                                         F.count(F.lit(1)).alias("m")).where("m > 1"))
+    met = (grams.select("gram", x.alias("x")).join(leaders, "gram").select("x", F.explode(F.array_distinct("y")).alias("y"))
+           .where((F.col("x.node") != F.col("y.node")) & _may_link(percent))
+           .select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct())
+    side = lambda name, c: alive.select(F.col("node").alias(name), F.struct("n", "parity").alias(c))
+    near = met.join(side("u", "x"), "u").join(side("v", "y"), "v").where(_near_enough(percent)).select("u", "v", _apart().alias("apart"))
+    place = F.row_number().over(Window.partitionBy("u").orderBy("apart", "v"))
+    nearest = near.withColumn("place", place).where(F.col("place") <= NEAREST)
+    star = stored(verified(nearest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), alive, percent),
                   "join-star")
-    near = components(star, "join-near").withColumnsRenamed({"u": "node", "v": "comp"})
-    # then all nodes of a group that are in different components
-    labelled = stored(grams.join(near, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "join-labelled")
-    mixed = labelled.groupBy("gram").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("gram")
-    x = F.struct("n", "node", "pos", "rest", "comp")
-    rest = stored(labelled.join(mixed, "gram", "left_semi").select("gram", x.alias("x")), "join-mixed")
-    pairs = (rest.join(rest.select("gram", F.col("x").alias("y")), "gram")
-             .where((F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _may_link(percent))
-             .select(F.col("x.node").alias("u"), F.col("y.node").alias("v")))
+    comp = components(star, "join-near").withColumnsRenamed({"u": "node", "v": "comp"})
+    # then the nodes outside a group's largest component and all others of the group
+    labelled = stored(grams.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "join-labelled")
+    mixed = (labelled.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("gram")
+             .agg(F.max(F.struct("m", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1"))
+    rest = stored(labelled.join(mixed.select("gram", "main"), "gram").join(alive.select("node", "parity"), "node")
+                  .select("gram", "main", F.struct("n", "node", "pos", "rest", "comp", "parity").alias("x")), "join-mixed")
+    pairs = (rest.where("x.comp <> main").join(rest.select("gram", F.col("x").alias("y")), "gram")
+             .where((F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("main")) | (F.col("x.node") < F.col("y.node")))
+                    & _may_link(percent) & _near_enough(percent))
+             .select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")))
     more = stored(verified(pairs, alive, percent), "join-links")
     if not more.head(1):
-        return near.withColumnsRenamed({"node": "u", "comp": "v"})
+        return comp.withColumnsRenamed({"node": "u", "comp": "v"})
     return components(star.unionByName(more), "join-components")
 
 

@@ -15,10 +15,15 @@ DIGIT_BODY = r"\p{Nd}"
 SPACE_BODY = (r"\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
               r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 
+# The same white space as characters.
+SPACES = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 _CLASS_BODIES = {"w": WORD_BODY, "s": SPACE_BODY, "d": DIGIT_BODY}
 
 # Line terminators recognised by Python's str.splitlines.
 LINE_TERM_CLASS = r"[\n\r\x{0B}\x{0C}\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]"
+# All of them but the line feed.
+LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 LINE_BREAK = r"(?:\r\n|" + LINE_TERM_CLASS + ")"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codecorpus.functions.patterns import LINE_BREAK, LINE_TERM_CLASS, py_regex
+from codecorpus.functions.patterns import LINE_BREAK, LINE_ENDS, LINE_TERM_CLASS, SPACES, py_regex
 
 _LT_BODY = LINE_TERM_CLASS[1:-1]
 # one line with its terminator, or a final unterminated line
@@ -17,11 +17,16 @@ def col_(c: Column | str) -> Column:
 
 
 def split_lines(text: Column | str) -> Column:
-    """Python ``str.splitlines()``: no terminators, no empty last element."""
-    parts = F.split(col_(text), LINE_BREAK)
-    n = F.size(parts)
-    return F.when(col_(text).isNull(), F.lit(None)).otherwise(
-        F.slice(parts, 1, n - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)))
+    """Python ``str.splitlines()``: no terminators, no empty last element.
+
+    Every terminator becomes a line feed by plain replacement, which leaves a
+    text without it as it is, and the cut at one character needs no regex.
+    """
+    flat = F.replace(col_(text), F.lit("\r\n"), F.lit("\n"))
+    for end in LINE_ENDS:
+        flat = F.replace(flat, F.lit(end), F.lit("\n"))
+    parts = F.split(flat, "\n")
+    return F.slice(parts, F.lit(1), F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0))
 
 
 def lines_keepends(text: Column | str) -> Column:
@@ -72,8 +77,7 @@ def looks_like_path(text: Column | str) -> Column:
 
 def strip_py(text: Column | str) -> Column:
     """Python ``str.strip()`` (Unicode whitespace), not Spark's space-only trim."""
-    from codecorpus.functions.patterns import SPACE_BODY
-    return F.regexp_replace(col_(text), "^[" + SPACE_BODY + "]+|[" + SPACE_BODY + "]+$", "")
+    return F.btrim(col_(text), F.lit(SPACES))
 
 
 def replace_first(content: Column | str, original: Column | str,
@@ -88,4 +92,5 @@ def replace_first(content: Column | str, original: Column | str,
 
 def normalise_ws(text: Column | str) -> Column:
     """strip, then collapse runs of spaces/tabs to one space."""
-    return F.regexp_replace(strip_py(text), "[ \t]+", " ")
+    # a single space is left as it is
+    return F.regexp_replace(strip_py(text), "[ \t]{2,}|\t", " ")

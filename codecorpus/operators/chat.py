@@ -162,10 +162,14 @@ def truncate_to_tokens(text: Column, max_tokens: int | Column) -> Column:
     running token sum stays within ``max_tokens`` (stops at first overflow).
 
     Shuffle-free: one ``aggregate`` over the line array counts the kept lines.
+    A line of n characters has at least n / 7 tokens, so what is kept lies in
+    the first 7 characters a token, and only they are cut into lines (a line
+    that ends beyond them, cut or not, has overflowed).
     """
     from codecorpus.functions.text import lines_keepends
     mx = F.lit(max_tokens) if isinstance(max_tokens, int) else max_tokens
-    lines = lines_keepends(text)
+    fits = count_tokens(text) <= mx
+    lines = lines_keepends(F.when(~fits, F.substring(text, F.lit(1), (mx * 7 + 1).cast("int"))))
     acc0 = F.struct(F.lit(0).cast("long").alias("tok"), F.lit(0).alias("k"), F.lit(False).alias("stop"))
 
     def step(acc, line):
@@ -175,7 +179,7 @@ def truncate_to_tokens(text: Column, max_tokens: int | Column) -> Column:
                         F.when(over, acc["k"]).otherwise(acc["k"] + 1).alias("k"),
                         over.alias("stop"))
     kept = F.aggregate(lines, acc0, step)["k"]
-    return F.when(count_tokens(text) <= mx, text).otherwise(F.array_join(F.slice(lines, 1, kept), ""))
+    return F.when(fits, text).otherwise(F.array_join(F.slice(lines, F.lit(1), kept), ""))
 
 
 def context_limit_flag(messages: DataFrame, sessions: DataFrame, files: DataFrame,

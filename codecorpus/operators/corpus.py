@@ -8,7 +8,9 @@ keeps the content column out of the scan for path-only questions.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,9 +51,11 @@ def is_text_ext(path: Column) -> Column:
     return suffix_lower(path).isin(dims.text_extensions())
 
 
-def scan_repo_files(tree: DataFrame) -> DataFrame:
-    """``scan_repo_files``: keep files passing F1 and F3 (content untouched)."""
-    return tree.filter(~builtin_ignored(F.col("path")) & is_text_ext(F.col("path")))
+def scan_repo_files(tree: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """``scan_repo_files``: keep files passing F1 and F3 (content untouched) and,
+    with ``rules`` (repo_id, rule_no, rule) of root .gitignore files, F2."""
+    kept = tree.filter(~builtin_ignored(F.col("path")) & is_text_ext(F.col("path")))
+    return kept if rules is None else filter_repo_ignore(kept, rules)
 
 
 def is_text(path: Column, content: Column) -> Column:
@@ -105,19 +109,42 @@ def gitignore_rules(rules: DataFrame) -> DataFrame:
 def filter_repo_ignore(files: DataFrame, rules: DataFrame) -> DataFrame:
     """root .gitignore per repo, last matching rule wins ('!' re-includes).
 
-    files JOIN rules ON repo_id AND path RLIKE regex, then per file the
-    highest matching rule_no decides. The rule side is small per repo; AQE
-    broadcasts it when its runtime size allows and splits a hot repo's
-    partition otherwise.
+    A repo's rules are one ordered array, so a file meets one row: the join
+    neither multiplies files nor needs a second pass over them. The rules' side
+    is as small as the .gitignore files; AQE broadcasts it when its runtime size
+    allows and splits a hot repo's files otherwise.
     """
-    r = gitignore_rules(rules).select("repo_id", "rule_no", "regex", "negate")
-    hits = (files.select("repo_id", "path").alias("f")
-            .join(r.alias("r"), (F.col("f.repo_id") == F.col("r.repo_id"))
-                  & F.expr("f.path RLIKE r.regex"))
-            .groupBy(F.col("f.repo_id").alias("repo_id"), F.col("f.path").alias("path"))
-            .agg(F.max_by("r.negate", "r.rule_no").alias("_last_negate")))
-    excluded = hits.filter(~F.col("_last_negate")).select("repo_id", "path")
-    return files.join(excluded, ["repo_id", "path"], "left_anti")
+    one = F.struct("rule_no", "regex", "negate")
+    ordered = gitignore_rules(rules).groupBy("repo_id").agg(F.sort_array(F.collect_list(one)).alias("_rules"))
+    hits = F.filter("_rules", lambda r: F.rlike(F.col("path"), r["regex"]))
+    last = F.get(hits, F.size(hits) - 1)["negate"]
+    return files.join(ordered, "repo_id", "left").filter(F.coalesce(last, F.lit(True))).select(*files.columns)
+
+
+#: A glob's wild cards.
+_WILD = r"[*?\[]"
+
+
+def _pattern_key(pattern: Column) -> Column:
+    """(kind, key) by which a glob's files are looked up: its first folder and extension as far as they are literal.
+
+    Kind 'p' is a pattern without wild cards (key: the path), 'd' the first folder, 'e' the extension, 'de'
+    both, 'a' neither.
+    """
+    folder = F.regexp_extract(pattern, r"^([^/*?\[]+)/", 1)
+    ext = F.regexp_extract(pattern, r"\.([^./*?\[\]]+)$", 1)
+    return (F.when(~pattern.rlike(_WILD), _key("p", pattern)).when((folder != "") & (ext != ""), _key("de", folder, ext))
+            .when(folder != "", _key("d", folder)).when(ext != "", _key("e", ext)).otherwise(_key("a")))
+
+
+def _key(kind: str, *parts: Column) -> Column:
+    return F.concat_ws("\n", F.lit(kind), *parts)
+
+
+def _path_keys(path: Column) -> Column:
+    """Every key under which a pattern may look for a path."""
+    folder, ext = F.regexp_extract(path, r"^([^/]+)/", 1), F.regexp_extract(path, r"\.([^./]+)$", 1)
+    return F.array(_key("p", path), _key("de", folder, ext), _key("d", folder), _key("e", ext), _key("a"))
 
 
 def glob_add(requests: DataFrame, files: DataFrame) -> DataFrame:
@@ -125,20 +152,22 @@ def glob_add(requests: DataFrame, files: DataFrame) -> DataFrame:
     hit is tried as a literal path; patterns with neither are reported.
 
     Output: (conv_id, pattern, path, status) with status 'added' or
-    'not_found' (path NULL).
+    'not_found' (path NULL). Patterns and paths meet by an equi-join on repo
+    and the pattern's literal parts; the regex sees only what is left. What
+    remains without a path after the left join meets the literal paths.
     """
     from codecorpus.functions.udfs import glob_to_regex
-    req = requests.withColumn("_rx", glob_to_regex("pattern"))
-    f = files.select("repo_id", "path")
-    hits = (req.alias("q").join(f.alias("f"), (F.col("q.repo_id") == F.col("f.repo_id"))
-                                & F.expr("f.path RLIKE q._rx"))
-            .select("q.conv_id", "q.pattern", "f.path"))
-    # literal fallback for patterns without a glob hit
-    missed = req.join(hits.select("conv_id", "pattern").distinct(), ["conv_id", "pattern"], "left_anti")
-    literal = (missed.alias("q").join(f.alias("f"), (F.col("q.repo_id") == F.col("f.repo_id"))
-                                      & (F.col("q.pattern") == F.col("f.path")), "left")
-               .select("q.conv_id", "q.pattern", F.col("f.path").alias("path")))
-    return (hits.unionByName(literal)
+    q = requests.select("conv_id", "repo_id", "pattern", _pattern_key(F.col("pattern")).alias("_k"),
+                        glob_to_regex("pattern").alias("_rx")).alias("q")
+    paths = files.select("repo_id", "path")
+    keyed = paths.select("repo_id", "path", F.explode(_path_keys(F.col("path"))).alias("_k")).alias("f")
+    fits = F.col("q._k").startswith("p") | F.rlike(F.col("f.path"), F.col("q._rx"))
+    met = (q.join(keyed, (F.col("q.repo_id") == F.col("f.repo_id")) & (F.col("q._k") == F.col("f._k")) & fits, "left")
+           .select("q.conv_id", "q.repo_id", "q.pattern", F.col("f.path").alias("_hit")).alias("m"))
+    literal = paths.alias("l")
+    return (met.join(literal, F.col("m._hit").isNull() & (F.col("m.repo_id") == F.col("l.repo_id"))
+                     & (F.col("m.pattern") == F.col("l.path")), "left")
+            .select("m.conv_id", "m.pattern", F.coalesce("m._hit", "l.path").alias("path"))
             .withColumn("status", F.when(F.col("path").isNull(), "not_found").otherwise("added")))
 
 
@@ -152,55 +181,66 @@ def _java_rule(rx: str) -> str:
     return py_regex(rx.replace(r"(?:\w+\s+)+(\w+)", r"\w[\w\s]*\s(\w+)"))
 
 
-def _rule_table():
-    """Flattened rules: 1-based rule number -> (extensions, type, Java regex)."""
-    out = []
-    for e in dims.SYMBOL_RULES:
-        exts = [e] + [a for a, b in dims.RULE_ALIASES.items() if b == e]
-        for typ, rx in dims.SYMBOL_RULES[e]:
-            out.append((exts, typ, _java_rule(rx)))
-    return out
+def _literal(rx: str) -> str:
+    """Text that every match of a rule holds: a word outside optional groups, or the last bracket."""
+    always = re.sub(r"\(\?:[^()]*\)[?*]", " ", rx)
+    words = re.findall(r"(?<![\\\w])[a-z]{2,}", re.sub(r"\([^()]*\|[^()]*\)", " ", always))
+    return words[0] if words else re.findall(r"\\([({])", always)[-1]
 
 
-def _rule_number(ext: Column, line: Column) -> Column:
-    """Ordered first-match rules as one CASE yielding the 1-based rule number
-    (0 = no rule). Branches stay small, so the generated code stays well under
-    the JVM's 64 KB method limit and whole-stage codegen is kept."""
-    out = None
-    for i, (exts, _, jr) in enumerate(_rule_table(), start=1):
-        cond = ext.isin(exts) & line.rlike(jr)
-        out = F.when(cond, F.lit(i)) if out is None else out.when(cond, F.lit(i))
-    return F.coalesce(out, F.lit(0))
+def _families() -> list[tuple[list[str], list[tuple[str, str, str]]]]:
+    """(extensions, [(type, Java regex, literal)]) of every family of rules."""
+    return [([e] + [a for a, b in dims.RULE_ALIASES.items() if b == e], [(typ, _java_rule(rx), _literal(rx)) for typ, rx in rules])
+            for e, rules in dims.SYMBOL_RULES.items()]
+
+
+def _symbol(rules: list[tuple[str, str, str]], line: Column, at: Column) -> Column:
+    """(line, type, name) by the first rule that a line matches; NULL if none does.
+    A regex sees only lines that hold its rule's literal."""
+    out = F.lit(None).cast("struct<line:int,type:string,name:string>")
+    for typ, rx, literal in reversed(rules):
+        hit = F.struct((at + 1).alias("line"), F.lit(typ).alias("type"), F.regexp_extract(line, rx, 1).alias("name"))
+        out = F.when(line.contains(literal) & line.rlike(rx), hit).otherwise(out)
+    return out
 
 
 def extract_symbols(files: DataFrame, public_only: bool = True) -> DataFrame:
     """S1 (+F7): one row per symbol line ``(repo_id, path, line, type, name)``.
 
-    Lines are exploded map-side (no shuffle) with ``content`` dropped right
-    after; files without rules are filtered before the explode. A private
-    hit (name starting '_') still consumes its line, then is dropped.
+    A file's lines stay an array, looked at by its own family's rules, and only
+    symbols become rows; no shuffle, ``content`` is dropped on the way. Files
+    without rules are filtered before. A private hit (name starting '_') still
+    consumes its line, then is dropped.
     """
-    ext = suffix_lower(F.col("path"))
-    f = (files.select("repo_id", "path", "content")
-         .withColumn("_ext", ext)
-         .filter(F.col("_ext").isin(dims.symbol_extensions())))
-    lines = f.select("repo_id", "path", "_ext",
-                     F.posexplode(split_lines(F.col("content"))).alias("_pos", "_line"))
-    rules = _rule_table()
-    types = F.array(*[F.lit(t) for _, t, _ in rules])
-    regexes = F.array(*[F.lit(r) for _, _, r in rules])
-    # the name is extracted once, with the winning rule's pattern, on matching lines only
-    tags = (lines.withColumn("_rule", _rule_number(F.col("_ext"), F.col("_line")))
-            .filter(F.col("_rule") > 0)
-            .select("repo_id", "path", (F.col("_pos") + 1).cast("int").alias("line"),
-                    F.element_at(types, F.col("_rule")).alias("type"),
-                    F.call_function("regexp_extract", F.col("_line"), F.element_at(regexes, F.col("_rule")),
-                                    F.lit(1)).alias("name")))
-    if public_only:
-        tags = tags.filter(~F.col("name").startswith("_"))
-    return tags
+    families = _families()
+    family = _lit_map([(e, i) for i, (exts, _) in enumerate(families) for e in exts])
+    f = (files.select("repo_id", "path", "content", F.element_at(family, suffix_lower(F.col("path"))).alias("_family"))
+         .filter(F.col("_family").isNotNull())
+         .select("repo_id", "path", "_family", split_lines(F.col("content")).alias("_lines")))
+    found = F.lit(None)
+    for i, (_, rules) in enumerate(families):
+        found = F.when(F.col("_family") == i, F.transform("_lines", functools.partial(_symbol, rules))).otherwise(found)
+    keep = (lambda s: s.isNotNull() & ~s["name"].startswith("_")) if public_only else (lambda s: s.isNotNull())
+    return f.select("repo_id", "path", F.explode(F.filter(found, keep)).alias("_s")).select("repo_id", "path", "_s.*")
 
 
 def exclude_chat_files(files: DataFrame, chat_files: DataFrame) -> DataFrame:
-    """J-1: repo files that are not in any chat (left anti on repo_id, path)."""
-    return files.join(chat_files.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+    """J-1: (conv_id, repo_id, path) of the files of each session's repos that the session
+    has not attached. Its rows are sessions times files; ``chat_coverage`` counts them without."""
+    sessions = chat_files.select("conv_id", "repo_id").distinct()
+    attached = chat_files.select("conv_id", "repo_id", "path").distinct()
+    return (sessions.join(files.select("repo_id", "path"), "repo_id").select("conv_id", "repo_id", "path")
+            .join(attached, ["conv_id", "repo_id", "path"], "left_anti"))
+
+
+def chat_coverage(files: DataFrame, chat_files: DataFrame) -> DataFrame:
+    """J-1 by counts: (conv_id, repo_id, n_files, n_attached, n_left) of every session and
+    repo: the repo's files, those of them that the session holds, and the others."""
+    attached = chat_files.select("conv_id", "repo_id", "path").distinct()
+    there = files.select("repo_id", "path", F.lit(1).alias("_there"))
+    held = (attached.join(there, ["repo_id", "path"], "left").groupBy("conv_id", "repo_id")
+            .agg(F.count("_there").alias("n_attached")))
+    sizes = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_files"))
+    n = F.coalesce("n_files", F.lit(0))
+    return held.join(sizes, "repo_id", "left").select("conv_id", "repo_id", n.alias("n_files"), "n_attached",
+                                                      (n - F.col("n_attached")).alias("n_left"))

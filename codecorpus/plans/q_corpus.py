@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codecorpus import dims
-from codecorpus.functions.patterns import (LINE_BREAK, fnmatch_regex, gitwildmatch_regex,
-                                           py_regex)
+from codecorpus.functions.patterns import LINE_BREAK, fnmatch_regex, py_regex
 from codecorpus.functions.text import basename, split_lines, stem, suffix_lower
 from codecorpus.operators import corpus, repomap
 from codecorpus.plans.registry import query
-from codecorpus.sources.tables import _GITIGNORE_RULES
+from codecorpus.session import spread
 
 # ---------------------------------------------------------------- DuckDB helpers
 def d_name(p: str) -> str:
@@ -52,9 +51,27 @@ def d_weight(t: str) -> str:
     return "(CASE " + " ".join(f"WHEN {t} = '{n}' THEN {w}" for n, w in dims.TYPE_WEIGHTS) + " ELSE 0 END)"
 
 
-IGN = corpus.BUILTIN_IGNORE_RE
+# what the ignore patterns mean, written out for the oracle: folders of the root with something in
+# them, then names and endings of any part of a path
+IGN = ("(regexp_matches({p}, '^(\\.git|node_modules|__pycache__|\\.venv|venv|dist|build|\\.pytest_cache|[^/]*\\.egg-info)/.') "
+       "OR regexp_matches({p}, '(^|/)[^/]*\\.(pyc|pyo|class|o|so|dll|exe|map|lock|min\\.js|min\\.css)(/|$)') "
+       "OR regexp_matches({p}, '(^|/)(package-lock\\.json|yarn\\.lock|Cargo\\.lock|go\\.sum)(/|$)'))")
+# the same of the fixture's .gitignore, from its last rule to its first
+REPO_IGN = ("(CASE WHEN regexp_matches({p}, '(^|/)[^/]*\\.min\\.js(/|$)') THEN true "
+            "WHEN regexp_matches({p}, '^fr/(.*/)?doc_2[^/]*(/|$)') THEN true "
+            "WHEN regexp_matches({p}, '^de/doc_1[^/]*\\.py(/|$)') THEN false "
+            "WHEN {p} LIKE 'de/%' OR {p} LIKE '%/de/%' THEN true "
+            "WHEN regexp_matches({p}, '^en/[^/]*\\.md(/|$)') THEN false "
+            "ELSE regexp_matches({p}, '(^|/)[^/]*\\.md(/|$)') END)")
 TEXT_EXT = d_list(dims.text_extensions())
-SCANNED = f"(SELECT * FROM v_tree WHERE NOT regexp_matches(path, '{IGN}') AND {d_sfx('path')} IN {TEXT_EXT})"
+
+
+def scanned_sql(src: str) -> str:
+    return (f"(SELECT * FROM {src} WHERE NOT {IGN.format(p='path')} AND NOT {REPO_IGN.format(p='path')} "
+            f"AND {d_sfx('path')} IN {TEXT_EXT})")
+
+
+SCANNED = scanned_sql("v_tree")
 
 
 def tags_sql(src: str, public_only: bool = True) -> str:
@@ -92,25 +109,47 @@ def budget_sql(src: str, chat: str | None, tokens: int = dims.REPO_MAP_TOKENS) -
  WHERE before <= {b})"""
 
 
-def map_sql(src: str, chat: str | None, tokens: int = dims.REPO_MAP_TOKENS) -> str:
+def map_sql(src: str, tokens: int = dims.REPO_MAP_TOKENS) -> str:
     b = tokens * dims.CHARS_PER_MAP_TOKEN
     return f"""SELECT r.repo_id, CAST(coalesce(m.n_files, 0) AS BIGINT) AS n_files, coalesce(m.repo_map, '') AS repo_map
 FROM (SELECT DISTINCT repo_id FROM {src} s) r LEFT JOIN (
   SELECT repo_id, count(*) AS n_files, '```' || chr(10) || 'Repo map:' || chr(10) || string_agg(block, chr(10) ORDER BY pos)
     || CASE WHEN max(cum_chars) > {b} THEN chr(10) || '  ... (truncated)' ELSE '' END || chr(10) || '```' AS repo_map
-  FROM {budget_sql(src if chat is None else f"(SELECT * FROM {src} q WHERE NOT EXISTS (SELECT 1 FROM {chat} c WHERE c.repo_id = q.repo_id AND c.path = q.path))", chat, tokens)} k
-  GROUP BY repo_id) m ON m.repo_id = r.repo_id"""
+  FROM {budget_sql(src, None, tokens)} k GROUP BY repo_id) m ON m.repo_id = r.repo_id"""
+
+
+def session_map_ctes(src: str, tokens: int = dims.REPO_MAP_TOKENS) -> str:
+    """DuckDB CTEs ending in sm (conv_id, repo_id, n_files, repo_map): every session's own map, tag by tag."""
+    b = tokens * dims.CHARS_PER_MAP_TOKEN
+    return f"""sm_tags AS MATERIALIZED (SELECT *, {d_weight('type')} AS weight FROM {tags_sql(src)} t),
+sm_own AS (SELECT DISTINCT conv_id, repo_id, path, lower({d_stem('path')}) AS s FROM v_chat_files),
+sm_all AS (SELECT o.conv_id, t.*, (EXISTS (SELECT 1 FROM sm_own x WHERE x.conv_id = o.conv_id AND x.repo_id = t.repo_id
+       AND x.s = lower(t.name)) OR EXISTS (SELECT 1 FROM sm_own y WHERE y.conv_id = o.conv_id AND y.repo_id = t.repo_id
+       AND y.s = lower({d_stem('t.path')}))) AS hit
+  FROM (SELECT DISTINCT conv_id, repo_id FROM sm_own) o JOIN sm_tags t ON t.repo_id = o.repo_id
+  WHERE NOT EXISTS (SELECT 1 FROM sm_own z WHERE z.conv_id = o.conv_id AND z.repo_id = t.repo_id AND z.path = t.path)),
+sm_blocks AS (SELECT conv_id, repo_id, path, min(CASE WHEN hit THEN 0 ELSE 100 END - weight) AS k,
+    length(path) + sum(length(type) + length(name) + 4) AS chars,
+    path || chr(10) || string_agg('  ' || type || ' ' || name || ':', chr(10) ORDER BY CASE WHEN hit THEN 0 ELSE 1 END, -weight, line) AS block
+  FROM sm_all GROUP BY conv_id, repo_id, path),
+sm_cut AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id, repo_id ORDER BY k, path ROWS UNBOUNDED PRECEDING) AS upto FROM sm_blocks),
+sm AS (SELECT o.conv_id, o.repo_id, CAST(count(c.path) AS BIGINT) AS n_files, CASE WHEN count(c.path) = 0 THEN '' ELSE
+    '```' || chr(10) || 'Repo map:' || chr(10) || string_agg(c.block, chr(10) ORDER BY c.upto)
+    || CASE WHEN max(c.upto) > {b} THEN chr(10) || '  ... (truncated)' ELSE '' END || chr(10) || '```' END AS repo_map
+  FROM (SELECT DISTINCT conv_id, repo_id FROM sm_own) o
+  LEFT JOIN sm_cut c ON c.conv_id = o.conv_id AND c.repo_id = o.repo_id AND c.upto - c.chars <= {b}
+  GROUP BY o.conv_id, o.repo_id)"""
 
 
 # ---------------------------------------------------------------- scans and filters
-@query("scan_repo_files", ["v_tree"], sql=f"SELECT repo_id, path FROM {SCANNED} s")
+@query("scan_repo_files", ["v_tree", "v_gitignore"], sql=f"SELECT repo_id, path FROM {SCANNED} s")
 def q_scan(spark):
-    """scan_repo_files: tree minus built-in ignores, text extensions only."""
-    return corpus.scan_repo_files(spark.table("v_tree")).select("repo_id", "path")
+    """scan_repo_files: tree minus built-in ignores and the repo's .gitignore, text extensions only."""
+    return corpus.scan_repo_files(spark.table("v_tree").select("repo_id", "path"), spark.table("v_gitignore"))
 
 
 @query("filter_builtin_ignore", ["v_tree"], sql=f"""
-SELECT repo_id, path, regexp_matches(path, '{IGN}') AS ignored FROM v_tree""")
+SELECT repo_id, path, {IGN.format(p='path')} AS ignored FROM v_tree""")
 def q_builtin_ignore(spark):
     """which tree paths the 24 built-in ignore patterns drop."""
     t = spark.table("v_tree")
@@ -200,22 +239,8 @@ def q_find_text_files(spark):
     return corpus.find_files(r, None, ["*.min.js"], max_files=10).select("repo_id", "path")
 
 
-def _gitignore_regex_values() -> str:
-    rows = []
-    for i, r in enumerate(_GITIGNORE_RULES):
-        t = gitwildmatch_regex(r)
-        if t:
-            rows.append(f"({i + 1}, '{t[0]}', {str(t[1]).lower()})")
-    return "(VALUES " + ", ".join(rows) + ") t(rule_no, regex, negate)"
-
-
 @query("filter_repo_ignore", ["v_files", "v_gitignore"], sql=f"""
-WITH rx AS (SELECT g.repo_id, g.rule_no, t.regex, t.negate FROM v_gitignore g JOIN {_gitignore_regex_values()}
-            ON t.rule_no = g.rule_no),
-     ex AS (SELECT f.repo_id, f.path, arg_max(rx.negate, rx.rule_no) AS neg FROM v_files f
-            JOIN rx ON rx.repo_id = f.repo_id AND regexp_matches(f.path, rx.regex) GROUP BY f.repo_id, f.path)
-SELECT f.repo_id, f.path FROM v_files f
-WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.repo_id = f.repo_id AND ex.path = f.path AND NOT ex.neg)""")
+SELECT repo_id, path FROM v_files WHERE NOT {REPO_IGN.format(p='path')}""")
 def q_repo_ignore(spark):
     """each repo's root .gitignore, last matching rule wins ('!' re-includes)."""
     return corpus.filter_repo_ignore(spark.table("v_files").select("repo_id", "path"),
@@ -248,36 +273,40 @@ def q_glob_add(spark):
 @query("extract_symbols", ["v_files"], sql=f"SELECT * FROM {tags_sql('v_files', public_only=False)} t")
 def q_extract_symbols(spark):
     """Every first-match symbol line of every code file (private ones included)."""
-    return corpus.extract_symbols(spark.table("v_files"), public_only=False)
+    return corpus.extract_symbols(spread(spark.table("v_files")), public_only=False)
 
 
 @query("public_symbols", ["v_files"], sql=f"SELECT * FROM {tags_sql('v_files')} t")
 def q_public_symbols(spark):
     """symbols after dropping names that start with '_' (a private hit still consumes its line)."""
-    return corpus.extract_symbols(spark.table("v_files"))
+    return corpus.extract_symbols(spread(spark.table("v_files")))
 
 
 @query("split_lines", ["v_files"], sql=f"""
 SELECT path, CAST(len({d_lines('content')}) AS INTEGER) AS n_lines, {d_lines('content')}[1] AS first_line FROM v_files""")
 def q_split_lines(spark):
     """Line kernel: Python splitlines() parity (count and first line)."""
-    f = spark.table("v_files").withColumn("_l", split_lines(F.col("content")))
+    f = spread(spark.table("v_files")).select("path", split_lines(F.col("content")).alias("_l"))
     return f.select("path", F.size("_l").alias("n_lines"), F.element_at("_l", 1).alias("first_line"))
 
 
 @query("exclude_chat_files", ["v_files", "v_chat_files"], sql="""
-SELECT repo_id, path FROM v_files f WHERE NOT EXISTS (
-  SELECT 1 FROM v_chat_files c WHERE c.repo_id = f.repo_id AND c.path = f.path)""")
+SELECT o.conv_id, o.repo_id, (SELECT count(*) FROM v_files f WHERE f.repo_id = o.repo_id) AS n_files,
+  (SELECT count(*) FROM v_files f WHERE f.repo_id = o.repo_id AND EXISTS (SELECT 1 FROM v_chat_files c
+     WHERE c.conv_id = o.conv_id AND c.repo_id = f.repo_id AND c.path = f.path)) AS n_attached,
+  (SELECT count(*) FROM v_files f WHERE f.repo_id = o.repo_id AND NOT EXISTS (SELECT 1 FROM v_chat_files c
+     WHERE c.conv_id = o.conv_id AND c.repo_id = f.repo_id AND c.path = f.path)) AS n_left
+FROM (SELECT DISTINCT conv_id, repo_id FROM v_chat_files) o""")
 def q_exclude_chat(spark):
-    """J-1: repo files not attached to any chat (left anti on repo_id, path)."""
-    return corpus.exclude_chat_files(spark.table("v_files"), spark.table("v_chat_files")).select("repo_id", "path")
+    """J-1: per session and repo, the repo's files, those the session holds and those left."""
+    return corpus.chat_coverage(spark.table("v_files"), spark.table("v_chat_files"))
 
 
 @query("rank_tags", ["v_files", "v_chat_files"], sql=f"""
 SELECT repo_id, path, line, type, name, weight, name_match FROM {ranked_sql('v_files', 'v_chat_files')} r""")
 def q_rank_tags(spark):
     """K1: tag sort key against the chat-file stems of the same repo."""
-    tags = corpus.extract_symbols(spark.table("v_files"))
+    tags = corpus.extract_symbols(spread(spark.table("v_files")))
     cf = spark.table("v_chat_files")
     stems = cf.select("repo_id", stem(F.col("path")).alias("stem"))
     return repomap.rank_tags(tags, stems).select("repo_id", "path", "line", "type", "name", "weight", "name_match")
@@ -286,7 +315,7 @@ def q_rank_tags(spark):
 @query("tags_by_file", ["v_files"], sql=f"SELECT repo_id, path, chars, block FROM {blocks_sql('v_files', None)} b")
 def q_tags_by_file(spark):
     """A4: per-file rendered tag block and its character count."""
-    tags = corpus.extract_symbols(spark.table("v_files"))
+    tags = corpus.extract_symbols(spread(spark.table("v_files")))
     return repomap.file_blocks(repomap.rank_tags(tags)).select("repo_id", "path", "chars", "block")
 
 
@@ -294,26 +323,32 @@ def q_tags_by_file(spark):
 SELECT repo_id, path, CAST(pos AS INTEGER) AS pos, cum_chars FROM {budget_sql('v_files', None)} k""")
 def q_map_budget(spark):
     """Files kept by the 2048-token (x3 chars) budget, overflowing file included."""
-    tags = corpus.extract_symbols(spark.table("v_files"))
+    tags = corpus.extract_symbols(spread(spark.table("v_files")))
     kept = repomap.map_budget(repomap.file_blocks(repomap.rank_tags(tags)))
     return kept.select("repo_id", "path", "pos", "cum_chars")
 
 
-@query("repo_map", ["v_tree"], sql=map_sql(SCANNED, None))
+@query("repo_map", ["v_tree", "v_gitignore"], sql=map_sql(SCANNED))
 def q_repo_map(spark):
     """K2 (flagship): ranked, budgeted repo map of every repo in the tree."""
-    return repomap.repo_map(spark.table("v_tree"))
+    return repomap.repo_map(spark.table("v_tree"), rules=spark.table("v_gitignore"))
 
 
-@query("repo_map_small_budget", ["v_tree"], sql=map_sql(SCANNED, None, 64))
+@query("repo_map_small_budget", ["v_tree", "v_gitignore"], sql=map_sql(SCANNED, 64))
 def q_repo_map_small(spark):
     """K2 with a 64-token budget, so truncation is exercised on every repo."""
-    return repomap.repo_map(spark.table("v_tree"), 64)
+    return repomap.repo_map(spark.table("v_tree"), 64, spark.table("v_gitignore"))
 
 
-@query("repo_map_with_chat", ["v_files", "v_chat_files"], sql=map_sql(
-    f"(SELECT * FROM v_files WHERE NOT regexp_matches(path, '{IGN}') AND {d_sfx('path')} IN {TEXT_EXT})",
-    "v_chat_files"))
+@query("repo_map_with_chat", ["v_files", "v_chat_files", "v_gitignore"],
+       sql=f"WITH {session_map_ctes(scanned_sql('v_files'))} SELECT conv_id, repo_id, n_files, repo_map FROM sm")
 def q_repo_map_chat(spark):
-    """K2 with chat context: chat files excluded, names matching chat stems ranked first."""
-    return repomap.repo_map(spark.table("v_files"), chat_files=spark.table("v_chat_files"))
+    """K2 of sessions: per session and repo, its own files left out, names matching their stems first."""
+    return repomap.session_maps(spark.table("v_files"), spark.table("v_chat_files"), rules=spark.table("v_gitignore"))
+
+
+@query("repo_map_with_chat_small", ["v_files", "v_chat_files", "v_gitignore"],
+       sql=f"WITH {session_map_ctes(scanned_sql('v_files'), 64)} SELECT conv_id, repo_id, n_files, repo_map FROM sm")
+def q_repo_map_chat_small(spark):
+    """K2 of sessions with a 64-token budget: most maps are cut behind the matched files."""
+    return repomap.session_maps(spark.table("v_files"), spark.table("v_chat_files"), 64, spark.table("v_gitignore"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job assumes. AQE re-plans joins and coalesces small
 # shuffle partitions at runtime; skew-join splitting handles hot repos.
@@ -57,3 +58,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint dir (stream state, staged tables)."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores before a costly step, where the input has
+    fewer partitions than there are cores (a small table in one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a Parquet table under the shared checkpoint folder and read
+    back: what several later steps need is computed once and survives lost executors."""
+    path = checkpoint_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -35,10 +35,7 @@ _view("v_files", """
 SELECT source AS repo_id, lang || '/doc_' || CAST(doc_id AS STRING) || ext AS path, ext, doc_id,
        header || chr(10) || text AS content
 FROM (SELECT doc_id, source, lang, text,
-        CASE doc_id % 16 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.ts' WHEN 3 THEN '.go'
-             WHEN 4 THEN '.rs' WHEN 5 THEN '.java' WHEN 6 THEN '.rb' WHEN 7 THEN '.md' WHEN 8 THEN '.cpp'
-             WHEN 9 THEN '.c' WHEN 10 THEN '.php' WHEN 11 THEN '.swift' WHEN 12 THEN '.kt' WHEN 13 THEN '.cs'
-             WHEN 14 THEN '.tsx' ELSE '.jsx' END AS ext,
+        split_part('.py,.js,.ts,.go,.rs,.java,.rb,.md,.cpp,.c,.php,.swift,.kt,.cs,.tsx,.jsx', ',', CAST(doc_id % 16 AS INT) + 1) AS ext,
         CASE doc_id % 16
           WHEN 0 THEN 'class Doc' || CAST(doc_id AS STRING) || ':' || chr(10) || '    def run_a(self):' || chr(10)
                       || 'def _hidden():' || chr(10) || 'async def poll_b():'
@@ -160,28 +157,31 @@ FROM (SELECT conv_id * 100 + turn AS response_id,
 
 # v_tree: a repository tree with paths the scanners must drop or special-case
 _view("v_tree", """
-SELECT repo_id, doc_id, CASE doc_id % 12
-    WHEN 0 THEN 'node_modules/' || path
-    WHEN 1 THEN 'src/node_modules/' || path
-    WHEN 2 THEN path || '.pyc'
-    WHEN 3 THEN 'build/' || path
-    WHEN 4 THEN split_part(path, '/', 1) || '/pkg' || CAST(doc_id AS STRING) || '.egg-info/PKG-INFO'
-    WHEN 5 THEN split_part(path, '/', 1) || '/app' || CAST(doc_id AS STRING) || '.min.js'
-    WHEN 6 THEN split_part(path, '/', 1) || '/d' || CAST(doc_id AS STRING) || '/Dockerfile'
-    WHEN 7 THEN split_part(path, '/', 1) || '/m' || CAST(doc_id AS STRING) || '/Makefile'
-    WHEN 8 THEN upper(path)
-    WHEN 9 THEN split_part(path, '/', 1) || '/img_' || CAST(doc_id AS STRING) || '.png'
-    WHEN 10 THEN split_part(path, '/', 1) || '/notes_' || CAST(doc_id AS STRING) || '.txt'
-    ELSE path END AS path,
+SELECT repo_id, doc_id,
+  CASE doc_id % 12 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'src/node_modules/' WHEN 3 THEN 'build/' ELSE '' END
+  || CASE doc_id % 12 WHEN 8 THEN upper(lang) ELSE lang END
+  || CASE doc_id % 12 WHEN 4 THEN '/pkg' || CAST(doc_id AS STRING) || '.egg-info/PKG-INFO'
+       WHEN 5 THEN '/app' || CAST(doc_id AS STRING) || '.min.js'
+       WHEN 6 THEN '/d' || CAST(doc_id AS STRING) || '/Dockerfile'
+       WHEN 7 THEN '/m' || CAST(doc_id AS STRING) || '/Makefile'
+       WHEN 8 THEN '/DOC_' || CAST(doc_id AS STRING) || upper(ext)
+       WHEN 9 THEN '/img_' || CAST(doc_id AS STRING) || '.png'
+       WHEN 10 THEN '/notes_' || CAST(doc_id AS STRING) || '.txt'
+       ELSE '/doc_' || CAST(doc_id AS STRING) || ext END
+  || CASE doc_id % 12 WHEN 2 THEN '.pyc' ELSE '' END AS path,
   content
-FROM v_files
+FROM (SELECT *, split_part(path, '/', 1) AS lang FROM v_files) f
 """, ["v_files"])
 
 # v_gitignore: each repo's root .gitignore (ordered rules; '!' re-includes)
 _GITIGNORE_RULES = ["*.md", "!en/*.md", "de/", "!de/doc_1*.py", "# comment", "fr/**/doc_2*", "*.min.js"]
-_view("v_gitignore", "\nUNION ALL\n".join(
-    f"SELECT repo_id, {i + 1} AS rule_no, '{r}' AS rule FROM (SELECT DISTINCT repo_id FROM v_files) r{i}"
-    for i, r in enumerate(_GITIGNORE_RULES)), ["v_files"])
+_view("v_gitignore", f"""
+SELECT repo_id, pos + 1 AS rule_no, rule FROM (SELECT DISTINCT repo_id FROM v_files) r
+LATERAL VIEW posexplode(array({", ".join(f"'{r}'" for r in _GITIGNORE_RULES)})) p AS pos, rule
+""", ["v_files"], duck=f"""
+SELECT repo_id, generate_subscripts(rules, 1) AS rule_no, unnest(rules) AS rule
+FROM (SELECT DISTINCT repo_id, [{", ".join(f"'{r}'" for r in _GITIGNORE_RULES)}] AS rules FROM v_files) r
+""")
 
 # v_urls: page URLs with upper-case, disallowed and missing schemes
 _view("v_urls", """

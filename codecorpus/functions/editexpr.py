@@ -134,8 +134,9 @@ def fuzzy_replace(content: Column, original: Column, updated: Column) -> Column:
 
     def by_lines(t: Column) -> Column:
         span = F.size(t["want"])
-        starts = F.filter(F.sequence(F.lit(0), F.size(t["have"]) - span),
-                          lambda s: F.slice(t["bare"], s + 1, span) == t["want"])
+        # a run is compared only where its first line is the one wanted
+        starts = F.filter(F.sequence(F.lit(0), F.size(t["have"]) - span), lambda s: (
+            (span == 0) | (F.get(t["bare"], s) == F.get(t["want"], F.lit(0)))) & (F.slice(t["bare"], s + 1, span) == t["want"]))
         merged = let(F.get(starts, F.lit(0)), lambda s: F.when(s.isNotNull(), F.concat(
             F.array_join(F.concat(F.slice(t["have"], 1, s), split_lines(updated),
                                   F.slice(t["have"], s + span + 1, F.size(t["have"]))), "\n"),
@@ -165,27 +166,56 @@ def hunks(diff: Column) -> Column:
     return let(split_lines(diff), of)
 
 
+def _cut(n: Column, h: Column, moved: Column) -> Column:
+    """struct(first, after, stop) of a hunk on ``n`` lines: the lines kept before it, the first kept behind it,
+    and the end of its lines before clipping; a position before the first line counts from the end."""
+    at = h["start"] + moved
+    stop = at + F.size(h["minus"])
+    clip = lambda p: F.when(p < 0, F.greatest(p + n, F.lit(0))).otherwise(p)
+    return F.struct(F.least(clip(at), n).cast("int").alias("first"), F.greatest(clip(stop), clip(at)).cast("int").alias("after"),
+                    stop.alias("stop"))
+
+
 def apply_udiff(content: Column, diff: Column) -> Column:
     """E-6: hunks by position only: each start moves with the lines gained so
     far, and a hunk that reaches past the end is left out."""
 
     def step(acc: Column, h: Column) -> Column:
         n = F.size(acc["rows"])
-        at = h["start"] + acc["moved"]
-        stop = at + F.size(h["minus"])
-        # a position before the first line counts from the end
-        clip = lambda p: F.when(p < 0, F.greatest(p + n, F.lit(0))).otherwise(p)
-        first = F.least(clip(at), n).cast("int")
-        after = F.greatest(clip(stop), clip(at)).cast("int")
-        rows = F.concat(F.slice(acc["rows"], F.lit(1), first), F.transform(h["plus"], lambda p: F.concat(p, F.lit("\n"))),
-                        F.slice(acc["rows"], after + 1, n))
-        return F.when(stop <= n, F.struct(rows.alias("rows"), (acc["moved"] + F.size(h["plus"]) - F.size(h["minus"])).alias("moved"))
-                      ).otherwise(acc)
+
+        def put(c: Column) -> Column:
+            rows = F.concat(F.slice(acc["rows"], F.lit(1), c["first"]), F.transform(h["plus"], lambda p: F.concat(p, F.lit("\n"))),
+                            F.slice(acc["rows"], c["after"] + 1, n))
+            return F.when(c["stop"] <= n, F.struct(
+                rows.alias("rows"), (acc["moved"] + F.size(h["plus"]) - F.size(h["minus"])).alias("moved"))).otherwise(acc)
+        return let(_cut(n, h, acc["moved"]), put)
 
     start = F.struct(lines_keepends(content).alias("rows"), F.lit(0).cast("bigint").alias("moved"))
     return F.aggregate(hunks(diff), start, step, lambda acc: F.array_join(acc["rows"], ""))
 
 
+def hunk_moves(n: Column, diff: Column) -> Column:
+    """(start, takes, puts, moved, applied) of each hunk of a diff on a file of ``n`` lines."""
+    kind = "array<struct<start:bigint,takes:int,puts:int,moved:bigint,applied:boolean>>"
+    start = F.struct(n.cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("moved"), F.array().cast(kind).alias("out"))
+
+    def step(acc: Column, h: Column) -> Column:
+        takes, puts = F.size(h["minus"]), F.size(h["plus"])
+
+        def row(c: Column) -> Column:
+            fits = c["stop"] <= acc["n"]
+            # lines that an applied hunk leaves: those before and behind what it takes, and its own
+            left = c["first"] + puts + F.greatest(acc["n"] - c["after"], F.lit(0))
+            return F.struct(
+                F.when(fits, left).otherwise(acc["n"]).cast("bigint").alias("n"),
+                F.when(fits, acc["moved"] + puts - takes).otherwise(acc["moved"]).alias("moved"),
+                F.concat(acc["out"], F.array(F.struct(h["start"].alias("start"), takes.alias("takes"), puts.alias("puts"),
+                                                      acc["moved"].alias("moved"), fits.alias("applied")))).alias("out"))
+        return let(_cut(acc["n"], h, acc["moved"]), row)
+
+    return F.aggregate(hunks(diff), start, step, lambda acc: acc["out"])
+
+
 def apply_edit(content: Column, exists: Column, edit: Column) -> Column:
     """One edit on a file's state: struct(status, content, exists).
 

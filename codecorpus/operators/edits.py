@@ -2,9 +2,11 @@
 
 * Parsing is per reply, in one pass over the replies and without a shuffle:
   each format's blocks are an array expression (``functions/editexpr.py``).
-* Edits and files meet on (repo_id, path). All edits of a file are one sorted
-  array, folded over the file's content in (response_id, block_no) order by an
-  expression; files that no edit touches are not joined.
+* Edits and files meet on (repo_id, path). A chain of edits that depend on each
+  other is a sorted array of bounded length, folded over the content in
+  (response_id, block_no) order by an expression; chains begin at whole-file
+  writes, and edits of files that are not there are answered by windows. Files
+  that no edit touches are not joined.
 * Whole-file writes need no fold: the last write per file wins (``max_by``).
 
 Frames without a ``repo_id`` column are taken as one unnamed repo.
@@ -12,11 +14,14 @@ Frames without a ``repo_id`` column are taken as one unnamed repo.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecorpus.functions import editexpr
-from codecorpus.functions.text import strip_py
+from codecorpus.functions.text import split_lines, strip_py
+from codecorpus.session import staged
 
 KEY = ["repo_id", "path"]
 
@@ -61,34 +66,109 @@ def dispatch_format(responses: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # application
 # ---------------------------------------------------------------------------
+#: Edits that one fold takes; a longer chain goes on from a written table.
+RUN = 4096
+#: Statuses by their code in a fold; upper case where the content changed.
+STATUS = {"e": "edited", "n": "no_match", "c": "created", "m": "missing"}
+_SEGMENT = [*KEY, "_segment"]
+
+
+def _ordered(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edits with their place: ``_there`` (the file exists), ``_last`` of its file, ``_missing`` (nothing to
+    edit yet), ``_segment`` (a new one wherever the earlier content does not matter) and ``_run`` in it."""
+    there = _with_repo(files).select(*KEY, F.lit(True).alias("_there"))
+    e = _with_repo(edits).join(there, KEY, "left").withColumn("_there", F.coalesce("_there", F.lit(False)))
+    w = Window.partitionBy(*KEY).orderBy("response_id", "block_no")
+    writes = (F.col("format") == "whole") | ((F.col("format") != "udiff") & (F.coalesce(strip_py(F.col("original")), F.lit("")) == ""))
+    creates = writes | (F.col("format") == "udiff")
+    e = e.withColumns({"_writes": writes, "_creates": creates, "_last": F.lead("block_no").over(w).isNull(),
+                       "_before": F.coalesce(F.sum(creates.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    nothing = ~F.col("_there") & (F.col("_before") == 0)
+    e = e.withColumn("_missing", nothing & ~F.col("_creates"))
+    starts = (F.col("_writes") | (nothing & F.col("_creates"))).cast("int")
+    e = e.withColumn("_segment", F.sum(starts).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.row_number().over(Window.partitionBy(*_SEGMENT).orderBy("response_id", "block_no"))
+    return (e.withColumn("_run", F.floor((place - 1) / F.lit(RUN)).cast("int"))
+            .drop("_writes", "_creates", "_before"))
+
+
 def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """E-4/E-5/E-6 (+E-9 statuses): fold every file's edits in
-    (response_id, block_no) order over its current content.
+    """E-4/E-5/E-6 (+E-9 statuses): every file's edits in (response_id, block_no)
+    order over its current content.
 
     Output: one row per edit with its status; the last row of each file
     carries the final content (NULL where no file came to be).
+
+    A file's edits are cut into segments that begin where the earlier content
+    does not matter (a whole write); segments are independent of each other.
+    Edits of a file that does not exist yet need no content at all. Within a
+    segment at most ``RUN`` edits are folded at once; longer ones go on from
+    the written state of the run before.
     """
-    one = F.struct("response_id", "block_no", "format", "original", "updated")
-    per_file = _with_repo(edits).groupBy(*KEY).agg(F.sort_array(F.collect_list(one)).alias("_edits"))
-    current = _with_repo(files).select(*KEY, F.col("content").alias("_content"))
-    joined = per_file.join(current, KEY, "left")
-    out_type = "array<struct<response_id:bigint,block_no:int,format:string,status:string,changed:boolean>>"
-    start = F.struct(F.coalesce("_content", F.lit("")).alias("content"), F.col("_content").isNotNull().alias("exists"),
-                     F.array().cast(out_type).alias("out"))
+    placed = staged(_ordered(files, edits), "edits")
+    longest = placed.filter("NOT _missing").agg(F.max("_run")).first()[0]
+    one = F.struct("response_id", "block_no", "format", "original", "updated", "_last")
+    missing = placed.filter("_missing").select(
+        *KEY, "response_id", "block_no", "format", F.lit("missing").alias("status"), F.lit(False).alias("changed"),
+        F.col("_last").alias("final"), F.lit(None).cast("string").alias("content"))
+    out = [missing]
+    current = _with_repo(files).select(*KEY, F.col("content").alias("_content"), F.lit(True).alias("_exists"), F.lit(0).alias("_segment"))
+    for run in range((longest if longest is not None else -1) + 1):
+        chains = (placed.filter((F.col("_run") == run) & ~F.col("_missing")).groupBy(*_SEGMENT)
+                  .agg(F.sort_array(F.collect_list(one)).alias("_edits")))
+        folded = chains.join(current, _SEGMENT, "left").select(*_SEGMENT, "_edits", _fold().alias("_end"))
+        if run < longest:
+            folded = staged(folded, f"edits-{run}")
+        out.append(_statuses(folded))
+        current = folded.select(*KEY, F.col("_end.content").alias("_content"), F.col("_end.exists").alias("_exists"), "_segment")
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def _fold() -> Column:
+    """struct(content, exists, codes) after the edits of a run: a letter an edit."""
+    start = F.struct(F.coalesce("_content", F.lit("")).alias("content"), F.coalesce("_exists", F.lit(False)).alias("exists"),
+                     F.lit("").alias("codes"))
 
     def step(acc: Column, e: Column) -> Column:
-        return editexpr.let(editexpr.apply_edit(acc["content"], acc["exists"], e), lambda new: F.struct(
-            new["content"].alias("content"), new["exists"].alias("exists"),
-            F.concat(acc["out"], F.array(F.struct(
-                e["response_id"].alias("response_id"), e["block_no"].alias("block_no"), e["format"].alias("format"),
-                new["status"].alias("status"),
-                ((new["content"] != acc["content"]) | (new["status"] == "created")).alias("changed")))).alias("out")))
+        def after(new: Column) -> Column:
+            letter = F.substring(new["status"], 1, 1)
+            changed = (new["content"] != acc["content"]) | (new["status"] == "created")
+            return F.struct(new["content"].alias("content"), new["exists"].alias("exists"),
+                            F.concat(acc["codes"], F.when(changed, F.upper(letter)).otherwise(letter)).alias("codes"))
+        return editexpr.let(editexpr.apply_edit(acc["content"], acc["exists"], e), after)
+
+    return F.aggregate("_edits", start, step)
+
+
+def _statuses(folded: DataFrame) -> DataFrame:
+    code = F.substring(F.col("_end.codes"), F.col("_i") + 1, F.lit(1))
+    names = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])
+    rows = folded.select(*KEY, "_end", F.posexplode("_edits").alias("_i", "_e"))
+    return rows.select(*KEY, "_e.response_id", "_e.block_no", "_e.format", F.element_at(names, F.lower(code)).alias("status"),
+                       (code != F.lower(code)).alias("changed"), F.col("_e._last").alias("final"),
+                       F.when(F.col("_e._last") & F.col("_end.exists"), F.col("_end.content")).alias("content"))
 
-    folded = joined.select(*KEY, F.aggregate("_edits", start, step).alias("_end"))
-    rows = folded.select(*KEY, "_end", F.posexplode("_end.out").alias("_i", "_e"))
-    final = F.col("_i") == F.size("_end.out") - 1
-    return rows.select(*KEY, "_e.*", final.alias("final"),
-                       F.when(final & F.col("_end.exists"), F.col("_end.content")).alias("content"))
+
+def fuzzy_replace(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """E-5: (repo_id, path, ..., replaced): each edit alone on its file's content, white space
+    tolerated; NULL where nothing matches."""
+    return (_with_repo(edits).join(_with_repo(files).select(*KEY, "content"), KEY)
+            .withColumn("replaced", editexpr.fuzzy_replace(F.col("content"), F.col("original"), F.col("updated"))).drop("content"))
+
+
+def apply_udiffs(files: DataFrame, diffs: DataFrame) -> DataFrame:
+    """E-6: ``files`` that have a diff (repo_id, path, diff), with the content after it; a missing file starts empty."""
+    return (_with_repo(diffs).join(_with_repo(files).select(*KEY, "content"), KEY, "left")
+            .withColumn("content", editexpr.apply_udiff(F.coalesce("content", F.lit("")), F.col("diff"))))
+
+
+def hunk_offsets(files: DataFrame, diffs: DataFrame) -> DataFrame:
+    """One row a hunk: its 0-based start, the lines it takes and puts, how far the hunks applied
+    before it have moved it, and whether it applies."""
+    n = F.coalesce(F.size(split_lines(F.col("content"))), F.lit(0))
+    met = _with_repo(diffs).join(_with_repo(files).select(*KEY, "content"), KEY, "left").withColumn("_n", n)
+    return met.select(*KEY, F.posexplode(editexpr.hunk_moves(F.col("_n"), F.col("diff"))).alias("hunk_no", "_h")).select(
+        *KEY, "hunk_no", "_h.*")
 
 
 def apply_whole(files: DataFrame, edits: DataFrame) -> DataFrame:
@@ -135,8 +215,6 @@ def edits_to_files(files: DataFrame, edits: DataFrame) -> DataFrame:
 def carry_filename(responses: DataFrame) -> DataFrame:
     """For every reply line, the last filename line seen before it
     (native form of the editblock parser's filename tracking)."""
-    from pyspark.sql import Window
-
     from codecorpus.functions.text import lines_keepends, looks_like_path
     lines = responses.select("response_id", F.posexplode(lines_keepends(F.col("response"))).alias("_p", "line"))
     fname = F.when(~F.col("line").contains("<<<<<<< SEARCH"),

@@ -129,12 +129,17 @@ def render_map(kept: DataFrame, max_map_tokens: int = dims.REPO_MAP_TOKENS,
 
 
 def repo_map(files: DataFrame, max_map_tokens: int = dims.REPO_MAP_TOKENS,
-             rules: DataFrame | None = None) -> DataFrame:
+             chat_files: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """K2 (flagship): scan -> S1 -> F7 -> A4 -> W3 -> text, per repo; ``rules`` are the
-    repos' .gitignore lines.
+    repos' .gitignore lines, ``chat_files`` (repo_id, path) the files of one session.
 
     Repos whose files yield no tags get an empty string, as does a repo
     with no files at all (it simply has no row in ``files``)."""
+    if chat_files is not None:
+        one = chat_files.select(F.lit(0).alias("conv_id"), "repo_id", "path")
+        others = files.join(chat_files.select("repo_id"), "repo_id", "left_anti")
+        return (session_maps(files, one, max_map_tokens, rules).drop("conv_id")
+                .unionByName(repo_map(others, max_map_tokens, rules=rules)))
     repos = scan_repo_files(files.select("repo_id", "path"), rules).select("repo_id").distinct()
     tags = extract_symbols(scan_repo_files(spread(files), rules))
     maps = render_map(map_budget(file_blocks(rank_tags(tags)), max_map_tokens), max_map_tokens)

@@ -337,7 +337,7 @@ def q_repo_map(spark):
 @query("repo_map_small_budget", ["v_tree", "v_gitignore"], sql=map_sql(SCANNED, 64))
 def q_repo_map_small(spark):
     """K2 with a 64-token budget, so truncation is exercised on every repo."""
-    return repomap.repo_map(spark.table("v_tree"), 64, spark.table("v_gitignore"))
+    return repomap.repo_map(spark.table("v_tree"), 64, rules=spark.table("v_gitignore"))
 
 
 @query("repo_map_with_chat", ["v_files", "v_chat_files", "v_gitignore"],

@@ -8,6 +8,7 @@ from codecorpus.functions.patterns import LINE_BREAK, LINE_TERM_CLASS, SPACE_BOD
 from codecorpus.functions.text import lines_keepends, looks_like_path, normalise_ws, replace_first
 from codecorpus.operators import edits
 from codecorpus.plans.registry import query
+from codecorpus.session import spread
 
 _LT = LINE_TERM_CLASS[1:-1]
 _KEEP = "[^" + _LT + "]*" + LINE_BREAK + "|[^" + _LT + "]+"
@@ -98,12 +99,129 @@ def q_dispatch(spark):
     return edits.dispatch_format(spark.table("v_responses")).drop("repo_id")
 
 
-def _outcomes(spark):
-    parsed = edits.dispatch_format(spark.table("v_responses"))
-    return edits.apply_edits(spark.table("v_files"), parsed)
+# ---------------------------------------------------------------- application, spelled out for the oracle
+def d_lines(x: str, keep: bool = False) -> str:
+    """splitlines() of a text as a DuckDB list."""
+    if keep:
+        return f"regexp_extract_all({x}, '{_KEEP}')"
+    sp = f"string_split_regex({x}, '{LINE_BREAK}')"
+    return f"{sp}[1:len({sp}) - CASE WHEN {sp}[-1] = '' THEN 1 ELSE 0 END]"
+
+
+def d_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{SPACE_BODY}]+|[{SPACE_BODY}]+$', '', 'g')"
+
+
+def d_squeeze(x: str) -> str:
+    return f"regexp_replace({d_strip(x)}, '[ \\t]+', ' ', 'g')"
+
+
+def d_replace_first(c: str, o: str, u: str) -> str:
+    return (f"(CASE WHEN position({o} IN {c}) > 0 THEN substring({c}, 1, position({o} IN {c}) - 1) || {u} "
+            f"|| substring({c}, position({o} IN {c}) + length({o})) END)")
+
+
+def d_fuzzy(c: str, o: str, u: str) -> str:
+    """Up to blanks, else the first run of lines that are equal stripped; line lists are built once by a lateral list."""
+    have, bare, want = d_lines(c), *(f"list_transform({d_lines(x)}, lambda y: {d_strip('y')})" for x in (c, o))
+    at = f"list_filter(range(1, len({have}) - len({want}) + 2), lambda i: ({bare})[i:i + len({want}) - 1] = {want})[1]"
+    by_lines = (f"(SELECT array_to_string(h[1:p - 1] || {d_lines(u)} || h[p + w:], chr(10)) || CASE WHEN suffix({c}, chr(10)) THEN chr(10) ELSE '' END "
+                f"FROM (SELECT {have} AS h, {at} AS p, len({want}) AS w) WHERE p IS NOT NULL)")
+    return (f"(CASE WHEN contains({d_squeeze(c)}, {d_squeeze(o)}) THEN coalesce({d_replace_first(c, d_strip(o), u)}, {c}) "
+            f"ELSE {by_lines} END)")
+
+
+@query("fuzzy_replace", ["v_files", "v_fuzzy"], sql=f"""
+SELECT doc_id, md5(replaced) AS replaced_md5, replaced <> content AS changed
+FROM (SELECT z.doc_id, f.content, {d_fuzzy('f.content', 'z.original', 'z.updated')} AS replaced
+      FROM v_fuzzy z JOIN v_files f ON f.repo_id = z.repo_id AND f.path = z.path) r""")
+def q_fuzzy_replace(spark):
+    """E-5: white-space tolerant replacement over every file: by lines, literally, without effect, without a match."""
+    files = spread(spark.table("v_files").select("repo_id", "path", "content"))
+    r = edits.fuzzy_replace(files, spark.table("v_fuzzy")).alias("r")
+    return (r.join(files.alias("f"), edits.KEY)
+            .select("doc_id", F.md5("replaced").alias("replaced_md5"), (F.col("replaced") != F.col("f.content")).alias("changed")))
+
+
+# hunks in order, each on the lines that the one before has left; a list slice clips as a position before the first line does
+_HUNKS_SQL = f"""
+d AS (SELECT d.doc_id, {d_lines('f.content', keep=True)} AS rows, {d_lines('d.diff')} AS dl
+      FROM v_diffs d JOIN v_files f ON f.repo_id = d.repo_id AND f.path = d.path),
+x AS (SELECT doc_id, unnest(range(1, len(dl) + 1)) AS ln, unnest(dl) AS line FROM d),
+k AS (SELECT *, max(CASE WHEN starts_with(line, '@@') THEN ln END) OVER (PARTITION BY doc_id ORDER BY ln ROWS UNBOUNDED PRECEDING) AS head FROM x),
+h AS (SELECT doc_id, head, max(CASE WHEN ln = head THEN CAST(regexp_extract(line, '^@@ -(\\d+)', 1) AS BIGINT) - 1 END) AS start,
+        coalesce(list(substring(line, 2) ORDER BY ln) FILTER (ln > head AND line[1] IN ('-', ' ')), []) AS minus,
+        coalesce(list(substring(line, 2) ORDER BY ln) FILTER (ln > head AND line[1] IN ('+', ' ')), []) AS plus
+      FROM k WHERE head IS NOT NULL GROUP BY doc_id, head),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY head) AS no FROM h),
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS no, rows, CAST(0 AS BIGINT) AS moved, CAST(NULL AS BIGINT) AS at, false AS applied FROM d
+  UNION ALL
+  SELECT r.doc_id, n.no,
+    CASE WHEN n.start + r.moved + len(n.minus) > len(r.rows) THEN r.rows ELSE
+      r.rows[1:(CASE WHEN n.start + r.moved < 0 THEN greatest(n.start + r.moved + len(r.rows), 0) ELSE n.start + r.moved END)]
+      || list_transform(n.plus, lambda p: p || chr(10))
+      || r.rows[greatest(CASE WHEN n.start + r.moved + len(n.minus) < 0 THEN greatest(n.start + r.moved + len(n.minus) + len(r.rows), 0)
+                              ELSE n.start + r.moved + len(n.minus) END,
+                         CASE WHEN n.start + r.moved < 0 THEN greatest(n.start + r.moved + len(r.rows), 0) ELSE n.start + r.moved END) + 1:] END,
+    CASE WHEN n.start + r.moved + len(n.minus) > len(r.rows) THEN r.moved ELSE r.moved + len(n.plus) - len(n.minus) END,
+    r.moved, n.start + r.moved + len(n.minus) <= len(r.rows)
+  FROM r JOIN n ON n.doc_id = r.doc_id AND n.no = r.no + 1)"""
+
+
+@query("apply_udiffs", ["v_files", "v_diffs"], sql=f"""
+WITH RECURSIVE {_HUNKS_SQL}
+SELECT doc_id, md5(array_to_string(rows, '')) AS content_md5 FROM r
+WHERE no = (SELECT count(*) FROM n WHERE n.doc_id = r.doc_id)""")
+def q_apply_udiffs(spark):
+    """E-6: a diff of several hunks applied to every file, by position."""
+    out = edits.apply_udiffs(spread(spark.table("v_files").select("repo_id", "path", "content")), spark.table("v_diffs"))
+    return out.select("doc_id", F.md5("content").alias("content_md5"))
+
+
+@query("hunk_offsets", ["v_files", "v_diffs"], sql=f"""
+WITH RECURSIVE {_HUNKS_SQL}
+SELECT d.repo_id, d.path, CAST(r.no - 1 AS INTEGER) AS hunk_no, n.start, CAST(len(n.minus) AS INTEGER) AS takes,
+  CAST(len(n.plus) AS INTEGER) AS puts, r.at AS moved, r.applied
+FROM r JOIN n ON n.doc_id = r.doc_id AND n.no = r.no JOIN v_diffs d ON d.doc_id = r.doc_id""")
+def q_hunk_offsets(spark):
+    """Every hunk's start, how far earlier hunks have moved it, and whether it applies."""
+    return edits.hunk_offsets(spread(spark.table("v_files").select("repo_id", "path", "content")), spark.table("v_diffs"))
 
 
-@query("apply_edits", ["v_responses", "v_files"])
+def _outcomes(spark):
+    parsed = edits.dispatch_format(spark.table("v_responses"))
+    return edits.apply_edits(spark.table("v_files").select("repo_id", "path", "content"), parsed)
+
+
+# one edit after the other on the content that the one before has left; the fixture's diffs replace the first line
+_APPLY_SQL = f"""
+p AS (SELECT repo_id, path, response_id, block_no, format, original, updated FROM ({_EB_SQL}) a
+  UNION ALL SELECT repo_id, path, response_id, block_no, format, '', updated FROM {_WHOLE_SQL} b
+  UNION ALL SELECT v.repo_id, u.path, u.response_id, u.block_no, u.format, u.original, u.updated
+    FROM ({_UDIFF_SQL}) u JOIN v_responses v ON v.response_id = u.response_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY response_id, block_no) AS no,
+        count(*) OVER (PARTITION BY repo_id, path) AS total FROM p),
+t AS (SELECT DISTINCT o.repo_id, o.path, f.content AS body FROM o LEFT JOIN v_files f ON f.repo_id = o.repo_id AND f.path = o.path),
+r AS (SELECT repo_id, path, CAST(0 AS BIGINT) AS no, body, CAST('' AS VARCHAR) AS status, false AS changed FROM t
+  UNION ALL
+  SELECT repo_id, path, no, CASE WHEN status IN ('no_match', 'missing') THEN body ELSE next END, status,
+    status = 'created' OR (status = 'edited' AND next <> coalesce(body, ''))
+  FROM (SELECT repo_id, path, no, body, next, CASE WHEN kind <> 'edit' THEN kind WHEN body IS NULL THEN 'missing'
+               WHEN next IS NULL THEN 'no_match' ELSE 'edited' END AS status
+        FROM (SELECT o.repo_id, o.path, o.no, r.body,
+                CASE WHEN o.format = 'udiff' THEN 'edited' WHEN o.format = 'whole' OR {d_strip('o.original')} = '' THEN 'created' ELSE 'edit' END AS kind,
+                CASE WHEN o.format = 'udiff' THEN CASE WHEN coalesce(r.body, '') = '' THEN coalesce(r.body, '')
+                       ELSE 'edited' || chr(10) || array_to_string(({d_lines('r.body', keep=True)})[2:], '') END
+                     WHEN o.format = 'whole' OR {d_strip('o.original')} = '' THEN o.updated
+                     ELSE coalesce({d_replace_first('r.body', 'o.original', 'o.updated')}, {d_fuzzy('r.body', 'o.original', 'o.updated')}) END AS next
+              FROM r JOIN o ON o.repo_id = r.repo_id AND o.path = r.path AND o.no = r.no + 1) s1) s2)"""
+
+
+@query("apply_edits", ["v_responses", "v_files"], sql=f"""
+WITH RECURSIVE {_APPLY_SQL}
+SELECT o.repo_id, o.path, o.response_id, o.block_no, o.format, r.status, r.changed,
+  CASE WHEN o.no = o.total THEN md5(r.body) END AS final_md5
+FROM o JOIN r ON r.repo_id = o.repo_id AND r.path = o.path AND r.no = o.no""")
 def q_apply_edits(spark):
     """E-4/E-5/E-6: ordered per-file fold of all parsed edits (status per edit, final content hash)."""
     o = _outcomes(spark)
@@ -111,7 +229,10 @@ def q_apply_edits(spark):
                     F.when(F.col("final"), F.md5("content")).alias("final_md5"))
 
 
-@query("edit_outcomes", ["v_responses", "v_files"])
+@query("edit_outcomes", ["v_responses", "v_files"], sql=f"""
+WITH RECURSIVE {_APPLY_SQL}
+SELECT o.format, r.status, count(*) AS n_edits, count(DISTINCT o.repo_id || '/' || o.path) AS n_paths
+FROM o JOIN r ON r.repo_id = o.repo_id AND r.path = o.path AND r.no = o.no GROUP BY o.format, r.status""")
 def q_edit_outcomes(spark):
     """E-9: edit counts per format and status, distinct paths touched."""
     return edits.edit_outcomes(_outcomes(spark))

@@ -230,6 +230,31 @@ SELECT conv_id, 2 * seq + 1 AS drop_id, {_DROP_PATH} FROM v_chat_files WHERE seq
 """, ["v_chat_files"])
 
 
+# v_fuzzy: search texts that a file holds only up to white space (lines stripped, blanks doubled), or not at all
+_view("v_fuzzy", """
+SELECT repo_id, path, doc_id, CASE doc_id % 4
+    WHEN 0 THEN '  ' || split_part(content, chr(10), 1) || '  ' || chr(10) || chr(9) || split_part(content, chr(10), 2) || chr(10)
+    WHEN 1 THEN replace(split_part(content, chr(10), 1), ' ', '  ')
+    WHEN 2 THEN 'absent text' || chr(10) || 'twice'
+    ELSE ' ' || split_part(content, chr(10), 1) || chr(9) END AS original,
+  '# one' || chr(10) || '# two' || chr(10) AS updated
+FROM v_files
+""", ["v_files"])
+
+# v_diffs: diffs of one to four hunks: a longer first line, lines put in front, one behind the last, lines far below
+_view("v_diffs", """
+SELECT repo_id, path, doc_id,
+  '--- a/' || path || chr(10) || '+++ b/' || path || chr(10)
+  || '@@ -1,1 +1,3 @@' || chr(10) || '-' || split_part(content, chr(10), 1) || chr(10) || '+first' || chr(10) || '+second' || chr(10)
+  || '+third' || chr(10)
+  || CASE WHEN doc_id % 3 = 0 THEN '@@ -0,0 +1,1 @@' || chr(10) || '+top' || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 4 < 2 THEN '@@ -2,2 +4,1 @@ def' || chr(10) || ' kept' || chr(10) || '-gone' || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 5 = 0 THEN '@@ -9999,1 +9999,1 @@' || chr(10) || '-far' || chr(10) || '+away' || chr(10) ELSE '' END
+  || '@@ -4 +' || CAST(doc_id % 9 AS STRING) || ' @@' || chr(10) || '-x' || chr(10) || '+y' || chr(10) AS diff
+FROM v_files
+""", ["v_files"])
+
+
 def _order(names: list[str]) -> list[str]:
     seen: list[str] = []
 
@@ -249,8 +274,9 @@ def with_views(body: str, views: list[str]) -> str:
     if not need:
         return body
     ctes = ",\n".join(f"{v} AS ({VIEWS_DUCK.get(v, VIEWS[v]).strip()})" for v in need)
-    if body.lstrip().upper().startswith("WITH "):
-        return f"WITH {ctes},\n{body.lstrip()[5:]}"
+    for word in ("WITH RECURSIVE ", "WITH "):
+        if body.lstrip().upper().startswith(word):
+            return f"{word}{ctes},\n{body.lstrip()[len(word):]}"
     return f"WITH {ctes}\n{body}"
 
 

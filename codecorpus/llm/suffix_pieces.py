@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codecorpus.llm.tokens import UnitEncoder, shared
+from codecorpus.llm.tokens import MEMO_BYTES, Memo, UnitEncoder, shared
 
 MARK = "▁"
 RUNS = re.compile(rf"(?<=[^{MARK}])(?={MARK})")
@@ -176,9 +176,8 @@ def segment(units: list[str], v: Vocabulary) -> list[bytes]:
 class PieceEncoder(UnitEncoder):
     """Whole texts to ids; each distinct unit is matched once while it stays in the memo."""
 
-    def __init__(self, path: str, memo: int = 800_000):
-        self.vocabulary, self.limit = Vocabulary(path), memo
-        self.memo: dict[str, bytes] = {}
+    def __init__(self, path: str, memo: int = 2 * MEMO_BYTES):
+        self.vocabulary, self.memo = Vocabulary(path), Memo(memo)
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -192,16 +191,17 @@ class PieceEncoder(UnitEncoder):
                 out += RUNS.split(line)
         return out
 
-    def _learn(self, missing: set[str]) -> None:
-        todo, size = [], 0
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        fresh, todo, size = {}, [], 0
         for u in sorted(missing):
             todo.append(u)
             size += len(u.encode())
             if size >= INDEXED:
-                self.memo.update(zip(todo, segment(todo, self.vocabulary), strict=True))
+                fresh.update(zip(todo, segment(todo, self.vocabulary), strict=True))
                 todo, size = [], 0
         if todo:
-            self.memo.update(zip(todo, segment(todo, self.vocabulary), strict=True))
+            fresh.update(zip(todo, segment(todo, self.vocabulary), strict=True))
+        return fresh
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, without the mark set before it."""

@@ -8,7 +8,6 @@ it stays in the worker's memo. The ids are those of encoding the whole text.
 from __future__ import annotations
 
 import contextlib
-import functools
 import gc
 import os
 import re
@@ -66,10 +65,20 @@ def word_units(text: str) -> list[str]:
 _SPACES = {c: " " for c in (9, 10, 11, 12, 13)}
 
 
-@functools.cache
+_held: tuple | None = None
+
+
 def shared(kind: type, *args):
-    """One encoder for all tasks that a Python worker runs, so that its memo serves them all."""
-    return kind(*args)
+    """One encoder for all tasks that a Python worker runs, so that its memo serves them all.
+
+    A worker holds one at a time, the one that its tasks asked for last.
+    """
+    global _held
+    key = (kind, args)
+    if _held is None or _held[0] != key:
+        _held = None
+        _held = (key, kind(*args))
+    return _held[1]
 
 
 @contextlib.contextmanager
@@ -91,23 +100,47 @@ def byte_signs(word: str) -> str:
     return word.encode().decode("latin-1").translate(BYTE_SIGNS)
 
 
+#: Bytes that a worker's memo of units may take, and what an entry takes besides its unit and ids.
+MEMO_BYTES, ENTRY_BYTES = 32 << 20, 200
+#: Longer units are not remembered.
+LONG_UNIT = 64
+
+
+class Memo(dict):
+    """Ids of units; starts afresh when its entries take more than ``limit`` bytes. Long units are left out."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.size = limit, 0
+
+    def remember(self, fresh: dict[str, bytes]) -> None:
+        for u, ids in fresh.items():
+            if len(u) > LONG_UNIT:
+                continue
+            self.size += len(u) + len(ids) + ENTRY_BYTES
+            if self.size > self.limit:
+                self.clear()
+                self.size = len(u) + len(ids) + ENTRY_BYTES
+            self[u] = ids
+
+
 class UnitEncoder:
     """Encodes batches of texts to little-endian uint32 bytes.
 
-    ``memo`` bounds the units remembered; when it is full, it starts afresh.
+    ``memo`` bounds the bytes of the units remembered.
     """
 
-    def __init__(self, path: str, units: Callable[[str], list[str]], memo: int = 1_200_000):
+    def __init__(self, path: str, units: Callable[[str], list[str]], memo: int = MEMO_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.units, self.limit = Tokenizer.from_file(path), units, memo
+        self.tokenizer, self.units = Tokenizer.from_file(path), units
         spaced = units is byte_units
         self.text_of, self.bare, self.fold = (byte_text, BARE, str) if spaced else (str, "", str.lower)
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(memo)
 
-    def _learn(self, missing: set[str]) -> None:
-        """Encode the units; a tail of punctuation after a Latin letter is encoded apart."""
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of the units; a tail of punctuation after a Latin letter is encoded apart."""
         split, plain = {}, set()
         for u in missing:
             head = u.rstrip(TAIL)
@@ -116,30 +149,30 @@ class UnitEncoder:
                 plain.update(split[u])
             else:
                 plain.add(u)
-        memo, rest, tokenize = self.memo, [], self.tokenizer.model.tokenize
+        memo, fresh, rest, tokenize = self.memo, {}, [], self.tokenizer.model.tokenize
         for u in plain:
             if u in memo:
+                fresh[u] = memo[u]
                 continue
             text = self.text_of(u)
             letters = text[1:] if text[:1] == " " else text
             if letters.isalpha() and (letters.isascii() or max(letters) < "\u0250" and "\u0130" not in letters):
                 # one word of Latin letters: the BPE model alone, without the steps around it
-                memo[u] = array("I", [t.id for t in tokenize(byte_signs(self.fold(text)))]).tobytes()
+                fresh[u] = array("I", [t.id for t in tokenize(byte_signs(self.fold(text)))]).tobytes()
             else:
                 rest.append(u)
         encoded = self.tokenizer.encode_batch([self.text_of(u) for u in rest], add_special_tokens=False)
         for u, e in zip(rest, encoded, strict=True):
-            memo[u] = array("I", e.ids).tobytes()
+            fresh[u] = array("I", e.ids).tobytes()
         for u, (head, tail) in split.items():
-            self.memo[u] = self.memo[head] + self.memo[tail]
+            fresh[u] = fresh[head] + fresh[tail]
+        return fresh
 
     @no_cycle_search()
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for at in range(0, len(texts), 256):
-            if len(self.memo) > self.limit:
-                self.memo = {}
-            memo, missing, chunk = self.memo, set(), []
+            memo, missing, chunk, fresh = self.memo, set(), [], {}
             for t in texts[at:at + 256]:
                 units = self.units(t) if t else []
                 ids = list(map(memo.get, units))
@@ -147,9 +180,10 @@ class UnitEncoder:
                 missing.update([units[i] for i in gaps])
                 chunk.append((units, ids, gaps))
             if missing:
-                self._learn(missing)
+                fresh = self._learn(missing)
             for units, ids, gaps in chunk:
                 for i in gaps:
-                    ids[i] = memo[units[i]]
+                    ids[i] = fresh[units[i]]
                 out.append(b"".join(ids))
+            memo.remember(fresh)
         return out

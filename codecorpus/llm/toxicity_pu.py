@@ -31,8 +31,8 @@ from codecorpus.llm.common import class_counts, in_fold, labelled
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
-#: Features of words seen so far are kept up to this many words a worker.
-CACHED_WORDS = 300_000
+#: Features of words seen so far are kept up to this many words a worker; longer words than this are not kept.
+CACHED_WORDS, LONG_WORD = 100_000, 64
 
 
 def word_features(word: str) -> list[str]:
@@ -56,7 +56,9 @@ class Features:
                 hit = tuple(self.at[f] for f in word_features(w) if f in self.at)
                 if len(self.inert) + len(self.active) > CACHED_WORDS:
                     self.inert, self.active = set(), {}
-                if hit:
+                if len(w) > LONG_WORD:
+                    pass
+                elif hit:
                     self.active[w] = hit
                 else:
                     self.inert.add(w)

@@ -61,10 +61,10 @@ def route_messages(messages: DataFrame) -> DataFrame:
     return messages.withColumn("delivered_to", F.explode(targets))
 
 
-def result_messages(results: DataFrame) -> DataFrame:
-    """Each step's result is broadcast as a 'result' message from its agent."""
+def result_messages(results: DataFrame, recipient: Column | None = None) -> DataFrame:
+    """Each step's result as a 'result' message from its agent, to all unless a recipient is given."""
     return results.select("run_id", "step", F.col("agent_name").alias("sender"),
-                          F.lit("all").alias("recipient"), F.col("output").alias("content"),
+                          (F.lit("all") if recipient is None else recipient).alias("recipient"), F.col("output").alias("content"),
                           F.lit("result").alias("message_type"))
 
 

@@ -80,16 +80,18 @@ def dirty_paths(status_lines: DataFrame) -> DataFrame:
 
 def read_commit_log(lines: DataFrame) -> DataFrame:
     """``hash|short|subject|author|date`` split at most 4 times; only rows
-    with exactly five parts. A '|' in the subject shifts author and date."""
+    with exactly five parts. A '|' in the subject shifts author and date.
+    Other columns (the log's repo) are kept."""
     parts = F.split(F.col("line"), r"\|", 5)
+    others = [c for c in lines.columns if c != "line"]
     return (lines.withColumn("_p", parts).filter(F.size("_p") == 5)
-            .select(F.col("_p")[0].alias("hash"), F.col("_p")[1].alias("short_hash"),
+            .select(*others, F.col("_p")[0].alias("hash"), F.col("_p")[1].alias("short_hash"),
                     F.col("_p")[2].alias("subject"), F.col("_p")[3].alias("author"), F.col("_p")[4].alias("date")))
 
 
-def recent_commits(commits: DataFrame, n: int = 10) -> DataFrame:
-    """Last ``n`` commits per author (newest date first, hash as tie-break)."""
-    w = Window.partitionBy("author").orderBy(F.col("date").desc(), F.col("hash").desc())
+def recent_commits(commits: DataFrame, n: int = 10, by: str = "author") -> DataFrame:
+    """K5: last ``n`` commits per author, or per repo (newest date first, hash as tie-break)."""
+    w = Window.partitionBy(by).orderBy(F.col("date").desc(), F.col("hash").desc())
     return commits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 

@@ -13,8 +13,18 @@ from pyspark.sql import functions as F
 
 from codecorpus import dims
 from codecorpus.functions.text import count_tokens
+from codecorpus.session import staged
 
+# FIXED VALUES -- texts of the prompts around files and maps
 _FILES_PLACEHOLDER = "(no files added yet — use /add <filename> to add files)"
+NO_MAP = "(no repo map available)"
+AGENT_FILES = "Relevant files:\n\n"
+ARCHITECT_FILES = "Here are the relevant files:\n\n"
+
+# The system prompt around them, our own wording.
+PROMPT_HEAD = "You are an expert software engineer working in a repository.\n\n"
+PROMPT_FILES = "\n\n## Files in chat\n\n"
+PROMPT_FOOT = "\n\nReply with SEARCH/REPLACE blocks."
 
 
 # ---------------------------------------------------------------------------
@@ -89,6 +99,24 @@ def message_tokens(messages: DataFrame, content: str = "content") -> DataFrame:
                  F.count(F.lit(1)).alias("n_messages")))
 
 
+def part_tokens(content: Column) -> Column:
+    """A1: tokens of a message's VARIANT content: a string, or the text parts of a list; anything else has none."""
+    kind = F.schema_of_variant(content)
+    parts = F.try_variant_get(content, "$", "array<variant>")
+    field = lambda p, name: F.coalesce(F.try_variant_get(p, f"$.{name}", "string"), F.lit(""))
+    texts = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n + F.when(
+        field(p, "type") == "text", count_tokens(field(p, "text"))).otherwise(0))
+    return (F.when(kind == "STRING", count_tokens(F.try_variant_get(content, "$", "string")))
+            .when(kind.startswith("ARRAY"), texts).otherwise(0))
+
+
+def multipart_tokens(messages: DataFrame, content: str = "content") -> DataFrame:
+    """A1 on JSON content (a string, a list of parts, or null): as ``message_tokens``; images count nothing."""
+    own = F.coalesce(part_tokens(F.parse_json(content)), F.lit(0))
+    return (messages.groupBy("conv_id").agg(F.sum(own + dims.MESSAGE_OVERHEAD_TOKENS).alias("message_tokens"),
+                                            F.count(F.lit(1)).alias("n_messages")))
+
+
 def dedupe_files(chat_files: DataFrame) -> DataFrame:
     """A path is added to a session once; the first add wins."""
     w = Window.partitionBy("conv_id", "repo_id", "path").orderBy("seq")
@@ -182,15 +210,15 @@ def truncate_to_tokens(text: Column, max_tokens: int | Column) -> Column:
     return F.when(fits, text).otherwise(F.array_join(F.slice(lines, F.lit(1), kept), ""))
 
 
-def context_limit_flag(messages: DataFrame, sessions: DataFrame, files: DataFrame,
-                       chat_files: DataFrame, history: int = dims.HISTORY_MESSAGES) -> DataFrame:
+def context_limit_flag(messages: DataFrame, sessions: DataFrame, files: DataFrame, chat_files: DataFrame,
+                       history: int = dims.HISTORY_MESSAGES, rules: DataFrame | None = None) -> DataFrame:
     """Per user turn, estimated prompt tokens vs 0.9 x the context window.
 
-    estimate = tokens(system prompt: files section) + tokens of up to
+    estimate = tokens(system prompt: map, files, instructions) + tokens of up to
     ``history`` earlier messages + tokens(current message). The running
     history sum is a bounded ROWS frame, no self-join.
     """
-    sys_tok = files_section_tokens(files, chat_files)
+    sys_tok = system_prompt_tokens(files, chat_files, messages, rules)
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-history, -1)
     m = (messages.withColumn("tok", count_tokens("content"))
          .withColumn("history_tokens", F.coalesce(F.sum("tok").over(w), F.lit(0)))
@@ -198,16 +226,15 @@ def context_limit_flag(messages: DataFrame, sessions: DataFrame, files: DataFram
     s = resolve_model(sessions).select("conv_id", "context_window")
     return (m.join(sys_tok, "conv_id", "left").join(s, "conv_id", "left")
             .select("conv_id", "turn",
-                    (F.coalesce("system_tokens", F.lit(_placeholder_tokens())) + F.col("history_tokens")
-                     + F.col("tok")).cast("long").alias("estimated_tokens"),
+                    (F.col("system_tokens") + F.col("history_tokens") + F.col("tok")).cast("long").alias("estimated_tokens"),
                     F.coalesce("context_window", F.lit(dims.UNKNOWN_MODEL[0])).alias("context_window"))
             .withColumn("over_limit", F.col("estimated_tokens") > F.col("context_window") * dims.CONTEXT_WARN_RATIO))
 
 
-def files_section_tokens(files: DataFrame, chat_files: DataFrame) -> DataFrame:
-    """Tokens of the A6 files section without building it: its length is
-    sum(len(part)) + 2 * (n - 1), and each part's length is computed from
-    the file's content length map-side, so no content is shuffled."""
+def files_section_chars(files: DataFrame, chat_files: DataFrame) -> DataFrame:
+    """(conv_id, section_chars): the length of the A6 files section without building it:
+    sum(len(part)) + 2 * (n - 1), each part's length computed from the
+    file's content length map-side, so no content is shuffled."""
     from codecorpus.operators.corpus import detect_language
     cf = dedupe_files(chat_files).select("conv_id", "repo_id", "path", "read_only")
     f = files.select("repo_id", "path", F.length("content").alias("_clen"))
@@ -215,38 +242,71 @@ def files_section_tokens(files: DataFrame, chat_files: DataFrame) -> DataFrame:
                 + F.when(F.col("read_only"), F.lit(len(" (read-only)"))).otherwise(F.lit(0))
                 + F.lit(len("\n```")) + F.length(detect_language(F.col("path"))) + F.lit(1)
                 + F.col("_clen") + F.lit(len("\n```")))
-    per = (cf.join(f, ["repo_id", "path"]).groupBy("conv_id")
-           .agg(F.sum(part_len).alias("_len"), F.count(F.lit(1)).alias("_n")))
-    total = F.col("_len") + 2 * (F.col("_n") - 1)
-    return per.select("conv_id", F.greatest(F.lit(1), F.floor(total / 4)).cast("long").alias("system_tokens"))
-
-
-def _placeholder_tokens() -> int:
-    return max(1, len(_FILES_PLACEHOLDER) // 4)
+    return (cf.join(f, ["repo_id", "path"]).groupBy("conv_id")
+            .agg((F.sum(part_len) + 2 * (F.count(F.lit(1)) - 1)).alias("section_chars")))
 
 
 # ---------------------------------------------------------------------------
 # Files section and prompt
 # ---------------------------------------------------------------------------
-def files_section(files: DataFrame, chat_files: DataFrame) -> DataFrame:
-    """Per session, ``### path[ (read-only)]`` + fenced content, joined by a
-    blank line, in add order. Sessions without files get the placeholder
-    (when the caller left-joins). The string aggregation is per session and
-    bounded by the session's own context."""
+def files_section(files: DataFrame, chat_files: DataFrame, form: str = "system") -> DataFrame:
+    """Per session, ``### path`` + fenced content, joined by a blank line, in
+    add order. The system prompt's form marks read-only files, it and the architect's
+    name the language, the agent's does neither. Sessions without files get the
+    placeholder (when the caller left-joins). The string aggregation is per session
+    and bounded by the session's own context.
+
+    The attached keys are staged first, so that their size is known: where they
+    are few, they are broadcast and no content is shuffled to meet them.
+    """
     from codecorpus.operators.corpus import detect_language
-    cf = dedupe_files(chat_files)
-    f = files.select("repo_id", "path", "content")
-    parts = (cf.join(f, ["repo_id", "path"])
-             .withColumn("language", detect_language(F.col("path")))
-             .withColumn("part", F.concat(F.lit("### "), "path",
-                                          F.when(F.col("read_only"), " (read-only)").otherwise(""),
-                                          F.lit("\n```"), "language", F.lit("\n"), "content", F.lit("\n```"))))
+    cf = staged(dedupe_files(chat_files).select("conv_id", "repo_id", "path", "seq", "read_only"), "attached")
+    mark = F.when(F.col("read_only") & F.lit(form == "system"), " (read-only)").otherwise("")
+    language = F.lit("") if form == "agent" else detect_language(F.col("path"))
+    parts = (files.select("repo_id", "path", "content").join(cf, ["repo_id", "path"])
+             .withColumn("part", F.concat(F.lit("### "), "path", mark, F.lit("\n```"), language, F.lit("\n"), "content",
+                                          F.lit("\n```"))))
     return (parts.groupBy("conv_id")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "path", "part"))),
                                           lambda x: x["part"]), "\n\n").alias("files_section"),
                  F.count(F.lit(1)).alias("n_files")))
 
 
+def files_message(files: DataFrame, chat_files: DataFrame, form: str) -> DataFrame:
+    """A6 as the message that shows a session's files to an agent or to the architect."""
+    head = {"agent": AGENT_FILES, "architect": ARCHITECT_FILES}[form]
+    return files_section(files, chat_files, form).select("conv_id", F.lit(form).alias("form"), "n_files",
+                                                         F.concat(F.lit(head), "files_section").alias("message"))
+
+
+def primary_maps(files: DataFrame, chat_files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(conv_id, repo_map): each session's map of the repo of the file that it added first."""
+    from codecorpus.operators.repomap import session_maps
+    first = chat_files.groupBy("conv_id").agg(F.min_by("repo_id", F.struct("seq", "repo_id", "path")).alias("repo_id"))
+    return session_maps(files, chat_files, rules=rules).join(first, ["conv_id", "repo_id"]).select("conv_id", "repo_map")
+
+
+def _map_part() -> Column:
+    return F.when(F.coalesce("repo_map", F.lit("")) == "", F.lit(NO_MAP)).otherwise(F.concat(F.lit("\n"), "repo_map", F.lit("\n")))
+
+
+def system_prompts(files: DataFrame, chat_files: DataFrame, sessions: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(conv_id, prompt) of every session: its repo map, its files and the note on the edit format."""
+    prompt = F.concat(F.lit(PROMPT_HEAD), _map_part(), F.lit(PROMPT_FILES),
+                      F.coalesce("files_section", F.lit(_FILES_PLACEHOLDER)), F.lit(PROMPT_FOOT))
+    return (sessions.select("conv_id").distinct().join(primary_maps(files, chat_files, rules), "conv_id", "left")
+            .join(files_section(files, chat_files), "conv_id", "left").select("conv_id", prompt.alias("prompt")))
+
+
+def system_prompt_tokens(files: DataFrame, chat_files: DataFrame, sessions: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(conv_id, system_tokens) of ``system_prompts`` without building them: no content is shuffled."""
+    fixed = len(PROMPT_HEAD) + len(PROMPT_FILES) + len(PROMPT_FOOT)
+    chars = F.length(_map_part()) + F.coalesce("section_chars", F.lit(len(_FILES_PLACEHOLDER))) + fixed
+    return (sessions.select("conv_id").distinct().join(primary_maps(files, chat_files, rules), "conv_id", "left")
+            .join(files_section_chars(files, chat_files), "conv_id", "left")
+            .select("conv_id", F.greatest(F.lit(1), F.floor(chars / 4)).cast("long").alias("system_tokens")))
+
+
 def message_json(messages: DataFrame) -> DataFrame:
     """S9 + F9: API form of a message; image parts only for data:/http refs,
     and only when the message has images at all."""

@@ -67,6 +67,24 @@ def is_text(path: Column, content: Column) -> Column:
             & F.coalesce(F.position(F.lit(bytearray(b"\x00")), head) == 0, F.lit(False)))
 
 
+# a valid UTF-8 sequence, one character a byte
+_UTF8 = (r"[\x00-\x7F]|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}"
+         r"|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}")
+
+
+def decode_text(raw: Column, errors: str = "replace") -> Column:
+    """``read_text``: bytes as UTF-8; malformed ones become U+FFFD, or are left out with ``errors="ignore"``.
+
+    Valid texts are taken as they are; of the others, a view with one character a
+    byte is cut to its valid sequences.
+    """
+    text = raw.cast("string")
+    if errors == "replace":
+        return F.make_valid_utf8(text)
+    kept = F.array_join(F.regexp_extract_all(F.decode(raw, "ISO-8859-1"), F.lit(f"(?:{_UTF8})"), 0), "")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(F.encode(kept, "ISO-8859-1"), "UTF-8"))
+
+
 def find_files(tree: DataFrame, patterns: list[str] | None = None,
                ignore_patterns: list[str] | None = None,
                max_files: int = dims.FIND_FILES_CAP) -> DataFrame:

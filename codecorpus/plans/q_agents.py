@@ -58,6 +58,21 @@ def q_route_messages(spark):
     return agents.route_messages(m).select("run_id", "step", "sender", "recipient", "message_type", "delivered_to")
 
 
+_RECIPIENT = """CASE (run_id + step) % 5 WHEN 0 THEN 'all' WHEN 1 THEN 'tester' WHEN 2 THEN 'planner'
+  WHEN 3 THEN 'nobody' ELSE agent_name END"""
+
+
+@query("route_addressed_messages", ["v_agent_results"], sql=f"""
+SELECT m.run_id, m.step, m.sender, m.recipient, a.agent AS delivered_to
+FROM (SELECT run_id, step, agent_name AS sender, {_RECIPIENT} AS recipient FROM v_agent_results) m
+JOIN (SELECT unnest([{', '.join(repr(a) for a in agents.ROUTABLE)}]) AS agent) a
+  ON m.recipient = a.agent OR m.recipient = 'all'""")
+def q_route_addressed(spark):
+    """J-6: messages to all, to one agent, to the planner (which has no inbox) and to a name that nobody has."""
+    m = agents.result_messages(spark.table("v_agent_results"), F.expr(_RECIPIENT))
+    return agents.route_messages(m).select("run_id", "step", "sender", "recipient", "delivered_to")
+
+
 @query("previous_results", ["v_agent_results"], sql="""
 SELECT run_id, step, agent_name, CAST(count(*) OVER w AS INTEGER) AS n_previous,
   md5(coalesce(string_agg(CAST(step AS VARCHAR) || ':' || agent_name || ':' || output, chr(10)) OVER w, '')) AS previous_md5

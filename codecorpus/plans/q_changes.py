@@ -72,6 +72,18 @@ def q_recent_commits(spark):
     return c.select("hash", "author", "date", "rank")
 
 
+@query("recent_repo_commits", ["v_repo_commits"], sql=f"""
+SELECT repo_id, hash, date, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY date DESC, hash DESC) AS rank FROM (
+    SELECT repo_id, regexp_extract(line, '(?s){_LOG_RX}', 1) AS hash, regexp_extract(line, '(?s){_LOG_RX}', 5) AS date
+    FROM v_repo_commits WHERE regexp_matches(line, '(?s){_LOG_RX}')) c) r
+WHERE rank <= 10""")
+def q_recent_repo_commits(spark):
+    """K5: the last 10 commits of every repo (the log's -n limit)."""
+    c = changes.recent_commits(changes.read_commit_log(spark.table("v_repo_commits")), 10, "repo_id")
+    return c.select("repo_id", "hash", "date", "rank")
+
+
 _OUT = """'On branch main' || chr(10) || CASE WHEN o_orderkey % 9 = 0 THEN 'nothing to commit'
   ELSE '[' || CASE WHEN o_orderkey % 2 = 0 THEN 'main' ELSE 'feat/x' END || ' c' || CAST(o_orderkey AS STRING) || '] fix '
   || CAST(o_custkey AS STRING) || chr(10) || ' 1 file changed' END"""

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codecorpus import dims
 from codecorpus.functions.patterns import LINE_BREAK, LINE_TERM_CLASS
 from codecorpus.functions.text import count_tokens
 from codecorpus.operators import chat
+from codecorpus.plans.q_corpus import scanned_sql, session_map_ctes
 from codecorpus.plans.registry import query
+from codecorpus.session import spread
 
 TOK = "greatest(1, length({x}) // 4)"
 
@@ -205,7 +206,7 @@ SELECT d.doc_id, CASE WHEN {tok('d.text')} <= 50 THEN d.text
 FROM documents d""")
 def q_truncate(spark):
     """Every document truncated to 50 tokens at a line boundary."""
-    d = spark.table("documents")
+    d = spread(spark.table("documents").select("doc_id", "text"))
     return d.select("doc_id", chat.truncate_to_tokens(F.col("text"), 50).alias("truncated"))
 
 
@@ -233,22 +234,61 @@ def q_files_section(spark):
         "conv_id", "files_section", "n_files")
 
 
-@query("context_limit_flag", ["v_sessions", "v_chat_files", "v_files"],
-       sql="WITH " + catalog_ctes() + ",\n" + _FILES_SECTION_SQL.format(lang=_lang_case("d.path")) + f""",
+@query("files_section_forms", ["v_chat_files", "v_files"],
+       sql="WITH " + _FILES_SECTION_SQL.format(lang=_lang_case("d.path")).replace("CASE WHEN d.read_only THEN ' (read-only)' ELSE '' END", "''")
+       + ",\n" + _FILES_SECTION_SQL.format(lang="''").replace("CASE WHEN d.read_only THEN ' (read-only)' ELSE '' END", "''").replace("fs AS", "fa AS", 1)
+       + """
+SELECT conv_id, 'agent' AS form, n_files, md5('Relevant files:' || chr(10) || chr(10) || files_section) AS message_md5 FROM fa
+UNION ALL SELECT conv_id, 'architect', n_files, md5('Here are the relevant files:' || chr(10) || chr(10) || files_section) FROM fs""")
+def q_files_section_forms(spark):
+    """The files of each session as an agent and the architect are shown them."""
+    f, cf = spark.table("v_files"), spark.table("v_chat_files")
+    both = chat.files_message(f, cf, "agent").unionByName(chat.files_message(f, cf, "architect"))
+    return both.select("conv_id", "form", "n_files", F.md5("message").alias("message_md5"))
+
+
+def _q(text: str) -> str:
+    """A Python text as a DuckDB literal."""
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_PROMPT_CTES = (session_map_ctes(scanned_sql("v_files")) + ",\n" + _FILES_SECTION_SQL.format(lang=_lang_case("d.path")) + f""",
+first_repo AS (SELECT conv_id, repo_id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seq, repo_id, path) AS rn
+               FROM v_chat_files) x WHERE rn = 1),
+pr AS (SELECT c.conv_id, c.n, {_q(chat.PROMPT_HEAD)} || CASE WHEN coalesce(sm.repo_map, '') = '' THEN {_q(chat.NO_MAP)}
+         ELSE chr(10) || sm.repo_map || chr(10) END || {_q(chat.PROMPT_FILES)} || coalesce(fs.files_section, {_q(chat._FILES_PLACEHOLDER)})
+         || {_q(chat.PROMPT_FOOT)} AS prompt
+       FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) c
+       LEFT JOIN first_repo r ON r.conv_id = c.conv_id LEFT JOIN sm ON sm.conv_id = c.conv_id AND sm.repo_id = r.repo_id
+       LEFT JOIN fs ON fs.conv_id = c.conv_id)""")
+
+
+@query("context_limit_flag", ["v_sessions", "v_chat_files", "v_files", "v_gitignore"],
+       sql="WITH " + catalog_ctes() + ",\n" + _PROMPT_CTES + f""",
 h AS (SELECT conv_id, turn, role, {tok('text')} AS tok,
         coalesce(sum({tok('text')}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0)
           AS history_tokens FROM conversations)
-SELECT h.conv_id, h.turn,
-  CAST(coalesce({tok('fs.files_section')}, {chat._placeholder_tokens()}) + h.history_tokens + h.tok AS BIGINT) AS estimated_tokens,
+SELECT h.conv_id, h.turn, CAST({tok('pr.prompt')} + h.history_tokens + h.tok AS BIGINT) AS estimated_tokens,
   coalesce(r.context_window, {dims.UNKNOWN_MODEL[0]}) AS context_window,
-  coalesce({tok('fs.files_section')}, {chat._placeholder_tokens()}) + h.history_tokens + h.tok
-    > coalesce(r.context_window, {dims.UNKNOWN_MODEL[0]}) * 0.9 AS over_limit
-FROM h LEFT JOIN fs ON fs.conv_id = h.conv_id LEFT JOIN m_resolved r ON r.conv_id = h.conv_id
+  {tok('pr.prompt')} + h.history_tokens + h.tok > coalesce(r.context_window, {dims.UNKNOWN_MODEL[0]}) * 0.9 AS over_limit
+FROM h JOIN pr ON pr.conv_id = h.conv_id LEFT JOIN m_resolved r ON r.conv_id = h.conv_id
 WHERE h.role = 'user'""")
 def q_context_limit(spark):
     """Per user turn, estimated prompt tokens against 90% of the model's window."""
     return chat.context_limit_flag(_messages(spark), spark.table("v_sessions"), spark.table("v_files"),
-                                   spark.table("v_chat_files"))
+                                   spark.table("v_chat_files"), rules=spark.table("v_gitignore"))
+
+
+@query("multipart_tokens", ["v_parts"], sql=f"""
+SELECT conv_id, CAST(sum(4 + CASE json_type(content) WHEN 'VARCHAR' THEN {tok("json_extract_string(content, '$')")}
+    WHEN 'ARRAY' THEN coalesce(list_sum(list_transform(list_filter(CAST(json(content) AS JSON[]),
+      lambda p: json_extract_string(p, '$.type') = 'text'),
+      lambda p: {tok("coalesce(json_extract_string(p, '$.text'), '')")})), 0) ELSE 0 END) AS BIGINT) AS message_tokens,
+  count(*) AS n_messages
+FROM v_parts GROUP BY conv_id""")
+def q_multipart_tokens(spark):
+    """A1: message tokens of contents that are strings, lists of parts, images alone or null."""
+    return chat.multipart_tokens(spark.table("v_parts"))
 
 
 # ---------------------------------------------------------------- S9 / F9
@@ -292,27 +332,16 @@ def q_drop_files(spark):
     return chat.drop_files(cf, spark.table("v_drops")).select("conv_id", "repo_id", "path", "seq")
 
 
-_SYSTEM_HEAD = "You are an expert software engineer working in a repository.\n\n"
-
-
-@query("render_prompt", ["v_chat_files", "v_files", "conversations"])
+@query("render_prompt", ["v_chat_files", "v_files", "v_gitignore"], sql="WITH " + _PROMPT_CTES + f"""
+SELECT conv_id, least(n - 1, {dims.HISTORY_MESSAGES}) + 2 AS n_messages, CAST(length(prompt) AS INTEGER) AS prompt_chars,
+  CAST({tok('prompt')} AS BIGINT) AS prompt_tokens, md5(prompt) AS prompt_md5 FROM pr""")
 def q_render_prompt(spark):
-    """Per session, system prompt (repo map of its first file's repo + files
-    section + edit-format note) as length, tokens and md5, and the message count sent
+    """Per session, system prompt (its own map of its first file's repo, files
+    section, edit-format note) as length, tokens and md5, and the message count sent
     (system, up to 20 before the current one, current)."""
-    from codecorpus.operators import repomap
-    cf = chat.dedupe_files(spark.table("v_chat_files"))
-    w = Window.partitionBy("conv_id").orderBy("seq")
-    primary = cf.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("conv_id", "repo_id")
-    maps = repomap.repo_map(spark.table("v_files"))
-    fs = chat.files_section(spark.table("v_files"), spark.table("v_chat_files"))
-    sent = _messages(spark).groupBy("conv_id").agg(
-        (F.least(F.count(F.lit(1)) - 1, F.lit(dims.HISTORY_MESSAGES)) + 2).alias("n_messages"))
-    prompt = F.concat(F.lit(_SYSTEM_HEAD),
-                      F.when(F.coalesce(F.col("repo_map"), F.lit("")) == "", F.lit("(no repo map available)"))
-                       .otherwise(F.concat(F.lit("\n"), F.col("repo_map"), F.lit("\n"))),
-                      F.lit("\n\n## Files in chat\n\n"), F.coalesce(F.col("files_section"), F.lit(chat._FILES_PLACEHOLDER)),
-                      F.lit("\n\nReply with SEARCH/REPLACE blocks."))
-    return (sent.join(primary, "conv_id", "left").join(maps, "repo_id", "left").join(fs, "conv_id", "left")
-            .select("conv_id", "n_messages", F.length(prompt).alias("prompt_chars"),
-                    count_tokens(prompt).alias("prompt_tokens"), F.md5(prompt).alias("prompt_md5")))
+    m = _messages(spark)
+    sent = m.groupBy("conv_id").agg((F.least(F.count(F.lit(1)) - 1, F.lit(dims.HISTORY_MESSAGES)) + 2).alias("n_messages"))
+    prompts = chat.system_prompts(spark.table("v_files"), spark.table("v_chat_files"), m, spark.table("v_gitignore"))
+    return (sent.join(prompts, "conv_id")
+            .select("conv_id", "n_messages", F.length("prompt").alias("prompt_chars"),
+                    count_tokens("prompt").alias("prompt_tokens"), F.md5("prompt").alias("prompt_md5")))

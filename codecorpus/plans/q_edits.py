@@ -278,7 +278,7 @@ SELECT doc_id, regexp_replace(regexp_replace(text, '^[{SPACE_BODY}]+|[{SPACE_BOD
   AS normalised FROM documents""")
 def q_normalise_ws(spark):
     """Python strip + collapse of space/tab runs, over every document."""
-    d = spark.table("documents")
+    d = spread(spark.table("documents").select("doc_id", "text"))
     return d.select("doc_id", normalise_ws(F.col("text")).alias("normalised"))
 
 

@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codecorpus import dims
-from codecorpus.operators import pages
+from codecorpus.operators import corpus, pages
 from codecorpus.plans.registry import query
+from codecorpus.session import spread
 
 
 @query("scan_pages", ["pages"], sql="""
@@ -90,7 +91,21 @@ def q_read_text(spark):
     raw = F.when(F.col("doc_id") % 4 == 0, F.concat(F.encode("text", "UTF-8"), F.lit(bytearray(b"\xff")))) \
         .otherwise(F.encode("text", "UTF-8"))
     return (d.select("doc_id", raw.alias("raw"))
-            .select("doc_id", F.expr("make_valid_utf8(cast(raw AS STRING))").alias("text")))
+            .select("doc_id", corpus.decode_text(F.col("raw")).alias("text")))
+
+
+# a cut sequence, an overlong one, a surrogate, a lone continuation and a byte beyond Unicode, by doc_id % 6
+_BAD = ["e282", "c0af", "eda080", "80", "f5", ""]
+
+
+@query("read_text_ignore", ["documents"], sql="""
+SELECT doc_id, 'a' || text || 'z' AS text FROM documents""")
+def q_read_text_ignore(spark):
+    """read_text, "ignore" mode: malformed bytes in front, within and behind are left out."""
+    d = spread(spark.table("documents").select("doc_id", "text"))
+    bad = F.unhex(F.get(F.array(*[F.lit(b) for b in _BAD]), (F.col("doc_id") % 6).cast("int")))
+    raw = F.concat(bad, F.encode(F.lit("a"), "UTF-8"), bad, F.encode("text", "UTF-8"), bad, F.encode(F.lit("z"), "UTF-8"), bad)
+    return d.select("doc_id", raw.alias("raw")).select("doc_id", corpus.decode_text(F.col("raw"), "ignore").alias("text"))
 
 
 @query("valid_role_format", ["conversations"], sql="""

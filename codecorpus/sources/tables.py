@@ -126,6 +126,14 @@ SELECT 'h' || CAST(o_orderkey AS STRING) || '|s' || CAST(o_orderkey AS STRING) |
 FROM orders
 """, ["orders"])
 
+# v_repo_commits: the same lines as the logs of seven repos
+_view("v_repo_commits", """
+SELECT 'repo' || CAST(o_custkey % 7 AS STRING) AS repo_id, line
+FROM (SELECT o_custkey, 'h' || CAST(o_orderkey AS STRING) || '|s' || CAST(o_orderkey AS STRING) || '|'
+  || CASE WHEN o_orderkey % 10 = 0 THEN 'fix a|b' ELSE 'fix' END || '|cust' || CAST(o_custkey AS STRING) || '|'
+  || substring(CAST(o_orderdate AS STRING), 1, 10) AS line FROM orders) o
+""", ["orders"])
+
 # v_status_lines: porcelain-like, with renames
 _view("v_status_lines", """
 SELECT CASE doc_id % 3 WHEN 0 THEN ' M ' || path WHEN 1 THEN '?? ' || path
@@ -219,6 +227,18 @@ FROM conversations
 """)
 
 
+# v_parts: message contents as JSON: a string, text with an image, several texts (one without text), an image alone, null
+_PARTS = """
+SELECT conv_id, turn, role, CASE mod(turn, 6) WHEN 0 THEN quoted
+    WHEN 1 THEN '[{"type":"text","text":' || quoted || '},{"type":"image_url","image_url":{"url":"data:x"}}]'
+    WHEN 2 THEN '[{"type":"text","text":' || quoted || '},{"type":"text"},{"type":"text","text":"and more"}]'
+    WHEN 3 THEN '[{"type":"image_url","image_url":{"url":"data:y"}}]'
+    WHEN 4 THEN 'null' END AS content
+FROM (SELECT *, %s AS quoted FROM conversations) c
+"""
+_view("v_parts", _PARTS % "substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)", ["conversations"],
+      duck=_PARTS % "CAST(to_json(text) AS VARCHAR)")
+
 # v_drops: a /drop request for every second file of a session and, where seq % 4 = 0, the same once more:
 # by full path, by basename under another folder, or a name that matches nothing
 _DROP_PATH = """CASE (conv_id + seq) % 3 WHEN 0 THEN path WHEN 1 THEN 'elsewhere/' || split_part(path, '/', 2)

@@ -33,15 +33,14 @@ def q_valid_url(spark):
 
 
 def _extracted(spark):
-    return pages.extract_pages(spark.table("pages"))
+    return pages.extract_pages(spread(spark.table("pages")))
 
 
 @query("page_markdown", ["pages"])
 def q_page_markdown(spark):
     """Markdown of every page (noise removed, main area, blocks)."""
     e = _extracted(spark)
-    return e.select("page_id", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"),
-                    F.substring("content", 1, 120).alias("head"))
+    return e.select("page_id", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
 @query("page_facts", ["pages"])

@@ -4,29 +4,51 @@ import difflib
 import pytest
 from pyspark.sql import functions as F
 
-from codecorpus.functions import editexpr, htmltree
-from codecorpus.operators import corpus, edits
+from codecorpus.functions import editexpr
+from codecorpus.operators import corpus, edits, pages
 
 
-def test_unclosed_p_nests_and_text_glues():
+@pytest.fixture(scope="module")
+def page(spark):
+    """The extracted row of one page."""
+    def run(url, html):
+        df = spark.createDataFrame([(1, url, html)], "page_id long, url string, html string")
+        return pages.extract_pages(df).first()
+    return run
+
+
+def test_unclosed_p_nests_and_text_glues(page):
     html = ("<html><head><title>T &amp; x</title><meta name='description' content='D'></head><body>"
             "<nav><a href='/n'>nav link</a></nav><article><h1>Head one</h1>"
             "<p>first paragraph a <b>b</b><p>second paragraph here</article>"
             "<footer>foot</footer></body></html>")
-    md = htmltree.page_markdown("https://x.test/a", html)
+    r = page("https://x.test/a", html)
+    md = r.content
     # the outer p contains the inner one, so its text is emitted with the inner text glued on
     assert "first paragraph absecond paragraph here" in md
     assert "second paragraph here" in md.split("\n")[-1]
     assert md.startswith("# Head one")
     assert "nav link" not in md and "foot" not in md
-    title, desc, heads, links = htmltree.page_facts("https://x.test/a", html)
-    assert (title, desc, heads) == ("T & x", "D", [(1, "Head one")])
-    assert links == [("nav link", "/n")]
-
-
-def test_scheme_check_and_plain_passthrough():
-    assert htmltree.page_markdown("ftp://x/y", "<p>z</p>") == "[Disallowed URL scheme 'ftp'. Only http/https are permitted.]"
-    assert htmltree.page_markdown("HTTPS://x/readme.md", "# raw *md*") == "# raw *md*"
+    assert (r.title, r.description, [tuple(h) for h in r.headings]) == ("T & x", "D", [(1, "Head one")])
+    assert [tuple(x) for x in r.links] == [("nav link", "/n")]
+
+
+def test_scheme_check_and_plain_passthrough(page):
+    assert page("ftp://x/y", "<p>z</p>").content == "[Disallowed URL scheme 'ftp'. Only http/https are permitted.]"
+    assert page("HTTPS://x/readme.md", "# raw *md*").content == "# raw *md*"
+
+
+def test_main_area_noise_and_blocks(page):
+    # the main element goes before an article and a class; what noise holds is neither an area nor text
+    html = ("<div class='content'><p>in a class, long enough</p></div><aside><main><p>not this main, in noise</p></main></aside>"
+            "<main><p>kept text <script>var x</script>goes on</p><ul><li>short</li><li>a longer item</li></ul>"
+            "<pre>  code\n  more\n</pre><a href='/k'> link </a><a>no target</a><a href=''>empty</a><h2> </h2><br><h3>Three</h3></main>")
+    r = page("http://x/", html)
+    assert r.content == ("kept textgoes on\na longer item\n\n```\ncode\n  more\n```\n\n[link](/k)\n\n### Three")
+    assert [tuple(x) for x in r.links] == [("link", "/k")] and [tuple(x) for x in r.headings] == [(3, "Three")]
+    assert page("http://x/", "<p id='Main-1'><b>bold</b> and more words</p>tail").content == ""
+    assert page("http://x/", "<body>x<p>all of the body &lt;tag&gt;</p></i></body>").content == "all of the body <tag>"
+    assert page("http://x/", "").content == "" and page("http://x/", None).links == []
 
 
 @pytest.fixture(scope="module")

@@ -206,6 +206,9 @@ def _literal(rx: str) -> str:
     return words[0] if words else re.findall(r"\\([({])", always)[-1]
 
 
+SYMBOLS = "array<struct<line:int,type:string,name:string>>"
+
+
 def _families() -> list[tuple[list[str], list[tuple[str, str, str]]]]:
     """(extensions, [(type, Java regex, literal)]) of every family of rules."""
     return [([e] + [a for a, b in dims.RULE_ALIASES.items() if b == e], [(typ, _java_rule(rx), _literal(rx)) for typ, rx in rules])
@@ -222,24 +225,30 @@ def _symbol(rules: list[tuple[str, str, str]], line: Column, at: Column) -> Colu
     return out
 
 
-def extract_symbols(files: DataFrame, public_only: bool = True) -> DataFrame:
-    """S1 (+F7): one row per symbol line ``(repo_id, path, line, type, name)``.
+def file_symbols(files: DataFrame, public_only: bool = True, all_files: bool = False) -> DataFrame:
+    """S1 (+F7) with one row a file of a language with rules, or for all files: (repo_id, path, symbols), in line order.
 
-    A file's lines stay an array, looked at by its own family's rules, and only
-    symbols become rows; no shuffle, ``content`` is dropped on the way. Files
-    without rules are filtered before. A private hit (name starting '_') still
-    consumes its line, then is dropped.
+    A file's lines stay an array, looked at by its own family's rules; no
+    shuffle, ``content`` is dropped on the way. A private hit (name starting
+    '_') still consumes its line, then is dropped.
     """
     families = _families()
     family = _lit_map([(e, i) for i, (exts, _) in enumerate(families) for e in exts])
-    f = (files.select("repo_id", "path", "content", F.element_at(family, suffix_lower(F.col("path"))).alias("_family"))
-         .filter(F.col("_family").isNotNull())
-         .select("repo_id", "path", "_family", split_lines(F.col("content")).alias("_lines")))
-    found = F.lit(None)
+    f = files.select("repo_id", "path", "content", F.element_at(family, suffix_lower(F.col("path"))).alias("_family"))
+    if not all_files:
+        f = f.filter(F.col("_family").isNotNull())
+    f = f.select("repo_id", "path", "_family", split_lines(F.when(F.col("_family").isNotNull(), F.col("content"))).alias("_lines"))
+    found = F.expr(f"CAST(array() AS {SYMBOLS})")
     for i, (_, rules) in enumerate(families):
         found = F.when(F.col("_family") == i, F.transform("_lines", functools.partial(_symbol, rules))).otherwise(found)
     keep = (lambda s: s.isNotNull() & ~s["name"].startswith("_")) if public_only else (lambda s: s.isNotNull())
-    return f.select("repo_id", "path", F.explode(F.filter(found, keep)).alias("_s")).select("repo_id", "path", "_s.*")
+    return f.select("repo_id", "path", F.filter(found, keep).alias("symbols"))
+
+
+def extract_symbols(files: DataFrame, public_only: bool = True) -> DataFrame:
+    """S1 (+F7): one row per symbol line ``(repo_id, path, line, type, name)``."""
+    return (file_symbols(files, public_only).select("repo_id", "path", F.explode("symbols").alias("_s"))
+            .select("repo_id", "path", "_s.*"))
 
 
 def exclude_chat_files(files: DataFrame, chat_files: DataFrame) -> DataFrame:

@@ -10,9 +10,10 @@
   With an event-time column and a timeout, abandoned replies are flushed by
   the watermark; a processing-time timeout is not used because it makes
   every trigger schedule another batch (``availableNow`` would never end).
-* T3 runs the symbol extractor on a stream of changed files and appends
-  tags with the batch id; the current index is "latest batch per path"
-  (append-only, no rewrite of the whole index per batch).
+* T3 runs the symbol extractor on a stream of changed files, a run of rows a
+  batch; runs are merged level by level, so the current index ("latest batch
+  per path") is read from a number of runs that grows with the logarithm of
+  the batches.
 
 Checkpoint and sink live in the folder ``run``, which a later call with the
 same folder resumes; by default a fresh one under the shared ``spark.checkpoint.dir``.
@@ -28,7 +29,8 @@ from pyspark.sql import types as T
 
 from codecorpus import dims
 from codecorpus.functions.patterns import fnmatch_regex
-from codecorpus.session import checkpoint_path
+from codecorpus.operators.corpus import SYMBOLS, file_symbols
+from codecorpus.session import checkpoint_path, spread
 from codecorpus.sources import tables
 
 
@@ -168,30 +170,68 @@ def stream_assemble_reply(spark: SparkSession, sf_dir: str, run: str | None = No
 # ---------------------------------------------------------------------------
 # T3
 # ---------------------------------------------------------------------------
+#: So many runs of one level are merged into one of the next.
+FAN = 4
+RUN_SCHEMA = f"repo_id string, path string, batch long, symbols {SYMBOLS}"
+
+
+def live_runs(batches: int) -> list[tuple[int, int]]:
+    """(level, number) of the runs that hold ``batches`` batches: the digits of a counter to the base ``FAN``."""
+    out, level, size = [], 0, 1
+    while size <= batches:
+        first = batches // (size * FAN) * FAN
+        out += [(level, i) for i in range(first, batches // size)]
+        level, size = level + 1, size * FAN
+    return out
+
+
+def _run_path(out: str, level: int, number: int) -> str:
+    return f"{out}/level={level}/run={number}"
+
+
+def _latest(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The newest row of every path in some runs."""
+    rows = spark.read.schema(RUN_SCHEMA).parquet(*paths)
+    return rows.groupBy("repo_id", "path").agg(F.max_by(F.struct("batch", "symbols"), "batch").alias("_v")).select(
+        "repo_id", "path", "_v.batch", "_v.symbols")
+
+
 def stream_symbol_index(spark: SparkSession, sf_dir: str, run: str | None = None) -> str:
-    """S1 on a stream of changed files; tags appended with their batch id."""
-    from codecorpus.operators.corpus import extract_symbols
+    """S1 on a stream of changed files; returns the index folder."""
     run = run or checkpoint_path(spark, f"t3-{uuid.uuid4().hex}")
     files = _view_on(spark, table_stream(spark, sf_dir, "documents"), "v_files", "documents")
-    out = run + "/tags"
+    index_symbols(files, run + "/tags", run + "/ckpt")
+    return run + "/tags"
+
+
+def index_symbols(files: DataFrame, out: str, ckpt: str) -> None:
+    """Keeps the index of a stream of (repo_id, path, content) until its input ends.
 
+    A batch is computed once and written as a run of one row a file (files without
+    symbols too: they replace older ones). ``FAN`` runs are merged into one, and so on, so an
+    index of n batches is read from a few runs a level, of which there are log n. A batch that is
+    repeated writes the same folders again; the two heads take turns to name the batches done.
+    """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        tags = extract_symbols(batch)
-        touched = batch.select("repo_id", "path").distinct()
-        (tags.withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").parquet(f"{out}/tags/batch={batch_id}"))
-        touched.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{out}/files/batch={batch_id}")
-
-    q = files.writeStream.foreachBatch(sink).option("checkpointLocation", run + "/ckpt") \
-        .trigger(availableNow=True).start()
+        spark = batch.sparkSession
+        # of several rows of a path within a batch any one is taken: their order is not known
+        symbols = file_symbols(spread(batch), all_files=True)
+        (symbols.select("repo_id", "path", F.lit(batch_id).cast("long").alias("batch"), "symbols")
+         .write.mode("overwrite").parquet(_run_path(out, 0, batch_id)))
+        level, done = 1, batch_id + 1
+        while done % FAN ** level == 0:
+            number = done // FAN ** level - 1
+            parts = [_run_path(out, level - 1, number * FAN + i) for i in range(FAN)]
+            _latest(spark, parts).write.mode("overwrite").parquet(_run_path(out, level, number))
+            level += 1
+        spark.range(1).select(F.lit(done).cast("long").alias("done")).write.mode("overwrite").parquet(f"{out}/head/slot={done % 2}")
+
+    q = files.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
-    return out
 
 
 def current_index(spark: SparkSession, index_dir: str) -> DataFrame:
-    """Latest-wins view of the appended index: tags of each path's newest batch."""
-    files = spark.read.parquet(index_dir + "/files")
-    latest = files.groupBy("repo_id", "path").agg(F.max("batch").alias("batch"))
-    tags = spark.read.parquet(index_dir + "/tags")
-    return tags.join(latest, ["repo_id", "path", "batch"], "left_semi").drop("batch", "batch_id")
+    """Latest-wins view of the index: the tags of each path's newest batch."""
+    done = spark.read.schema("done long").parquet(index_dir + "/head").agg(F.max("done")).first()[0]
+    rows = _latest(spark, [_run_path(index_dir, *r) for r in live_runs(done)])
+    return rows.select("repo_id", "path", F.explode("symbols").alias("_s")).select("repo_id", "path", "_s.*")

@@ -50,3 +50,25 @@ def test_versions_keep_column_types(spark, tmp_path):
     back = read_version(spark, str(tmp_path), 1)
     assert back.schema == df.schema and back.exceptAll(df).count() == 0 and back.count() == 2
     assert back.filter(F.col("repo_id") == "007").count() == 1
+
+
+def test_index_of_many_batches_equals_the_batch_query(spark, tmp_path):
+    """50 batches of changed files: the same tags as those of each path's last version, from few runs."""
+    import random
+
+    from codecorpus.operators.corpus import extract_symbols
+    rng, last = random.Random(2), {}
+    schema = "repo_id string, path string, content string"
+    src, out = str(tmp_path / "in"), str(tmp_path / "index")
+    for b in range(50):
+        rows = {f"f{rng.randrange(12)}.{rng.choice(['py', 'md'])}": rng.choice(["", f"def f{b}():\nclass C{b}:\n"]) for _ in range(3)}
+        last |= rows
+        spark.createDataFrame([("r", p, c) for p, c in rows.items()], schema).coalesce(1).write.mode("append").parquet(src)
+        # two starts in the midst of the batches
+        if b in (20, 49):
+            s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+            streams.index_symbols(s, out, str(tmp_path / "ckpt"))
+    want = extract_symbols(spark.createDataFrame([("r", p, c) for p, c in last.items()], schema))
+    assert sorted(map(tuple, streams.current_index(spark, out).collect())) == sorted(map(tuple, want.collect()))
+    covered = [b for level, i in streams.live_runs(50) for b in range(i * 4 ** level, (i + 1) * 4 ** level)]
+    assert sorted(covered) == list(range(50)) and len(streams.live_runs(50)) <= 3 * 3

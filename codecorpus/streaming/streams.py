@@ -4,9 +4,10 @@
   the basename) and hand each micro-batch to a callback (``foreachBatch``);
   the default callback appends to a Parquet event log (idempotent per
   batch id, so a restarted query does not duplicate rows).
-* T2 is stateful per ``response_id`` with ``applyInPandasWithState``: deltas
-  accumulate in state and the reply is emitted (and its state dropped) when
-  its end marker arrives, so state is bounded by the replies still open.
+* T2 is stateful per ``response_id`` with ``transformWithStateInPandas``: chunks
+  are rows of a list state, so a batch writes what it brings and not the reply
+  anew; the reply is emitted (and its state dropped) when all its chunks have
+  come, so state is bounded by the replies still open.
   With an event-time column and a timeout, abandoned replies are flushed by
   the watermark; a processing-time timeout is not used because it makes
   every trigger schedule another batch (``availableNow`` would never end).
@@ -26,6 +27,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from codecorpus import dims
 from codecorpus.functions.patterns import fnmatch_regex
@@ -87,9 +89,8 @@ def stream_file_events(spark: SparkSession, sf_dir: str, callback=None, run: str
 # ---------------------------------------------------------------------------
 CHUNK_OUT = T.StructType([T.StructField("response_id", T.LongType()), T.StructField("text", T.StringType()),
                           T.StructField("n_chunks", T.LongType()), T.StructField("complete", T.BooleanType())])
-CHUNK_STATE = T.StructType([T.StructField("seqs", T.ArrayType(T.LongType())),
-                            T.StructField("deltas", T.ArrayType(T.StringType())),
-                            T.StructField("last_seq", T.LongType())])
+#: Keeps state as keyed rows, of which a batch writes only those that it changes.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def chunk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,37 +113,67 @@ def _reply(response_id: int, parts: dict, complete: bool):
                         columns=["response_id", "text", "n_chunks", "complete"])
 
 
-def _assembler(timeout_ms: int | None):
-    """The state function: one delta a seq, so a chunk delivered again changes nothing."""
-
-    def assemble(key, pdfs, state):
-        parts, last = {}, None
-        if state.exists:
-            seqs, deltas, last = state.get
-            parts = dict(zip(seqs, deltas, strict=True))
-        if state.hasTimedOut:
-            state.remove()
-            yield _reply(key[0], parts, False)
-            return
-        newest = 0
-        for pdf in pdfs:
+class _Assembler(StatefulProcessor):
+    """An open reply's chunks as rows of its state: a batch adds those that it brings, and only when there
+    are enough of them are they read. One delta a seq counts, so a chunk delivered again changes nothing."""
+
+    def __init__(self, timeout_ms: int | None):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getListState("parts", "seq long, delta string")
+        self.meta = handle.getValueState("meta", "n long, last long, timer long")
+
+    def _stored(self) -> dict:
+        parts: dict = {}
+        for seq, delta in self.parts.get():
+            parts.setdefault(seq, delta)
+        return parts
+
+    def _forget(self, timer: int | None) -> None:
+        self.parts.clear()
+        self.meta.clear()
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new, last, newest = {}, None, 0
+        for pdf in rows:
             for q, d in zip(pdf["seq"], pdf["delta"], strict=True):
-                parts.setdefault(int(q), d if isinstance(d, str) else None)
+                new.setdefault(int(q), d if isinstance(d, str) else None)
             ends = pdf.loc[pdf["is_last"], "seq"]
             if len(ends):
                 last = int(ends.max())
-            if timeout_ms is not None:
+            if self.timeout_ms is not None:
                 newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
-        if last is not None and len(parts) > last:
-            if state.exists:
-                state.remove()
-            yield _reply(key[0], parts, True)
-            return
-        state.update((list(parts), list(parts.values()), last))
-        if timeout_ms is not None:
-            state.setTimeoutTimestamp(max(newest + timeout_ms, state.getCurrentWatermarkMs() + 1))
-
-    return assemble
+        held = self.meta.get() if self.meta.exists() else None
+        n, ended, timer = held if held is not None else (0, None, None)
+        last = ended if last is None else last
+        if last is not None and n + len(new) > last:
+            parts = self._stored() if n else {}
+            for q, d in new.items():
+                parts.setdefault(q, d)
+            if len(parts) > last:
+                if held is not None:
+                    self._forget(timer)
+                yield _reply(key[0], parts, True)
+                return
+        self.parts.appendList(list(new.items()))
+        if self.timeout_ms is not None:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = max(newest + self.timeout_ms, timerValues.getCurrentWatermarkInMs() + 1)
+            self.handle.registerTimer(timer)
+        self.meta.update((n + len(new), last, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        parts = self._stored()
+        self._forget(None)
+        yield _reply(key[0], parts, False)
+
+    def close(self) -> None:
+        pass
 
 
 def assemble_replies(chunks: DataFrame, timeout_ms: int | None = None) -> DataFrame:
@@ -153,11 +184,11 @@ def assemble_replies(chunks: DataFrame, timeout_ms: int | None = None) -> DataFr
     the stream also has an event time ``ts`` with a watermark, and a reply
     without a new chunk for that long is emitted as it is (``complete`` false)
     and its state freed. Without it, an abandoned reply stays in the state.
+    The session's state store is set to ``STATE_STORE``.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    mode = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.EventTimeTimeout
-    return (chunks.groupBy("response_id")
-            .applyInPandasWithState(_assembler(timeout_ms), CHUNK_OUT, CHUNK_STATE, "append", mode))
+    chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return chunks.groupBy("response_id").transformWithStateInPandas(
+        _Assembler(timeout_ms), CHUNK_OUT, "Append", "None" if timeout_ms is None else "EventTime")
 
 
 def stream_assemble_reply(spark: SparkSession, sf_dir: str, run: str | None = None) -> str:

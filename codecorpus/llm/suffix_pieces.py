@@ -176,7 +176,7 @@ def segment(units: list[str], v: Vocabulary) -> list[bytes]:
 class PieceEncoder(UnitEncoder):
     """Whole texts to ids; each distinct unit is matched once while it stays in the memo."""
 
-    def __init__(self, path: str, memo: int = 2 * MEMO_BYTES):
+    def __init__(self, path: str, memo: int = MEMO_BYTES):
         self.vocabulary, self.memo = Vocabulary(path), Memo(memo)
 
     @staticmethod

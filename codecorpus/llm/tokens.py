@@ -100,18 +100,24 @@ def byte_signs(word: str) -> str:
     return word.encode().decode("latin-1").translate(BYTE_SIGNS)
 
 
-#: Bytes that a worker's memo of units may take, and what an entry takes besides its unit and ids.
+#: Bytes that a generation of a worker's memo may take, and what an entry takes besides its unit and ids.
 MEMO_BYTES, ENTRY_BYTES = 32 << 20, 200
 #: Longer units are not remembered.
 LONG_UNIT = 64
 
 
 class Memo(dict):
-    """Ids of units; starts afresh when its entries take more than ``limit`` bytes. Long units are left out."""
+    """Ids of units, in two generations of at most ``limit`` bytes: when the young one is full it
+    becomes the old one, from which units that occur again are taken over. Long units are left out."""
 
     def __init__(self, limit: int):
         super().__init__()
-        self.limit, self.size = limit, 0
+        self.limit, self.size, self.old = limit, 0, {}
+
+    def known(self, units: set[str]) -> dict[str, bytes]:
+        """Those of the units that only the old generation holds."""
+        old = self.old
+        return {u: old[u] for u in units if u in old}
 
     def remember(self, fresh: dict[str, bytes]) -> None:
         for u, ids in fresh.items():
@@ -119,6 +125,7 @@ class Memo(dict):
                 continue
             self.size += len(u) + len(ids) + ENTRY_BYTES
             if self.size > self.limit:
+                self.old = dict(self)
                 self.clear()
                 self.size = len(u) + len(ids) + ENTRY_BYTES
             self[u] = ids
@@ -127,7 +134,7 @@ class Memo(dict):
 class UnitEncoder:
     """Encodes batches of texts to little-endian uint32 bytes.
 
-    ``memo`` bounds the bytes of the units remembered.
+    ``memo`` bounds the bytes of a generation of the units remembered.
     """
 
     def __init__(self, path: str, units: Callable[[str], list[str]], memo: int = MEMO_BYTES):
@@ -180,7 +187,8 @@ class UnitEncoder:
                 missing.update([units[i] for i in gaps])
                 chunk.append((units, ids, gaps))
             if missing:
-                fresh = self._learn(missing)
+                fresh = memo.known(missing)
+                fresh |= self._learn(missing - fresh.keys())
             for units, ids, gaps in chunk:
                 for i in gaps:
                     ids[i] = fresh[units[i]]

@@ -59,10 +59,10 @@ def word_units(text: str) -> list[str]:
     raw = text.encode()
     if b"<" not in raw:  # special tokens are matched before lower-casing
         raw = raw.lower()
-    return raw.decode().translate(_SPACES).split(" ")
+    return raw.translate(_SPACES).decode().split(" ")
 
 
-_SPACES = {c: " " for c in (9, 10, 11, 12, 13)}
+_SPACES = bytes.maketrans(bytes(range(9, 14)), b" " * 5)
 
 
 _held: tuple | None = None
@@ -101,7 +101,7 @@ def byte_signs(word: str) -> str:
 
 
 #: Bytes that a generation of a worker's memo may take, and what an entry takes besides its unit and ids.
-MEMO_BYTES, ENTRY_BYTES = 32 << 20, 200
+MEMO_BYTES, ENTRY_BYTES = 64 << 20, 200
 #: Longer units are not remembered.
 LONG_UNIT = 64
 

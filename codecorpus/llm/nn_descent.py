@@ -2,21 +2,29 @@
 
 Vectors with the same half-precision unit vector are one node, so a vector that
 fills a third of the table is searched once. The graph starts from brute force in
-small cells around random pivots and is improved by joins: each node's
-neighbours and reverse neighbours meet, and pairs that beat the worst link of
-an end are offered to it, until hardly any link changes. Queries walk the
-graph together: each round joins the best unexpanded nodes of every query with
-their links and keeps the best ``ef``; a query is done when all of them are
-expanded. Half-precision unit vectors steer build and walk; the reached nodes
-that can hold an answer are scored again in double precision, with all their
-members (of equal vectors the ``k + 1`` smallest ids, of which one is the query).
-
-Per node the graph keeps ``k`` links and meets at most ``k`` reverse ones (the
-nearest): the approximation of the method, measured by its recall. Every
+small cells around random pivots and is improved in rounds, until hardly any link
+changes. The nodes are dealt to parts by hash; a part's nodes, their units and
+their links are the arrays of one row. In a round
+
+1. every node shows itself, with its unit, to the nodes that it links to;
+2. those that meet at a node, one of the two links new, are compared, and pairs
+   that beat the worst link of an end are offered to it;
+3. links and offers of a node are merged and cut.
+
+That is two exchanges and one written table a round. Queries walk the graph
+together: each round joins the best unexpanded nodes of every query with these
+nodes' neighbours, units beside them, and keeps the best ``ef``; a query is done when
+all of them are expanded. Half-precision unit vectors steer build and walk; the reached
+nodes that can hold an answer are scored again in double precision, with all
+their members (of equal vectors the ``k + 1`` smallest ids, of which one is the query).
+
+Per node the graph keeps ``k`` links, and the nearest ``MEET`` times ``k`` of the nodes
+that link to it meet (a part sends no more of them, so a node that everything links to is no
+hot key): the approximation of the method, measured by its recall. Every
 vector is in a node. Links and entry points grow with the number of nodes, and a
 fixed block of queries is compared with brute force: ``ef`` grows until the
 walk finds ``RECALL`` of their neighbours, and the other queries walk with it.
-Broadcasts: entry points (the root of the number of nodes) and the block.
+Sent to all tasks: entry points (the root of the number of nodes) and the block.
 
 Edge cases: vectors null, empty, zero, with null or non-finite components, or
 of another length than most, take no part, nor do null ids; of rows with the
@@ -28,6 +36,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,12 +45,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codecorpus.llm.common import release, stored
+from codecorpus.llm.common import stored
 
 #: Cells of the first graph hold about so many nodes.
 CELL = 128
 #: Cells of the first graph at most.
 CELLS = 512
+#: Nodes of a part, at most, and how many times a node's links meet at it.
+PART, MEET = 4096, 2
 #: Queries that are compared with brute force, and the share of their neighbours to be found.
 BLOCK, RECALL = 200, 0.93
 #: Two cosines of half-precision unit vectors are off by under half of this, each.
@@ -92,13 +103,13 @@ def _top(df: DataFrame, by: str, n: int, *order) -> DataFrame:
 
 @dataclass
 class Index:
-    """vectors: (id, raw, unit); nodes: (node, unit), ``size`` of them; links: (u, v, sim), at most k
-    for each u; pivots: (node, unit) of a sample."""
+    """vectors: (id, raw, unit); nodes: (node, unit), ``size`` of them; near: (node, ids, units), the
+    neighbours of each node, at most k; pivots: (node, unit) of a sample."""
 
     vectors: DataFrame
     nodes: DataFrame
     size: int
-    links: DataFrame
+    near: DataFrame
     pivots: list[tuple[int, bytes]]
 
 
@@ -128,31 +139,156 @@ def _first_links(nodes: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
             .groupBy("cell", "part").applyInArrow(brute, "u long, v long, sim float"))
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each list of neighbours, one of them new, where they beat an end's worst link."""
-    for b in batches:
-        us, vs, sims = [], [], []
-        for row in b["near"]:
-            t = row.values
-            ids, fresh = t.field("v").to_numpy(zero_copy_only=False), t.field("fresh").to_numpy(zero_copy_only=False)
-            x, worst = _matrix(t.field("unit")), t.field("worst").to_numpy(zero_copy_only=False)
-            s = x @ x.T
-            ok = (fresh[:, None] | fresh[None, :]) & (s > worst[:, None])
-            np.fill_diagonal(ok, False)
-            i, j = np.nonzero(ok)
-            us.append(ids[i])
-            vs.append(ids[j])
-            sims.append(s[i, j])
-        cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        yield pa.RecordBatch.from_arrays([pa.array(cat(us, np.int64)), pa.array(cat(vs, np.int64)),
-                                          pa.array(cat(sims, np.float32))], names=["u", "v", "sim"])
-
-
 def links_for(n: int) -> int:
     """Links a node: 32, and 8 more whenever the nodes double beyond 32,768."""
     return 32 + 8 * max(0, math.ceil(math.log2(max(n, 1))) - 15)
 
 
+#: Rows between the steps: a part's own arrays ("own"), or arrays sent to it.
+_ROWS = "part int, kind string, changed long, payload binary"
+
+
+def _part_of(ids: np.ndarray, parts: int) -> np.ndarray:
+    x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(32))) % np.uint64(parts)).astype(np.int32)
+
+
+def _deal(kind: str, by: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple]:
+    """Rows of ``kind`` that send the columns' entries to the parts of ``by``."""
+    part = _part_of(by, parts)
+    order = np.argsort(part, kind="stable")
+    at = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0]) if len(part) else []
+    for a, b in zip(at, np.append(at[1:], len(part)).astype(int) if len(part) else [], strict=True):
+        rows = order[a:b]
+        yield int(part[rows[0]]), kind, 0, pickle.dumps(tuple(c[rows] for c in (by, *columns)), protocol=5)
+
+
+def _batch(rows: list[tuple]) -> dict:
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.binary()]
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    return {n: pa.array(c, type=k) for n, c, k in zip(("part", "kind", "changed", "payload"), columns, kinds, strict=True)}
+
+
+def _received(table: pa.Table, kind: str, columns: int) -> list[np.ndarray]:
+    got = [pickle.loads(p.as_py()) for k, p in zip(table["kind"].to_pylist(), table["payload"], strict=True) if k == kind]
+    return [np.concatenate([g[i] for g in got]) for i in range(columns)] if got else []
+
+
+def _top_of(by: np.ndarray, score: np.ndarray, tie: np.ndarray, n: int) -> np.ndarray:
+    """Rows of the ``n`` best of each value of ``by`` (ties to the smaller), grouped by it."""
+    order = np.lexsort((tie, -score, by))
+    start = np.flatnonzero(np.r_[True, np.diff(by[order]) != 0]) if len(by) else np.zeros(0, dtype=np.int64)
+    place = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
+    return order[place < n]
+
+
+def _as_units(units: np.ndarray) -> np.ndarray:
+    return np.frombuffer(units.tobytes(), dtype="<f2").reshape(len(units), -1).astype(np.float32)
+
+
+def _graph_steps(parts: int, k: int):
+    """The three steps of a round, for parts of (nodes, units, u, v, sim, fresh): the nodes in order, the links by u."""
+
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each link u -> v sent to v, with u's unit and the worst link that u keeps."""
+        for b in batches:
+            out = []
+            for part, payload in zip(b["part"].to_pylist(), b["payload"], strict=True):
+                nodes, units, u, v, sim, fresh = pickle.loads(payload.as_py())
+                out.append((part, "own", 0, payload.as_py()))
+                at = np.searchsorted(nodes, u)
+                n = np.bincount(at, minlength=len(nodes))
+                worst = np.full(len(nodes), -2.0, dtype=np.float32)
+                np.minimum.at(low := np.full(len(nodes), 2.0, dtype=np.float32), at, sim)
+                worst[n >= k] = low[n >= k]
+                keep = _top_of(v, sim, u, MEET * k)
+                out += _deal("link", v[keep], parts, u[keep], sim[keep], fresh[keep], worst[at][keep], units[at][keep])
+            yield pa.RecordBatch.from_pydict(_batch(out))
+
+    def meet(table: pa.Table) -> pa.Table:
+        """Pairs that meet at a node of this part, where they beat an end's worst link."""
+        own = next(i for i, x in enumerate(table["kind"].to_pylist()) if x == "own")
+        nodes, units, u0, v0, sim0, fresh0 = pickle.loads(table["payload"][own].as_py())
+        out = [(table["part"][own].as_py(), "own", 0, table["payload"][own].as_py())]
+        got = _received(table, "link", 6)
+        if got:
+            keep = _top_of(got[0], got[2], got[1], MEET * k)
+            v, u, sim, fresh, worst, theirs = (x[keep] for x in got)
+            x = _as_units(theirs)
+            low = np.full(len(nodes), -2.0, dtype=np.float32)
+            n = np.bincount(np.searchsorted(nodes, u0), minlength=len(nodes))
+            np.minimum.at(least := np.full(len(nodes), 2.0, dtype=np.float32), np.searchsorted(nodes, u0), sim0)
+            low[n >= k] = least[n >= k]
+            a, b, s = [], [], []
+            # a node learns of those that link to it
+            back = sim > low[np.searchsorted(nodes, v)]
+            a.append(v[back])
+            b.append(u[back])
+            s.append(sim[back])
+            start = np.flatnonzero(np.r_[True, np.diff(v) != 0])
+            for i, j in zip(start, np.append(start[1:], len(v)), strict=True):
+                if j - i < 2 or not fresh[i:j].any():
+                    continue
+                near = x[i:j] @ x[i:j].T
+                ok = (fresh[i:j, None] | fresh[None, i:j]) & (near > worst[i:j, None])
+                np.fill_diagonal(ok, False)
+                p, q = np.nonzero(ok)
+                a.append(u[i:j][p])
+                b.append(u[i:j][q])
+                s.append(near[p, q])
+            a, b, s = np.concatenate(a), np.concatenate(b), np.concatenate(s)
+            # the same pair may meet at many nodes of the part
+            order = np.lexsort((b, a))
+            a, b, s = a[order], b[order], s[order]
+            one = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, dtype=bool)
+            a, b, s = a[one], b[one], s[one]
+            best = _top_of(a, s, b, k)
+            out += _deal("offer", a[best], parts, b[best], s[best].astype(np.float32))
+        return pa.table(_batch(out))
+
+    def merge(table: pa.Table) -> pa.Table:
+        """A part's arrays after the offers: the k best links of each node; a link that was there is not new."""
+        own = [p.as_py() for x, p in zip(table["kind"].to_pylist(), table["payload"], strict=True) if x == "own"]
+        if own:
+            nodes, units, u, v, sim, _ = pickle.loads(own[0])
+        else:
+            nodes, units = _received(table, "node", 2)
+            order = np.argsort(nodes)
+            nodes, units = nodes[order], units[order]
+            u, v, sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        offers = _received(table, "offer", 3) or [u[:0], v[:0], sim[:0]]
+        old = np.r_[np.ones(len(u), dtype=bool), np.zeros(len(offers[0]), dtype=bool)]
+        u, v, sim = (np.concatenate(x) for x in zip((u, v, sim), offers, strict=True))
+        order = np.lexsort((~old, v, u))
+        u, v, sim, old = u[order], v[order], sim[order], old[order]
+        one = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])] if len(u) else np.zeros(0, dtype=bool)
+        u, v, sim, old = u[one], v[one], sim[one], old[one]
+        keep = _top_of(u, sim, v, k)
+        state = (nodes, units, u[keep], v[keep], sim[keep], ~old[keep])
+        return pa.table(_batch([(table["part"][0].as_py(), "own", int((~old[keep]).sum()), pickle.dumps(state, protocol=5))]))
+
+    return show, meet, merge
+
+
+def _blobs(column: pa.Array) -> np.ndarray:
+    """Equal-length binaries as a matrix of bytes."""
+    data = column.to_pylist()
+    return np.frombuffer(b"".join(data), dtype=np.uint8).reshape(len(data), -1)
+
+
+def _dealt(rows: DataFrame, kind: str, parts: int) -> DataFrame:
+    """Nodes (node, unit) or offers (u, v, sim) as rows sent to their parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                columns = ([b["node"].to_numpy(), _blobs(b["unit"])] if kind == "node" else
+                           [b["u"].to_numpy(), b["v"].to_numpy(), b["sim"].to_numpy()])
+                yield pa.RecordBatch.from_pydict(_batch(list(_deal(kind, columns[0], parts, *columns[1:]))))
+
+    return rows.mapInArrow(run, _ROWS)
+
+
 def build(vectors: DataFrame, *, k: int | None = None, rounds: int | None = None,
           pivots: int | None = None) -> Index:
     """The graph over all valid vectors; a node is named by its smallest id.
@@ -167,31 +303,51 @@ def build(vectors: DataFrame, *, k: int | None = None, rounds: int | None = None
     k, pivots = k or links_for(n), pivots or max(512, 2 * math.isqrt(n))
     some = [(r["node"], bytes(r["unit"])) for r in
             nodes.select("node", "unit").orderBy(F.xxhash64("node"), "node").limit(2 * pivots).collect()]
-    empty = spark.createDataFrame([], "u long, v long, sim float, fresh boolean")
     if len(some) < 2:
-        return Index(valid, nodes, n, empty, some)
+        return Index(valid, nodes, n, spark.createDataFrame([], "node long, ids binary, units binary"), some)
     matrix = np.frombuffer(b"".join(x for _, x in some), dtype="<f2").reshape(len(some), -1).astype(np.float32)
-    use = int(np.clip(n // CELL, 1, min(pivots, CELLS)))
-    first = _first_links(nodes, matrix[:use], k).unionByName(_first_links(nodes, matrix[-use:], k))
-    links = stored(_top(first.distinct(), "u", k, F.desc("sim"), "v").withColumn("fresh", F.lit(True)), "nn-links")
+    use, parts = int(np.clip(n // CELL, 1, min(pivots, CELLS))), -(-n // PART)
+    show, meet, merge = _graph_steps(parts, k)
+    first = _dealt(nodes, "node", parts)
+    for some_pivots in (matrix[:use], matrix[-use:]):
+        first = first.unionByName(_dealt(_first_links(nodes, some_pivots, k), "offer", parts))
+    state = stored(first.groupBy("part").applyInArrow(merge, _ROWS), "nn-graph")
     for _ in itertools.count() if rounds is None else range(rounds):
-        back = _top(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "fresh"), "u", k, F.desc("sim"), "v")
-        both = links.unionByName(back).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
-        worst = links.groupBy("u").agg(F.when(F.count("*") >= k, F.min("sim")).alias("worst"))
-        ends = (nodes.select(F.col("node").alias("v"), "unit")
-                .join(worst.withColumnRenamed("u", "v"), "v", "left").fillna({"worst": -2.0}))
-        lists = (both.join(ends, "v").groupBy("u")
-                 .agg(F.collect_list(F.struct("v", "fresh", "worst", "unit")).alias("near"), F.max("fresh").alias("any"))
-                 .where("any").select("near"))
-        offered = lists.mapInArrow(_meet, "u long, v long, sim float").withColumn("fresh", F.lit(True))
-        # a link that was there before is not new
-        merged = (links.withColumn("fresh", F.lit(False)).unionByName(offered)
-                  .groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh")))
-        links = stored(_top(merged, "u", k, F.desc("sim"), "v"), "nn-links")
-        release(spark)
-        if links.where("fresh").count() <= 0.002 * n * k:
+        state = stored(state.mapInArrow(show, _ROWS).groupBy("part").applyInArrow(meet, _ROWS)
+                       .groupBy("part").applyInArrow(merge, _ROWS), "nn-graph")
+        if state.agg(F.sum("changed")).first()[0] <= 0.002 * n * k:
             break
-    return Index(valid, nodes, n, links.select("u", "v", "sim"), some)
+    return Index(valid, nodes, n, stored(_neighbours(state, parts), "nn-near"), some)
+
+
+def _neighbours(state: DataFrame, parts: int) -> DataFrame:
+    """(node, ids, units): each node's neighbours, with their units."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for part, payload in zip(b["part"].to_pylist(), b["payload"], strict=True):
+                nodes, units, u, v, _, _ = pickle.loads(payload.as_py())
+                out.append((part, "own", 0, pickle.dumps((nodes, units), protocol=5)))
+                out += _deal("ask", v, parts, u)
+            yield pa.RecordBatch.from_pydict(_batch(out))
+
+    def answer(table: pa.Table) -> pa.Table:
+        nodes, units = _received(table, "own", 2)
+        got = _received(table, "ask", 2)
+        return pa.table(_batch(list(_deal("unit", got[1], parts, got[0], units[np.searchsorted(nodes, got[0])])) if got else []))
+
+    def put(table: pa.Table) -> pa.Table:
+        u, v, units = _received(table, "unit", 3)
+        order = np.argsort(u, kind="stable")
+        u, v, units = u[order], v[order], units[order]
+        at = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+        ends = np.append(at[1:], len(u))
+        cut = lambda x: [x[a:b].tobytes() for a, b in zip(at, ends, strict=True)]
+        return pa.table({"node": u[at], "ids": pa.array(cut(v), type=pa.binary()), "units": pa.array(cut(units), type=pa.binary())})
+
+    return (state.mapInArrow(ask, _ROWS).groupBy("part").applyInArrow(answer, _ROWS)
+            .groupBy("part").applyInArrow(put, "node long, ids binary, units binary"))
 
 
 def search(index: Index, queries: DataFrame, *, k: int = 5, ef: int | None = None, width: int | None = None) -> DataFrame:
@@ -199,7 +355,7 @@ def search(index: Index, queries: DataFrame, *, k: int = 5, ef: int | None = Non
     row of ``queries`` (vec_id, embedding), but not the row's own id.
 
     Without ``ef`` it grows until the walk of a block of queries finds
-    ``RECALL`` of what brute force finds.
+    ``RECALL`` of what brute force finds; few queries walk together with the block.
     """
     spark = queries.sparkSession
     wanted = stored(valid_vectors(queries).withColumnRenamed("id", "query_id"), "nn-queries")
@@ -212,12 +368,14 @@ def search(index: Index, queries: DataFrame, *, k: int = 5, ef: int | None = Non
         return _walk(index, wanted, k, ef, width)
     block = stored(wanted.orderBy(F.xxhash64("query_id"), "query_id").limit(BLOCK), "nn-block")
     truth = stored(nearest(index.vectors, block, k), "nn-truth")
+    few = wanted.count() <= 8 * BLOCK
     while True:
-        found = stored(_walk(index, block, k, ef, width), "nn-found")
-        release(spark)
+        found = stored(_walk(index, wanted if few else block, k, ef, width), "nn-found")
         if ef >= index.size or recall(found, truth) >= RECALL:
             break
         ef *= 2
+    if few:
+        return found
     others = stored(wanted.join(F.broadcast(block.select("query_id")), "query_id", "left_anti"), "nn-others")
     return found.unionByName(_walk(index, others, k, ef, width))
 
@@ -254,48 +412,114 @@ def recall(found: DataFrame, truth: DataFrame) -> float:
     return hits / max(1, truth.count())
 
 
+#: A query's walk: its unit and the nodes reached, with their sims and whether they are expanded; ``open`` of them are not.
+_WALK = "query_id long, unit binary, ids binary, sims binary, done binary, open long"
+
+
 def _walk(index: Index, wanted: DataFrame, k: int, ef: int, width: int | None) -> DataFrame:
     """The answers to ``wanted`` (query_id, raw, unit)."""
-    width = width or max(16, ef // 10)
+    width = width or max(16, ef // 3)
     pivots, units = [p for p, _ in index.pivots], b"".join(x for _, x in index.pivots)
+    kind = "query_id long, unit binary, ids binary, sims binary"
+    names = ["query_id", "unit", "ids", "sims"]
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The nearest entry points; a query equal to a node starts there too."""
         p = np.frombuffer(units, dtype="<f2").reshape(len(pivots), -1).astype(np.float32)
         ids, m = np.array(pivots, dtype=np.int64), min(ef, len(pivots))
         for b in (b.slice(at, STARTS) for b in batches for at in range(0, b.num_rows, STARTS)):
             s = _matrix(b["unit"]) @ p.T
             best = np.argpartition(-s, m - 1, axis=1)[:, :m]
+            near, sims = ids[best], np.take_along_axis(s, best, 1).astype(np.float32)
+            rows = [(i[i != o], x[i != o]) if o is not None else (i, x) for i, x, o in zip(near, sims, b["node"].to_pylist(), strict=True)]
+            own = [([], []) if o is None else ([o], [2.0]) for o in b["node"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(b["query_id"].to_numpy(), m)), pa.array(ids[best.ravel()]),
-                 pa.array(np.take_along_axis(s, best, 1).ravel().astype(np.float32))], names=["query_id", "node", "sim"])
+                [b["query_id"], b["unit"],
+                 pa.array([np.r_[np.array(o[0], dtype=np.int64), r[0]].tobytes() for o, r in zip(own, rows, strict=True)], type=pa.binary()),
+                 pa.array([np.r_[np.array(o[1], dtype=np.float32), r[1]].astype(np.float32).tobytes() for o, r in zip(own, rows, strict=True)],
+                          type=pa.binary())], names=names)
+
+    def frontier(done: np.ndarray) -> np.ndarray:
+        """The best nodes not expanded yet (nodes lie in descending order)."""
+        return np.flatnonzero(~done)[:width]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            qs, nodes, us, worst = [], [], [], []
+            for q, u, ids, sims, done in zip(*(b[c].to_pylist() for c in ("query_id", "unit", "ids", "sims", "done")), strict=True):
+                ids, sims = np.frombuffer(ids, dtype=np.int64), np.frombuffer(sims, dtype=np.float32)
+                at = frontier(np.frombuffer(done, dtype=bool))
+                qs += [q] * len(at)
+                us += [u] * len(at)
+                nodes += ids[at].tolist()
+                worst += [float(sims[-1]) if len(ids) >= ef else -2.0] * len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(qs, type=pa.int64()), pa.array(us, type=pa.binary()),
+                                              pa.array(nodes, type=pa.int64()), pa.array(worst, type=pa.float32())],
+                                             names=["query_id", "unit", "node", "worst"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The neighbours of a query's node that are nearer than the worst it keeps."""
+        for b in batches:
+            out_ids, out_sims = [], []
+            for u, worst, ids, near in zip(b["unit"].to_pylist(), b["worst"].to_pylist(), b["ids"].to_pylist(),
+                                           b["units"].to_pylist(), strict=True):
+                ids = np.frombuffer(ids, dtype=np.int64)
+                s = (np.frombuffer(near, dtype="<f2").reshape(len(ids), -1).astype(np.float32)
+                     @ np.frombuffer(u, dtype="<f2").astype(np.float32))
+                ok = s > worst
+                out_ids.append(ids[ok].tobytes())
+                out_sims.append(s[ok].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([b["query_id"], pa.nulls(b.num_rows, pa.binary()), pa.array(out_ids, type=pa.binary()),
+                                              pa.array(out_sims, type=pa.binary())], names=names)
+
+    def merge(table: pa.Table) -> pa.Table:
+        """Each query's nodes and what was found for it: the best ``ef``; what was just joined is expanded."""
+        own, new = {}, {}
+        columns = [table[c].to_pylist() for c in table.column_names]
+        for row in zip(*columns, strict=True):
+            r = dict(zip(table.column_names, row, strict=True))
+            if r["unit"] is not None:
+                own[r["query_id"]] = r
+            else:
+                new.setdefault(r["query_id"], []).append((r["ids"], r["sims"]))
+        out = []
+        for q, r in own.items():
+            ids, sims = np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(r["sims"], dtype=np.float32)
+            done = np.zeros(len(ids), dtype=bool) if r["done"] is None else np.frombuffer(r["done"], dtype=bool).copy()
+            if r["done"] is not None:
+                done[frontier(done)] = True
+            more = new.get(q, [])
+            ids = np.concatenate([ids, *(np.frombuffer(i, dtype=np.int64) for i, _ in more)])
+            sims = np.concatenate([sims, *(np.frombuffer(s, dtype=np.float32) for _, s in more)])
+            done = np.r_[done, np.zeros(len(ids) - len(done), dtype=bool)]
+            # what a query holds already comes first of the equal ones
+            one = np.sort(np.unique(ids, return_index=True)[1])
+            ids, sims, done = ids[one], sims[one], done[one]
+            best = np.lexsort((ids, -sims))[:ef]
+            out.append((q, r["unit"], ids[best].tobytes(), sims[best].tobytes(), done[best].tobytes(), int((~done[best]).sum())))
+        kinds = [pa.int64(), *[pa.binary()] * 4, pa.int64()]
+        return pa.table({n: pa.array(c, type=t) for n, c, t in zip(
+            ("query_id", "unit", "ids", "sims", "done", "open"), zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)})
+
+    bins = F.pmod(F.xxhash64("query_id"), F.lit(max(8, -(-index.size // PART)))).alias("bin")
+    none = F.lit(None).cast("binary").alias("done")
+    begun = wanted.select("query_id", "unit").join(index.nodes, "unit", "left").select("query_id", "unit", "node").mapInArrow(start, kind)
+    state = stored(begun.select("*", none).groupBy(bins).applyInArrow(merge, _WALK), "nn-walk")
+    while state.where("open > 0").head(1):
+        front = state.where("open > 0").mapInArrow(step, "query_id long, unit binary, node long, worst float")
+        found = front.join(index.near, "node").select("query_id", "unit", "worst", "ids", "units").mapInArrow(compare, kind)
+        state = stored(state.drop("open").unionByName(found.select("*", none)).groupBy(bins).applyInArrow(merge, _WALK), "nn-walk")
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = np.einsum("ij,ij->i", _matrix(b["unit"]), _matrix(b["asked"])) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b["query_id"], b["node"], pa.array(s.astype(np.float32))],
-                                             names=["query_id", "node", "sim"])
-
-    kind = "query_id long, node long, sim float"
-    asked = wanted.select("query_id", F.col("unit").alias("asked"))
-    # a query equal to a node starts there too
-    own = (wanted.select("query_id", "unit").join(index.nodes, "unit")
-           .select("query_id", "node", F.lit(2.0).cast("float").alias("sim")))
-    found = (wanted.select("query_id", "unit").mapInArrow(start, kind).unionByName(own)
-             .groupBy("query_id", "node").agg(F.max("sim").alias("sim")).withColumn("expanded", F.lit(False)))
-    state = stored(_top(found, "query_id", ef, F.desc("sim"), "node"), "nn-walk")
-    units_of = index.nodes.select("node", "unit")
-    while state.where("NOT expanded").head(1):
-        front = _top(state.where("NOT expanded"), "query_id", width, F.desc("sim"), "node").select("query_id", "node")
-        new = (front.join(index.links.select(F.col("u").alias("node"), "v"), "node")
-               .select("query_id", F.col("v").alias("node")).distinct()
-               .join(state.select("query_id", "node"), ["query_id", "node"], "left_anti")
-               .join(units_of, "node").join(asked, "query_id").mapInArrow(compare, kind)
-               .withColumn("expanded", F.lit(False)))
-        old = (state.join(front.withColumn("now", F.lit(True)), ["query_id", "node"], "left")
-               .select("query_id", "node", "sim", (F.col("expanded") | F.coalesce("now", F.lit(False))).alias("expanded")))
-        state = stored(_top(old.unionByName(new), "query_id", ef, F.desc("sim"), "node"), "nn-walk")
-
-    return _exact(index, wanted, state, k)
+            ids = [np.frombuffer(x, dtype=np.int64) for x in b["ids"].to_pylist()]
+            sims = [np.frombuffer(x, dtype=np.float32) for x in b["sims"].to_pylist()]
+            lengths = [len(x) for x in ids]
+            cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b["query_id"].to_numpy(), lengths)), pa.array(cat(ids, np.int64)),
+                                              pa.array(cat(sims, np.float32))], names=["query_id", "node", "sim"])
+
+    return _exact(index, wanted, state.select("query_id", "ids", "sims").mapInArrow(reached, "query_id long, node long, sim float"), k)
 
 
 def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -110,19 +110,23 @@ def blocks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _BLOCKS)
 
 
+def dense_ids(table: DataFrame, first: int = 1) -> DataFrame:
+    """A stored table's rows with an ``id`` each, dense from ``first``: their places in its files."""
+    placed = table.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    # one row a file of the table
+    files = []
+    for r in placed.groupBy("__file").count().orderBy("__file").collect():
+        files.append((r["__file"], first))
+        first += r["count"]
+    before = table.sparkSession.createDataFrame(files, "__file string, __first long")
+    return placed.join(F.broadcast(before), "__file").select((F.col("__first") + F.col("__row")).alias("id"), *table.columns)
+
+
 def vocabulary(cut: DataFrame, least: int) -> DataFrame:
     """(id, lang, word, f) of the words seen ``least`` times, ids dense from 1."""
     each = cut.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x"))
-    frequent = stored(each.groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f"))
-                      .where(F.col("f") >= least), "phrase-words")
-    placed = frequent.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    # one row a file of the table
-    before, files = 1, []
-    for r in placed.groupBy("file").count().orderBy("file").collect():
-        files.append((r["file"], before))
-        before += r["count"]
-    first = cut.sparkSession.createDataFrame(files, "file string, first long")
-    return placed.join(F.broadcast(first), "file").select((F.col("first") + F.col("row")).alias("id"), "lang", "word", "f")
+    return dense_ids(stored(each.groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f"))
+                            .where(F.col("f") >= least), "phrase-words"))
 
 
 def encoded(cut: DataFrame, words: DataFrame) -> DataFrame:

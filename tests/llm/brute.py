@@ -61,37 +61,46 @@ def repeated_words(w):
 
 
 class Katz:
-    def __init__(self, training, discounts, top=5, delta=0.5):
-        self.c1, self.c2, self.after = Counter(), Counter(), defaultdict(dict)
+    """A back-off model of any order: counts of all n-grams, every probability by its definition."""
+
+    def __init__(self, training, discounts, order=2, top=5, delta=0.5):
+        self.order, self.delta, self.c = order, delta, [Counter() for _ in range(order + 1)]
+        self.after, self.total = defaultdict(set), Counter()
         for t in training:
-            toks = [*words(t), None]
-            self.c1.update(toks)
-            self.c2.update(zip(["^", *toks[:-1]], toks))
-        for (h, w), c in self.c2.items():
-            self.after[h][w] = c
-        by = lambda c: [sum(v == r for v in c.values()) for r in range(1, top + 2)]
-        d1, d2 = discounts(by(self.c1)), discounts(by(self.c2))
-        self.n, self.v, self.delta = sum(self.c1.values()), len(self.c1), delta
-        self.cut1 = lambda c: c * (d1[c - 1] if c <= top else 1)
-        self.cut2 = lambda c: c * (d2[c - 1] if c <= top else 1)
-        kept = sum(self.cut1(c) for c in self.c1.values())
+            toks = ["^", *words(t), None]
+            for n in range(1, order + 1):
+                for i in range(max(1, n - 1), len(toks)):
+                    g = tuple(toks[i - n + 1:i + 1])
+                    self.c[n][g] += 1
+                    if n > 1:
+                        self.after[g[:-1]].add(g[-1])
+                        self.total[g[:-1]] += 1
+        self.d = [discounts([sum(v == r for v in c.values()) for r in range(1, top + 2)]) for c in self.c]
+        self.top, self.n, self.v = top, sum(self.c[1].values()), len(self.c[1])
+        kept = sum(self.cut(1, c) for c in self.c[1].values())
         self.unknown = max(1 - kept / self.n, 1 / (self.n + 1))
         self.scale = (1 - self.unknown) / kept
+        self.c1 = {g[0]: c for g, c in self.c[1].items()}
+        self.memo = {}
 
-    def p1(self, w):
-        return self.cut1(self.c1[w]) * self.scale if w in self.c1 else self.unknown
+    def cut(self, n, c):
+        return c * (self.d[n][c - 1] if c <= self.top else 1)
 
     def alpha(self, h):
-        f = self.after.get(h)
-        if f is None:
-            return 1.0
-        total = sum(f.values()) + self.delta
-        return (total - sum(map(self.cut2, f.values()))) / total / (1 - sum(map(self.p1, f)))
+        if h not in self.memo:
+            total = self.total[h] + self.delta
+            seen = sum(self.cut(len(h) + 1, self.c[len(h) + 1][(*h, w)]) for w in self.after[h])
+            self.memo[h] = (total - seen) / total / (1 - sum(self.p(w, h[1:]) for w in self.after[h]))
+        return self.memo[h]
 
     def p(self, w, h):
-        c = self.c2.get((h, w))
-        return self.cut2(c) / (sum(self.after[h].values()) + self.delta) if c else self.alpha(h) * self.p1(w)
+        if not h:
+            return self.cut(1, self.c1[w]) * self.scale if w in self.c1 else self.unknown
+        c = self.c[len(h) + 1].get((*h, w))
+        if c:
+            return self.cut(len(h) + 1, c) / (self.total[h] + self.delta)
+        return (self.alpha(h) if h in self.total else 1.0) * self.p(w, h[1:])
 
     def score(self, text):
-        toks = [*words(text), None]
-        return sum(math.log10(self.p(w, h)) for h, w in zip(["^", *toks[:-1]], toks))
+        toks = ["^", *words(text), None]
+        return sum(math.log10(self.p(toks[i], tuple(toks[max(0, i - self.order + 1):i]))) for i in range(1, len(toks)))

@@ -186,10 +186,17 @@ def test_pieces_of_odd_texts():
 
 
 # ------------------------------------------------------------ language model
-def test_katz_matches_brute_force(odd, odd_texts):
-    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
-    m = brute.Katz([t for i, t in odd_texts if not held(i)], katz.discounts)
-    got = by_id(katz.score(odd))
+def held(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+
+
+@pytest.mark.parametrize(("order", "small"), [(2, False), (3, False), (3, True), (4, True)])
+def test_katz_matches_brute_force(odd, odd_texts, order, small, monkeypatch):
+    if small:  # many blocks and shards, texts cut into slices, bit tables with chance hits
+        for name, size in (("BLOCK", 200), ("SHARD", 100), ("SLICE", 64), ("TABLE_BITS", 1 << 13)):
+            monkeypatch.setattr(katz, name, size)
+    m = brute.Katz([t for i, t in odd_texts if not held(i)], katz.discounts, order)
+    got = by_id(katz.score(odd, order=order))
     for i, t in odd_texts:
         r, toks = got[i][0], [*brute.words(t), None]
         assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held(i), len(toks), m.n)
@@ -197,9 +204,8 @@ def test_katz_matches_brute_force(odd, odd_texts):
         assert r["score"] == pytest.approx(m.score(t), rel=1e-9)
         base = sum(np.log10((m.c1.get(w, 0) + 0.1) / (m.n + 0.1 * (m.v + 1))) for w in toks)
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
-    for h in ["^", *list(m.c1)[:10]]:
-        if h is not None:
-            assert sum(m.p(w, h) for w in m.c1) + m.alpha(h) * m.unknown == pytest.approx(1)
+    for h in [("^",), *list(m.total)[:8], *[x for x in list(m.total) if len(x) == order - 1][:8]]:
+        assert sum(m.p(w, h) for w in m.c1) + m.p("never seen", h) == pytest.approx(1)
 
 
 def test_katz_tables_and_edge_rows(twice, empty, odd_texts):
@@ -207,17 +213,25 @@ def test_katz_tables_and_edge_rows(twice, empty, odd_texts):
     assert len(got[3]) == 3 and len({tuple(r) for r in got[3]}) == 1
     assert all(r["score"] < 0 for v in got.values() for r in v)
     assert katz.score(empty).count() == 0
-    model = katz.fit(twice, slices=2, bucket_tokens=500)
-    pairs = model.table("pair").agg(F.sum("count")).first()[0]
-    assert pairs == model.unigrams.tokens == model.parts.agg(F.sum("count")).first()[0]
+    model, _, _ = katz.fit(twice, order=2)
+    # every token but the starts ends one bigram
+    assert model.table(2).agg(F.sum("count")).first()[0] == model.unigrams.tokens
+
+
+def test_katz_scores_other_texts_by_its_tables(odd, odd_texts, spark):
+    m = brute.Katz([t for i, t in odd_texts if not held(i)], katz.discounts, 3)
+    model, _, _ = katz.fit(odd)
+    others = ["", "one two three", odd_texts[4][1] + " never heard of", " ".join(odd_texts[7][1].split()[::-1])]
+    # ids of the training fold too: the other texts are not learned from
+    got = by_id(katz.score_with(model, spark.createDataFrame(list(enumerate(others)), "doc_id long, text string")))
+    assert all(got[i][0]["score"] == pytest.approx(m.score(t), rel=1e-9) for i, t in enumerate(others))
 
 
 @pytest.mark.parametrize("kind", ["null", "training", "held out"])
 def test_katz_tables_without_rows_of_a_kind(spark, kind):
-    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     ids = [i for i in range(400) if kind == "null" or held(i) == (kind == "held out")][:30]
     texts = {i: None if kind == "null" else f"word and word{i % 3} and end" for i in ids}
-    m = None if kind == "held out" else brute.Katz([t for i, t in texts.items() if not held(i)], katz.discounts)
+    m = None if kind == "held out" else brute.Katz([t for i, t in texts.items() if not held(i)], katz.discounts, 3)
     got = by_id(katz.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
     assert set(got) == set(ids)
     for i, t in texts.items():
@@ -227,16 +241,11 @@ def test_katz_tables_without_rows_of_a_kind(spark, kind):
         assert got[i][0]["score"] == pytest.approx(m.score(t) if m else 0.0, rel=1e-9)
 
 
-def test_katz_spreads_frequent_pairs(odd, odd_texts, spark):
-    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
-    m = brute.Katz([t for i, t in odd_texts if not held(i)], katz.discounts)
-    got = by_id(katz.score(odd, slices=2, bucket_tokens=40))
-    assert all(got[i][0]["score"] == pytest.approx(m.score(t), rel=1e-9) for i, t in odd_texts)
-    # one pair in each of 3000 texts: no bucket holds more than its share of the 9000 triples
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("of the").alias("text"))
-    hot = katz._hot(docs, katz.word_counts(docs), 10, 100)
-    assert (len(hot.w), len(hot.pw)) == (3, 3) and set(hot.pair_counts) == {sum(not held(i) for i in range(3000))}
-    sizes = {}
-    for r in katz._send(docs, 10, 0, 1, 30, hot).collect():
-        sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + len(katz._open(r["payload"])[4])
-    assert sum(sizes.values()) == 9000 and max(sizes.values()) <= 400
+def test_katz_frequent_pairs_are_one_entry_a_block(spark):
+    """A pair in each of 3000 texts goes to its shard once a block, and its counts are right."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("of the").alias("text")).repartition(3)
+    model, texts, answers = katz.fit(docs, order=2)
+    n = sum(not held(i) for i in range(3000))
+    assert {tuple(r["words"]): r["count"] for r in model.table(2).collect()} and set(
+        r["count"] for r in model.table(2).collect()) == {n} and model.table(2).count() == 3
+    assert answers.count() <= 3 * texts.count()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codecorpus.llm.common import scratch, stored
-from codecorpus.llm.tokens import UnitEncoder, byte_units, shared
+from codecorpus.llm.tokens import MEMO_BYTES, UnitEncoder, byte_units, shared
 
 MAGIC = b"WVM1"
 
@@ -183,7 +183,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared(UnitEncoder, tokenizer, byte_units)
+        encoder = shared(UnitEncoder, tokenizer, byte_units, 2 * MEMO_BYTES)
         fs, base = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         task = TaskContext.get()

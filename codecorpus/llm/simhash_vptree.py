@@ -10,8 +10,10 @@
    both go outside. So every link is found inside some leaf, and only the
    shell of width r is stored twice.
 3. In each leaf the tree is grown further in numpy, by the same rule, until
-   nodes are small; these are compared exactly. A leaf emits a spanning forest
-   of its links, never all pairs, so a large group costs a row a member.
+   nodes are small; these are compared exactly. Fingerprints that no vantage
+   separates (a large group of near copies) meet by the bytes that two of them
+   must share. A leaf emits a spanning forest of its links, never all pairs, so a
+   large group costs a row a member.
 4. Components of the forests by alternating stars in Spark.
 
 Copies share one fingerprint, so a group of equal texts is a single node.
@@ -24,6 +26,7 @@ other columns are ignored, or carried by ``keep_one``.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
@@ -180,14 +183,60 @@ def forest(fps: np.ndarray, bits: int, seed: int = 1) -> np.ndarray:
             d = distance(fps[rows], split[0])
             todo += [rows[d <= split[1]], rows[d > split[1] - bits]]
             continue
-        x = fps[rows]
-        for at in range(0, len(x), SMALL):
-            i, j = np.nonzero(distance(x[at:at + SMALL, None], x[None, at:]) <= bits)
-            i, j = i[i < j], j[i < j]
-            _merge(label, rows[at + i], rows[at + j])
+        if len(rows) > SMALL:
+            _dense(fps, rows, bits, label)
+        else:
+            _pairs(fps, rows, bits, label)
     return label
 
 
+def _pairs(fps: np.ndarray, rows: np.ndarray, bits: int, label: np.ndarray) -> None:
+    i, j = np.nonzero(distance(fps[rows][:, None], fps[rows][None, :]) <= bits)
+    i, j = i[i < j], j[i < j]
+    _merge(label, rows[i], rows[j])
+
+
+def _dense(fps: np.ndarray, rows: np.ndarray, bits: int, label: np.ndarray) -> None:
+    """Links of many fingerprints that no vantage separates.
+
+    Two that differ in at most ``bits`` bits differ in at most so many of the
+    eight bytes: they agree on all others, for some choice of ``bits`` bytes.
+    Groups that agree are compared in pairs, large ones by flipping the free bits.
+    """
+    x = fps[rows]
+    for free in itertools.combinations(range(8), min(bits, 8)):
+        kept = np.uint64(sum(0xFF << 8 * b for b in range(8) if b not in free))
+        order = np.lexsort((x, x & kept))
+        key = (x & kept)[order]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.append(start, len(key)))
+        _runs(fps, rows[order], np.repeat(np.where(size <= SMALL, size, 1), size) - np.arange(len(key)) + np.repeat(start, size),
+              bits, label)
+        for at, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
+            _flips(fps, rows[order[at:at + n]], [8 * byte + k for byte in free for k in range(8)], bits, label)
+
+
+def _runs(fps: np.ndarray, rows: np.ndarray, left: np.ndarray, bits: int, label: np.ndarray) -> None:
+    """Pairs within runs of rows; ``left`` is how many of its run a row has from itself on (less: none)."""
+    at, step = np.flatnonzero(left > 1), 1
+    while len(at):
+        near = at[distance(fps[rows[at]], fps[rows[at + step]]) <= bits]
+        _merge(label, rows[near], rows[near + step])
+        step += 1
+        at = at[left[at] > step]
+
+
+def _flips(fps: np.ndarray, rows: np.ndarray, places: list[int], bits: int, label: np.ndarray) -> None:
+    """Pairs of ascending fingerprints that differ in some of these bit places only."""
+    values = fps[rows]
+    for n in range(1, bits + 1):
+        for flip in itertools.combinations(places, n):
+            other = values ^ np.uint64(sum(1 << p for p in flip))
+            at = np.minimum(np.searchsorted(values, other), len(values) - 1)
+            hit = np.flatnonzero(values[at] == other)
+            _merge(label, rows[hit], rows[at[hit]])
+
+
 def links(fps: DataFrame, bits: int = 2, *, sample_size: int = 65536, leaf_rows: int = 4096,
           max_leaves: int = 4096) -> DataFrame:
     """(u, v): a spanning forest of the links between the distinct ``fp`` of ``fps``.
@@ -242,10 +291,17 @@ def near_duplicates(docs: DataFrame, bits: int = 2, shingle: int = 3) -> DataFra
 
 
 def keep_one(docs: DataFrame, bits: int = 2, shingle: int = 3) -> DataFrame:
-    """One document of each group (its least id, then least text hash), with all its columns."""
+    """One document of each group (its least id, then least text hash), with all its columns; of several
+    rows with that id and text, the least by a hash of all columns."""
     fps = stored(fingerprints(docs, shingle), "simhash-fps")
-    keep = (classes(fps, bits).select(F.col("doc_id").alias("__sim_doc"), F.col("tie").alias("__sim_tie")).distinct())
+    names = {"doc_id": "__sim_doc", "tie": "__sim_tie"}
+    equal = fps.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("__sim_n")).withColumnsRenamed(names)
+    least = classes(fps, bits).select("doc_id", "tie").distinct()
+    keep = stored(equal.join(least, equal["__sim_doc"].eqNullSafe(least["doc_id"]) & (equal["__sim_tie"] == least["tie"]), "left_semi"),
+                  "simhash-keep")
     tied = docs.withColumn("__sim_text", F.xxhash64("text"))
-    kept = tied.join(keep, tied["doc_id"].eqNullSafe(keep["__sim_doc"])
-                     & (tied["__sim_text"] == keep["__sim_tie"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__sim_text"]).drop("__sim_text")
+    kept = tied.join(keep, tied["doc_id"].eqNullSafe(keep["__sim_doc"]) & (tied["__sim_text"] == keep["__sim_tie"]))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    several = (kept.where("__sim_n > 1").groupBy("doc_id", "__sim_text")
+               .agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("__sim_row")).select("__sim_row.*"))
+    return kept.where("__sim_n = 1").select(*own).unionByName(several)

@@ -101,7 +101,7 @@ def byte_signs(word: str) -> str:
 
 
 #: Bytes that a generation of a worker's memo may take, and what an entry takes besides its unit and ids.
-MEMO_BYTES, ENTRY_BYTES = 64 << 20, 200
+MEMO_BYTES, ENTRY_BYTES = 96 << 20, 200
 #: Longer units are not remembered.
 LONG_UNIT = 64
 

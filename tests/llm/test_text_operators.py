@@ -249,3 +249,30 @@ def test_katz_frequent_pairs_are_one_entry_a_block(spark):
     assert {tuple(r["words"]): r["count"] for r in model.table(2).collect()} and set(
         r["count"] for r in model.table(2).collect()) == {n} and model.table(2).count() == 3
     assert answers.count() <= 3 * texts.count()
+
+
+def test_dense_groups_are_linked_in_linear_time():
+    """Near copies that no vantage separates: as many as a large group has, in seconds; and the same links as all pairs."""
+    import time
+
+    rng = np.random.default_rng(4)
+
+    def ball(n, most):
+        flips = np.zeros(n, dtype=np.uint64)
+        for _ in range(most):
+            flips ^= np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
+        return np.unique(flips ^ np.uint64(0x123456789ABCDEF))
+
+    x = ball(1500, 5)
+    label = np.arange(len(x))
+    simhash_vptree._dense(x, np.arange(len(x)), 2, label)
+    assert label.tolist() == brute.groups([int(v) for v in x])
+    # one group of equal bytes larger than is compared in pairs
+    y = np.unique(rng.integers(0, 1 << 16, 6000).astype(np.uint64))[::2]
+    label = np.arange(len(y))
+    simhash_vptree._dense(y, np.arange(len(y)), 1, label)
+    assert label.tolist() == brute.groups([int(v) for v in y], 1)
+    big = ball(200_000, 6)
+    t = time.process_time()
+    simhash_vptree.forest(big, 2)
+    assert time.process_time() - t < 40

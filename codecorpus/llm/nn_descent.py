@@ -52,7 +52,9 @@ CELL = 128
 #: Cells of the first graph at most.
 CELLS = 512
 #: Nodes of a part, at most, and how many times a node's links meet at it.
-PART, MEET = 4096, 2
+PART, MEET = 2048, 2
+#: Offers that a part holds before it keeps only the best.
+OFFERS = 1 << 20
 #: Queries that are compared with brute force, and the share of their neighbours to be found.
 BLOCK, RECALL = 200, 0.93
 #: Two cosines of half-precision unit vectors are off by under half of this, each.
@@ -214,38 +216,40 @@ def _graph_steps(parts: int, k: int):
         if got:
             keep = _top_of(got[0], got[2], got[1], MEET * k)
             v, u, sim, fresh, worst, theirs = (x[keep] for x in got)
-            x = _as_units(theirs)
             low = np.full(len(nodes), -2.0, dtype=np.float32)
             n = np.bincount(np.searchsorted(nodes, u0), minlength=len(nodes))
             np.minimum.at(least := np.full(len(nodes), 2.0, dtype=np.float32), np.searchsorted(nodes, u0), sim0)
             low[n >= k] = least[n >= k]
-            a, b, s = [], [], []
             # a node learns of those that link to it
             back = sim > low[np.searchsorted(nodes, v)]
-            a.append(v[back])
-            b.append(u[back])
-            s.append(sim[back])
+            found, size = [(v[back], u[back], sim[back])], 0
             start = np.flatnonzero(np.r_[True, np.diff(v) != 0])
             for i, j in zip(start, np.append(start[1:], len(v)), strict=True):
                 if j - i < 2 or not fresh[i:j].any():
                     continue
-                near = x[i:j] @ x[i:j].T
+                x = _as_units(theirs[i:j])
+                near = x @ x.T
                 ok = (fresh[i:j, None] | fresh[None, i:j]) & (near > worst[i:j, None])
                 np.fill_diagonal(ok, False)
                 p, q = np.nonzero(ok)
-                a.append(u[i:j][p])
-                b.append(u[i:j][q])
-                s.append(near[p, q])
-            a, b, s = np.concatenate(a), np.concatenate(b), np.concatenate(s)
-            # the same pair may meet at many nodes of the part
-            order = np.lexsort((b, a))
-            a, b, s = a[order], b[order], s[order]
-            one = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, dtype=bool)
-            a, b, s = a[one], b[one], s[one]
-            best = _top_of(a, s, b, k)
-            out += _deal("offer", a[best], parts, b[best], s[best].astype(np.float32))
+                found.append((u[i:j][p], u[i:j][q], near[p, q]))
+                size += len(p)
+                if size > OFFERS:
+                    found, size = [best_offers(found)], 0
+            a, b, s = best_offers(found)
+            out += _deal("offer", a, parts, b, s.astype(np.float32))
         return pa.table(_batch(out))
 
+    def best_offers(found: list[tuple]) -> tuple:
+        """The k best of each node, of which the same may come from many nodes of the part."""
+        a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((b, a))
+        a, b, s = a[order], b[order], s[order]
+        one = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, dtype=bool)
+        a, b, s = a[one], b[one], s[one]
+        best = _top_of(a, s, b, k)
+        return a[best], b[best], s[best]
+
     def merge(table: pa.Table) -> pa.Table:
         """A part's arrays after the offers: the k best links of each node; a link that was there is not new."""
         own = [p.as_py() for x, p in zip(table["kind"].to_pylist(), table["payload"], strict=True) if x == "own"]

@@ -55,6 +55,32 @@ def test_toxicity_held_out(labelled_docs):
     assert kept.columns == docs.columns and kept.count() == (rows["predicted"] == 0).sum()
 
 
+def test_toxicity_scores_by_definition(labelled_docs, spark):
+    """The score is the logistic of the summed weights of the features that a text holds; long, odd and empty texts too."""
+    import re
+
+    docs, labels = labelled_docs
+    model = toxicity_pu.fit(docs, labels)
+    weight = dict(zip(model.names, model.weights))
+    texts = ["", None, "Grobling! grobling, snarkfaces 12 zonkbrain_s", "é" * 40, "a\x1cb " * 30_000 + "grobling", "z" * 200_000,
+             *[r["text"] for r in docs.limit(40).collect()]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity_pu.score(d, model).collect()}
+    for i, t in enumerate(texts):
+        words = set(re.findall(r"[^\W\d_]+", (t or "").lower()))
+        held = {f for w in words for f in [w, *(w[:k] + "*" for k in (3, 4, 5, 6) if len(w) > k)]}
+        margin = sum(weight.get(f, 0.0) for f in held) + model.intercept
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-9)
+
+
+def test_quality_of_long_and_repeated_texts(labelled_docs, spark):
+    docs, labels = labelled_docs
+    model = rule_ensemble.fit(docs, labels)
+    texts = ["word " * 200_000, "x" * 500_000, "line of a few words\n" * 30_000, "", None, "same text", "same text"]
+    rows = rule_ensemble.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).toPandas()
+    assert len(rows) == len(texts) and rows["score"].between(0, 1).all() and rows["score"][5] == rows["score"][6]
+
+
 def test_non_negative_risk_turns_back():
     """Where the unlabelled risk falls below the prior's share, the step is reversed."""
     one = lambda n: (np.arange(n), np.zeros(n, dtype=np.int64), n)
@@ -204,7 +230,43 @@ def test_neighbours_in_groups_below_half_precision(spark, monkeypatch):
     assert got[got["query_id"] == 1000].sort_values("rank")["vec_id"].tolist() == list(range(1001, 1010))
 
 
+def test_repeated_ids_and_odd_vectors(spark):
+    """Of rows with one id the least vector counts; vectors that are null, empty, zero or not finite take no part."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(1, 120)]
+    rows += [(0, [1.0, 0, 0, 0, 0, 0]), (0, [2.0, 0, 0, 0, 0, 1]), (0, [1.0, 0, 0, 0, 0, 0]), (500, [0.99, 0.01, 0, 0, 0, 0]),
+             (600, [0.98, 0, 0.05, 0, 0, 0]), (601, None), (602, []), (603, [0.0] * 6), (604, [float("nan")] + [1.0] * 5),
+             (605, [None] + [1.0] * 5), (606, [float("inf")] + [0.0] * 5), (607, [1.0, 0.0]), (None, [1.0, 0, 0, 0, 0, 0])]
+    rows = [(i, e and [x if x is None else float(x) for x in e]) for i, e in rows]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nn_descent.search(nn_descent.build(v), v.where("vec_id % 50 = 0 OR vec_id IS NULL")).toPandas()
+    assert set(got["query_id"]) == {0, 50, 100, 500, 600} and not set(got["vec_id"]) & set(range(601, 608))
+    assert (got.groupby("query_id").size() == 5).all() and not got.duplicated(["query_id", "vec_id"]).any()
+    first = got[(got["query_id"] == 0) & (got["rank"] == 1)].iloc[0]
+    assert first["vec_id"] == 500 and first["score"] == pytest.approx(0.99 / np.hypot(0.99, 0.01), abs=1e-12)
+
+
 # ------------------------------------------------------------------ pipeline
+def test_pipeline_of_odd_and_empty_tables(spark, twice, empty, labelled_docs, tmp_path):
+    """Nulls, empty, long and repeated texts, and columns with names that stages use: every stage keeps the columns."""
+    _, labels = labelled_docs
+    for name, docs in (("odd", twice), ("empty", empty)):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        frame = spark.read.parquet(f"{folder}/documents.parquet")
+        columns, n = frame.columns, frame.count()
+        for stage, run in corpus_pipeline.STAGES:
+            run(spark, frame, folder).write.parquet(f"{folder}/{stage}")
+            frame = spark.read.parquet(f"{folder}/{stage}")
+            if stage != "packing":
+                assert frame.columns == columns and frame.count() <= n
+                n = frame.count()
+        kept = {r["doc_id"] for r in spark.read.parquet(f"{folder}/near_dedup").collect()}
+        assert {r["doc_id"] for r in frame.collect()} == kept and (name == "odd") == bool(kept)
+        assert corpus_pipeline.run(spark, folder).count() == frame.count()
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{ROOT}/documents.parquet")
     frames = [docs]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of steps already written.
+
+    Shuffle files go when the driver collects the frames that made them; a
+    job that writes a table after each step need not hold all of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def in_fold(doc_id: str | Column, modulus: int) -> Column:
     """True where crc32(doc_id as text) mod ``modulus`` is 0; false for null."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

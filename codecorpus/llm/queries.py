@@ -58,8 +58,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log probabilities of all documents (Katz backoff bigrams)."""
-    return katz.score(table(spark, sf_dir, "documents"))
+    """Log probabilities of all documents (Katz backoff, words after one word)."""
+    return katz.score(table(spark, sf_dir, "documents"), order=2)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,11 +244,12 @@ def test_katz_tables_without_rows_of_a_kind(spark, kind):
 def test_katz_frequent_pairs_are_one_entry_a_block(spark):
     """A pair in each of 3000 texts goes to its shard once a block, and its counts are right."""
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("of the").alias("text")).repartition(3)
-    model, texts, answers = katz.fit(docs, order=2)
+    model, cut, (answers, _) = katz.fit(docs, order=2)
     n = sum(not held(i) for i in range(3000))
     assert {tuple(r["words"]): r["count"] for r in model.table(2).collect()} and set(
         r["count"] for r in model.table(2).collect()) == {n} and model.table(2).count() == 3
-    assert answers.count() <= 3 * texts.count()
+    # one answer a block and level: neither texts nor pairs add rows
+    assert answers.count() <= 2 * cut.count()
 
 
 def test_dense_groups_are_linked_in_linear_time():

@@ -194,10 +194,9 @@ def _graph_steps(parts: int, k: int):
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each link u -> v sent to v, with u's unit and the worst link that u keeps."""
         for b in batches:
-            out = []
             for part, payload in zip(b["part"].to_pylist(), b["payload"], strict=True):
                 nodes, units, u, v, sim, fresh = pickle.loads(payload.as_py())
-                out.append((part, "own", 0, payload.as_py()))
+                out = [(part, "own", 0, payload.as_py())]
                 at = np.searchsorted(nodes, u)
                 n = np.bincount(at, minlength=len(nodes))
                 worst = np.full(len(nodes), -2.0, dtype=np.float32)
@@ -205,7 +204,7 @@ def _graph_steps(parts: int, k: int):
                 worst[n >= k] = low[n >= k]
                 keep = _top_of(v, sim, u, MEET * k)
                 out += _deal("link", v[keep], parts, u[keep], sim[keep], fresh[keep], worst[at][keep], units[at][keep])
-            yield pa.RecordBatch.from_pydict(_batch(out))
+                yield pa.RecordBatch.from_pydict(_batch(out))
 
     def meet(table: pa.Table) -> pa.Table:
         """Pairs that meet at a node of this part, where they beat an end's worst link."""
@@ -241,13 +240,13 @@ def _graph_steps(parts: int, k: int):
         return pa.table(_batch(out))
 
     def best_offers(found: list[tuple]) -> tuple:
-        """The k best of each node, of which the same may come from many nodes of the part."""
+        """The best of each node (2 k from all parts together), of which the same may come from many nodes of the part."""
         a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((b, a))
         a, b, s = a[order], b[order], s[order]
         one = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, dtype=bool)
         a, b, s = a[one], b[one], s[one]
-        best = _top_of(a, s, b, k)
+        best = _top_of(a, s, b, max(8, min(k, 2 * k // parts)))
         return a[best], b[best], s[best]
 
     def merge(table: pa.Table) -> pa.Table:
@@ -329,12 +328,10 @@ def _neighbours(state: DataFrame, parts: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
             for part, payload in zip(b["part"].to_pylist(), b["payload"], strict=True):
                 nodes, units, u, v, _, _ = pickle.loads(payload.as_py())
-                out.append((part, "own", 0, pickle.dumps((nodes, units), protocol=5)))
-                out += _deal("ask", v, parts, u)
-            yield pa.RecordBatch.from_pydict(_batch(out))
+                out = [(part, "own", 0, pickle.dumps((nodes, units), protocol=5)), *_deal("ask", v, parts, u)]
+                yield pa.RecordBatch.from_pydict(_batch(out))
 
     def answer(table: pa.Table) -> pa.Table:
         nodes, units = _received(table, "own", 2)

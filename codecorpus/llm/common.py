@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,8 +44,10 @@ def release(spark: SparkSession) -> None:
     Shuffle files go when the driver collects the frames that made them; a
     job that writes a table after each step need not hold all of them.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def in_fold(doc_id: str | Column, modulus: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codecorpus import dims
-from codecorpus.functions.patterns import LINE_BREAK, fnmatch_regex, py_regex
+from codecorpus.functions.patterns import LINE_BREAK, py_regex
 from codecorpus.functions.text import basename, split_lines, stem, suffix_lower
 from codecorpus.operators import corpus, repomap
 from codecorpus.plans.registry import query
@@ -215,14 +215,11 @@ _FIND_INC = ["*.py", "*.go", "*.PY"]
 _FIND_IGN = ["*/doc_1*", "node_modules"]
 
 
-def _fn_sql(p: str, pats, col: str) -> str:
-    return " OR ".join(f"regexp_matches({col}, '{fnmatch_regex(x)}')" for x in pats) if pats else "false"
-
-
+# '*/doc_1*' is found anywhere behind a slash; 'node_modules' is the whole path or the name
 @query("find_files", ["v_tree"], sql=f"""
 SELECT repo_id, path FROM (SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS rn
-  FROM v_tree WHERE NOT ({_fn_sql('', _FIND_IGN, 'path')}) AND NOT ({_fn_sql('', _FIND_IGN, d_name('path'))})
-    AND ({_fn_sql('', _FIND_INC, d_name('path'))})) x WHERE rn <= 1000""")
+  FROM v_tree WHERE NOT contains(path, '/doc_1') AND path <> 'node_modules' AND {d_name('path')} <> 'node_modules'
+    AND (suffix(path, '.py') OR suffix(path, '.go') OR suffix(path, '.PY'))) x WHERE rn <= 1000""")
 def q_find_files(spark):
     """find_files: include globs on the basename, ignore globs on path or basename, 1000 per repo."""
     return corpus.find_files(spark.table("v_tree"), _FIND_INC, _FIND_IGN).select("repo_id", "path")
@@ -230,7 +227,7 @@ def q_find_files(spark):
 
 @query("find_text_files_top10", ["v_tree"], sql=f"""
 SELECT repo_id, path FROM (SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS rn
-  FROM {_RAW_SQL} r WHERE NOT ({_fn_sql('', ['*.min.js'], 'path')}) AND NOT ({_fn_sql('', ['*.min.js'], d_name('path'))})
+  FROM {_RAW_SQL} r WHERE NOT suffix(path, '.min.js')
     AND {d_sfx('path')} NOT IN {d_list(dims.BINARY_EXTENSIONS)} AND NOT list_contains(regexp_extract_all(substring(hex(bytes), 1, 16384), '..'), '00')) x
 WHERE rn <= 10""")
 def q_find_text_files(spark):

@@ -5,7 +5,6 @@ result can be compared with the batch form of the same operator."""
 from __future__ import annotations
 
 from codecorpus import dims
-from codecorpus.functions.patterns import fnmatch_regex
 from codecorpus.plans.q_corpus import tags_sql
 from codecorpus.plans.registry import query
 from codecorpus.streaming import streams
@@ -27,7 +26,8 @@ def _sf_query(key, views, sql):
     return deco
 
 
-_GLOB_SQL = " OR ".join(f"regexp_matches(string_split(path, '/')[-1], '{fnmatch_regex(g)}')" for g in dims.WATCH_GLOBS)
+# every glob is '*' and an ending
+_GLOB_SQL = " OR ".join(f"suffix(path, '{g.removeprefix('*')}')" for g in dims.WATCH_GLOBS)
 
 
 @_sf_query("stream_file_events", ["v_file_events"], sql=f"""

@@ -54,15 +54,15 @@ CELLS = 512
 #: Nodes of a part, at most, and how many times a node's links meet at it.
 PART, MEET = 2048, 2
 #: Offers that a part holds before it keeps only the best.
-OFFERS = 1 << 20
+OFFERS = 1 << 18
 #: Queries that are compared with brute force, and the share of their neighbours to be found.
 BLOCK, RECALL = 200, 0.93
 #: Two cosines of half-precision unit vectors are off by under half of this, each.
 SLACK = 0.0025
 #: Nodes of more members are compared with their queries in blocks of so many members and queries.
 CROWD, MEMBERS, ASKING = 64, 8192, 4096
-#: Queries compared with the entry points at once.
-STARTS = 1024
+#: Queries compared with the entry points, and rows of a query's node and its neighbours looked at, at once.
+STARTS, JOINED = 1024, 1024
 
 
 def valid_vectors(vectors: DataFrame, id_col: str = "vec_id") -> DataFrame:
@@ -460,7 +460,7 @@ def _walk(index: Index, wanted: DataFrame, k: int, ef: int, width: int | None) -
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The neighbours of a query's node that are nearer than the worst it keeps."""
-        for b in batches:
+        for b in (b.slice(at, JOINED) for b in batches for at in range(0, b.num_rows, JOINED)):
             out_ids, out_sims = [], []
             for u, worst, ids, near in zip(b["unit"].to_pylist(), b["worst"].to_pylist(), b["ids"].to_pylist(),
                                            b["units"].to_pylist(), strict=True):

@@ -3,6 +3,13 @@
 Each stage is (name, function of (spark, docs, sf_dir)); its result is written
 as Parquet and read again as the next stage's ``docs``. All but the last
 return the columns of ``documents``.
+
+Edge cases: documents with null or empty texts are scored like any other by
+both classifiers, have no lines to lose and form one near-duplicate group, of
+which one stays; null ids take part in every stage; rows repeated with the
+same id and text get the same decisions, and one of them passes near-dedup; very
+long texts are taken whole; columns beyond those of ``documents`` are carried, by
+whatever name, up to packing; an empty table gives an empty result.
 """
 
 from __future__ import annotations

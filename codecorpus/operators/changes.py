@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codecorpus.functions.text import basename, strip_py
+from codecorpus.session import staged
 
 COMMIT_ATTRIBUTION = "codecorpus"
 
@@ -58,7 +59,9 @@ def unified_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 def commit_summary(changed: DataFrame, attribution: str = COMMIT_ATTRIBUTION) -> DataFrame:
     """Per repo ``<attribution>: Edit a, b, c (+N more)`` from the first
     three changed basenames (path order); no row when nothing changed.
-    Only the first three names are kept per repo (group limit), plus a count."""
+    Only the first three names are kept per repo (group limit), plus a count; the
+    changed paths are computed once for both."""
+    changed = staged(changed.select("repo_id", "path"), "changed")
     w = Window.partitionBy("repo_id").orderBy("path")
     first3 = (changed.withColumn("_rn", F.row_number().over(w)).filter("_rn <= 3")
               .groupBy("repo_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(

@@ -3,8 +3,11 @@
 Documents are range-partitioned by (doc_id, text hash) and sorted, so shards
 hold consecutive documents; a task encodes its texts and writes a file for
 every ``max_tokens`` ids, under a name that sorts like the ids. A file holds
-the documents' ids and lengths and the bit-planes of the matrix, each zstd
-compressed; ranks are rebuilt from the planes when a file is opened. A file is
+the documents' ids and lengths and the bit-planes of the matrix, in pieces that
+are zstd compressed each by itself, with the ones before every piece: opening a file
+reads this directory, and access, count and occurrences inflate only the pieces
+that they pass through. Reading all documents back decodes whole planes and
+asks for the ends by rank and select too. A file is
 written under a temporary name and moved, so a repeated task replaces it.
 
 Edge cases: a null or empty text is one end id; null ids come first; repeated
@@ -17,7 +20,7 @@ from __future__ import annotations
 import io
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +33,83 @@ from pyspark.sql import functions as F
 from codecorpus.llm.common import scratch, stored
 from codecorpus.llm.tokens import UnitEncoder, byte_units, shared
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
+#: Words of 64 bits in a piece of a plane.
+PIECE = 4096
+
+
+class Plane:
+    """A bit-plane in pieces: ``load`` gives the words of one, ``before`` the ones before each of them and in all."""
+
+    def __init__(self, words: int, before: np.ndarray, load: Callable[[int], np.ndarray]):
+        self.words, self.before, self.load = words, before, load
+        self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    @staticmethod
+    def of(words: np.ndarray) -> Plane:
+        pieces = [words[i:i + PIECE] for i in range(0, len(words), PIECE)]
+        ones = [int(np.bitwise_count(p).sum()) for p in pieces]
+        return Plane(len(words), np.cumsum([0, *ones], dtype=np.int64), pieces.__getitem__)
+
+    def _piece(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words of a piece, and the ones of the plane before each."""
+        if i not in self.open:
+            x = self.load(i)
+            self.open[i] = x, self.before[i] + np.cumsum(np.r_[0, np.bitwise_count(x[:-1])], dtype=np.int64)
+        return self.open[i]
+
+    def at(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words by number, and the ones before them; behind the last there are no bits and all ones."""
+        x, ones = np.zeros(len(words), dtype=np.uint64), np.full(len(words), self.before[-1], dtype=np.int64)
+        piece = words // PIECE
+        for i in np.unique(piece[words < self.words]).tolist():
+            here = np.flatnonzero((piece == i) & (words < self.words))
+            own, before = self._piece(i)
+            x[here], ones[here] = own[words[here] - i * PIECE], before[words[here] - i * PIECE]
+        return x, ones
+
+    def find(self, bit: int, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the k-th (from 0) ones, or zeros: the word it is in, its bits and how many of the kind come before the word."""
+        places = np.minimum(np.arange(len(self.before)) * PIECE, self.words)
+        start = self.before if bit else places * 64 - self.before
+        piece = np.searchsorted(start, k, side="right") - 1
+        word, x, seen = np.zeros(len(k), dtype=np.int64), np.zeros(len(k), dtype=np.uint64), np.zeros(len(k), dtype=np.int64)
+        for i in np.unique(piece).tolist():
+            here = np.flatnonzero(piece == i)
+            own, ones = self._piece(i)
+            kind = ones if bit else (i * PIECE + np.arange(len(own))) * 64 - ones
+            w = np.searchsorted(kind, k[here], side="right") - 1
+            word[here], x[here], seen[here] = i * PIECE + w, own[w], kind[w]
+        return word, x, seen
+
+    def whole(self) -> np.ndarray:
+        return np.concatenate([self.load(i) for i in range(len(self.before) - 1)]) if self.words else np.zeros(0, dtype="<u8")
+
+    def to_bytes(self, z: zstandard.ZstdCompressor) -> bytes:
+        pieces = [z.compress(np.ascontiguousarray(self.load(i)).tobytes()) for i in range(len(self.before) - 1)]
+        return b"".join([struct.pack("<QI", self.words, len(pieces)), self.before.astype("<i8").tobytes(),
+                         np.array([len(p) for p in pieces], dtype="<u4").tobytes(), *pieces])
+
+    @staticmethod
+    def from_bytes(data: memoryview) -> Plane:
+        words, n = struct.unpack_from("<QI", data)
+        before = np.frombuffer(data, dtype="<i8", count=n + 1, offset=12).astype(np.int64)
+        sizes = np.frombuffer(data, dtype="<u4", count=n, offset=20 + 8 * n)
+        at = 20 + 12 * n + np.cumsum(np.r_[0, sizes], dtype=np.int64)
+
+        def load(i: int) -> np.ndarray:
+            return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at[i]:at[i + 1]]), dtype="<u8")
+
+        return Plane(words, before, load)
 
 
 class WaveletMatrix:
     """Bit-planes of symbol numbers, most significant first; a plane is stably
     parted, zeros before ones, for the next. ``symbols`` are the distinct ids."""
 
-    def __init__(self, planes: list[np.ndarray], n: int, symbols: np.ndarray):
+    def __init__(self, planes: list[Plane], n: int, symbols: np.ndarray):
         self.planes, self.n, self.bits, self.symbols = planes, n, len(planes), symbols
-        ones = [np.concatenate([[0], np.cumsum(np.bitwise_count(p), dtype=np.int64)]) for p in planes]
-        self.ones_before = ones
-        self.zeros = [n - int(o[-1]) for o in ones]
+        self.zeros = [n - int(p.before[-1]) for p in planes]
 
     @staticmethod
     def build(ids: np.ndarray) -> WaveletMatrix:
@@ -59,40 +127,32 @@ class WaveletMatrix:
         for level in range(bits - 1, -1, -1):
             bit = ((cur >> cur.dtype.type(level)) & 1).astype(bool)
             packed = np.packbits(bit, bitorder="little")
-            planes.append(np.frombuffer(packed.tobytes() + bytes(-len(packed) % 8), dtype="<u8"))
+            planes.append(Plane.of(np.frombuffer(packed.tobytes() + bytes(-len(packed) % 8), dtype="<u8")))
             cur = np.concatenate([cur[~bit], cur[bit]])
         return WaveletMatrix(planes, n, symbols.astype("<u4"))
 
     def _bits(self, level: int) -> np.ndarray:
-        return np.unpackbits(self.planes[level].view(np.uint8), count=self.n, bitorder="little").astype(bool)
+        return np.unpackbits(self.planes[level].whole().view(np.uint8), count=self.n, bitorder="little").astype(bool)
 
-    def _rank1(self, level: int, pos: np.ndarray) -> np.ndarray:
-        """Ones before each position (0..n)."""
+    def _rank1(self, level: int, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ones before each position (0..n), and the bit there."""
         pos = np.asarray(pos, dtype=np.int64)
-        word, low = pos >> 6, (pos & 63).astype(np.uint64)
-        plane = self.planes[level]
-        if not len(plane):
-            return np.zeros_like(pos)
-        part = plane[np.minimum(word, len(plane) - 1)] & ((np.uint64(1) << low) - np.uint64(1))
-        return self.ones_before[level][word] + np.bitwise_count(np.where(low > 0, part, np.uint64(0))).astype(np.int64)
+        low = (pos & 63).astype(np.uint64)
+        x, ones = self.planes[level].at(pos >> 6)
+        part = x & ((np.uint64(1) << low) - np.uint64(1))
+        return ones + np.bitwise_count(part).astype(np.int64), (x >> low) & np.uint64(1) == 1
 
     def _select(self, level: int, bit: int, k: np.ndarray) -> np.ndarray:
         """Position of the k-th (from 0) zero or one."""
-        before = self.ones_before[level]
-        if not bit:
-            before = np.arange(len(before), dtype=np.int64) * 64 - before
-        word = np.searchsorted(before, k, side="right") - 1
-        left = k - before[word]
-        x = self.planes[level][word]
+        word, x, seen = self.planes[level].find(bit, k)
         bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") == bit
-        return word * 64 + np.argmax(np.cumsum(bits, axis=1) > left[:, None], axis=1)
+        return word * 64 + np.argmax(np.cumsum(bits, axis=1) > (k - seen)[:, None], axis=1)
 
     def access(self, positions: np.ndarray) -> np.ndarray:
         """The ids at the positions."""
         pos, out = np.asarray(positions, dtype=np.int64), np.zeros(len(positions), dtype=np.int64)
         for level in range(self.bits):
-            one = (self.planes[level][pos >> 6] >> (pos & 63).astype(np.uint64)) & np.uint64(1) == 1
-            ones = self._rank1(level, pos)
+            ones, one = self._rank1(level, pos)
             out = out * 2 + one
             pos = np.where(one, self.zeros[level] + ones, pos - ones)
         return self.symbols[out]
@@ -107,7 +167,7 @@ class WaveletMatrix:
         if symbol < 0:
             return 0, 0
         for level in range(self.bits):
-            a, b = self._rank1(level, np.array([lo, hi]))
+            a, b = self._rank1(level, np.array([lo, hi]))[0]
             if symbol >> (self.bits - 1 - level) & 1:
                 lo, hi = self.zeros[level] + int(a), self.zeros[level] + int(b)
             else:
@@ -150,7 +210,7 @@ class WaveletMatrix:
         with pa.ipc.new_stream(docs, t.schema) as w:
             w.write_table(t)
         z = zstandard.ZstdCompressor(level=1)
-        parts = [z.compress(docs.getvalue()), z.compress(self.symbols.tobytes()), *[z.compress(p.tobytes()) for p in self.planes]]
+        parts = [z.compress(docs.getvalue()), z.compress(self.symbols.tobytes()), *[p.to_bytes(z) for p in self.planes]]
         return MAGIC + struct.pack("<QI", self.n, self.bits) + b"".join(struct.pack("<Q", len(p)) + p for p in parts)
 
     @staticmethod
@@ -162,12 +222,12 @@ class WaveletMatrix:
         at, parts, z = 16, [], zstandard.ZstdDecompressor()
         for _ in range(bits + 2):
             (size,) = struct.unpack_from("<Q", data, at)
-            parts.append(z.decompress(data[at + 8:at + 8 + size]))
+            parts.append(memoryview(data)[at + 8:at + 8 + size])
             at += 8 + size
-        t = pa.ipc.open_stream(parts[0]).read_all().combine_chunks()
+        t = pa.ipc.open_stream(z.decompress(parts[0])).read_all().combine_chunks()
         ids = t["doc_id"].combine_chunks()
         return ids, t["length"].to_numpy(), WaveletMatrix(
-            [np.frombuffer(p, dtype="<u8") for p in parts[2:]], n, np.frombuffer(parts[1], dtype="<u4"))
+            [Plane.from_bytes(p) for p in parts[2:]], n, np.frombuffer(z.decompress(parts[1]), dtype="<u4"))
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 0, shards: int | None = None,
@@ -236,6 +296,10 @@ def read_shards(spark: SparkSession, folder: str, files: DataFrame, doc_type: st
                 ids = matrix.decode().astype("<u4")
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
+                # the matrix must name the same last ids, and hold as many of the end as were decoded
+                last = matrix.access(ends - 1)
+                if not (last == ids[ends - 1]).all() or matrix.count(int(last[0])) != np.count_nonzero(ids == last[0]):
+                    raise ValueError(f"{path.as_py()}: ranks do not agree with the planes")
                 crc = [zlib.crc32(ids[a:z]) for a, z in zip(starts, ends, strict=True)]
                 name = path.as_py().rsplit("/", 1)[-1]
                 yield pa.RecordBatch.from_arrays(

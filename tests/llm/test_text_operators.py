@@ -156,6 +156,16 @@ def test_wavelet_matrix_file(n, top):
         assert m.occurrences(s, n // 4, n // 2).tolist() == [x for x in where if n // 4 <= x < n // 2]
 
 
+def test_wavelet_access_opens_few_pieces(monkeypatch):
+    monkeypatch.setattr(wavelet, "PIECE", 4)
+    a = np.random.default_rng(1).integers(0, 300, 20_000).astype("<u4")
+    _, _, m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(a).to_bytes(pa.array([1]), np.array([len(a)])))
+    assert not any(p.open for p in m.planes) and len(m.planes[0].before) > 70
+    assert m.access(np.array([777])).tolist() == [a[777]] and all(len(p.open) == 1 for p in m.planes)
+    assert m.count(5) == (a == 5).sum() and max(len(p.open) for p in m.planes) <= 4
+    assert (m.occurrences(7) == np.flatnonzero(a == 7)).all() and (m.access(np.arange(0, 20_000, 37)) == a[::37]).all()
+
+
 @pytest.mark.parametrize(("file", "units"), [("byte_bpe_50k.json", tokens.byte_units), ("word_bpe_49k.json", tokens.word_units)])
 def test_unit_encoder_is_exact(file, units, odd_texts):
     texts = [t or "" for _, t in odd_texts] + ["x<|endoftext|>, y", "don't, 'q' (a).. c!!", "a  b   c\n\n d", "ÀÉ, İ, ſ, x́, α,", "1,2 b2."]

@@ -89,15 +89,19 @@ FROM (SELECT c.conv_id * 100 + c.turn AS response_id, c.conv_id, c.turn, f.repo_
       WHERE c.role = 'assistant') r
 """, ["conversations", "documents", "v_files"])
 
-# v_plans: valid, inside prose, not JSON, unknown agent
-_view("v_plans", """
-SELECT conv_id AS run_id, 'task ' || CAST(conv_id AS STRING) AS task, CASE conv_id % 4
+# v_plans: valid, inside prose, not JSON, unknown agent, tasks that are a session's own text, cut off
+_PLANS = """
+SELECT conv_id AS run_id, 'task ' || CAST(conv_id AS STRING) AS task, CASE mod(conv_id, 6)
     WHEN 0 THEN '[{"agent":"coder","task":"a"},{"agent":"tester","task":"b"},{"agent":"reviewer","task":"c"}]'
     WHEN 1 THEN 'Plan:' || chr(10) || '[{"agent":"security","task":"audit"}]' || chr(10) || 'Done.'
     WHEN 2 THEN 'no plan here'
-    ELSE '[{"agent":"wizard","task":"magic"},{"task":"no agent"}]' END AS plan_output
-FROM (SELECT DISTINCT conv_id FROM conversations) c
-""", ["conversations"])
+    WHEN 3 THEN '[{"agent":"wizard","task":"magic"},{"task":"no agent"}]'
+    WHEN 4 THEN 'Steps: [{"agent":"tester","task":' || quoted || '},{"agent":"coder","task":' || quoted || ',"files":[1,2]},{}] end'
+    ELSE 'see [1]' || chr(10) || '[{"agent":"tester","task":' || quoted || '}' END AS plan_output
+FROM (SELECT conv_id, %s AS quoted FROM (SELECT conv_id, min(text) AS text FROM conversations GROUP BY conv_id) c) q
+"""
+_view("v_plans", _PLANS % "substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)", ["conversations"],
+      duck=_PLANS % "CAST(to_json(text) AS VARCHAR)")
 
 # v_agent_results: one step per turn of a run, some failing
 _view("v_agent_results", """

@@ -225,13 +225,8 @@ def _symbol(rules: list[tuple[str, str, str]], line: Column, at: Column) -> Colu
     return out
 
 
-def file_symbols(files: DataFrame, public_only: bool = True, all_files: bool = False) -> DataFrame:
-    """S1 (+F7) with one row a file of a language with rules, or for all files: (repo_id, path, symbols), in line order.
-
-    A file's lines stay an array, looked at by its own family's rules; no
-    shuffle, ``content`` is dropped on the way. A private hit (name starting
-    '_') still consumes its line, then is dropped.
-    """
+def _symbol_arrays(files: DataFrame, public_only: bool, all_files: bool) -> tuple[DataFrame, Column]:
+    """Files with their lines, and the expression of the array of their symbols."""
     families = _families()
     family = _lit_map([(e, i) for i, (exts, _) in enumerate(families) for e in exts])
     f = files.select("repo_id", "path", "content", F.element_at(family, suffix_lower(F.col("path"))).alias("_family"))
@@ -242,13 +237,25 @@ def file_symbols(files: DataFrame, public_only: bool = True, all_files: bool = F
     for i, (_, rules) in enumerate(families):
         found = F.when(F.col("_family") == i, F.transform("_lines", functools.partial(_symbol, rules))).otherwise(found)
     keep = (lambda s: s.isNotNull() & ~s["name"].startswith("_")) if public_only else (lambda s: s.isNotNull())
-    return f.select("repo_id", "path", F.filter(found, keep).alias("symbols"))
+    return f, F.filter(found, keep)
+
+
+def file_symbols(files: DataFrame, public_only: bool = True, all_files: bool = False) -> DataFrame:
+    """S1 (+F7) with one row a file of a language with rules, or for all files: (repo_id, path, symbols), in line order.
+
+    A file's lines stay an array, looked at by its own family's rules; no
+    shuffle, ``content`` is dropped on the way. A private hit (name starting
+    '_') still consumes its line, then is dropped.
+    """
+    f, symbols = _symbol_arrays(files, public_only, all_files)
+    return f.select("repo_id", "path", symbols.alias("symbols"))
 
 
 def extract_symbols(files: DataFrame, public_only: bool = True) -> DataFrame:
     """S1 (+F7): one row per symbol line ``(repo_id, path, line, type, name)``."""
-    return (file_symbols(files, public_only).select("repo_id", "path", F.explode("symbols").alias("_s"))
-            .select("repo_id", "path", "_s.*"))
+    # exploded as an expression: a filter inferred on a column of it would compute it twice
+    f, symbols = _symbol_arrays(files, public_only, False)
+    return f.select("repo_id", "path", F.explode(symbols).alias("_s")).select("repo_id", "path", "_s.*")
 
 
 def exclude_chat_files(files: DataFrame, chat_files: DataFrame) -> DataFrame:

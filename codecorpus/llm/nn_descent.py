@@ -52,7 +52,7 @@ CELL = 128
 #: Cells of the first graph at most.
 CELLS = 512
 #: Nodes of a part, at most, and how many times a node's links meet at it.
-PART, MEET = 2048, 2
+PART, MEET = 1024, 2
 #: Offers that a part holds before it keeps only the best.
 OFFERS = 1 << 18
 #: Queries that are compared with brute force, and the share of their neighbours to be found.
@@ -246,7 +246,7 @@ def _graph_steps(parts: int, k: int):
         a, b, s = a[order], b[order], s[order]
         one = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, dtype=bool)
         a, b, s = a[one], b[one], s[one]
-        best = _top_of(a, s, b, max(8, min(k, 2 * k // parts)))
+        best = _top_of(a, s, b, max(4, min(k, 2 * k // parts)))
         return a[best], b[best], s[best]
 
     def merge(table: pa.Table) -> pa.Table:

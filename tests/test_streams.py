@@ -72,3 +72,21 @@ def test_index_of_many_batches_equals_the_batch_query(spark, tmp_path):
     assert sorted(map(tuple, streams.current_index(spark, out).collect())) == sorted(map(tuple, want.collect()))
     covered = [b for level, i in streams.live_runs(50) for b in range(i * 4 ** level, (i + 1) * 4 ** level)]
     assert sorted(covered) == list(range(50)) and len(streams.live_runs(50)) <= 3 * 3
+
+
+def test_tables_in_folders_are_streamed_whole(spark, tmp_path):
+    """A table of several files gives the rows of the same table in one file."""
+    import __spark_entry__ as entry
+    rows = {"conversations": ([(c, t, "assistant" if t % 2 else "user", f"w{c} x{t} y") for c in range(1, 9) for t in range(4)],
+                              "conv_id long, turn int, role string, text string"),
+            "documents": ([(d, f"src{d % 2}", "en", "some text") for d in range(40)],
+                          "doc_id long, source string, lang string, text string")}
+    for name, (data, schema) in rows.items():
+        df = spark.createDataFrame(data, schema)
+        df.repartition(3).write.parquet(f"{tmp_path}/many/{name}.parquet")
+        (tmp_path / "one").mkdir(exist_ok=True)
+        df.toPandas().to_parquet(f"{tmp_path}/one/{name}.parquet", index=False)
+    for key, n in (("stream_assemble_reply", 16), ("stream_symbol_index", None)):
+        run = entry.queries()[key]
+        many, one = (sorted(map(tuple, run(spark, f"{tmp_path}/{d}").collect())) for d in ("many", "one"))
+        assert many == one and len(many) == (n or len(many)) and many

@@ -109,6 +109,21 @@ def test_globs_find_what_matching_every_path_finds(spark):
     assert [(r.path, r.status) for r in literal] == [("x[9].c", "added")]
 
 
+def test_requests_times_hits_are_only_rows_of_the_output(spark, monkeypatch, capsys):
+    """Blocks of few paths, requests and files that come twice, nulls: the rows of meeting every file; no join holds them."""
+    monkeypatch.setattr(corpus, "GLOB_BLOCK", 4)
+    paths = [f"src/f{i}.py" for i in range(50)] + ["src/f0.py", "lib/[x].py", None]
+    asked = [(i % 30, "r", "src/*.py") for i in range(40)] + [(1, "r", "lib/[x].py"), (2, "r", None), (3, None, "src/*.py"), (4, "r", "no/*.py")]
+    found = corpus.glob_add(spark.createDataFrame(asked, "conv_id int, repo_id string, pattern string"),
+                            spark.createDataFrame([("r", p) for p in paths], "repo_id string, path string"))
+    want = [(c, g, p, "added") for c, r, g in asked if r and g == "src/*.py" for p in paths[:51]]
+    want += [(1, "lib/[x].py", "lib/[x].py", "added"), (2, None, None, "not_found"), (3, "src/*.py", None, "not_found"), (4, "no/*.py", None, "not_found")]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.index("Generate explode") < plan.index("Join")
+
+
 def test_last_ignore_rule_wins(spark):
     rules = ["*.log", "!keep.log", "/top.txt", "tmp/", "a/**/z", "# no rule", "", "!tmp/stay"]
     cases = {"x.log": False, "d/x.log": False, "d/keep.log": True, "top.txt": False, "d/top.txt": True, "tmp/f": False, "d/tmp/f": False,

@@ -128,3 +128,22 @@ def test_symbols_of_a_very_long_line(spark):
                                    ("r", "c.cpp", words + "area(int x) {")], "repo_id string, path string, content string")
     got = {(r["path"], r["line"], r["type"], r["name"]) for r in corpus.extract_symbols(files).collect()}
     assert got == {("a.c", 2, "function", "main"), ("b.java", 1, "method", "run"), ("c.cpp", 1, "function", "area")}
+
+
+def test_pages_are_parsed_a_few_at_a_time(monkeypatch):
+    """A batch of many pages gives pieces of few, with the rows of the whole batch in order."""
+    import pyarrow as pa
+
+    from codecorpus.functions import htmlnodes
+    html = [None, "", "<p>a</p>", "<p>" + "b" * 90 + "</p>", *["<h1>c</h1>"] * 30]
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(len(html))), "html": html})
+    whole = pa.Table.from_batches(htmlnodes.parsed([batch]))
+    monkeypatch.setattr(htmlnodes, "PARSED_BYTES", 60)
+    monkeypatch.setattr(htmlnodes, "PARSED_PAGES", 4)
+    held = []
+    pieces = []
+    for piece in htmlnodes.parsed([batch, batch.slice(0, 0)]):
+        held.append(piece.num_rows)
+        pieces.append(piece)
+    assert max(held) == 4 and len(held) > 8
+    assert pa.Table.from_batches(pieces).to_pylist() == whole.to_pylist()

@@ -55,9 +55,11 @@ def dedup_lines(docs: DataFrame, window: int = 3, *, counts: bool = False) -> Da
     """``docs`` with the repeated lines cut from ``text`` (and ``n_chars``, where
     it exists, set to the new length); ``counts`` adds n_lines and n_removed."""
     found = repeated_windows(docs, window).withColumnsRenamed({"doc_id": "__line_doc", _TIE: "__line_doc_tie"})
-    tied = docs.withColumns({_TIE: F.xxhash64("text"), _LINES: F.split("text", "\n")})
+    tied = docs.withColumn(_TIE, F.xxhash64("text"))
     joined = tied.join(found, tied["doc_id"].eqNullSafe(found["__line_doc"])
                        & (tied[_TIE] == found["__line_doc_tie"]), "left")
+    # cut into lines behind the join: before it, a text would be shuffled and sorted twice over
+    joined = joined.withColumn(_LINES, F.split("text", "\n"))
     covered = F.flatten(F.transform(_STARTS, lambda p: F.sequence(p, p + (window - 1))))
     kept = joined.withColumn(_KEPT, F.when(F.col(_STARTS).isNotNull(),
                                            F.array_except(F.sequence(F.lit(0), F.size(_LINES) - 1), covered)))

@@ -287,3 +287,13 @@ def test_dense_groups_are_linked_in_linear_time():
     t = time.process_time()
     simhash_vptree.forest(big, 2)
     assert time.process_time() - t < 40
+
+
+def test_texts_are_cut_into_lines_behind_the_join(spark, capsys):
+    """What is shuffled to meet the repeated windows is the text, not its lines besides."""
+    docs = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "x\na\nb\nc"), (3, None)], "doc_id long, text string")
+    out = line_windows.dedup_lines(docs)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "a\nb\nc\nd", 2: "x", 3: None}
+    out.explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[-1]
+    assert plan.index("AS __line_all") < plan.index("Join")

@@ -7,6 +7,7 @@ it stays in the worker's memo. The ids are those of encoding the whole text.
 
 from __future__ import annotations
 
+import codecs
 import contextlib
 import gc
 import os
@@ -15,6 +16,10 @@ import string
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Byte-level models write bytes as signs: printable Latin-1 as it is, the others from 256 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_SIGNS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -30,20 +35,22 @@ BARE = "\0"
 TAIL = "".join(c for c in string.punctuation if c not in "'<>|")
 
 
+def byte_marked(text: str) -> str | None:
+    """The units of a plain text for a byte-level tokenizer, joined by spaces; None where units may hold spaces."""
+    plain = text[0] != " " and text[-1] != " " and not any(x in text for x in UNUSUAL)
+    if not plain or not text.isascii() and any(x in text for x in WIDE_SPACES):
+        return None
+    if "\n\n" in text or text[0] == "\n" or text[-1] == "\n":
+        return BARE + text
+    # a line end alone between two words is a token of its own
+    return BARE + text.replace("\n", f" {BARE}\n {BARE}")
+
+
 def byte_units(text: str) -> list[str]:
     """Units of a byte-level tokenizer: words that follow a space, without it; others are marked BARE."""
-    plain = text[0] != " " and text[-1] != " " and not any(x in text for x in UNUSUAL)
-    if plain and (text.isascii() or not any(x in text for x in WIDE_SPACES)):
-        # a line end alone between two words is a token of its own
-        alone = "\n\n" not in text and text[0] != "\n" and text[-1] != "\n"
-        units: list[str] = []
-        for line in text.split("\n") if alone else [text]:
-            if units:
-                units.append(BARE + "\n")
-            words = line.split(" ")
-            words[0] = BARE + words[0]
-            units += words
-        return units
+    marked = byte_marked(text)
+    if marked is not None:
+        return marked.split(" ")
     if BARE in text:
         return [BARE + text]
     return [u[1:] if u[0] == " " and len(u) > 1 and not u[1].isspace() else BARE + u for u in SPACE_BEFORE_WORD.split(text)]
@@ -54,12 +61,17 @@ def byte_text(unit: str) -> str:
     return unit[1:] if unit[0] == BARE else " " + unit
 
 
-def word_units(text: str) -> list[str]:
-    """Units of a tokenizer that lower-cases and drops white space."""
+def word_marked(text: str) -> str:
+    """The units of a tokenizer that lower-cases and drops white space, joined by spaces."""
     raw = text.encode()
     if b"<" not in raw:  # special tokens are matched before lower-casing
         raw = raw.lower()
-    return raw.translate(_SPACES).decode().split(" ")
+    return raw.translate(_SPACES).decode()
+
+
+def word_units(text: str) -> list[str]:
+    """Units of a tokenizer that lower-cases and drops white space."""
+    return word_marked(text).split(" ")
 
 
 _SPACES = bytes.maketrans(bytes(range(9, 14)), b" " * 5)
@@ -97,13 +109,20 @@ def byte_signs(word: str) -> str:
     """A word of letters, with or without a space before it, as a byte-level model writes its bytes."""
     if word.isascii():
         return SPACE_SIGN + word[1:] if word[0] == " " else word
-    return word.encode().decode("latin-1").translate(BYTE_SIGNS)
+    return codecs.charmap_decode(word.encode(), "strict", _SIGNS)[0]
+
+
+_SIGNS = "".join(chr(BYTE_SIGNS.get(b, b)) for b in range(256))
+#: Anything but letters and signs below U+0250; the dotted capital I grows when lower-cased.
+_FAR = re.compile("[^\0-\u012f\u0131-\u024f]").search
 
 
 #: Bytes that a generation of a worker's memo may take, and what an entry takes besides its unit and ids.
 MEMO_BYTES, ENTRY_BYTES = 96 << 20, 200
 #: Longer units are not remembered.
 LONG_UNIT = 64
+#: Texts that are encoded at once, and characters after which no further one joins them.
+CHUNK, CHUNK_CHARS = 256, 1 << 22
 
 
 class Memo(dict):
@@ -120,11 +139,17 @@ class Memo(dict):
         return {u: old[u] for u in units if u in old}
 
     def remember(self, fresh: dict[str, bytes]) -> None:
+        size = sum(map(len, fresh)) + sum(map(len, fresh.values())) + ENTRY_BYTES * len(fresh)
+        if self.size + size <= self.limit and max(map(len, fresh), default=0) <= LONG_UNIT:
+            self.size += size
+            self.update(fresh)
+            return
         for u, ids in fresh.items():
             if len(u) > LONG_UNIT:
                 continue
             self.size += len(u) + len(ids) + ENTRY_BYTES
             if self.size > self.limit:
+                self.old = {}  # goes before the copy is made
                 self.old = dict(self)
                 self.clear()
                 self.size = len(u) + len(ids) + ENTRY_BYTES
@@ -143,29 +168,32 @@ class UnitEncoder:
 
         self.tokenizer, self.units = Tokenizer.from_file(path), units
         spaced = units is byte_units
-        self.text_of, self.bare, self.fold = (byte_text, BARE, str) if spaced else (str, "", str.lower)
+        self.marked = {byte_units: byte_marked, word_units: word_marked}[units]
+        self.text_of, self.bare, self.fold = (byte_text, BARE, None) if spaced else (str, "", str.lower)
         self.memo = Memo(memo)
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of the units; a tail of punctuation after a Latin letter is encoded apart."""
         split, plain = {}, set()
         for u in missing:
-            head = u.rstrip(TAIL)
+            head = u if u.isalpha() else u.rstrip(TAIL)
             if len(head) < len(u) and head and "<" not in u and ord(head[-1]) < 0x250 and head[-1].isalpha() and head[-1] != "\u0130":
                 split[u] = (head, self.bare + u[len(head):])
                 plain.update(split[u])
             else:
                 plain.add(u)
         memo, fresh, rest, tokenize = self.memo, {}, [], self.tokenizer.model.tokenize
+        text_of, fold = self.text_of, self.fold
         for u in plain:
             if u in memo:
                 fresh[u] = memo[u]
                 continue
-            text = self.text_of(u)
-            letters = text[1:] if text[:1] == " " else text
-            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0250" and "\u0130" not in letters):
+            text = text_of(u)
+            letters = u if u.isalpha() else text[1:] if text[:1] == " " else text
+            if letters.isalpha() and (letters.isascii() or not _FAR(letters)):
                 # one word of Latin letters: the BPE model alone, without the steps around it
-                fresh[u] = array("I", [t.id for t in tokenize(byte_signs(self.fold(text)))]).tobytes()
+                word = byte_signs(fold(text) if fold else text)
+                fresh[u] = array("I", [t.id for t in tokenize(word)]).tobytes()
             else:
                 rest.append(u)
         encoded = self.tokenizer.encode_batch([self.text_of(u) for u in rest], add_special_tokens=False)
@@ -175,23 +203,57 @@ class UnitEncoder:
             fresh[u] = fresh[head] + fresh[tail]
         return fresh
 
+    @staticmethod
+    def marked(text: str) -> str | None:
+        """A text whose units are what lies between its spaces; None if the units have to be cut by themselves."""
+        return None
+
     @no_cycle_search()
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 256):
-            memo, missing, chunk, fresh = self.memo, set(), [], {}
-            for t in texts[at:at + 256]:
-                units = self.units(t) if t else []
-                ids = list(map(memo.get, units))
-                gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
-                missing.update([units[i] for i in gaps])
-                chunk.append((units, ids, gaps))
-            if missing:
-                fresh = memo.known(missing)
-                fresh |= self._learn(missing - fresh.keys())
-            for units, ids, gaps in chunk:
-                for i in gaps:
-                    ids[i] = fresh[units[i]]
-                out.append(b"".join(ids))
+        out, at = [], 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and to < at + CHUNK and size < CHUNK_CHARS:
+                size += len(texts[to] or "")
+                to += 1
+            out += self._encode(texts[at:to])
+            at = to
+        return out
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        """A unit that occurs often in the texts is looked up once; ids are gathered by its number."""
+        plain, odd, cut, units, counts = [], [], [], [], []
+        for i, t in enumerate(texts):
+            marked = self.marked(t) if t else None
+            if marked is not None:
+                plain.append(i)
+                cut.append(marked)
+            else:
+                own = self.units(t) if t else []
+                odd.append(i)
+                units += own
+                counts.append(len(own))
+        split = pc.split_pattern(pa.array(cut, type=pa.large_string()), " ")
+        numbered = pa.concat_arrays([split.flatten(), pa.array(units, type=pa.large_string())]).dictionary_encode()
+        distinct, codes = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
+        memo = self.memo
+        ids = list(map(memo.get, distinct))
+        missing = {u for u, x in zip(distinct, ids, strict=True) if x is None}
+        if missing:
+            fresh = memo.known(missing)
+            fresh |= self._learn(missing - fresh.keys())
+            ids = [fresh[u] if x is None else x for u, x in zip(distinct, ids, strict=True)]
             memo.remember(fresh)
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        start = np.cumsum(size) - size
+        length = size[codes]
+        end = np.cumsum(length)
+        data = np.frombuffer(b"".join([*ids, b"\0\0\0\0"]), dtype="<u4")
+        data = data[np.arange(int(end[-1]) if len(end) else 0) - np.repeat(end - length - start[codes], length)].tobytes()
+        # where each text ends, in units and then in bytes
+        ends = np.cumsum(np.r_[0, pc.list_value_length(split).to_numpy(), np.array(counts, dtype=np.int64)])
+        ends = 4 * np.r_[0, end][ends]
+        out = [b""] * len(texts)
+        for i, a, z in zip(plain + odd, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[i] = data[a:z]
         return out

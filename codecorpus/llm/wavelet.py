@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codecorpus.llm.common import scratch, stored
-from codecorpus.llm.tokens import MEMO_BYTES, UnitEncoder, byte_units, shared
+from codecorpus.llm.tokens import UnitEncoder, byte_units, shared
 
 MAGIC = b"WVM2"
 #: Words of 64 bits in a piece of a plane.
@@ -103,6 +103,11 @@ class Plane:
         return Plane(words, before, load)
 
 
+def _parted(bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the zeros and of the ones: on mixed bits several times faster to move by than the mask itself."""
+    return np.flatnonzero(~bit), np.flatnonzero(bit)
+
+
 class WaveletMatrix:
     """Bit-planes of symbol numbers, most significant first; a plane is stably
     parted, zeros before ones, for the next. ``symbols`` are the distinct ids."""
@@ -128,7 +133,7 @@ class WaveletMatrix:
             bit = ((cur >> cur.dtype.type(level)) & 1).astype(bool)
             packed = np.packbits(bit, bitorder="little")
             planes.append(Plane.of(np.frombuffer(packed.tobytes() + bytes(-len(packed) % 8), dtype="<u8")))
-            cur = np.concatenate([cur[~bit], cur[bit]])
+            cur = np.concatenate([cur.take(places) for places in _parted(bit)])
         return WaveletMatrix(planes, n, symbols.astype("<u4"))
 
     def _bits(self, level: int) -> np.ndarray:
@@ -198,9 +203,10 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             bit = self._bits(level)
             prev = np.empty_like(cur)
-            prev[~bit] = cur[:self.zeros[level]]
-            prev[bit] = cur[self.zeros[level]:]
-            cur = prev | (bit.astype(kind) << kind(self.bits - 1 - level))
+            zeros, ones = _parted(bit)
+            prev[zeros] = cur[:self.zeros[level]]
+            prev[ones] = cur[self.zeros[level]:] | (kind(1) << kind(self.bits - 1 - level))
+            cur = prev
         return self.symbols[cur]
 
     def to_bytes(self, doc_ids: pa.Array, lengths: np.ndarray) -> bytes:
@@ -243,7 +249,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared(UnitEncoder, tokenizer, byte_units, 2 * MEMO_BYTES)
+        encoder = shared(UnitEncoder, tokenizer, byte_units)
         fs, base = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         task = TaskContext.get()

@@ -1,4 +1,5 @@
 """Near-dedup, line dedup, packing, token output, pieces and language model against brute force."""
+import time
 import zlib
 
 import brute
@@ -173,6 +174,47 @@ def test_unit_encoder_is_exact(file, units, odd_texts):
     assert small.encode(texts) == [reference_ids(file, t, 0)[:-1].tobytes() for t in texts]
 
 
+def test_matrix_moves_rows_faster_than_by_masks():
+    a = np.random.default_rng(3).integers(0, 8192, 2_000_000).astype("<u4")
+
+    def by_masks():
+        cur = a.astype(np.uint16)
+        for level in range(12, -1, -1):
+            bit = ((cur >> np.uint16(level)) & np.uint16(1)).astype(bool)
+            cur = np.concatenate([cur[~bit], cur[bit]])
+
+    def best(f):
+        out = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            out.append(time.process_time() - began)
+        return min(out)
+
+    m = wavelet.WaveletMatrix.build(a)
+    assert (m.decode() == a).all()
+    slow = best(by_masks)
+    assert best(lambda: wavelet.WaveletMatrix.build(a)) < 0.9 * slow and best(m.decode) < 0.9 * slow
+
+
+@pytest.mark.parametrize(("file", "units"), [("byte_bpe_50k.json", tokens.byte_units), ("word_bpe_49k.json", tokens.word_units)])
+def test_encoder_looks_a_unit_up_once_for_many_texts(file, units, odd_texts):
+    class Counted(tokens.Memo):
+        asked = 0
+
+        def get(self, unit):
+            self.asked += 1
+            return dict.get(self, unit)
+
+    e = tokens.UnitEncoder(P.path(file), units)
+    e.memo = Counted(tokens.MEMO_BYTES)
+    texts = ["one two\none, two", None, "", "two  one"] * 60 + [t for _, t in odd_texts]
+    distinct = {u for t in texts if t for u in units(t)}
+    assert e.encode(texts[:240]) == [reference_ids(file, t or "", 0)[:-1].tobytes() for t in texts[:240]]
+    assert e.memo.asked <= len(distinct)
+    assert e.encode(texts) == [reference_ids(file, t or "", 0)[:-1].tobytes() for t in texts]
+
+
 # -------------------------------------------------------------------- pieces
 def test_pieces_match_the_library_and_come_back(twice, empty):
     import sentencepiece

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
-from codecorpus.llm.tokens import UnitEncoder, shared, word_units
+from codecorpus.llm.tokens import UnitEncoder, pieces, shared, word_units
 
 #: Ends of documents below this share of the capacity are not cut any more.
 SHORT = 32
@@ -115,8 +115,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int =
         kind = None
         for b in batches:
             kind = b.schema.field("doc_id").type
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in pieces(b):
                 texts = encoder.encode(part["text"].to_pylist())
                 rows = [r for d, ids in zip(part["doc_id"].to_pylist(), texts, strict=True)
                         for r in packer.add(d, ids + end)]

@@ -191,17 +191,21 @@ class PieceEncoder(UnitEncoder):
                 out += RUNS.split(line)
         return out
 
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        fresh, todo, size = {}, [], 0
-        for u in sorted(missing):
+    def _learn(self, missing: list[str]) -> pa.Array:
+        ids, order, todo, size = [], np.argsort(np.array(missing, dtype=object)), [], 0
+        for u in [missing[i] for i in order.tolist()]:
             todo.append(u)
             size += len(u.encode())
             if size >= INDEXED:
-                fresh.update(zip(todo, segment(todo, self.vocabulary), strict=True))
+                ids += segment(todo, self.vocabulary)
                 todo, size = [], 0
         if todo:
-            fresh.update(zip(todo, segment(todo, self.vocabulary), strict=True))
-        return fresh
+            ids += segment(todo, self.vocabulary)
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        out = pa.array(ids, type=pa.large_binary()).take(pa.array(back))
+        self.memo.remember(missing, out)
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, without the mark set before it."""

@@ -13,8 +13,8 @@ import gc
 import os
 import re
 import string
-from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -122,38 +122,68 @@ MEMO_BYTES, ENTRY_BYTES = 96 << 20, 200
 #: Longer units are not remembered.
 LONG_UNIT = 64
 #: Texts that are encoded at once, and characters after which no further one joins them.
-CHUNK, CHUNK_CHARS = 256, 1 << 22
+CHUNK, CHUNK_CHARS = 1024, 1 << 22
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in pieces of texts that are encoded at once."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(), dtype=np.int64), 0
+    while at < batch.num_rows:
+        full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_CHARS)) + 1
+        to = min(at + CHUNK, full, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def binaries(data: bytes | np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Rows of so many bytes each, one after the other in ``data``."""
+    offsets = np.cumsum(np.r_[0, sizes], dtype=np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 class Memo(dict):
-    """Ids of units, in two generations of at most ``limit`` bytes: when the young one is full it
-    becomes the old one, from which units that occur again are taken over. Long units are left out."""
+    """Rows of units in ``data``, an array of their ids, in two generations of at most ``limit`` bytes: when the young
+    one is full it becomes the old one, from which units that occur again are taken over. Long units are left out."""
 
     def __init__(self, limit: int):
         super().__init__()
-        self.limit, self.size, self.old = limit, 0, {}
-
-    def known(self, units: set[str]) -> dict[str, bytes]:
-        """Those of the units that only the old generation holds."""
-        old = self.old
-        return {u: old[u] for u in units if u in old}
-
-    def remember(self, fresh: dict[str, bytes]) -> None:
-        size = sum(map(len, fresh)) + sum(map(len, fresh.values())) + ENTRY_BYTES * len(fresh)
-        if self.size + size <= self.limit and max(map(len, fresh), default=0) <= LONG_UNIT:
-            self.size += size
-            self.update(fresh)
-            return
-        for u, ids in fresh.items():
-            if len(u) > LONG_UNIT:
-                continue
-            self.size += len(u) + len(ids) + ENTRY_BYTES
-            if self.size > self.limit:
+        self.limit, self.size, self.data = limit, 0, binaries(b"", np.zeros(0))
+        self.old, self.old_data = {}, self.data
+
+    def known(self, units: list[str], *, young: bool) -> tuple[np.ndarray, pa.Array]:
+        """Places of those of the units that the old generation (or either) holds, and their ids."""
+        held = np.fromiter(map(self.old.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+        at = np.flatnonzero(held >= 0)
+        ids = self.old_data.take(pa.array(held[at]))
+        if young:
+            held[:] = np.fromiter(map(super().get, units, repeat(-1)), dtype=np.int64, count=len(units))
+            held[at] = -1
+            more = np.flatnonzero(held >= 0)
+            at, ids = np.r_[at, more], pa.concat_arrays([ids, self.data.take(pa.array(held[more]))])
+        return at, ids
+
+    def remember(self, units: list[str], ids: pa.Array) -> None:
+        lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        if lengths.max(initial=0) > LONG_UNIT:
+            short = np.flatnonzero(lengths <= LONG_UNIT)
+            units, ids, lengths = [units[i] for i in short.tolist()], ids.take(pa.array(short)), lengths[short]
+        cost = np.cumsum(lengths + pc.binary_length(ids).to_numpy() + ENTRY_BYTES)
+        at = 0
+        while at < len(units):
+            before = int(cost[at - 1]) if at else 0
+            to = max(at, int(np.searchsorted(cost, self.limit - self.size + before, side="right")))
+            if to == at and not self:
+                to = at + 1  # larger than a generation
+            if to == at:
                 self.old = {}  # goes before the copy is made
-                self.old = dict(self)
+                self.old, self.old_data = dict(self), self.data
                 self.clear()
-                self.size = len(u) + len(ids) + ENTRY_BYTES
-            self[u] = ids
+                self.size, self.data = 0, self.data.slice(0, 0)
+                continue
+            self.update(zip(units[at:to], range(len(self.data), len(self.data) + to - at), strict=True))
+            self.data = pa.concat_arrays([self.data, ids.slice(at, to - at)])
+            self.size += int(cost[to - 1]) - before
+            at = to
 
 
 class UnitEncoder:
@@ -172,36 +202,54 @@ class UnitEncoder:
         self.text_of, self.bare, self.fold = (byte_text, BARE, None) if spaced else (str, "", str.lower)
         self.memo = Memo(memo)
 
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of the units; a tail of punctuation after a Latin letter is encoded apart."""
-        split, plain = {}, set()
+    def _learn(self, missing: list[str]) -> pa.Array:
+        """Ids of distinct units, which are remembered; a tail of punctuation after a Latin letter is encoded apart."""
+        number, first, second, bare = {}, [], [], self.bare
         for u in missing:
-            head = u if u.isalpha() else u.rstrip(TAIL)
-            if len(head) < len(u) and head and "<" not in u and ord(head[-1]) < 0x250 and head[-1].isalpha() and head[-1] != "\u0130":
-                split[u] = (head, self.bare + u[len(head):])
-                plain.update(split[u])
-            else:
-                plain.add(u)
-        memo, fresh, rest, tokenize = self.memo, {}, [], self.tokenizer.model.tokenize
-        text_of, fold = self.text_of, self.fold
-        for u in plain:
-            if u in memo:
-                fresh[u] = memo[u]
+            if not u.isalpha():
+                head = u.rstrip(TAIL)
+                if len(head) < len(u) and head and "<" not in u and ord(head[-1]) < 0x250 and head[-1].isalpha() and head[-1] != "\u0130":
+                    first.append(number.setdefault(head, len(number)))
+                    second.append(number.setdefault(bare + u[len(head):], len(number)))
+                    continue
+            first.append(number.setdefault(u, len(number)))
+            second.append(-1)
+        plain = list(number)
+        at, known = self.memo.known(plain, young=True)
+        fresh = np.ones(len(plain), dtype=bool)
+        fresh[at] = False
+        rest = [u for u, x in zip(plain, fresh.tolist(), strict=True) if x]
+        learned = self._tokenized(rest)
+        self.memo.remember(rest, learned)
+        # rows of the parts, and an empty one for the tail of a unit without one
+        row = np.full(len(plain) + 1, len(plain))
+        row[at], row[np.flatnonzero(fresh)] = np.arange(len(at)), len(at) + np.arange(len(rest))
+        pairs = np.stack([first, second], axis=1).ravel() if missing else np.zeros(0, dtype=np.int64)
+        parts = pa.concat_arrays([known, learned, binaries(b"", np.zeros(1))]).take(pa.array(row[pairs]))
+        ids = binaries(parts.buffers()[2] or b"", pc.binary_length(parts).to_numpy().reshape(-1, 2).sum(axis=1))
+        split = np.flatnonzero(np.array(second, dtype=np.int64) >= 0)
+        self.memo.remember([missing[i] for i in split.tolist()], ids.take(pa.array(split)))
+        return ids
+
+    def _tokenized(self, units: list[str]) -> pa.Array:
+        tokenize, text_of, fold = self.tokenizer.model.tokenize, self.text_of, self.fold
+        before, out, rest = SPACE_SIGN if self.bare else "", [], []
+        for u in units:
+            if u.isascii() and u.isalpha():
+                # one word of Latin letters: the BPE model alone, without the steps around it
+                out.append([t.id for t in tokenize(before + (fold(u) if fold else u))])
                 continue
             text = text_of(u)
             letters = u if u.isalpha() else text[1:] if text[:1] == " " else text
             if letters.isalpha() and (letters.isascii() or not _FAR(letters)):
-                # one word of Latin letters: the BPE model alone, without the steps around it
-                word = byte_signs(fold(text) if fold else text)
-                fresh[u] = array("I", [t.id for t in tokenize(word)]).tobytes()
+                out.append([t.id for t in tokenize(byte_signs(fold(text) if fold else text))])
             else:
-                rest.append(u)
-        encoded = self.tokenizer.encode_batch([self.text_of(u) for u in rest], add_special_tokens=False)
-        for u, e in zip(rest, encoded, strict=True):
-            fresh[u] = array("I", e.ids).tobytes()
-        for u, (head, tail) in split.items():
-            fresh[u] = fresh[head] + fresh[tail]
-        return fresh
+                rest.append((len(out), text))
+                out.append([])
+        encoded = self.tokenizer.encode_batch([text for _, text in rest], add_special_tokens=False)
+        for (i, _), e in zip(rest, encoded, strict=True):
+            out[i] = e.ids
+        return binaries(np.fromiter(chain.from_iterable(out), dtype="<u4"), 4 * np.fromiter(map(len, out), dtype=np.int64, count=len(out)))
 
     @staticmethod
     def marked(text: str) -> str | None:
@@ -237,22 +285,25 @@ class UnitEncoder:
         numbered = pa.concat_arrays([split.flatten(), pa.array(units, type=pa.large_string())]).dictionary_encode()
         distinct, codes = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
         memo = self.memo
-        ids = list(map(memo.get, distinct))
-        missing = {u for u, x in zip(distinct, ids, strict=True) if x is None}
-        if missing:
-            fresh = memo.known(missing)
-            fresh |= self._learn(missing - fresh.keys())
-            ids = [fresh[u] if x is None else x for u, x in zip(distinct, ids, strict=True)]
-            memo.remember(fresh)
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        start = np.cumsum(size) - size
-        length = size[codes]
-        end = np.cumsum(length)
-        data = np.frombuffer(b"".join([*ids, b"\0\0\0\0"]), dtype="<u4")
-        data = data[np.arange(int(end[-1]) if len(end) else 0) - np.repeat(end - length - start[codes], length)].tobytes()
+        held = list(map(memo.get, distinct))
+        rows = pa.array(held, type=pa.int64())
+        here, gone = np.flatnonzero(rows.is_valid()), np.flatnonzero(rows.is_null())
+        ids, place = [memo.data.take(rows.drop_null())], [here]
+        if len(gone):
+            missing = [u for u, x in zip(distinct, held, strict=True) if x is None]
+            at, old = memo.known(missing, young=False)
+            memo.remember([missing[i] for i in at.tolist()], old)
+            new = np.ones(len(gone), dtype=bool)
+            new[at] = False
+            ids += [old, self._learn([u for u, x in zip(missing, new.tolist(), strict=True) if x])]
+            place += [gone[at], gone[new]]
+        row = np.empty(len(distinct), dtype=np.int64)
+        row[np.concatenate(place)] = np.arange(len(distinct))
+        all_ids = pa.concat_arrays(ids).take(pa.array(row[codes]))
+        end, data = np.frombuffer(all_ids.buffers()[1], dtype=np.int64), (all_ids.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
         # where each text ends, in units and then in bytes
         ends = np.cumsum(np.r_[0, pc.list_value_length(split).to_numpy(), np.array(counts, dtype=np.int64)])
-        ends = 4 * np.r_[0, end][ends]
+        ends = end[ends]
         out = [b""] * len(texts)
         for i, a, z in zip(plain + odd, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             out[i] = data[a:z]

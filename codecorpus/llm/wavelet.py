@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codecorpus.llm.common import scratch, stored
-from codecorpus.llm.tokens import UnitEncoder, byte_units, shared
+from codecorpus.llm.tokens import UnitEncoder, byte_units, pieces, shared
 
 MAGIC = b"WVM2"
 #: Words of 64 bits in a piece of a plane.
@@ -271,8 +271,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
             return row
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                piece = b.slice(at, 256)
+            for piece in pieces(b):
                 encoded = [x + end for x in encoder.encode(piece["text"].to_pylist())]
                 ids.append(piece["doc_id"])
                 lengths += [len(x) // 4 for x in encoded]

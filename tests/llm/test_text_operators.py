@@ -218,6 +218,35 @@ def test_encoder_looks_a_unit_up_once_for_many_texts(file, units, odd_texts):
     assert e.encode(texts) == [want[t] for t in texts]
 
 
+@pytest.mark.parametrize(("file", "units"), [("byte_bpe_50k.json", tokens.byte_units), ("word_bpe_49k.json", tokens.word_units)])
+@pytest.mark.parametrize("memo", [0, 3000, tokens.MEMO_BYTES])
+def test_memo_gives_the_same_ids_over_generations(file, units, memo):
+    import tokenizers
+
+    e, library = tokens.UnitEncoder(P.path(file), units, memo=memo), tokenizers.Tokenizer.from_file(P.path(file))
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    for at in [*range(0, 200, 20), *range(180, -1, -20)]:
+        texts = [" ".join(words[at:at + 20]), ", ".join(words[at:at + 30]) + "..", "x" * 100, "", None]
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert e.encode(texts) == [np.array(x, dtype="<u4").tobytes() for x in want]
+        assert all(len(u) <= tokens.LONG_UNIT for u in e.memo) and len(e.memo.data) == len(e.memo)
+        assert e.memo.size <= max(memo, 2 * tokens.ENTRY_BYTES)
+
+
+def test_texts_are_encoded_by_the_thousand(monkeypatch):
+    """A unit is looked up once for up to 1,024 texts, and long texts go in smaller pieces."""
+    b = pa.record_batch({"text": ["a"] * 1500 + [None, "b" * 40, "c" * 40, "d"]})
+    assert [p.num_rows for p in tokens.pieces(b)] == [1024, 480]
+    monkeypatch.setattr(tokens, "CHUNK_CHARS", 40)
+    assert [p.num_rows for p in tokens.pieces(b.slice(1500))] == [2, 1, 1]
+    assert not list(tokens.pieces(b.slice(0, 0)))
+    e, asked = tokens.UnitEncoder(P.path("byte_bpe_50k.json"), tokens.byte_units), []
+    monkeypatch.setattr(e, "_encode", lambda texts: asked.append(len(texts)) or [b""] * len(texts))
+    monkeypatch.setattr(tokens, "CHUNK_CHARS", 1 << 22)
+    e.encode(["a b"] * 1024)
+    assert asked == [1024]
+
+
 # -------------------------------------------------------------------- pieces
 def test_pieces_match_the_library_and_come_back(twice, empty):
     import sentencepiece
